@@ -1,6 +1,6 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Each line is judged by itself: navigation (separators between its words), symbols, shouting, a missing end of sentence,
+Each line is judged by itself: navigation (separators between its words), symbols, shouting, no end of a sentence,
 words repeated within the line, and boilerplate phrases. Lines that fail are removed; a text is then rejected if it lost
 over MAX_LOSS of its characters. Everything is computed inside the row, so nothing is shuffled and no text is exploded.
 
@@ -28,6 +28,8 @@ MAX_SEPARATORS, MAX_SYMBOLS, MAX_CAPITALS, MIN_DISTINCT = 0.25, 0.05, 0.6, 0.4
 MAX_LOSS = 0.5
 #: What ends a sentence, perhaps before closing quotes or brackets.
 END = r"[.!?…:;][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
+#: The end of a sentence inside a line.
+INNER_END = r"[.!?…][\x20\x09-\x0D]"
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "accept cookies", "use of cookies", "privacy policy", "terms of service", "terms of use",
     "terms and conditions", "enable javascript", "lorem ipsum", "click here", "subscribe to our newsletter", "sign up for our newsletter",
@@ -57,7 +59,7 @@ def line_fails(line: Column) -> Column:
         return (
             (_without(line, SEPARATORS) >= F.greatest(F.lit(2.0), MAX_SEPARATORS * n))
             | (_without(line, SYMBOLS) > MAX_SYMBOLS * F.length(line))
-            | ((n >= MIN_LINE_WORDS) & ((capitals > MAX_CAPITALS * (capitals + small)) | ~line.rlike(END)))
+            | ((n >= MIN_LINE_WORDS) & ((capitals > MAX_CAPITALS * (capitals + small)) | ~(line.rlike(END) | line.rlike(INNER_END))))
             | ((n >= 2 * MIN_LINE_WORDS) & (F.size(F.array_distinct(words)) < MIN_DISTINCT * n))
             | F.lower(line).rlike("|".join(BOILERPLATE))
         )
@@ -135,7 +137,7 @@ g AS (SELECT r, g FROM p GROUP BY r, g HAVING count(*) > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM p JOIN g USING (r, g), range(0, 5) AS o(k) GROUP BY r),
 l AS (SELECT r, l, {_LINE_WORDS} AS n, {_COUNT.format(UPPER)} AS u, {_COUNT.format(LOWER)} AS s FROM d, unnest(string_split(t, chr(10))) AS x(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 j AS (SELECT *, {_COUNT.format(SEPARATORS)} >= greatest(2.0, {MAX_SEPARATORS} * n) OR {_COUNT.format(SYMBOLS)} > {MAX_SYMBOLS} * length(l)
-  OR (n >= {MIN_LINE_WORDS} AND (u > {MAX_CAPITALS} * (u + s) OR NOT regexp_matches(l, '{END.replace("'", "''")}')))
+  OR (n >= {MIN_LINE_WORDS} AND (u > {MAX_CAPITALS} * (u + s) OR NOT (regexp_matches(l, '{END.replace("'", "''")}') OR regexp_matches(l, '{INNER_END}'))))
   OR (n >= {2 * MIN_LINE_WORDS} AND len(list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) < {MIN_DISTINCT} * n)
   OR regexp_matches(lower(l), '{"|".join(BOILERPLATE)}') AS bad FROM l),
 a AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_failed_lines, coalesce(sum(length(l)) FILTER (WHERE bad), 0) AS lost, sum(length(l)) AS chars FROM j GROUP BY r),
