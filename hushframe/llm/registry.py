@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function of spark and folder) and ORACLES (name -> DuckDB SQL).
-MODULES = ("language", "pii", "quality", "decontaminate", "warc", "token_files")
+MODULES = ("language", "pii", "quality", "decontaminate", "warc", "token_files", "packing")
 
 
 def _all(what: str) -> dict:
