@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 #: Modules with QUERIES (name -> function of spark and folder) and ORACLES (name -> DuckDB SQL).
-MODULES = ("language", "pii", "quality", "decontaminate", "warc", "token_files", "packing")
+MODULES = ("minhash", "packing", "decontaminate", "token_files", "pii", "language", "warc", "quality")
 
 
 def _all(what: str) -> dict:
@@ -19,8 +21,8 @@ def _all(what: str) -> dict:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _all("QUERIES")
+    return {"pipeline": corpus_pipeline.run} | _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all("ORACLES")
+    return _all("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
