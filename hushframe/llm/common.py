@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import xxhash
@@ -116,3 +117,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts, most of which are small: a byte each, and those of 255 and more by themselves."""
+    low, big = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1), x[x >= 255].astype("<i8").tobytes()
+    return len(low).to_bytes(4, "little") + low + big
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    out = np.frombuffer(zlib.decompress(b[4 : 4 + n]), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(b[4 + n :], "<i8")
+    return out
+
+
+def pack_keys(x: np.ndarray) -> bytes:
+    """Sorted keys as 32-bit gaps, or whole where a gap is longer."""
+    gaps = np.diff(x, prepend=np.uint64(0))
+    return b"g" + gaps.astype("<u4").tobytes() if len(x) and gaps.max() < 1 << 32 else b"w" + x.astype("<u8").tobytes()
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, "<u4", offset=1), dtype=np.uint64) if b[:1] == b"g" else np.frombuffer(b, "<u8", offset=1)

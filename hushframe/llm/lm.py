@@ -19,15 +19,13 @@ Defined results: a null or empty text is one token, its end. With no training te
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Work, crc32_mod, mix, parts, size_of, word_hashes
+from hushframe.llm.common import Work, crc32_mod, mix, pack_counts, pack_keys, parts, size_of, unpack_counts, unpack_keys, word_hashes
 
 #: Bytes of text of a block and of a shard's share, about.
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
@@ -41,29 +39,6 @@ _B, _T = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LEVELS = 20
 
 
-def _pack_counts(x: np.ndarray) -> bytes:
-    """Counts, most of which are small: a byte each, and those of 255 and more by themselves."""
-    low, big = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1), x[x >= 255].astype("<i8").tobytes()
-    return len(low).to_bytes(4, "little") + low + big
-
-
-def _unpack_counts(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:4], "little")
-    out = np.frombuffer(zlib.decompress(b[4 : 4 + n]), np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(b[4 + n :], "<i8")
-    return out
-
-
-def _pack_keys(x: np.ndarray) -> bytes:
-    """Sorted keys as 32-bit gaps, or whole where a gap is longer."""
-    gaps = np.diff(x, prepend=np.uint64(0))
-    return b"g" + gaps.astype("<u4").tobytes() if len(x) and gaps.max() < 1 << 32 else b"w" + x.astype("<u8").tobytes()
-
-
-def _unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, "<u4", offset=1), dtype=np.uint64) if b[:1] == b"g" else np.frombuffer(b, "<u8", offset=1)
-
-
 class Block:
     """The n-grams of some texts: per token, places among the distinct unigrams, and bigrams and trigrams."""
 
@@ -114,9 +89,9 @@ def _requests(shards: int):
             for s in range(shards):
                 i, j = edges[s], edges[s + 1]
                 if i < j:
-                    packed = b"w" + keys[i:j].astype("<u8").tobytes() if kind == 1 else _pack_keys(keys[i:j])
-                    rows.append((block, s, kind, packed, _pack_counts(counts[kind][0][i:j]), _pack_counts(counts[kind][1][i:j]), 0))
-        rows.append((block, 0, 0, b"", _pack_counts(np.array([train.sum(), (x.first & train).sum()])), _pack_counts(np.array([deleted.sum(), (x.first & deleted).sum()])), 0))
+                    packed = b"w" + keys[i:j].astype("<u8").tobytes() if kind == 1 else pack_keys(keys[i:j])
+                    rows.append((block, s, kind, packed, pack_counts(counts[kind][0][i:j]), pack_counts(counts[kind][1][i:j]), 0))
+        rows.append((block, 0, 0, b"", pack_counts(np.array([train.sum(), (x.first & train).sum()])), pack_counts(np.array([deleted.sum(), (x.first & deleted).sum()])), 0))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["block", "shard", "kind", "keys", "train", "deleted", "n"])
 
     return work
@@ -127,15 +102,15 @@ _ROW = "block long, shard int, kind int, keys binary, train binary, deleted bina
 
 def _answers(table: pa.Table) -> pa.Table:
     """A shard's answers: of each block's n-grams, the counts over all blocks; n of the first row: distinct training keys."""
-    keys = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
     code, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    train = np.bincount(inverse, np.concatenate([_unpack_counts(c) for c in table.column("train").to_pylist()]), len(code)).astype(np.int64)
-    deleted = np.bincount(inverse, np.concatenate([_unpack_counts(c) for c in table.column("deleted").to_pylist()]), len(code)).astype(np.int64)
+    train = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in table.column("train").to_pylist()]), len(code)).astype(np.int64)
+    deleted = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in table.column("deleted").to_pylist()]), len(code)).astype(np.int64)
     rows, at = [[], []], 0
     for k in keys:
         part = inverse[at : at + len(k)]
-        rows[0].append(_pack_counts(train[part]))
-        rows[1].append(_pack_counts(deleted[part]))
+        rows[0].append(pack_counts(train[part]))
+        rows[1].append(pack_counts(deleted[part]))
         at += len(k)
     distinct = np.zeros(len(keys), np.int64)
     distinct[0] = int((train > 0).sum())
@@ -147,7 +122,7 @@ def _counts(answers: pa.Table, take_deleted: bool) -> tuple[np.ndarray, np.ndarr
     rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "shard", "train", "deleted")]))
     out = {1: [np.empty(0, np.int64)], 2: [np.empty(0, np.int64)]}
     for kind, _, train, deleted in rows:
-        out[kind].append(_unpack_counts(train) - _unpack_counts(deleted) if take_deleted else _unpack_counts(train))
+        out[kind].append(unpack_counts(train) - unpack_counts(deleted) if take_deleted else unpack_counts(train))
     return np.concatenate(out[1]), np.concatenate(out[2])
 
 
@@ -242,7 +217,7 @@ def score(work: Work, docs: DataFrame, train: F.Column, deleted: F.Column, key:
     totals = {}
     for r in asked.where("kind = 0").select("train", "deleted").toLocalIterator():  # a row a block
         for c in ("train", "deleted"):
-            totals[c] = totals.get(c, 0) + _unpack_counts(bytes(r[c]))
+            totals[c] = totals.get(c, 0) + unpack_counts(bytes(r[c]))
     (n, texts), (n_out, texts_out) = (tuple(int(i) for i in totals.get(c, (0, 0))) for c in ("train", "deleted"))
     v = answers.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     work.drop(asked)
