@@ -1,19 +1,529 @@
-"""The query catalogue of the private-statistics operators."""
+"""The query catalogue: a query for each operator, with SQL that gives the same rows where SQL can.
+
+Exact operators return values. Releases are random, so their queries return what must hold of every draw: the budget paid,
+the proved sensitivity, and that the value lies within bounds or (but for odds of e^-40) near the exact one.
+"""
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushframe.operators import accuracy, noise, preprocess, sensitivity
+from hushframe.operators.structure import reshape
+from hushframe.plans import planner
+from hushframe.plans.frame import PrivateFrame
+from hushframe.plans.graph import Analysis
+from hushframe.privacy import ADD_REMOVE, SUBSTITUTE, Definition, Usage, actual, effective, parallel, sequential
+from hushframe.sources import readers
+
+SOFT = Definition(protect_floating_point=False)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+NEAR = 40.0
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def table(spark: SparkSession, d: str, name: str, definition: Definition = SOFT, **more) -> PrivateFrame:
+    return readers.read_parquet(spark, f"{d}/{name}.parquet", definition=definition, **more)
+
+
+def items(spark: SparkSession, d: str, definition: Definition = SOFT) -> PrivateFrame:
+    """lineitem with declared bounds, and no missing values after imputation."""
+    f = table(spark, d, "lineitem", definition).clamp(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [1.0, 900.0, 0.0, 0.0], [50.0, 105000.0, 0.1, 0.08])
+    return f.impute(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def known(frame: PrivateFrame) -> PrivateFrame:
+    """The frame with its number of records declared (public in these tables)."""
+    return frame.new_rows(frame.df, n=frame.df.count())
+
+
+def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Private mean quantity and count by return flag, with the budget of each."""
+    f = items(spark, d).clamp("l_returnflag", categories=["A", "N", "R"], null_value="?").partition("l_returnflag")
+    counts, sums = f.dp_count(Usage(0.5), upper=10_000_000), f.dp_sum(Usage(0.5), "l_quantity")
+    c, s = planner.release([counts, sums])
+    return rows(spark, "flag string, released_count long, released_mean double, epsilon double", [(k[0], int(c[k][0]), s[k][0] / max(c[k][0], 1), 1.0) for k in c])
+
+
+# ---------------------------------------------------------------- sources and structure
+
+
+@query("materialize_scan", "SELECT r_regionkey::VARCHAR AS key, r_name AS name FROM region")
+def _(spark, d):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    path = f"{base}/hushframe-csv-{uuid.uuid4().hex[:8]}"
+    spark.read.parquet(f"{d}/region.parquet").write.option("header", True).csv(path)
+    return readers.materialize(spark, path, ["key", "name"]).df
+
+
+@query("literal_bind", "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2::BIGINT, 'b')) AS t(k, v)")
+def _(spark, d):
+    return readers.literal(spark, {"k": [1, 2], "v": ["a", "b"]}).df
+
+
+@query("to_dataframe", "SELECT c_custkey AS id, c_acctbal AS balance FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").index(["c_custkey", "c_acctbal"]).to_dataframe(["id", "balance"]).df
+
+
+@query("index_names", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").index(["o_orderkey", "o_orderstatus"]).df
+
+
+@query("index_positions", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def _(spark, d):
+    f = table(spark, d, "nation", columns=["n_nationkey", "n_name"])
+    return f.index(indices=[list(f.props).index(n) for n in ("n_nationkey", "n_name")]).df
+
+
+@query("index_mask", "SELECT c_name FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer", columns=["c_custkey", "c_name"]).index(mask=[False, True]).df
+
+
+@query("column_bind", "SELECT l_quantity, l_tax FROM lineitem")
+def _(spark, d):
+    f = table(spark, d, "lineitem", columns=["l_quantity", "l_tax"])
+    return f.index("l_quantity").same_rows(f.df, {"l_quantity": f.of("l_quantity")}).column_bind(f.index("l_tax")).df
+
+
+@query("reshape_symmetric", "SELECT i::BIGINT AS i, j::BIGINT AS j, [[0,1,2,3],[1,4,5,6],[2,5,7,8],[3,6,8,9]][i+1][j+1]::DOUBLE AS v FROM range(4) a(i), range(4) b(j)")
+def _(spark, d):
+    m = reshape([float(i) for i in range(10)], (4, 4), symmetric=True)
+    return rows(spark, "i long, j long, v double", [(i, j, float(m[i, j])) for i in range(4) for j in range(4)])
+
+
+@query("union_flatten", "SELECT l_quantity FROM lineitem UNION ALL SELECT l_quantity FROM lineitem")
+def _(spark, d):
+    f = table(spark, d, "lineitem", columns=["l_quantity"])
+    return f.union(f).df
+
+
+@query("partition_by_flag", "SELECT k AS flag, count(l_returnflag)::BIGINT AS n FROM (VALUES ('A'), ('N'), ('R'), ('Z'), ('?')) v(k) LEFT JOIN lineitem ON l_returnflag = k GROUP BY k")
+def _(spark, d):
+    f = table(spark, d, "lineitem").clamp("l_returnflag", categories=["A", "N", "R", "Z"], null_value="?").partition("l_returnflag")
+    return rows(spark, "flag string, n long", [(k[0], v[0]) for k, v in planner.evaluate([f.count()])[0].items()])
+
+
+@query("partition_even", "SELECT part, count(*)::BIGINT AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT ntile(7) OVER (ORDER BY o_orderkey) - 1 AS part, o_orderkey FROM orders) GROUP BY part")
+def _(spark, d):
+    f = known(table(spark, d, "orders", columns=["o_orderkey"])).partition_even(7, "o_orderkey")
+    return f.df.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("map_sum_by_segment", "SELECT c_mktsegment AS segment, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+def _(spark, d):
+    f = table(spark, d, "customer")
+    cats = sorted(r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().limit(100).collect())
+    f = f.clamp("c_acctbal", -1000.0, 10000.0).impute("c_acctbal").clamp("c_mktsegment", categories=cats, null_value="?").partition("c_mktsegment")
+    found = planner.evaluate([f.map(lambda part: part.sum("c_acctbal"))])[0]
+    return rows(spark, "segment string, total double", [(k[0], round(float(v[0]), 2)) for k, v in found.items() if k[0] != "?"])
+
+
+@query("index_part", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
+def _(spark, d):
+    f = table(spark, d, "lineitem").clamp("l_returnflag", categories=["A", "N", "R"], null_value="?").partition("l_returnflag")
+    return f.index(key="R").index(["l_orderkey", "l_linenumber"]).df
+
+
+# ---------------------------------------------------------------- preparation
+
+_NAN = "CASE WHEN l_linenumber = 3 THEN 'NaN'::DOUBLE ELSE l_quantity END"
+
+
+def holes(spark, d) -> PrivateFrame:
+    """Quantities with missing values on every third line."""
+    f = table(spark, d, "lineitem", columns=["l_orderkey", "l_linenumber", "l_quantity"])
+    return f.same_rows(f.df.withColumn("l_quantity", F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))), f.props)
+
+
+@query("filter_mask", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+def _(spark, d):
+    return table(spark, d, "orders").greater_than("big", "o_totalprice", 100000.0).filter("big").index("o_orderkey").df
+
+
+@query("clamp_numeric", f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE least(greatest(l_quantity, 10.0), 20.0) END AS q FROM lineitem")
+def _(spark, d):
+    return holes(spark, d).clamp("l_quantity", 10.0, 20.0).df.select("l_orderkey", "l_linenumber", F.when(~F.isnan("l_quantity"), F.col("l_quantity")).alias("q"))
+
+
+@query("clamp_categorical", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_returnflag IN ('A', 'N') THEN l_returnflag ELSE 'other' END AS flag FROM lineitem")
+def _(spark, d):
+    f = table(spark, d, "lineitem").clamp("l_returnflag", categories=["A", "N"], null_value="other")
+    return f.df.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
+
+
+for _side, _op in (("left", "<"), ("right", "<=")):
+    _edges = [0.0, 10.0, 20.0, 30.0, 40.0]
+    _low = (lambda a, b: f"l_quantity >= {a} AND l_quantity < {b}") if _side == "left" else (lambda a, b: f"l_quantity > {a} AND l_quantity <= {b}")
+    _case = " ".join(f"WHEN {_low(a, b)} THEN {i}" for i, (a, b) in enumerate(zip(_edges, _edges[1:])))
+
+    @query(f"digitize_{_side}", f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (CASE WHEN l_linenumber = 3 THEN -1 {_case} ELSE -1 END)::BIGINT AS bin FROM lineitem")
+    def _(spark, d, side=_side, edges=tuple(_edges)):
+        return holes(spark, d).digitize("l_quantity", edges, inclusive_left=side == "left", out="bin").df.select("l_orderkey", "l_linenumber", "bin")
+
+
+@query("bin_midpoint", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_quantity >= 0 AND l_quantity < 25 THEN 12.5 WHEN l_quantity >= 25 AND l_quantity < 40 THEN 32.5 ELSE -1.0 END::DOUBLE AS mid FROM lineitem")
+def _(spark, d):
+    return table(spark, d, "lineitem").bin("l_quantity", [0.0, 25.0, 40.0], -1.0, out="mid").df.select("l_orderkey", "l_linenumber", "mid")
+
+
+@query("cast_bool", "SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").to_bool("o_orderstatus", "F").df.select("o_orderkey", F.col("o_orderstatus").alias("done"))
+
+
+@query("cast_float", "SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_nationkey::DOUBLE / 4 END AS x FROM supplier")
+def _(spark, d):
+    f = table(spark, d, "supplier")
+    text = F.when(F.col("s_nationkey") == 3, F.lit("n/a")).otherwise((F.col("s_nationkey") / 4).cast("string"))
+    g = readers.from_dataframe(f.df.select("s_suppkey", text.alias("x"))).to_float("x")
+    return g.df.select("s_suppkey", F.when(~F.isnan("x"), F.col("x")).alias("x"))
+
+
+@query("cast_int", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, floor(l_extendedprice + 0.5)::BIGINT AS price FROM lineitem")
+def _(spark, d):
+    return table(spark, d, "lineitem").to_int("l_extendedprice", 0, 200000).df.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+
+
+@query("cast_int_text", "SELECT p_partkey, p_size::BIGINT AS size FROM part")
+def _(spark, d):
+    f = readers.from_dataframe(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("string").alias("size")))
+    return f.to_int("size", 0, 100).df
+
+
+@query("cast_string", "SELECT p_partkey, p_size::VARCHAR AS size FROM part")
+def _(spark, d):
+    return table(spark, d, "part", columns=["p_partkey", "p_size"]).to_string("p_size").df.select("p_partkey", F.col("p_size").alias("size"))
+
+
+@query("impute_uniform", "SELECT count(*)::BIGINT AS n, 0::BIGINT AS missing, true AS within FROM lineitem")
+def _(spark, d):
+    df = holes(spark, d).clamp("l_quantity", 1.0, 50.0).impute("l_quantity").df
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.isnan("l_quantity").cast("long")).alias("missing"), F.every((F.col("l_quantity") >= 1) & (F.col("l_quantity") <= 50)).alias("within"))
+
+
+@query("impute_gaussian", "SELECT count(*)::BIGINT AS n, 0::BIGINT AS missing, true AS within FROM lineitem")
+def _(spark, d):
+    df = holes(spark, d).clamp("l_quantity", 1.0, 50.0).impute("l_quantity", 1.0, 50.0, distribution="gaussian", shift=25.0, scale=30.0).df
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.isnan("l_quantity").cast("long")).alias("missing"), F.every((F.col("l_quantity") >= 1) & (F.col("l_quantity") <= 50)).alias("within"))
+
+
+@query("impute_categorical", "SELECT l_returnflag AS was, CASE WHEN l_returnflag = 'N' THEN true ELSE false END AS drawn, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    f = table(spark, d, "lineitem", columns=["l_returnflag"])
+    g = f.same_rows(f.df.withColumn("was", F.col("l_returnflag")), f.props).impute("l_returnflag", categories=["A", "R"], null_values=["N"], weights=[1.0, 3.0])
+    return g.df.groupBy("was", (F.col("was") != F.col("l_returnflag")).alias("drawn")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("resize_sample", "SELECT 1000::BIGINT AS n, true AS within, least(1000, count(*))::BIGINT AS at_most FROM lineitem")
+def _(spark, d):
+    f = items(spark, d).index("l_quantity").resize(number_rows=1000)
+    return f.df.agg(F.count(F.lit(1)).alias("n"), F.every(F.col("l_quantity").between(1, 50)).alias("within"), F.lit(f.n).cast("long").alias("at_most"))
+
+
+@query("resize_pad", "SELECT count(*)::BIGINT + 500 AS n, true AS within FROM lineitem")
+def _(spark, d):
+    f = items(spark, d).index("l_quantity")
+    return f.resize(number_rows=f.df.count() + 500).df.agg(F.count(F.lit(1)).alias("n"), F.every(F.col("l_quantity").between(1, 50)).alias("within"))
+
+
+@query("resize_minimum_rows", "SELECT greatest(count(*), 2000)::BIGINT AS n FROM orders")
+def _(spark, d):
+    f = table(spark, d, "orders", columns=["o_totalprice"]).clamp("o_totalprice", 0.0, 600000.0).impute("o_totalprice").resize(minimum_rows=2000)
+    return f.df.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("resize_proportion", "SELECT least(100000000, floor(0.75 * 2 * count(*)))::BIGINT AS n, 2::BIGINT AS stability, 0.75::DOUBLE AS rate FROM orders")
+def _(spark, d):
+    f = table(spark, d, "orders", columns=["o_totalprice"]).clamp("o_totalprice", 0.0, 600000.0).impute("o_totalprice")
+    want = math.floor(1.5 * f.df.count())
+    g = f.resize(number_rows=want, sample_proportion=1.5)
+    return g.df.agg(F.count(F.lit(1)).alias("n"), F.lit(g.stability).cast("long").alias("stability"), F.lit(g.sample).alias("rate"))
+
+
+# ---------------------------------------------------------------- element-wise functions
+
+_KEYS = "l_orderkey, l_linenumber::BIGINT AS l_linenumber"
+_MADE = f"(SELECT l_orderkey, l_linenumber, l_extendedprice, l_tax, {_NAN} AS q FROM lineitem)"
+_TRANSFORMS = {
+    # operator: (arguments, SQL of a value that is null where ours is NaN)
+    "abs": (("signed",), "abs(l_tax - 0.04)"),
+    "add": (("l_extendedprice", "l_tax"), "l_extendedprice + l_tax"),
+    "subtract": (("l_extendedprice", "l_tax"), "l_extendedprice - l_tax"),
+    "multiply": (("l_extendedprice", "l_tax"), "l_extendedprice * l_tax"),
+    "divide": (("l_extendedprice", "shifted"), "l_extendedprice / (l_tax + 1.0)"),
+    "modulo": (("l_extendedprice", 7.0), "l_extendedprice % 7.0"),
+    "power": (("shifted", 3.0), "pow(l_tax + 1.0, 3.0)"),
+    "log": (("l_extendedprice",), "ln(l_extendedprice) / ln(2.71828)"),
+    "negative": (("l_tax",), "-l_tax"),
+    "row_max": (("q", "l_tax"), "CASE WHEN isnan(q) THEN l_tax ELSE greatest(q, l_tax) END"),
+    "row_min": (("q", 20.0), "CASE WHEN isnan(q) THEN 20.0 ELSE least(q, 20.0) END"),
+    "equal": (("q", 17.0), "NOT isnan(q) AND q = 17"),
+    "greater_than": (("q", 17.0), "NOT isnan(q) AND q > 17"),
+    "less_than": (("q", 17.0), "NOT isnan(q) AND q < 17"),
+    "logical_and": (("high", "low"), "(NOT isnan(q) AND q > 10) AND (NOT isnan(q) AND q < 30)"),
+    "logical_or": (("high", "low"), "(NOT isnan(q) AND q > 10) OR (NOT isnan(q) AND q < 30)"),
+    "negate": (("high",), "NOT (NOT isnan(q) AND q > 10)"),
+}
+
+
+def _made(spark, d) -> PrivateFrame:
+    f = table(spark, d, "lineitem", columns=["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"]).clamp(["l_extendedprice", "l_tax"], [1.0, 0.0], [1000000.0, 0.1])
+    g = f.same_rows(f.df.withColumn("q", F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))), f.props | {"q": f.of("l_quantity")})
+    return g.subtract("signed", "l_tax", 0.04).add("shifted", "l_tax", 1.0).greater_than("high", "q", 10.0).less_than("low", "q", 30.0)
+
+
+def _transform_query(op: str, args: tuple):
+    def run(spark, d):
+        f = getattr(_made(spark, d), op)("out", *args)
+        out = F.col("out") if f.of("out").kind == "bool" else F.round("out", 6)
+        return f.df.select("l_orderkey", "l_linenumber", out.alias("out"))
+
+    return run
+
+
+for _op, (_args, _sql) in _TRANSFORMS.items():
+    _logical = _op in ("equal", "greater_than", "less_than", "logical_and", "logical_or", "negate")
+    query(f"transform_{_op}", f"SELECT {_KEYS}, {_sql if _logical else f'round({_sql}, 6)'} AS out FROM {_MADE}")(_transform_query(_op, _args))
+
+
+@query("transform_divide_integers", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_orderkey // l_linenumber)::BIGINT AS out FROM lineitem")
+def _(spark, d):
+    f = table(spark, d, "lineitem", columns=["l_orderkey", "l_linenumber"])
+    return f.divide("out", "l_orderkey", "l_linenumber").df
+
+
+@query("transform_concat", "SELECT n_name || '!' AS out FROM nation")
+def _(spark, d):
+    f = table(spark, d, "nation", columns=["n_name"])
+    g = f.same_rows(f.df.withColumn("mark", F.lit("!")), f.props | {"mark": f.of("n_name")})
+    return g.add("out", "n_name", "mark").df.select("out")
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+def _exact(aggregate, digits: int = 6) -> list:
+    return [round(float(v), digits) if aggregate.kind == "float" else int(v) for v in planner.evaluate([aggregate])[0][()]]
+
+
+def _aggregate_query(name: str, sql: str, build: Callable, columns: list[str], kind: str = "double", digits: int = 4):
+    @query(name, sql)
+    def run(spark, d):
+        return rows(spark, ", ".join(f"{c} {kind}" for c in columns), [tuple(_exact(build(items(spark, d)), digits))])
+
+
+_QP = ["l_quantity", "l_discount"]
+_aggregate_query("count", "SELECT count(*)::BIGINT AS n FROM lineitem", lambda f: f.count(), ["n"], "long")
+_aggregate_query("count_distinct", "SELECT count(DISTINCT l_quantity)::BIGINT AS a, count(DISTINCT l_discount)::BIGINT AS b FROM lineitem", lambda f: f.count(_QP, distinct=True), ["a", "b"], "long")
+_aggregate_query("sum", "SELECT round(sum(l_quantity), 4) AS a, round(sum(l_discount), 4) AS b FROM lineitem", lambda f: f.sum(_QP), ["a", "b"])
+_aggregate_query("mean", "SELECT round(avg(l_quantity), 6) AS a, round(avg(l_discount), 6) AS b FROM lineitem", lambda f: f.mean(_QP), ["a", "b"], digits=6)
+_aggregate_query("variance", "SELECT round(var_samp(l_quantity), 6) AS a, round(var_samp(l_discount), 6) AS b FROM lineitem", lambda f: f.variance(_QP), ["a", "b"], digits=6)
+_aggregate_query("variance_pop", "SELECT round(var_pop(l_quantity), 6) AS a FROM lineitem", lambda f: f.variance("l_quantity", finite_sample_correction=False), ["a"], digits=6)
+_aggregate_query("covariance", "SELECT round(var_samp(l_quantity), 6) AS a, round(covar_samp(l_quantity, l_discount), 6) AS b, round(var_samp(l_discount), 6) AS c FROM lineitem", lambda f: f.covariance(_QP), ["a", "b", "c"], digits=6)
+_aggregate_query("cross_covariance", "SELECT round(covar_samp(l_quantity, l_extendedprice), 3) AS a, round(covar_samp(l_quantity, l_tax), 3) AS b FROM lineitem", lambda f: f.covariance(left=["l_quantity"], right=["l_extendedprice", "l_tax"]), ["a", "b"], digits=3)
+_aggregate_query("raw_moment", "SELECT round(avg(l_quantity ** 3), 3) AS a FROM lineitem", lambda f: f.raw_moment("l_quantity", order=3), ["a"], digits=3)
+_aggregate_query("minimum", "SELECT min(l_extendedprice) AS a FROM lineitem", lambda f: f.minimum("l_extendedprice"), ["a"])
+_aggregate_query("maximum", "SELECT max(l_extendedprice) AS a FROM lineitem", lambda f: f.maximum("l_extendedprice"), ["a"])
+_aggregate_query("median", "SELECT round(median(l_extendedprice), 4) AS a FROM lineitem", lambda f: f.median("l_extendedprice"), ["a"])
+_SORTED = "WITH s AS (SELECT list_sort(list(l_extendedprice)) AS l, (count(*) - 1) * 0.3 AS pos FROM lineitem)"
+for _how, _value in {
+    "lower": "l[floor(pos)::BIGINT + 1]", "upper": "l[ceil(pos)::BIGINT + 1]", "nearest": "l[floor(pos + 0.5)::BIGINT + 1]", "midpoint": "(l[floor(pos)::BIGINT + 1] + l[ceil(pos)::BIGINT + 1]) / 2",
+    "linear": "l[floor(pos)::BIGINT + 1] * (1 - (pos - floor(pos))) + l[ceil(pos)::BIGINT + 1] * (pos - floor(pos))",
+}.items():
+    _aggregate_query(f"quantile_{_how}", f"{_SORTED} SELECT round({_value}, 4)::DOUBLE AS a FROM s", lambda f, how=_how: f.quantile("l_extendedprice", alpha=0.3, interpolation=how), ["a"])
+_CANDIDATES = [0.0, 10.0, 17.0, 25.0, 40.0, 60.0]
+_aggregate_query("quantile_utilities", "SELECT " + ", ".join(f"round(count(*) * 0.7 - abs(0.7 * count(*) FILTER (l_quantity < {c}) - 0.3 * count(*) FILTER (l_quantity > {c})), 4)::DOUBLE AS c{i}" for i, c in enumerate(_CANDIDATES)) + " FROM lineitem", lambda f: f.quantile("l_quantity", alpha=0.3, candidates=_CANDIDATES), [f"c{i}" for i in range(6)])
+_aggregate_query("histogram_edges", "SELECT " + ", ".join(f"count(*) FILTER (l_quantity >= {a} AND l_quantity < {a + 10})::BIGINT AS b{i}" for i, a in enumerate(range(0, 50, 10))) + ", count(*) FILTER (l_quantity >= 50)::BIGINT AS rest FROM lineitem", lambda f: f.histogram("l_quantity", edges=[0.0, 10.0, 20.0, 30.0, 40.0, 50.0]), [*[f"b{i}" for i in range(5)], "rest"], "long")
+_aggregate_query("histogram_categories", "SELECT count(*) FILTER (l_returnflag = 'A')::BIGINT AS a, count(*) FILTER (l_returnflag = 'R')::BIGINT AS r, count(*) FILTER (l_returnflag NOT IN ('A', 'R'))::BIGINT AS other FROM lineitem", lambda f: f.histogram("l_returnflag", categories=["A", "R"], null_value="?"), ["a", "r", "other"], "long")
+
+
+@query("quantile_by_key", "SELECT l_returnflag AS flag, round(median(l_extendedprice), 4) AS m FROM lineitem GROUP BY 1")
+def _(spark, d):
+    f = items(spark, d).clamp("l_returnflag", categories=["A", "N", "R"], null_value="?").partition("l_returnflag")
+    a = f.new_rows(f.df, not_empty=True, keys=f.keys).median("l_extendedprice")
+    return rows(spark, "flag string, m double", [(k[0], round(v[0], 4)) for k, v in planner.evaluate([a])[0].items() if not math.isnan(v[0])])
+
+
+@query("theil_sen_pairs", "WITH p AS (SELECT row_number() OVER () AS i, s_suppkey::DOUBLE AS x, s_acctbal AS y FROM supplier) SELECT count(*)::BIGINT AS n, round(min((b.y - a.y) / (b.x - a.x)), 6) AS low, round(max((b.y - a.y) / (b.x - a.x)), 6) AS high FROM p a JOIN p b ON a.x < b.x")
+def _(spark, d):
+    f = known(table(spark, d, "supplier").clamp(["s_suppkey", "s_acctbal"], [0, -1000.0], [10000000, 10000.0]).impute(["s_suppkey", "s_acctbal"]))
+    return f.theil_sen("s_suppkey", "s_acctbal", "theil-sen").df.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("slope"), 6).alias("low"), F.round(F.max("slope"), 6).alias("high"))
+
+
+@query("theil_sen_k_match", "SELECT 5 * (count(*) // 2)::BIGINT AS n FROM supplier")
+def _(spark, d):
+    f = known(table(spark, d, "supplier", Definition(neighboring=SUBSTITUTE)).clamp(["s_suppkey", "s_acctbal"], [0, -1000.0], [10000000, 10000.0]).impute(["s_suppkey", "s_acctbal"]))
+    return f.theil_sen("s_suppkey", "s_acctbal", k=5).df.agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- closed forms
+
+
+@query("sensitivities", """WITH t AS (SELECT count(*)::DOUBLE AS n FROM lineitem) SELECT what, round(ar, 9) AS add_remove, round(sub, 9) AS substitute FROM (
+SELECT 'count' AS what, 1.0::DOUBLE AS ar, 1.0::DOUBLE AS sub UNION ALL SELECT 'count_known', 0, 0 UNION ALL SELECT 'sum', 50, 60 UNION ALL SELECT 'mean', 60 / n, 60 / n FROM t
+UNION ALL SELECT 'variance', 3600 * n / (n + 1) / (n - 1), 3600 * (n - 1) / n / (n - 1) FROM t UNION ALL SELECT 'covariance', 3600 * n / (n + 1) / (n - 1), 3600 * 2 * (n - 1) / n / (n - 1) FROM t
+UNION ALL SELECT 'raw_moment', 2500 / n, 2500 / n FROM t UNION ALL SELECT 'quantile', 60, 60 UNION ALL SELECT 'utility', 0.7, 1 UNION ALL SELECT 'histogram', 1, 2 UNION ALL SELECT 'histogram_l2', 1, sqrt(2))""")
+def _(spark, d):
+    n, b = spark.read.parquet(f"{d}/lineitem.parquet").count(), (-10.0, 50.0)
+    s = sensitivity
+    forms = {
+        "count": lambda nb: s.count(None, nb), "count_known": lambda nb: s.count(n, nb), "sum": lambda nb: s.total(b, nb), "mean": lambda nb: s.mean(b, n, nb), "variance": lambda nb: s.variance(b, n, nb), "covariance": lambda nb: s.covariance(b, b, n, nb),
+        "raw_moment": lambda nb: s.raw_moment(b, 2, n, nb), "quantile": lambda nb: s.quantile(b), "utility": lambda nb: s.quantile_utility(0.3, nb), "histogram": lambda nb: s.histogram(5, n, nb), "histogram_l2": lambda nb: s.histogram(5, n, nb, 2),
+    }
+    return rows(spark, "what string, add_remove double, substitute double", [(k, round(f(ADD_REMOVE), 9), round(f(SUBSTITUTE), 9)) for k, f in forms.items()])
+
+
+@query("propagated_bounds", "SELECT * FROM (VALUES ('abs', 0.0::DOUBLE, 3.0::DOUBLE), ('add', 0.0, 8.0), ('subtract', -7.0, 1.0), ('multiply', -10.0, 15.0), ('divide', -1.0, 1.5), ('negative', -3.0, 2.0), ('modulo', 0.0, 4.0), ('row_max', 2.0, 5.0), ('row_min', -2.0, 3.0)) t(op, low, high)")
+def _(spark, d):
+    f = readers.literal(spark, {"x": [0.5], "y": [3.0]}).clamp(["x", "y"], [-2.0, 2.0], [3.0, 5.0])
+    out = []
+    for op in ("abs", "add", "subtract", "multiply", "divide", "negative", "modulo", "row_max", "row_min"):
+        args = ("x",) if op in ("abs", "negative") else ("x", 4.0) if op == "modulo" else ("x", "y")
+        p = getattr(f, op)("out", *args).of("out")
+        out.append((op, float(p.lower), float(p.upper)))
+    return rows(spark, "op string, low double, high double", out)
+
+
+@query("accuracies", "SELECT what, round(v, 9) AS v FROM (SELECT 'laplace' AS what, ln(20) * 2 / 0.5 AS v UNION ALL SELECT 'laplace_epsilon', ln(20) * 2 / 3.0 UNION ALL SELECT 'geometric', ceil(ln(20) * 2 / 0.5) UNION ALL SELECT 'gaussian_sigma', 2 * sqrt(2 * ln(1.25 / 1e-5)) / 0.5 UNION ALL SELECT 'geometric_alpha', exp(-0.5 / 2) UNION ALL SELECT 'snapping_grid', 2.0)")
+def _(spark, d):
+    values = {
+        "laplace": accuracy.laplace(2, 0.5, 0.05), "laplace_epsilon": accuracy.laplace_usage(2, 3.0, 0.05).epsilon, "geometric": accuracy.geometric(2, 0.5, 0.05), "gaussian_sigma": noise.gaussian_sigma(2, 0.5, 1e-5, analytic=False),
+        "geometric_alpha": math.exp(-0.5 / 2), "snapping_grid": noise.snapping_parameters(0.5, 10.0)[1],
+    }
+    return rows(spark, "what string, v double", [(k, round(float(v), 9)) for k, v in values.items()])
+
+
+@query("exponential_weights", "WITH u(i, u) AS (VALUES (0::BIGINT, 1.0), (1, 4.0), (2, 2.5)) SELECT i, round(exp(0.8 * u / 2) / sum(exp(0.8 * u / 2)) OVER (), 9) AS w FROM u")
+def _(spark, d):
+    return rows(spark, "i long, w double", [(i, round(w, 9)) for i, w in enumerate(noise.exponential_weights([1.0, 4.0, 2.5], 1.0, 0.8))])
+
+
+@query("privacy_usages", """SELECT what, round(e, 9) AS epsilon, round(dl, 12) AS delta FROM (SELECT 'sequential' AS what, 0.75 AS e, 2e-6 AS dl UNION ALL SELECT 'parallel', 0.5, 1e-6 UNION ALL SELECT 'spread', 0.25, 5e-7
+UNION ALL SELECT 'stability', 0.5 / 3, 1e-6 / (1 + exp(0.5) + exp(1.0)) UNION ALL SELECT 'sampled', ln((exp(0.5) - 1) / 0.25 + 1), 1e-6 / 0.25 UNION ALL SELECT 'round_trip', 0.5, 1e-6)""")
+def _(spark, d):
+    u, v = Usage(0.5, 1e-6), Usage(0.25, 1e-6)
+    values = {"sequential": sequential([u, v]), "parallel": parallel([u, v]), "spread": u.spread(2)[0], "stability": effective(u, 3), "sampled": effective(u, sample=0.25), "round_trip": actual(effective(u, 2, 2, 0.5), 2, 2, 0.5)}
+    return rows(spark, "what string, epsilon double, delta double", [(k, round(x.epsilon, 9), round(x.delta, 12)) for k, x in values.items()])
+
+
+@query("laplace_seeded", "WITH u AS (SELECT i, (('0x' || substr(md5('demo|' || i), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM range(20) r(i)) SELECT i::BIGINT AS i, round(10 - 2.0 * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5)), 9) AS v FROM u")
+def _(spark, d):
+    rng = noise.Seeded("demo")
+    return rows(spark, "i long, v double", [(i, round(noise.laplace(10.0, 1.0, 0.5, rng), 9)) for i in range(20)])
+
+
+# ---------------------------------------------------------------- releases
+
+
+def _release_query(name: str, build: Callable, epsilon: float = 1.0, near: Callable | None = None, definition: Definition = SOFT):
+    """One row: the budget, and whether the released values are near the exact ones (or finite, where near is None)."""
+
+    @query(name, f"SELECT '{name}' AS statistic, {epsilon}::DOUBLE AS epsilon, true AS holds")
+    def run(spark, d):
+        planned = build(known(items(spark, d, definition)))
+        value = planner.release([planned])[0]
+        flat = [float(v) for v in (value.ravel().tolist() if hasattr(value, "ravel") else value if isinstance(value, (list, tuple)) else [value])]
+        if near is None:
+            exact = [float(x) for x in planner.evaluate([planned.parts[0][0]])[0][()]]
+            scale = [NEAR * max(s, 1e-12) * max(1, len(exact)) / epsilon + 1e-9 for s in planned.arguments["sensitivity"]]
+            if hasattr(value, "ravel"):
+                flat = [float(value[i, j]) for i in range(value.shape[0]) for j in range(i, value.shape[1])]
+            holds = all(abs(a - b) <= s for a, b, s in zip(flat, exact, scale, strict=True))
+        else:
+            holds = near(flat)
+        return rows(spark, "statistic string, epsilon double, holds boolean", [(name, round(planned.usage.epsilon, 9), holds)])
+
+
+_inside = lambda low, high: lambda v: all(low <= x <= high for x in v)
+_release_query("laplace_mechanism", lambda f: _mech("laplace_mechanism", f.mean("l_quantity"), Usage(1.0)))
+_release_query("gaussian_mechanism", lambda f: _mech("gaussian_mechanism", f.mean("l_quantity"), Usage(1.0, 1e-7)), near=_inside(20, 31))
+_release_query("simple_geometric_mechanism", lambda f: _mech("simple_geometric_mechanism", f.histogram("l_returnflag", categories=["A", "N", "R"], null_value="?"), Usage(1.0), lower=0, upper=10**9), near=_inside(0, 1e9))
+_release_query("snapping_mechanism", lambda f: _mech("snapping_mechanism", f.mean("l_quantity"), Usage(1.0), lower=1.0, upper=50.0), near=_inside(1, 50), definition=Definition())
+_release_query("exponential_mechanism", lambda f: _mech("exponential_mechanism", f.quantile("l_quantity", alpha=0.5, candidates=[1.0, 25.0, 26.0, 49.0]), Usage(1.0)), near=_inside(25, 26))
+_release_query("dp_gumbel_median", lambda f: f.dp_gumbel_median("l_quantity", Usage(1.0), 1.0, 50.0), near=_inside(1, 50))
+_release_query("dp_count", lambda f: f.dp_count(Usage(1.0)))
+_release_query("dp_sum", lambda f: f.dp_sum(Usage(1.0), "l_quantity"))
+_release_query("dp_mean", lambda f: f.dp_mean(Usage(1.0), _QP))
+_release_query("dp_mean_snapping", lambda f: f.dp_mean(Usage(1.0), "l_quantity"), near=_inside(1, 50), definition=Definition())
+_release_query("dp_mean_plugin", lambda f: f.dp_mean(Usage(1.0), "l_quantity", implementation="plug-in"), near=_inside(20, 31))
+_release_query("dp_variance", lambda f: f.dp_variance(Usage(1.0), "l_quantity"))
+_release_query("dp_covariance", lambda f: f.dp_covariance(Usage(1.0), _QP))
+_release_query("dp_raw_moment", lambda f: f.dp_raw_moment(Usage(1.0), "l_quantity", order=2))
+_release_query("dp_quantile", lambda f: f.dp_quantile(Usage(1.0), "l_quantity", alpha=0.3))
+_release_query("dp_median", lambda f: f.dp_median(Usage(1.0), "l_quantity", candidates=[1.0, 25.0, 26.0, 49.0]), near=_inside(25, 26))
+_release_query("dp_median_gumbel", lambda f: f.dp_median(Usage(1.0), "l_quantity", lower=1.0, upper=50.0, mechanism="gumbel"), near=_inside(1, 50))
+_release_query("dp_minimum", lambda f: f.dp_minimum(Usage(1.0), "l_quantity"))
+_release_query("dp_maximum", lambda f: f.dp_maximum(Usage(1.0), "l_quantity"))
+_release_query("dp_histogram", lambda f: f.dp_histogram(Usage(1.0), "l_returnflag", categories=["A", "N", "R"], null_value="?"))
+_release_query("dp_linear_regression", lambda f: f.dp_linear_regression(Usage(1.0), "l_quantity", "l_extendedprice", 0.0, 5000.0, -50000.0, 50000.0, k=2), near=lambda v: 0 <= v[0] <= 5000 and -50000 <= v[1] <= 50000)
+
+
+def _mech(name: str, aggregate, usage, **more):
+    from hushframe.plans.registry import OPERATORS
+
+    return OPERATORS[name](aggregate, usage, **more)
+
+
+@query("noisy_stats_regression", "SELECT 2::BIGINT AS n")
+def _(spark, d):
+    f = table(spark, d, "lineitem").clamp(["l_discount", "l_tax"], 0.0, 1.0).impute(["l_discount", "l_tax"])
+    return rows(spark, "n long", [(len(planner.release([known(f).noisy_stats_regression(Usage(1.0), "l_discount", "l_tax")])[0]),)])
+
+
+@query("analysis_report", "SELECT 'dp_mean' AS statistic, 'l_quantity' AS variable, 'Laplace' AS mechanism, 0.4::DOUBLE AS epsilon UNION ALL SELECT 'dp_count', '', 'SimpleGeometric', 0.3")
+def _(spark, d):
+    import json
+
+    a = Analysis(spark, SOFT)
+    x = a.parquet(f"{d}/lineitem.parquet").clamp("l_quantity", 1.0, 50.0).impute("l_quantity").index("l_quantity").resize(number_rows=500)
+    x.dp_mean(Usage(0.4))
+    x.dp_count(Usage(0.3))
+    a.release()
+    return rows(spark, "statistic string, variable string, mechanism string, epsilon double", [(r["statistic"], ",".join(r["variables"]), r["mechanism"], r["privacyLoss"]["epsilon"]) for r in json.loads(a.report())])
+
+
+@query("partitioned_release", "SELECT k AS flag, 0.5::DOUBLE AS epsilon, true AS holds FROM (VALUES ('A'), ('N'), ('R'), ('?')) v(k)")
+def _(spark, d):
+    f = items(spark, d).clamp("l_returnflag", categories=["A", "N", "R"], null_value="?").partition("l_returnflag")
+    planned = f.dp_count(Usage(0.5), upper=10**9)
+    exact = planner.evaluate([f.count()])[0]
+    return rows(spark, "flag string, epsilon double, holds boolean", [(k[0], planned.usage.epsilon, abs(v[0] - exact[k][0]) <= NEAR / 0.5) for k, v in planner.release([planned])[0].items()])
+
+
+@query("weighted_draw", "SELECT true AS holds")
+def _(spark, d):
+    """Shares of a weighted draw over all lines."""
+    df = spark.read.parquet(f"{d}/lineitem.parquet").select(preprocess.weighted(["a", "b"], [1.0, 3.0], F.rand(7)).alias("c"))
+    r = df.agg(F.avg((F.col("c") == "b").cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    return rows(spark, "holds boolean", [(abs(r["p"] - 0.75) < 8 * math.sqrt(0.1875 / r["n"]),)])
