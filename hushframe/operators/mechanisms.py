@@ -141,7 +141,7 @@ def dp_gumbel_median(frame: PrivateFrame, column: str, usage, lower: float, uppe
         score = F.log(F.col("g.b") - F.col("g.a")) - F.lit(used.epsilon / 2) * F.ceil(F.abs(F.col("g.i") - F.col("m") / 2)) - F.log(-F.log(F.rand(seed)))
         scored = each.select(*keys, "g", score.alias("score"))
         best = scored.groupBy(*keys).agg(F.max_by(F.struct("g.a", "g.b"), "score").alias("g")).collect()
-        found = {tuple(r[k] for k in keys): (r["g"]["a"], r["g"]["b"]) for r in best}
+        found = {tuple(r[k] for k in keys): (r["g"]["a"], r["g"]["b"]) for r in best if r["g"] is not None}
         return {key: [rng.uniform(*found.get(key, (float(lower), float(upper))))] for key in (dense_keys(frame) if keys else [()])}
 
     chosen = Aggregate(frame, "gumbel_median", [], lambda v: v, lambda _: [0.0], direct=direct, columns=(column,), lower=[lower], upper=[upper])
