@@ -101,7 +101,11 @@ _ROW = "block long, shard int, kind int, keys binary, train binary, deleted bina
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """A shard's answers: of each block's n-grams, the counts over all blocks; n of the first row: distinct training keys."""
+    """A shard's answers: of each block's n-grams, the counts over all blocks; n of the first row: distinct training keys. Of kind 0: the sums of all blocks."""
+    if table.column("kind")[0].as_py() == 0:
+        sums = [pa.array([pack_counts(sum(map(unpack_counts, table.column(c).to_pylist())))], pa.binary()) for c in ("train", "deleted")]
+        first = table.slice(0, 1)
+        return pa.Table.from_arrays([first.column("block"), first.column("shard"), first.column("kind"), first.column("keys"), *sums, first.column("n")], names=table.column_names)
     keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
     code, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     train = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in table.column("train").to_pylist()]), len(code)).astype(np.int64)
@@ -211,16 +215,12 @@ def score(work: Work, docs: DataFrame, train: F.Column, deleted: F.Column, key:
         F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), train.alias("train"), (train & deleted).alias("deleted"),
         F.when(train & deleted, F.lit(-1) - F.pmod(spread, F.lit(own))).otherwise(F.pmod(spread, F.lit(blocks))).alias("block"),
     )
-    asked = work.table(dealt.groupBy("block").applyInArrow(_requests(shards), _ROW), "requests")
-    work.release()
-    answers = work.table(asked.where("kind > 0").groupBy("shard", "kind").applyInArrow(_answers, _ROW), "answers")
-    totals = {}
-    for r in asked.where("kind = 0").select("train", "deleted").toLocalIterator():  # a row a block
-        for c in ("train", "deleted"):
-            totals[c] = totals.get(c, 0) + unpack_counts(bytes(r[c]))
-    (n, texts), (n_out, texts_out) = (tuple(int(i) for i in totals.get(c, (0, 0))) for c in ("train", "deleted"))
+    asked = dealt.groupBy("block").applyInArrow(_requests(shards), _ROW)
+    answers = work.table(asked.groupBy("shard", "kind").applyInArrow(_answers, _ROW), "answers")
+    total = answers.where("kind = 0").select("train", "deleted").first()  # no row if there is no text
+    (n, texts), (n_out, texts_out) = (map(int, unpack_counts(bytes(total[c]))) if total else (0, 0) for c in ("train", "deleted"))
+    answers = answers.where("kind > 0")
     v = answers.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    work.drop(asked)
     work.release()
     held = dealt.where("block < 0").groupBy("block").cogroup(answers.where("block < 0").groupBy("block")).applyInArrow(_events(shards, n - n_out, texts - texts_out), "bucket long, q3 long, q2 long, q1 long, n long")
     cells = held.groupBy("bucket", "q3", "q2", "q1").agg(F.sum("n").alias("n"))
