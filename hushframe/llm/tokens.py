@@ -7,6 +7,9 @@ same as encoding the text in one call, which the tests check. Where to cut depen
 * byte-level BPE: before a space or a line end that follows a character other than white space, and after a line end
   that one such character follows. A text in which white space follows white space is cut by a regular expression.
 * BPE with word ends, white space dropped: at spaces and line ends.
+
+A new piece that is Latin letters, with at most a space before and a mark behind, is one pre-token (and one of the mark),
+so it goes straight to the library's BPE model; any other piece goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -18,9 +21,17 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in a table, after which it is emptied; only memory depends on it. Longer pieces aren't kept.
-TABLE, LONGEST = 1_500_000, 32
+TABLE, LONGEST = 700_000, 32
 _DOUBLE = re.compile(r"\s\s")
 _PIECES = re.compile(r"\s*\S+|\s+")
+#: Letters that composition leaves alone and whose lower case is one letter of the same kind.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes bytes: printable ones as themselves, the others as the letters from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 class Encoder:
@@ -33,6 +44,28 @@ class Encoder:
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.byte_level = kind == "ByteLevel"
         self.table: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.marks = {m: self._whole([m])[0] for m in ".,;:!?"} | {"": b""}
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _add(self, pieces: set[str]) -> None:
+        """Encodes pieces into the table."""
+        others, tokenize, match = [], self.model.tokenize, _WORD.fullmatch
+        for p in pieces:
+            if m := match(p):
+                word, mark = m.groups()
+                if not self.byte_level:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                elif word[0] == " ":
+                    word = self.letters[32] + word[1:]
+                self.table[p] = array("I", [t.id for t in tokenize(word)]).tobytes() + self.marks[mark]
+            else:
+                others.append(p)
+        self.table.update(zip(others, self._whole(others)))
 
     def _pieces(self, text: str) -> list[str]:
         if not self.byte_level:
@@ -49,11 +82,9 @@ class Encoder:
         if len(self.table) + len(missing) > TABLE:
             self.table.clear()
             missing = wanted
-        pieces = list(missing)
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.table[p] = array("I", e.ids).tobytes()
+        self._add(missing)
         out = [b"".join(map(self.table.__getitem__, c)) for c in cut]
-        for p in pieces:
+        for p in missing:
             if len(p) > LONGEST:
                 del self.table[p]
         return out
