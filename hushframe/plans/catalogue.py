@@ -285,7 +285,7 @@ _TRANSFORMS = {
     "modulo": (("l_extendedprice", 7.0), "l_extendedprice % 7.0"),
     "power": (("shifted", 3.0), "pow(l_tax + 1.0, 3.0)"),
     "log": (("l_extendedprice",), "ln(l_extendedprice) / ln(2.71828)"),
-    "negative": (("l_tax",), "-l_tax"),
+    "negative": (("l_tax",), "0 - l_tax"),
     "row_max": (("q", "l_tax"), "CASE WHEN isnan(q) THEN l_tax ELSE greatest(q, l_tax) END"),
     "row_min": (("q", 20.0), "CASE WHEN isnan(q) THEN 20.0 ELSE least(q, 20.0) END"),
     "equal": (("q", 17.0), "NOT isnan(q) AND q = 17"),
