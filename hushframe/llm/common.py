@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Letters for the same on the JVM, with translate().
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows (of a few numbers each) up to which a counted table is broadcast.
+BROADCAST_ROWS = 500_000
 #: Entries after which a worker's table of words is emptied; only memory depends on it.
 WORD_TABLE = 1_000_000
 
@@ -77,6 +79,11 @@ def parts(total: int, each: int) -> int:
     return max(1, -(-int(total) // int(each)))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows, as counted; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def lowered(col: str | Column) -> Column:
     return F.translate(F.col(col) if isinstance(col, str) else col, UPPER_LETTERS, LOWER_LETTERS)
 

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import Work, as_long, mix, word_hashes
+from hushframe.llm.common import Work, as_long, mix, small, word_hashes
 from hushframe.llm.components import components
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 N_A, ROWS_A, N_B, ROWS_B = 16, 3, 10, 2
-#: Sets of a tile's side; shared shingles that are multiplied at once; rows up to which a table is broadcast.
-CHUNK, SLICE, BROADCAST_ROWS = 1024, 8192, 500_000
+#: Sets of a tile's side; shared shingles that are multiplied at once.
+CHUNK, SLICE = 1024, 8192
 
 _seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (2, N_A * ROWS_A + N_B * ROWS_B), dtype=np.uint64)
 _XOR, _TIMES = _seeds[0] << np.uint64(1), _seeds[1] | np.uint64(1)
@@ -143,9 +143,8 @@ def links(work: Work, docs: DataFrame, members: DataFrame, key: str, text: str)
     sizes = members.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > CHUNK)
     everyone = members.union(members.select("root", "root").distinct())
     large = sizes.select("root", F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
-    large = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
-    placed = everyone.join(large, "root", "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(placed, "id")
+    placed = work.table(everyone.join(small(large), "root", "left").withColumn("c", F.coalesce("c", F.lit(1))), "placed")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(small(placed), "id")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,8 +217,9 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id."""
-    gone = near_duplicates(Work(spark, "minhash"), docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    work = Work(spark, "minhash")
+    gone = near_duplicates(work, docs).where("not kept").select("doc_id")
+    return docs.join(small(work.table(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def oracle(source: str = "documents") -> str:
