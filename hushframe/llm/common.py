@@ -21,7 +21,7 @@ UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqr
 #: Rows (of a few numbers each) up to which a counted table is broadcast.
 BROADCAST_ROWS = 500_000
 #: Entries after which a worker's table of words is emptied; only memory depends on it.
-WORD_TABLE = 1_000_000
+WORD_TABLE = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
