@@ -42,9 +42,25 @@ _LOW, _MASK = np.uint64(40), np.uint64((1 << 40) - 1)
 # ---------------------------------------------------------------- suffix sorting
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dense ranks of pairs."""
-    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+#: Codes up to which names come from a table instead of a sort.
+TABLE = 1 << 22
+
+
+def _names(code: np.ndarray, size: int) -> np.ndarray:
+    """Dense ranks of codes below size."""
+    if size <= max(TABLE, 2 * len(code)):
+        seen = np.bincount(code, minlength=size) > 0
+        return (np.cumsum(seen) - 1)[code]
+    return np.unique(code, return_inverse=True)[1]
+
+
+def _joined(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> tuple[np.ndarray, int]:
+    """Codes of pairs, and their bound; ranks of pairs where the codes would be too long."""
+    if size_a * size_b < 1 << 62:
+        return a * size_b + b, size_a * size_b
+    names = _names(a, size_a)
+    size = int(names.max(initial=0)) + 1
+    return names * size_b + b, size * size_b
 
 
 def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
@@ -56,35 +72,36 @@ def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
     padded = np.r_[t, np.zeros(4, t.dtype)].astype(np.int64)
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a triple of zeros ends the first half
-    sample = np.r_[ones, twos]
-    if padded.max() < 1 << 20:
-        triples = (padded[sample] << 40) | (padded[sample + 1] << 20) | padded[sample + 2]
-        names = np.unique(triples, return_inverse=True)[1] + 1
-    else:
-        names = _pairs(_pairs(padded[sample], padded[sample + 1]), padded[sample + 2]) + 1
+    k = int(padded.max()) + 1
+    sample = np.r_[np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)]  # a triple of zeros ends the first half
+    code, size = _joined(padded[sample], k, padded[sample + 1], k)
+    code, size = _joined(code, size, padded[sample + 2], k)
+    names = _names(code, size) + 1
     if names.max() < len(names) and 3 * covered < depth:
         order = suffix_array(names, depth, 3 * covered)
         names = np.empty(len(names), np.int64)
         names[order] = np.arange(1, len(order) + 1)
+    else:
+        order = np.argsort(names, kind="stable")
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
-    order = sample[np.argsort(names, kind="stable")]
+    order = sample[order]
+    ones = order[order % 3 == 1]
     order = order[order < n]
-    zeros = np.arange(0, n, 3)
-    top = int(rank.max()) + 1
-    # the others: a symbol and the rank of what follows
-    key1 = padded[zeros] * top + rank[zeros + 1]
-    zeros = zeros[np.argsort(key1, kind="stable")]
+    top = len(names) + 2
+    # the others: in order of what follows, then of their symbol
+    zeros = ones - 1
+    symbol = padded[zeros]
+    zeros = zeros[np.argsort(symbol.astype(np.uint16) if k <= 1 << 16 else symbol, kind="stable")]
     # merge: against places 1 mod 3 by (symbol, rank), against 2 mod 3 by (symbol, symbol, rank)
     one, two = order[order % 3 == 1], order[order % 3 == 2]
     z1, o1 = padded[zeros] * top + rank[zeros + 1], padded[one] * top + rank[one + 1]
     both = np.r_[zeros, two]
-    pair = _pairs(padded[both], padded[both + 1])
-    key2 = pair * top + rank[both + 2]
-    z2, t2 = key2[: len(zeros)], key2[len(zeros) :]
+    code, size = _joined(padded[both], k, padded[both + 1], k)
+    code, _ = _joined(code, size, rank[both + 2], top)
+    z2, t2 = code[: len(zeros)], code[len(zeros) :]
     # equal prefixes within the depth may disagree in what follows; running maxima keep each list in order
-    z1, o1, z2, t2 = (np.maximum.accumulate(k) for k in (z1, o1, z2, t2))
+    z1, o1, z2, t2 = (np.maximum.accumulate(c) for c in (z1, o1, z2, t2))
     before = np.zeros(n, np.int64)
     before[one] = np.searchsorted(z1, o1)
     before[two] = np.searchsorted(z2, t2)
@@ -101,8 +118,10 @@ def classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(b"".join(s + b"\0" for s in strings) + bytes(LENGTH + 8), np.uint8)
     n = int(sizes.sum()) + len(strings)
     ends = np.cumsum(sizes + 1) - 1
-    symbols = text[:n].astype(np.int64) + 2
-    symbols[ends] = 1
+    inside = np.ones(n, bool)
+    inside[ends] = False
+    used = np.bincount(text[:n][inside], minlength=256) > 0
+    symbols = np.where(inside, (np.cumsum(used) + 1)[text[:n]], 1)  # few symbols, so that triples are named by a table
     owner = np.repeat(np.arange(len(strings)), sizes + 1)
     window = np.arange(n) + LENGTH <= ends[owner]
     order = suffix_array(symbols, LENGTH)
