@@ -1,14 +1,17 @@
 """Packing of documents into training sequences by lexical retrieval.
 
 Documents are encoded, given a locality key (the least hash of their ids' pairs, so texts that share phrases tend to lie
-together) and dealt into shards by ranges of that key and doc_id. A shard takes its documents in groups of GROUP; a
-group has a BM25 inverted index over token ids. A window begins with a seed (what is left of the last document, or else
-the next unused one); the index returns the unused neighbours of the seed, best first, and they fill the window
+together) and dealt into shards by ranges of that key and doc_id. A shard has one BM25 inverted index over the token ids
+of all its documents. A window begins with a seed (what is left of the last document, or else the next unused one); the
+index returns the unused neighbours of the seed among all documents of the shard, best first, and they fill the window
 greedily. The document that crosses the window's end is cut there and its rest is the next seed, so windows have no
 padding. The few ids that are left at a shard's end go to sequences whose lengths are powers of two, without padding.
 
+Used documents are taken out of the index's lists from time to time; the statistics stay those of the whole shard, so
+scores do not depend on it.
+
 Defined results: a null or empty text is its end id alone. Of equal scores the document that comes first wins. Repeated
-rows (also of one doc_id) are documents each. Terms in over half of a group have no weight, as BM25's idf, floored at 0,
+rows (also of one doc_id) are documents each. Terms in over half of a shard have no weight, as BM25's idf, floored at 0,
 gives them none. Columns beside those named are ignored; an empty table gives no pieces.
 """
 
@@ -27,44 +30,90 @@ from hushframe.llm.common import Work, as_long, mix, parts, size_of
 from hushframe.llm.tokens import default_path, encoder
 
 WINDOW, END = 2048, 1
-#: BM25's parameters; documents of an index; bytes of ids of a shard, about; texts encoded at once.
-K1, B, GROUP, SHARD_BYTES, BATCH = 1.2, 0.75, 512, 32 << 20, 256
+#: BM25's parameters; bytes of ids of a shard, about; texts encoded at once.
+K1, B, SHARD_BYTES, BATCH = 1.2, 0.75, 32 << 20, 256
+#: Ids that are counted at once; neighbours sorted at first (more follow if a window asks for them); pieces put out at once.
+BLOCK, FIRST, ROWS = 1 << 20, 32, 8192
+#: Used documents leave the lists when fewer than this share of those in them is unused.
+LIVE = 0.8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
+class Documents:
+    """Documents as one array of ids and the places where they begin (and the last ends)."""
+
+    def __init__(self, flat: np.ndarray, begins: np.ndarray):
+        self.flat, self.begins = flat, begins
+
+    @classmethod
+    def of(cls, ids: list[np.ndarray]) -> Documents:
+        return cls(np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])])
+
+    def __len__(self) -> int:
+        return len(self.begins) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.begins[i] : self.begins[i + 1]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """term, document, occurrences: by document, then by term."""
+        found, at = [], 0
+        while at < len(self):
+            to = max(at + 1, int(np.searchsorted(self.begins, self.begins[at] + BLOCK, "right")) - 1)
+            part = self.flat[self.begins[at] : self.begins[to]].astype(np.uint64)
+            part |= np.repeat(np.arange(at, to, dtype=np.uint64), np.diff(self.begins[at : to + 1])) << np.uint64(32)
+            code, tf = np.unique(part, return_counts=True)
+            found.append((code.astype(np.uint32), (code >> np.uint64(32)).astype(np.int64), tf.astype(np.int32)))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Index:
-    """A BM25 inverted index of a group of documents."""
-
-    def __init__(self, ids: list[np.ndarray]):
-        self.n = len(ids)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        code = np.repeat(np.arange(self.n, dtype=np.uint64), sizes) + (np.concatenate(ids).astype(np.uint64) << np.uint64(20))
-        code, tf = np.unique(code, return_counts=True)
-        term, self.docs = (code >> np.uint64(20)).astype(np.int64), (code & np.uint64((1 << 20) - 1)).astype(np.int64)
-        self.starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
-        df = np.diff(np.r_[self.starts, len(term)])
-        idf = np.maximum(np.log((self.n - df + 0.5) / (df + 0.5)), 0.0)
+    """A BM25 inverted index of documents."""
+
+    def __init__(self, ids: list[np.ndarray] | Documents):
+        documents = ids if isinstance(ids, Documents) else Documents.of(ids)
+        n, sizes = len(documents), np.diff(documents.begins)
+        term, docs, tf = documents.counts()
+        _, slot, df = np.unique(term, return_inverse=True, return_counts=True)
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0)
         norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1))
-        self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        self.df = df
-        slot = np.repeat(np.arange(len(df)), df)
-        keep = (idf[slot] > 0) & (df[slot] > 1)  # a list of the seed alone has no neighbour
-        order = np.argsort(self.docs[keep], kind="stable")
-        self.slots = slot[keep][order]
-        self.ends = np.searchsorted(self.docs[keep][order], np.arange(self.n + 1))
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents, by falling score against a seed document; those that share nothing come last, in order."""
+        keep = ((idf > 0) & (df > 1))[slot]  # a list of the seed alone has no neighbour
+        self.slots, docs, tf = slot[keep], docs[keep], tf[keep]
+        self.ends = np.searchsorted(docs, np.arange(n + 1))
+        order = np.argsort(self.slots, kind="stable")
+        self.docs = docs[order].astype(np.int32)
+        self.weights = (idf[self.slots] * tf * (K1 + 1) / (tf + norm[docs])).astype(np.float32)[order]
+        self.starts = np.r_[0, np.cumsum(np.bincount(self.slots, minlength=len(df)))]
+        self.live = np.arange(n)  # the documents that the lists' numbers stand for
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Takes the documents out of the lists that are used, if they are many."""
+        left = unused[self.live]
+        if np.count_nonzero(left) >= LIVE * len(left):
+            return
+        keep = left[self.docs]
+        self.starts = np.r_[0, np.cumsum(keep)][self.starts]
+        self.docs, self.weights = (np.cumsum(left, dtype=np.int32) - 1)[self.docs[keep]], self.weights[keep]
+        self.live = self.live[left]
+
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The unused documents that share a weighted term with a seed document (at most so many), by falling score."""
         slots = self.slots[self.ends[seed] : self.ends[seed + 1]]
-        size = self.df[slots]
-        total = int(size.sum())
-        scores = np.zeros(self.n)
-        if total:
-            at = np.arange(total) + np.repeat(self.starts[slots] - np.r_[0, np.cumsum(size)[:-1]], size)
-            scores = np.bincount(self.docs[at], self.weights[at], self.n)
-        found = np.flatnonzero(unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+        lists = [slice(a, z) for a, z in zip(self.starts[slots].tolist(), self.starts[slots + 1].tolist()) if a < z]
+        if not lists:
+            return np.empty(0, np.int64)
+        docs, weights = (np.concatenate([x[k] for k in lists]) for x in (self.docs, self.weights))
+        if len(docs) < len(self.live) // 8:
+            found, docs = np.unique(docs, return_inverse=True)
+            scores, found = np.bincount(docs, weights), self.live[found]
+        else:
+            scores, found = np.bincount(docs, weights, len(self.live)), self.live
+        scores[~unused[found]] = 0.0
+        least = np.partition(scores, len(scores) - most)[len(scores) - most] if most and most < len(scores) else 0.0
+        at = np.flatnonzero((scores >= least) & (scores > 0))
+        return found[at[np.argsort(-scores[at], kind="stable")[:most]]]
 
 
 class Packer:
@@ -115,25 +164,33 @@ class Packer:
             left -= size
 
 
-def pack_group(packer: Packer, docs: list[tuple[int, np.ndarray]]) -> None:
-    """All documents of a group, each window led by a seed and filled by its neighbours."""
-    index = Index([ids for _, ids in docs])
+def pack_shard(packer: Packer, keys: np.ndarray, docs: Documents) -> Iterator[None]:
+    """All documents of a shard, each window led by a seed and filled by its neighbours. Stops where rows can be taken."""
+    index = Index(docs)
     unused = np.ones(len(docs), bool)
-    seed, queue = None, []
+    seed, most, queue, first = None, 0, [], 0
     for _ in range(len(docs)):
-        if seed is None:  # a window that no document of this group leads
-            nxt = int(np.argmax(unused))
+        if not queue and seed is not None:  # the best neighbours are used up
+            most *= 8
+            queue = index.neighbours(seed, unused, most)[::-1].tolist()
+            seed = seed if len(queue) == most else None
+        if queue:
+            nxt = queue.pop()
         else:
-            while queue and not unused[queue[-1]]:
-                queue.pop()
-            nxt = queue.pop() if queue else int(np.argmax(unused))
+            while not unused[first]:
+                first += 1
+            nxt = first
         unused[nxt] = False
-        leads = packer.add(*docs[nxt])
-        if leads or not packer.open:
-            seed = nxt
-            queue = index.neighbours(seed, unused)[::-1].tolist() if leads else []
-            if not leads:
-                seed = None
+        leads = packer.add(int(keys[nxt]), docs[nxt])
+        if leads:
+            index.forget(unused)
+            most = FIRST
+            queue = index.neighbours(nxt, unused, most)[::-1].tolist()
+            seed = nxt if len(queue) == most else None
+        elif not packer.open:  # a window that no document leads
+            seed, queue = None, []
+        if len(packer.rows) >= ROWS:
+            yield
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +216,7 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 32, window)
-        group: list[tuple[int, np.ndarray]] = []
+        keys, flat, sizes = [], [], []
 
         def out() -> pa.RecordBatch:
             columns = [pa.array(c, pa.int64()) for c in zip(*packer.rows)]
@@ -167,15 +224,18 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
             return pa.RecordBatch.from_arrays(columns, _NAMES)
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                group.append((doc, np.frombuffer(ids.as_py(), "<u4")))
-                if len(group) == GROUP:
-                    pack_group(packer, group)
-                    group = []
-                    if packer.rows:
-                        yield out()
-        if group:
-            pack_group(packer, group)
+            if b.num_rows:
+                ids = b.column(1).cast(pa.large_binary())
+                ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+                keys.append(b.column(0).to_numpy(zero_copy_only=False))
+                flat.append(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4"))
+                sizes.append(np.diff(ends) // 4)
+        if not keys:
+            return
+        docs = Documents(np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(sizes))])
+        del flat
+        for _ in pack_shard(packer, np.concatenate(keys), docs):
+            yield out()
         packer.finish()
         if packer.rows:
             yield out()

@@ -88,6 +88,46 @@ def test_neighbours():
     assert index.neighbours(1, np.array([True, False, True, True, True])).tolist()[0] == 4
 
 
+@pytest.mark.parametrize(("block", "first"), [(1 << 20, 32), (50, 2)])
+def test_neighbours_of_a_shard(monkeypatch, block, first):
+    """Every window against plain BM25 over all unused documents."""
+    monkeypatch.setattr(packing, "BLOCK", block)
+    monkeypatch.setattr(packing, "FIRST", first)
+    r = np.random.default_rng(4)
+    ids = [np.r_[np.minimum(r.zipf(1.3, r.integers(1, 30)), 400), 0] for _ in range(700)]
+    packer = packing.Packer(0, 64)
+    for _ in packing.pack_shard(packer, np.arange(700), packing.Documents.of(ids)):
+        pass
+    packer.finish()
+    order = list(dict.fromkeys(row[0] for row in packer.rows))
+    assert sorted(order) == list(range(700))
+    df = collections.Counter(t for x in ids for t in set(x.tolist()))
+    mean = sum(map(len, ids)) / 700
+    tf = [collections.Counter(x.tolist()) for x in ids]
+
+    def score(a, b):
+        return sum(max(0.0, math.log((700 - df[t] + 0.5) / (df[t] + 0.5))) * tf[b][t] * 2.2 / (tf[b][t] + 1.2 * (0.25 + 0.75 * len(ids[b]) / mean)) for t in tf[a] if t in tf[b])
+
+    filled, seed = 0, None
+    for k, i in enumerate(order):
+        if seed is not None:
+            scores = [score(seed, j) for j in order[k:]]
+            assert scores[0] >= max(scores) - 1e-4
+        if filled + len(ids[i]) > 64 or not filled:
+            seed = i
+        filled = (filled + len(ids[i])) % 64
+        seed = seed if filled else None
+
+
+def test_packing_over_a_shard(spark):
+    """A neighbour that lies over 512 documents away in the shard's order is retrieved."""
+    rows = [(i, i, np.array([10 + 3 * i, 11 + 3 * i, 12 + 3 * i] * 10 + [1], "<u4")) for i in range(1200)]
+    rows[1100] = (1100, 1100, np.array([10, 11, 12] * 9 + [1], "<u4"))
+    encoded = spark.createDataFrame([(i, near, bytearray(x.tobytes())) for i, near, x in rows], "doc_id long, near long, ids binary")
+    got = packing.pack(encoded, 1, 64).collect()
+    assert {r["sequence_id"] for r in got if r["doc_id"] == 1100} & {r["sequence_id"] for r in got if r["doc_id"] == 0}
+
+
 def test_empty_tables(spark, folder):
     d = folder([])
     for q in (packing.op3_packing, token_files.op5_token_files, lm.op6_deleted_interpolation, pii.op7_pii, language.op8_language_id, warc.op9_warc, quality.op10_line_quality):
