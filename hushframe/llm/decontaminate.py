@@ -7,8 +7,8 @@ list, adjusted by the term's offset, and are intersected with the second rarest'
 then read for the documents that are left, and a phrase matches where all its words stand.
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; a null or empty text has none. An
-item without words has no window. Repeated documents rows (one id twice) count their words together only if they are
-the same row; ids are taken to be unique. Windows with the same words are one query for all their items. Columns beside
+item without words has no window. A repeated row (same id, same text) is judged as if it stood alone, each time it
+occurs; otherwise ids are taken to be unique. Windows with the same words are one query for all their items. Columns beside
 those named are carried or ignored.
 """
 
@@ -75,13 +75,13 @@ class PositionalIndex:
         asked = found.join(small(second.select("query", "at", "tid"), n_queries), "query", "left").withColumn("pos", F.col("start") + F.col("at"))
         single = asked.where(F.col("tid").isNull()).select("doc", "start", "query", "size")
         both = asked.where(F.col("tid").isNotNull()).join(self.lists(second), ["doc", "pos", "tid"], "left_semi").select("doc", "start", "query", "size")
-        found = self.work.table(both.unionByName(single), "candidates")
+        found = self.work.table(both.unionByName(single).distinct(), "candidates")  # repeated rows have postings twice
         # the other terms, in the documents that are left
         left = found.select("doc").distinct()
         here = self.postings.join(small(left, left.count()), "doc", "left_semi").select("doc", "pos", "tid")
         rest = parts.where(F.col("rank") > 2)
         asked = found.join(small(rest.select("query", "at", "tid"), n_queries * WIDTH), "query").select("doc", "start", "query", "size", (F.col("start") + F.col("at")).alias("pos"), "tid")
-        whole = asked.join(here, ["doc", "pos", "tid"]).groupBy("doc", "start", "query", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.col("size") - 2).drop("k")
+        whole = asked.join(here, ["doc", "pos", "tid"], "left_semi").groupBy("doc", "start", "query", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.col("size") - 2).drop("k")
         return whole.unionByName(found.where(F.col("size") <= 2))
 
     def near(self, queries: DataFrame, width: int) -> DataFrame:

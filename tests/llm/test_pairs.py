@@ -149,3 +149,9 @@ def test_proximity(spark, documents):
 def test_contamination_empty(spark, folder):
     assert decontaminate.op4_decontaminate(spark, folder([], ["some words of an item"])).count() == 0
     assert [r["n_hit"] for r in decontaminate.op4_decontaminate(spark, folder(["some words"], [])).collect()] == [0]
+
+
+def test_contamination_of_repeated_rows(spark, folder, prose):
+    item = prose(30, 1)
+    got = decontaminate.op4_decontaminate(spark, folder([(7, item), (7, item), (7, item), (8, prose(40, 2)), (9, item)], [item])).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(7, 30, 1, True)] * 3 + [(8, 0, 0, False), (9, 30, 1, True)]
