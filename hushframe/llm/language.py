@@ -28,8 +28,9 @@ DIMENSIONS, UNIT = 512, 1 << 20
 MAX_LANGUAGES = 2000
 #: Texts and characters that are worked on at once; trigrams bundled at once.
 BATCH_TEXTS, BATCH_CHARS, SLICE = 256, 2_000_000, 16_384
-#: Labelled texts to learn from: of more, a sample of about so many, drawn by a hash of the row.
-LEARN_TEXTS = 20_000
+#: Labelled texts to learn from: of more, a sample of about so many, drawn by a hash of the row. It takes all rows of a
+#: language that has few and equal numbers of those that have many, which are LEARN_EACH or more.
+LEARN_TEXTS, LEARN_EACH = 20_000, 500
 #: How sharply the score follows the difference of cosines.
 SHARPNESS = 12.0
 
@@ -110,6 +111,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def shares(counts: dict[str, int]) -> dict[str, float]:
+    """Of languages that are not learned whole, the share of rows to learn from."""
+    left, cap = LEARN_TEXTS, 0
+    for k, n in enumerate(sorted(counts.values())):
+        cap = left // (len(counts) - k)
+        if n > cap:
+            break
+        left -= n
+    else:
+        return {}
+    cap = max(cap, LEARN_EACH)
+    return {name: cap / n for name, n in counts.items() if n > cap}
+
+
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes from columns text and lang, of LEARN_TEXTS rows or so: names, and a unit row each. Sums are in fixed point, so their order doesn't matter."""
 
@@ -128,11 +143,14 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for name, v in sorted(total.items()):
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(v)], ["lang", "at", "v"])
 
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in labelled.dtypes if not kind.startswith("map")])
-    share = LEARN_TEXTS / max(labelled.count(), 1)
-    if share < 1:
-        labelled = labelled.where(F.pmod(row, F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} labels; they are no languages")
+    if part := shares({r["lang"]: r["n"] for r in counts}):
+        below = labelled.sparkSession.createDataFrame([(name, int(s * (1 << 40))) for name, s in part.items()], "lang string, __below long")
+        labelled = labelled.select("text", "lang", F.pmod(row, F.lit(1 << 40)).alias("__row")).join(F.broadcast(below), "lang", "left").where("__below is null or __row < __below")
     rows = (
         labelled.select("text", "lang").mapInArrow(sums, "lang string, at long, v long")
         .groupBy("lang", "at").agg(F.sum("v").alias("v"))

@@ -284,3 +284,14 @@ def test_pipeline(spark, folder, prose):
     assert left == [[2, 3, 4, 5, 6], [2, 4, 5, 6], [2, 4, 6], [2, 4, 6]]
     assert "<EMAIL>" in docs.where("doc_id = 4").first()["text"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == {2, 4, 6}
+
+
+def test_rare_languages(spark, documents, prose, monkeypatch):
+    """A language of few rows is learned whole beside one of many."""
+    monkeypatch.setattr(language, "LEARN_TEXTS", 40)
+    monkeypatch.setattr(language, "LEARN_EACH", 10)
+    docs = documents([(i, prose(12, i)) for i in range(1200)] + [(2000, "xyz wqö üzx qyw"), (2001, "zyx öwq xüz")], ["aa"] * 1200 + ["zz"] * 2)
+    names, m = language.learn(docs)
+    assert names == ["aa", "zz"]
+    assert language.shares({"a": 10, "b": 5}) == {} and language.shares({"a": 1000, "b": 5}) == {"a": 35 / 1000}
+    assert {r["lang_pred"] for r in language.predict(docs.where("doc_id >= 2000"), names, m).collect()} == {"zz"}
