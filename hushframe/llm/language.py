@@ -205,8 +205,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose text has a language; the rest go (no text, or no letter in it)."""
+    """Pipeline stage: the documents whose text has a letter; the rest go (no text, or no letter in it).
+
+    The score rejects nothing: a text with letters has the language that is nearest, however far. Where no language was
+    learned, texts with letters stay too.
+    """
     names, prototypes = learn(docs.where(~held_out()))
+    if not names:
+        names, prototypes = ["any"], np.zeros((1, DIMENSIONS), np.float32)
     return predict(docs, names, prototypes, lang_col="__lang", score_col="__score").where(F.col("__lang") != UND).select(*docs.columns)
 
 

@@ -295,3 +295,8 @@ def test_rare_languages(spark, documents, prose, monkeypatch):
     assert names == ["aa", "zz"]
     assert language.shares({"a": 10, "b": 5}) == {} and language.shares({"a": 1000, "b": 5}) == {"a": 35 / 1000}
     assert {r["lang_pred"] for r in language.predict(docs.where("doc_id >= 2000"), names, m).collect()} == {"zz"}
+
+
+def test_stage_without_labels(spark, documents):
+    docs = documents([(0, "some words"), (1, "123"), (2, None), (3, "é")], [None] * 4).coalesce(1)
+    assert {r["doc_id"] for r in language.reject_unknown(spark, docs, "").collect()} == {0, 3}
