@@ -215,9 +215,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(Work(spark, "minhash"), docs)
 
 
+def once(work: Work, docs: DataFrame) -> DataFrame:
+    """docs with one row of rows that have the same doc_id and text. Only rows whose doc_id is repeated are shuffled."""
+    again = work.table(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return docs
+    single, many = (docs.join(small(again), "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    return work.table(single.unionByName(many.dropDuplicates(["doc_id", "text"])), "once")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id."""
+    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id, of repeated rows (same doc_id and text) one."""
     work = Work(spark, "minhash")
+    docs = once(work, docs)
     gone = near_duplicates(work, docs).where("not kept").select("doc_id")
     return docs.join(small(work.table(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 

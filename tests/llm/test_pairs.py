@@ -155,3 +155,9 @@ def test_contamination_of_repeated_rows(spark, folder, prose):
     item = prose(30, 1)
     got = decontaminate.op4_decontaminate(spark, folder([(7, item), (7, item), (7, item), (8, prose(40, 2)), (9, item)], [item])).collect()
     assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(7, 30, 1, True)] * 3 + [(8, 0, 0, False), (9, 30, 1, True)]
+
+
+def test_dedup_of_repeated_rows(spark, documents, prose):
+    docs = documents([(5, prose(60, 1))] * 3 + [(6, prose(60, 1)), (7, prose(60, 2)), (8, prose(60, 3)), (8, prose(60, 3))])
+    got = minhash.dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [5, 7, 8]
