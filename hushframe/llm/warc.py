@@ -1,6 +1,6 @@
 """Web archives: a converter of legacy ARC files to WARC, a writer and a reader.
 
-ARC (versions 1 and 2): a version block (filedesc://) and then records, each one header line of 5 or 10 fields that
+ARC (versions 1 and 2): a version block (filedesc://, the first record only) and then records, each one header line of 5 or 10 fields that
 ends with the declared length, the content of that length, and a line end. The converter reads header lines by the
 version that the version block names, trusts the declared length, and synthesises what WARC wants: record identifiers
 (UUIDs of the record's address, time and digest, so that a converted archive is the same each time), timestamps in
@@ -53,6 +53,7 @@ class ArcRecord:
     version: int
     fields: dict[str, str]
     content: bytes
+    opens: bool = False  # the version block
 
 
 @dataclass
@@ -81,12 +82,12 @@ def arc_record(version: int, url: str, content: bytes, name: str = "-", date: st
 
 def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
     """The records of an (uncompressed) ARC file. Raises ValueError where a header line or a length is broken."""
-    version = 1
+    version, begun = 1, False
     while line := stream.readline():
         if line in (b"\n", b"\r\n"):
             continue
         parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        first = line.startswith(b"filedesc://")
+        first, begun = not begun and line.startswith(b"filedesc://"), True
         names = ARC_FIELDS[2] if first and len(parts) == 10 else ARC_FIELDS[1] if first else ARC_FIELDS[version]
         if len(parts) != len(names) or not parts[-1].isdigit():
             raise ValueError(f"no ARC header line: {line[:200]!r}")
@@ -97,7 +98,7 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
         if first:
             said = content.split(b" ", 1)[0]
             version = int(said) if said in (b"1", b"2") else 1
-        yield ArcRecord(version, values, content)
+        yield ArcRecord(version, values, content, first)
 
 
 # ---------------------------------------------------------------- ARC -> WARC
@@ -135,7 +136,7 @@ def convert(records: Iterable[ArcRecord], refers: dict[str, str] | None = None)
     """WARC records of ARC records. refers: page id -> page id of the response that has the same payload."""
     for r in records:
         date, url = timestamp(r.fields["date"]), r.fields["url"]
-        if url.startswith("filedesc://"):
+        if r.opens:
             yield WarcRecord("warcinfo", {"WARC-Record-ID": record_id(url, date), "WARC-Date": date, "WARC-Filename": url[11:], "Content-Type": "application/warc-fields"}, f"software: hushframe\r\nformat: converted from ARC version {r.version}\r\n".encode())
             continue
         head, body = split_http(r.content)

@@ -300,3 +300,9 @@ def test_rare_languages(spark, documents, prose, monkeypatch):
 def test_stage_without_labels(spark, documents):
     docs = documents([(0, "some words"), (1, "123"), (2, None), (3, "é")], [None] * 4).coalesce(1)
     assert {r["doc_id"] for r in language.reject_unknown(spark, docs, "").collect()} == {0, 3}
+
+
+def test_archive_of_a_filedesc_page(spark, folder):
+    pages = [("filedesc://x", "a page"), ("http://a/", "another"), ("filedesc://y z", "third"), ("filedesc://", None)]
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.op9_warc(spark, folder([], pages=pages)).collect()}
+    assert got == {0: 6, 1: 7, 2: 5, 3: 0}
