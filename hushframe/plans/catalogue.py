@@ -143,7 +143,9 @@ def _(spark, d):
 @query("map_sum_by_segment", "SELECT c_mktsegment AS segment, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
 def _(spark, d):
     f = table(spark, d, "customer")
-    cats = sorted(r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().limit(100).collect())
+    cats = sorted(r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().limit(101).collect())
+    if len(cats) > 100:
+        raise ValueError("over 100 segments")
     f = f.clamp("c_acctbal", -1000.0, 10000.0).impute("c_acctbal").clamp("c_mktsegment", categories=cats, null_value="?").partition("c_mktsegment")
     found = planner.evaluate([f.map(lambda part: part.sum("c_acctbal"))])[0]
     return rows(spark, "segment string, total double", [(k[0], round(float(v[0]), 2)) for k, v in found.items() if k[0] != "?"])

@@ -28,3 +28,15 @@ def test_matches_sql(spark, duck, name):
     got = [r.asDict() for r in catalogue.queries()[name](spark, FOLDER).collect()]
     order = lambda rows: sorted((tuple((k, r[k]) for k in sorted(r)) for r in rows), key=repr)
     assert order(got) == order(want)
+
+
+def test_segments_are_not_cut(spark, tmp_path):
+    """Over 100 segments are an error, not a silent cut."""
+    import pytest
+
+    from hushframe.plans import catalogue
+
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(i, f"s{i}", 1.0) for i in range(101)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    with pytest.raises(ValueError, match="over 100 segments"):
+        catalogue.queries()["map_sum_by_segment"](spark, d)
