@@ -13,6 +13,14 @@ LOG_BASE = 2.71828
 INT_TEXT, FLOAT_TEXT = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|inf|infinity|nan)$"
 
 
+#: Coefficients of P. J. Acklam's rational approximation of the inverse normal distribution function, highest power first, and where its tails begin.
+_CENTRE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_UNDER_CENTRE = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277162838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_UNDER_TAIL = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_TAIL_BELOW = 0.02425
+
+
 def col(x: Column | str | float | bool) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
@@ -113,19 +121,29 @@ def clamp_categories(x: Column, categories: Sequence, null_value) -> Column:
     return F.when(x.isin(list(categories)), x).otherwise(F.lit(null_value))
 
 
+def edges_below(x: Column, edges: Sequence[float], or_equal: bool) -> Column:
+    """How many of sorted edges are below x (or equal to it): a binary search in an array, so the expression doesn't grow with the edges."""
+    k, table = len(edges), F.array(*[F.lit(float(e)) for e in edges])
+    steps = [1 << b for b in range(k.bit_length() - 1, -1, -1)]
+
+    def further(at: Column, step: Column) -> Column:
+        edge = F.get(table, at + step - 1)  # null beyond the last
+        return F.when((edge <= x) if or_equal else (edge < x), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
 def digitize(x: Column, edges: Sequence[float], null_value: int = -1, inclusive_left: bool = True) -> Column:
-    """The bin of sorted edges that x lies in: [low, high), or (low, high]; null_value outside and for NaN. A chain of halvings, so the expression is as deep as the logarithm of the edges."""
+    """The bin of sorted edges that x lies in: [low, high), or (low, high]; null_value outside and for NaN."""
     edges = sorted(edges)
-    below = (lambda e: x < F.lit(e)) if inclusive_left else (lambda e: x <= F.lit(e))
+    at = edges_below(x, edges, inclusive_left)
+    return F.when(~_nan(x) & (at > 0) & (at < len(edges)), at - 1).otherwise(F.lit(null_value)).cast("long")
 
-    def within(low: int, high: int) -> Column:  # x lies between the edges low and high
-        if high - low == 1:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(below(edges[middle]), within(low, middle)).otherwise(within(middle, high))
 
-    outside = _nan(x) | below(edges[0]) | ~below(edges[-1])
-    return F.when(outside, F.lit(null_value)).otherwise(within(0, len(edges) - 1)).cast("long")
+def place_among(x: Column, edges: Sequence[float]) -> Column:
+    """Where x lies among sorted, different edges: 2 j below edge j and above the one before, 2 j + 1 on edge j."""
+    table = F.array(*[F.lit(float(e)) for e in edges])
+    return F.element_at(F.transform(F.array(edges_below(x, edges, False)), lambda at: 2 * at + F.coalesce(F.get(table, at) == x, F.lit(False)).cast("int")), 1)
 
 
 def bin_value(x: Column, edges: Sequence[float], null_value: float, side: str = "midpoint", inclusive_left: bool = True) -> Column:
@@ -163,3 +181,22 @@ def to_string(x: Column, kind: str) -> Column:
     if kind in ("double", "float"):
         return F.when(_nan(x), F.lit("NaN")).when((F.abs(x) < 1e15) & (x == F.floor(x)), x.cast("decimal(20,0)").cast("string")).otherwise(x.cast("string"))
     return x.cast("string")
+
+
+def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def inverse_normal(p: Column) -> Column:
+    """The quantile of the standard normal distribution at p (above 0, below 1), with a relative error of about 1e-9. p is evaluated once, so it may be random."""
+
+    def at(u: Column) -> Column:
+        q = u - 0.5
+        t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
+        tail = _polynomial(t, _TAIL) / _polynomial(t, _UNDER_TAIL)
+        return F.when(F.abs(q) <= 0.5 - _TAIL_BELOW, q * _polynomial(q * q, _CENTRE) / _polynomial(q * q, _UNDER_CENTRE)).when(q < 0, tail).otherwise(-tail)
+
+    return F.element_at(F.transform(F.array(p), at), 1)

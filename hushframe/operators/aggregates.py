@@ -3,35 +3,32 @@
 from __future__ import annotations
 
 import math
-import secrets
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hushframe.functions import columns as C
+from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
+from hushframe.operators import ranks as R
 from hushframe.operators import sensitivity as S
+from hushframe.operators.structure import numbering
 from hushframe.plans.frame import Aggregate, PrivateFrame, Props
 from hushframe.plans.planner import dense_keys
 from hushframe.privacy import PrivacyError
 
-#: Values that are ordered by one task in the last step of an exact quantile.
-SORTED_AT_ONCE = 1_000_000
-#: Rows up to which all pairs are formed.
-ALL_PAIRS = 20_000
+#: Rows up to which all pairs are formed; rows of numbered points up to which they are broadcast (24 bytes each).
+ALL_PAIRS, BROADCAST_ROWS = 20_000, 1_000_000
+#: Categories or candidates up to which each is a column of the fused aggregation; more are counted as groups.
+WIDE = 64
 
 
 def _numbers(values: list) -> list:
     return [float("nan") if v is None else v for v in values]
 
 
-def _norm(per_column: list[float], norm: int) -> list[float]:
-    return per_column
-
-
 def _aggregate(frame: PrivateFrame, name: str, exprs: list[Column], sensitivities, columns: Sequence[str] = (), **more) -> Aggregate:
     def sensitivity(norm: int) -> list[float]:
         return sensitivities(norm)
@@ -53,7 +50,8 @@ def sum_(frame: PrivateFrame, columns=None) -> Aggregate:
     props = frame.numeric(names, "sum")
     kind = "int" if all(p.kind == "int" for p in props) else "float"
     scale = lambda e: [None if frame.n is None or p.lower is None or p.upper is None else frame.n * getattr(p, e) for p in props]
-    return _aggregate(frame, "sum", [F.coalesce(F.sum(c), F.lit(0)) for c in names], lambda _: [S.total(p.bounds, frame.definition.neighboring) for p in props], names, kind=kind, lower=scale("lower"), upper=scale("upper"), finish=lambda v: [x or 0 for x in v])
+    wide = kind == "int" and frame.definition.protect_overflow
+    return _aggregate(frame, "sum", [F.coalesce(F.sum(F.col(c).cast("decimal(38,0)") if wide else c), F.lit(0)) for c in names], lambda _: [S.total(p.bounds, frame.definition.neighboring) for p in props], names, kind=kind, lower=scale("lower"), upper=scale("upper"), finish=lambda v: [int(x or 0) if wide else x or 0 for x in v])
 
 
 def mean(frame: PrivateFrame, columns=None) -> Aggregate:
@@ -113,27 +111,6 @@ def ranks(n: int, alpha: float, interpolation: str) -> list[tuple[int, float]]:
     raise PrivacyError(f"unknown interpolation {interpolation}")
 
 
-def _ranked(df: DataFrame, column: str, places: list[int], n: int) -> dict[int, float]:
-    """The values at places of a column's order: a bracket is narrowed by approximate quantiles and exact counts until few rows are in it."""
-    x = F.col(column).cast("double")
-    df = df.select(x.alias("x"))
-    low_place, high_place = min(places), max(places)
-    bracket, below, inside = df, 0, n
-    while inside > SORTED_AT_ONCE:
-        margin = 2e-4
-        a, b = max(0.0, (low_place - below) / inside - margin), min(1.0, (high_place - below + 1) / inside + margin)
-        lo, hi = bracket.agg(F.percentile_approx("x", F.array(F.lit(a), F.lit(b)), 10_000)).first()[0]
-        c = bracket.agg(F.sum((F.col("x") < lo).cast("long")), F.sum((F.col("x") <= hi).cast("long"))).first()
-        if lo == hi and below + c[0] <= low_place and high_place < below + c[1]:
-            return {p: lo for p in places}
-        if c[1] - c[0] >= inside or not below + c[0] <= low_place <= high_place < below + c[1]:
-            break  # ties all over; the sort below spills rather than fails
-        bracket, below, inside = bracket.where((F.col("x") >= lo) & (F.col("x") <= hi)), below + c[0], c[1] - c[0]
-    top = bracket.orderBy("x").limit(high_place - below + 1)
-    found = top.withColumn("i", F.row_number().over(Window.orderBy("x")) - 1 + below).where(F.col("i").isin(places)).collect()
-    return {r["i"]: r["x"] for r in found}
-
-
 def quantile(frame: PrivateFrame, columns=None, alpha: float = 0.5, interpolation: str = "midpoint", candidates: Sequence[float] | None = None) -> Aggregate:
     """The alpha-quantile of each column, exactly; or, with candidates (one column), the utility of each of them."""
     names = P._names(frame, columns)
@@ -146,45 +123,59 @@ def quantile(frame: PrivateFrame, columns=None, alpha: float = 0.5, interpolatio
     ranks(1, alpha, interpolation)
 
     def direct() -> dict:
-        out: dict = {}
         keys = [k.name for k in frame.keys]
+        out: dict = {key: [] for key in (dense_keys(frame) if keys else [()])}
         for c in names:
-            if keys:
-                # counts of values, and their running sums within a key
-                w = Window.partitionBy(*keys)
-                counts = frame.df.groupBy(*keys, F.col(c).cast("double").alias("x")).count()
-                placed = counts.withColumn("hi", F.sum("count").over(w.orderBy("x"))).withColumn("n", F.sum("count").over(w)).withColumn("lo", F.col("hi") - F.col("count"))
-                at = (F.col("n") - 1) * F.lit(alpha)
-                wanted = {"lower": [(F.floor(at), F.lit(1.0))], "upper": [(F.ceil(at), F.lit(1.0))], "nearest": [(F.floor(at + 0.5), F.lit(1.0))], "midpoint": [(F.floor(at), F.lit(0.5)), (F.ceil(at), F.lit(0.5))], "linear": [(F.floor(at), 1 - (at - F.floor(at))), (F.ceil(at), at - F.floor(at))]}[interpolation]
-                value = [F.sum(F.when((F.col("lo") <= p) & (p < F.col("hi")), F.col("x") * q)) for p, q in wanted]
-                total = value[0] if len(value) == 1 else F.coalesce(value[0], F.lit(0.0)) + F.coalesce(value[1], F.lit(0.0))
-                rows = {tuple(r[k] for k in keys): r["v"] for r in placed.groupBy(*keys).agg(total.alias("v")).collect()}
-                for key in dense_keys(frame):
-                    out.setdefault(key, []).append(float("nan") if rows.get(key) is None else rows[key])
-            else:
-                n = frame.df.count()
-                if not n:
-                    out.setdefault((), []).append(float("nan"))
-                    continue
-                mixed = ranks(n, alpha, interpolation)
-                found = _ranked(frame.df, c, sorted({p for p, _ in mixed}), n)
-                out.setdefault((), []).append(math.fsum(found[p] * q for p, q in mixed if q))
+            cells = R.first_cells(frame.df, F.col(c), keys)
+            mixed = {key: ranks(cells[key].count, alpha, interpolation) for key in out if key in cells}
+            found = R.at_places(frame.df, F.col(c), keys, {key: [p for p, _ in m] for key, m in mixed.items()}, cells)
+            for key in out:
+                out[key].append(math.fsum(found[key][p] * q for p, q in mixed[key] if q) if key in mixed else float("nan"))
         return out
 
     return _aggregate(frame, "quantile", [], lambda _: [S.quantile(p.bounds) for p in props], names, direct=direct, lower=[p.lower for p in props], upper=[p.upper for p in props])
 
 
+def grouped_counts(frame: PrivateFrame, group: Column) -> dict[tuple, dict]:
+    """Rows of each value of a column, by key: one aggregation with partial sums, whatever the number of values."""
+    keys = [k.name for k in frame.keys]
+    out: dict[tuple, dict] = {key: {} for key in (dense_keys(frame) if keys else [()])}
+    for r in frame.df.groupBy(*keys, group.alias("__g")).agg(F.count(F.lit(1)).alias("__n")).collect():  # a row a key and declared value
+        out.get(tuple(r[k] for k in keys), {})[r["__g"]] = r["__n"]
+    return out
+
+
 def quantile_utilities(frame: PrivateFrame, column: str, candidates: list[float], alpha: float) -> Aggregate:
-    """n * max(a, 1 - a) - |(1 - a) * below - a * above| for each candidate, two conditional sums each, in one aggregation."""
+    """n * max(a, 1 - a) - |(1 - a) * below - a * above| for each candidate.
+
+    A few candidates are two conditional sums each in the fused aggregation; of many, rows are counted by their place
+    among the sorted candidates, and running sums on the driver give what is below and above each.
+    """
     frame.numeric([column], "quantile")
     x = F.col(column)
+
+    def utility(n: int, below: int, above: int) -> float:
+        return n * max(alpha, 1 - alpha) - abs((1 - alpha) * below - alpha * above)
+
     exprs = [F.count(F.lit(1))] + [e for c in candidates for e in (F.sum((x < F.lit(c)).cast("long")), F.sum((x > F.lit(c)).cast("long")))]
 
     def finish(v: list) -> list[float]:
         v = [x or 0 for x in v]
-        return [v[0] * max(alpha, 1 - alpha) - abs((1 - alpha) * v[2 * i + 1] - alpha * v[2 * i + 2]) for i in range(len(candidates))]
+        return [utility(v[0], v[2 * i + 1], v[2 * i + 2]) for i in range(len(candidates))]
 
-    return _aggregate(frame, "quantile_utilities", exprs, lambda _: [S.quantile_utility(alpha, frame.definition.neighboring)], [column], finish=finish, candidates=tuple(candidates))
+    def direct() -> dict:
+        edges = sorted(set(candidates))
+        place, out = C.place_among(x, edges), {}
+        for key, counts in grouped_counts(frame, place).items():
+            n, before = sum(counts.values()), [0]
+            for i in range(2 * len(edges) + 1):  # 2 j: between edges j - 1 and j; 2 j + 1: on edge j
+                before.append(before[-1] + counts.get(i, 0))
+            at = {e: (before[2 * j + 1], n - before[2 * j + 2]) for j, e in enumerate(edges)}
+            out[key] = [utility(n, *at[c]) for c in candidates]
+        return out
+
+    many = len(candidates) > WIDE
+    return _aggregate(frame, "quantile_utilities", [] if many else exprs, lambda _: [S.quantile_utility(alpha, frame.definition.neighboring)], [column], finish=finish, direct=direct if many else None, candidates=tuple(candidates))
 
 
 def minimum(frame: PrivateFrame, columns=None, candidates=None) -> Aggregate:
@@ -208,7 +199,7 @@ def median(frame: PrivateFrame, columns=None, candidates=None) -> Aggregate:
 
 
 def histogram(frame: PrivateFrame, column: str, edges=None, categories=None, null_value=None, inclusive_left: bool = True) -> Aggregate:
-    """Counts of each category, in their order, empty ones too: a conditional count a category in one aggregation."""
+    """Counts of each category, in their order, empty ones too: a conditional count a category in the fused aggregation, or a group each if they are many."""
     if edges is not None:
         frame = P.digitize(frame, column, edges, -1 if null_value is None else null_value, inclusive_left)
     elif categories is not None:
@@ -216,8 +207,13 @@ def histogram(frame: PrivateFrame, column: str, edges=None, categories=None, nul
     cats = frame.of(column).categories
     if cats is None:
         raise PrivacyError("a histogram needs edges or categories")
-    exprs = [F.count(F.when(F.col(column) == F.lit(c), F.lit(1))) for c in cats]
-    return _aggregate(frame, "histogram", exprs, lambda norm: [S.histogram(len(cats), frame.n, frame.definition.neighboring, norm)] * len(cats), [column], kind="int", finish=lambda v: [x or 0 for x in v], lower=[0] * len(cats), upper=[frame.n] * len(cats), candidates=cats)
+    many = len(cats) > WIDE
+    exprs = [] if many else [F.count(F.when(F.col(column) == F.lit(c), F.lit(1))) for c in cats]
+
+    def direct() -> dict:
+        return {key: [counts.get(c, 0) for c in cats] for key, counts in grouped_counts(frame, F.col(column)).items()}
+
+    return _aggregate(frame, "histogram", exprs, lambda norm: [S.histogram(len(cats), frame.n, frame.definition.neighboring, norm)] * len(cats), [column], kind="int", finish=lambda v: [x or 0 for x in v], lower=[0] * len(cats), upper=[frame.n] * len(cats), direct=direct if many else None, candidates=cats)
 
 
 # ---------------------------------------------------------------- Theil-Sen
@@ -229,11 +225,13 @@ def _line(pairs: DataFrame) -> DataFrame:
     return pairs.select(slope.alias("slope"), ((F.col("y1") + F.col("y2")) / 2 - slope * (F.col("x1") + F.col("x2")) / 2).alias("intercept"))
 
 
-def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str = "theil-sen-k-match", k: int = 0, seed: int | None = None) -> PrivateFrame:
+def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str = "theil-sen-k-match", k: int = 0, rng: N.Secure | None = None) -> PrivateFrame:
     """Slopes and intercepts of lines through pairs of rows: all pairs (few rows only), or k rounds in which each row has one partner.
 
-    A round numbers the rows along a random order and pairs neighbours in it, with running numbers by range partition, so
-    no task holds all rows; an odd row is left out.
+    The pairs of n points fall into n - 1 (n, if n is odd) perfect matchings: points i and j meet in the round i + j modulo
+    that number. Rows get their numbers by one random order, and k rounds are drawn, all different; so every round is a
+    random matching, no pair occurs twice, and one join finds the partners of all rounds. Of an odd number of rows, one is
+    left out in each round. Needs at most as many rounds as there are; over that, rounds are drawn again.
     """
     frame.numeric([data_x, data_y], "theil_sen")
     rows = frame.df.select(F.col(data_x).cast("double").alias("x"), F.col(data_y).cast("double").alias("y"))
@@ -244,17 +242,30 @@ def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str
         a, b = (numbered.select(*[F.col(c).alias(f"{c}{s}") for c in ("x", "y", "i")]) for s in (1, 2))
         pairs, factor = a.join(F.broadcast(b), F.col("i1") < F.col("i2")), frame.n - 1
     elif implementation in ("theil-sen-k-match", "theil-sen-match"):
-        from hushframe.operators.structure import numbering
-
-        k = 1 if implementation == "theil-sen-match" else k or 100
-        seed, pairs, factor = secrets.randbits(60) if seed is None else seed, None, k
-        for r in range(k):
-            numbered = numbering(rows.withColumn("u", F.rand(seed + r)), ["u"])
-            half = numbered.groupBy(F.floor(F.col("__n") / 2).alias("p")).agg(F.count(F.lit(1)).alias("c"), F.min_by("x", "__n").alias("x1"), F.min_by("y", "__n").alias("y1"), F.max_by("x", "__n").alias("x2"), F.max_by("y", "__n").alias("y2")).where("c = 2")
-            pairs = half if pairs is None else pairs.unionByName(half)
+        k, rng = 1 if implementation == "theil-sen-match" else k or 100, rng or N.Secure()
+        numbered = numbering(rows.withColumn("__u", F.rand(rng.bits(62))), ["__u"]).select("x", "y", "__n")
+        n = numbered.count()
+        rounds = n - 1 + n % 2
+        chosen = sample(rounds, k, rng) if 0 < k <= rounds else [rng.integer(0, max(rounds, 1) - 1) for _ in range(k)]
+        i, s = F.col("i1"), F.col("__s")
+        met = F.pmod(s - i, F.lit(max(rounds, 1)))
+        partner = F.when(met != i, met).when(F.lit(n % 2 == 0), F.lit(n - 1))  # the point that meets itself plays the last one
+        left = numbered.where(F.col("__n") < rounds).select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("__n").alias("i1"), F.explode(F.array(*[F.lit(c).cast("long") for c in chosen])).alias("__s"))
+        left = left.withColumn("i2", partner).where(F.col("i1") < F.col("i2"))
+        right = numbered.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("__n").alias("i2"))
+        pairs, factor = left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, "i2"), k
     else:
         raise PrivacyError(f"unknown implementation {implementation}")
     lines = _line(pairs)
     if frame.definition.neighboring == "add_remove":
         lines = lines.where(~F.isnan("slope") & (F.abs("slope") != float("inf")))
     return frame.new_rows(lines, props={"slope": Props("float", False), "intercept": Props("float", False)}, n=None, stability=frame.stability * factor)
+
+
+def sample(n: int, k: int, rng: N.Secure) -> list[int]:
+    """k different numbers below n, each set of them equally likely (Floyd's method)."""
+    seen: set[int] = set()
+    for top in range(n - k, n):
+        x = rng.integer(0, top)
+        seen.add(top if x in seen else x)
+    return sorted(seen)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hushframe.operators import aggregates as A
 from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
+from hushframe.operators.ranks import draw_gaps
 from hushframe.operators.structure import reshape
 from hushframe.plans.frame import Aggregate, Noisy, PrivateFrame
 from hushframe.plans.planner import dense_keys
+from hushframe.plans.shared import written
 from hushframe.privacy import PrivacyError, Usage, as_usage, effective
 
 ADDITIVE = ("laplace", "gaussian", "analyticgaussian", "snapping", "simplegeometric")
@@ -22,7 +24,7 @@ LARGEST = 2**63 - 1
 
 
 def _rng(frame: PrivateFrame, rng: N.Secure | None) -> N.Secure:
-    rng = rng or N.Secure()
+    rng = rng or N.Secure(frame.definition.protect_elapsed_time)
     if rng.testing and frame.definition.protect_floating_point:
         raise PrivacyError("a seeded source is for tests; it is refused while floating-point protection is on")
     return rng
@@ -110,10 +112,11 @@ def exponential_mechanism(utilities: Aggregate, usage, candidates: Sequence | No
 
 
 def dp_gumbel_median(frame: PrivateFrame, column: str, usage, lower: float, upper: float, rng: N.Secure | None = None) -> Noisy:
-    """The median by the exponential mechanism over the gaps between sorted values: the best of ln(gap) - (epsilon / 2) * |rank distance| plus Gumbel noise, then a uniform draw within the gap.
+    """The median by the exponential mechanism over the gaps between sorted values: the gap of the best ln(gap) - (epsilon / 2) * |rank distance| plus Gumbel noise, then a uniform draw within it.
 
-    Each distinct value is a row with its count, so equal values cost nothing; gaps get their noise in one pass and only the
-    best one comes to the driver.
+    The gap with the best noisy score is a gap drawn with probability in proportion to exp(score), and so it is drawn: by
+    ranks.draw_gaps, with all randomness from the driver's source and none in the cluster. With protect_elapsed_time each
+    uniform takes the same number of bits; the number of jobs still depends on the data, as of any query.
     """
     if not lower < upper:
         raise PrivacyError("lower must be below upper")
@@ -124,41 +127,14 @@ def dp_gumbel_median(frame: PrivateFrame, column: str, usage, lower: float, uppe
     keys = [k.name for k in frame.keys]
 
     def direct() -> dict:
-        x = F.col(column).cast("double")
-        seen = frame.df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, F.least(F.greatest(x, F.lit(float(lower))), F.lit(float(upper))).alias("z"))
-        counts = seen.groupBy(*keys, "z").count()
-        w = Window.partitionBy(*keys) if keys else None
-        if keys:
-            gaps = counts.withColumn("below", F.sum("count").over(w.orderBy("z"))).withColumn("n", F.sum("count").over(w)).withColumn("next", F.coalesce(F.lead("z").over(w.orderBy("z")), F.lit(float(upper)))).withColumn("first", F.row_number().over(w.orderBy("z")) == 1)
-        else:
-            gaps = _running(counts, float(upper))
-        # the values with lower and upper appended are z_0 .. z_{m-1}; the gap that ends at z_i has i values before it
-        m = F.col("n") + 2
-        after = F.struct(F.col("z").alias("a"), F.col("next").alias("b"), (F.col("below") + 1).alias("i"))
-        before = F.struct(F.lit(float(lower)).alias("a"), F.col("z").alias("b"), F.lit(1).cast("long").alias("i"))
-        each = gaps.select(*keys, m.alias("m"), F.explode(F.when(F.col("first"), F.array(before, after)).otherwise(F.array(after))).alias("g")).where("g.b > g.a")
-        seed = rng.bits(62)
-        score = F.log(F.col("g.b") - F.col("g.a")) - F.lit(used.epsilon / 2) * F.ceil(F.abs(F.col("g.i") - F.col("m") / 2)) - F.log(-F.log(F.rand(seed)))
-        scored = each.select(*keys, "g", score.alias("score"))
-        best = scored.groupBy(*keys).agg(F.max_by(F.struct("g.a", "g.b"), "score").alias("g")).collect()
-        found = {tuple(r[k] for k in keys): (r["g"]["a"], r["g"]["b"]) for r in best if r["g"] is not None}
-        return {key: [rng.uniform(*found.get(key, (float(lower), float(upper))))] for key in (dense_keys(frame) if keys else [()])}
+        every = dense_keys(frame) if keys else [()]
+        gaps = draw_gaps(frame.df, F.col(column), keys, every, lower, upper, used.epsilon, rng)
+        return {key: [rng.uniform(*gaps[key])] for key in every}
 
     chosen = Aggregate(frame, "gumbel_median", [], lambda v: v, lambda _: [0.0], direct=direct, columns=(column,), lower=[lower], upper=[upper])
     return Noisy("dp_gumbel_median", [(chosen, lambda v: v[0])], [paid], mechanism="Gumbel", arguments={"lower": lower, "upper": upper})
 
 
-def _running(counts, upper: float):
-    """Distinct values with running counts, next values and the total: sums by range partition first, then within each."""
-    ranged = counts.repartitionByRange(F.col("z")).withColumn("p", F.spark_partition_id())
-    sums = ranged.groupBy("p").agg(F.sum("count").alias("s"), F.min("z").alias("lowest"))
-    order = Window.orderBy("p")  # a row a partition
-    sums = sums.withColumn("before", F.sum("s").over(order) - F.col("s")).withColumn("n", F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("then", F.coalesce(F.lead("lowest").over(order), F.lit(upper)))
-    w = Window.partitionBy("p").orderBy("z")
-    out = ranged.withColumn("r", F.sum("count").over(w)).withColumn("l", F.lead("z").over(w)).join(F.broadcast(sums), "p")
-    return out.select("z", (F.col("before") + F.col("r")).alias("below"), "n", F.coalesce("l", "then").alias("next"), ((F.col("before") == 0) & (F.col("z") == F.col("lowest"))).alias("first"))
-
-
 # ---------------------------------------------------------------- private statistics
 
 
@@ -267,9 +243,10 @@ def dp_histogram(frame: PrivateFrame, usage, column: str, edges=None, categories
     return out
 
 
-def dp_linear_regression(frame: PrivateFrame, usage, data_x: str, data_y: str, lower_slope: float, upper_slope: float, lower_intercept: float, upper_intercept: float, implementation: str = "theil-sen-k-match", k: int = 100, rng=None, seed: int | None = None) -> Noisy:
-    """Slope and intercept: the Gumbel medians of Theil-Sen candidates, half the budget each."""
-    lines = A.theil_sen(frame, data_x, data_y, implementation, k, seed)
+def dp_linear_regression(frame: PrivateFrame, usage, data_x: str, data_y: str, lower_slope: float, upper_slope: float, lower_intercept: float, upper_intercept: float, implementation: str = "theil-sen-k-match", k: int = 100, rng=None) -> Noisy:
+    """Slope and intercept: the Gumbel medians of Theil-Sen candidates, half the budget each. The candidates are written once, as both read them."""
+    lines = A.theil_sen(frame, data_x, data_y, implementation, k, rng)
+    lines = replace(lines, df=written(lines.df, "lines"))
     half = as_usage(usage) * 0.5
     slope = dp_gumbel_median(lines, "slope", half, lower_slope, upper_slope, rng)
     intercept = dp_gumbel_median(lines, "intercept", half, lower_intercept, upper_intercept, rng)

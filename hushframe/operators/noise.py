@@ -8,6 +8,8 @@ import secrets
 from collections.abc import Sequence
 from decimal import Decimal, localcontext
 
+import numpy as np
+
 from hushframe.privacy import PrivacyError
 
 #: Heads in a row after which an exponent isn't followed further.
@@ -17,15 +19,20 @@ DIGITS, SNAPPING_BITS = 48, 118
 
 
 class Secure:
-    """Draws from the operating system's generator."""
+    """Draws from the operating system's generator. constant_time: a uniform draw takes the same number of bits each time."""
 
     testing = False
 
+    def __init__(self, constant_time: bool = False):
+        self.constant_time = constant_time
+
     def bits(self, n: int) -> int:
         return secrets.randbits(n)
 
     def leading_zeros(self) -> int:
         """Zeros before the first one in fair bits, EXPONENT_CAP at most."""
+        if self.constant_time:
+            return min(EXPONENT_CAP + 2 - self.bits(EXPONENT_CAP + 2).bit_length(), EXPONENT_CAP)
         count = 0
         while count < EXPONENT_CAP:
             x = self.bits(64)
@@ -64,6 +71,7 @@ class Seeded(Secure):
     testing = True
 
     def __init__(self, seed: str):
+        super().__init__()
         self.seed, self.count = seed, 0
 
     def uniform(self, low: float = 0.0, high: float = 1.0) -> float:
@@ -248,3 +256,8 @@ def pick(categories: Sequence, rng: Secure, weights: Sequence[float] | None = No
         if u < reached:
             return c
     return categories[-1]
+
+
+def binomial(n: int, p: float, rng: Secure) -> int:
+    """Successes in n trials; one draw of numpy's generator under 128 bits of the source."""
+    return int(np.random.default_rng(rng.bits(128)).binomial(n, p))

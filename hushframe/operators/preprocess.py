@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import math
 import secrets
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import replace
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns as C
 from hushframe.functions import intervals as I
-from hushframe.plans.frame import TYPES, PrivateFrame, Props
-from hushframe.privacy import PrivacyError
+from hushframe.operators.noise import Secure, binomial
+from hushframe.operators.ranks import at_places, first_cells
+from hushframe.plans.frame import PrivateFrame, Props
+from hushframe.plans.shared import written
+from hushframe.privacy import SUBSTITUTE, Definition, PrivacyError
 
 #: Edges of a digitized column.
 MAX_EDGES = 10_000
@@ -35,7 +37,7 @@ def _each(value, k: int) -> list:
 
 
 def _set(frame: PrivateFrame, exprs: dict[str, Column], props: dict[str, Props]) -> PrivateFrame:
-    return frame.same_rows(frame.df.withColumns(exprs), frame.props | props)
+    return frame.derive(exprs, frame.props | props)
 
 
 def _distinct(categories: Sequence) -> tuple:
@@ -70,17 +72,13 @@ def clamp(frame: PrivateFrame, columns=None, lower=None, upper=None, categories=
     return _set(frame, exprs, props)
 
 
-def _truncated(seed: int, low: float, high: float, shift: float, scale: float):
-    """Draws of a Gaussian between bounds, by inverse distribution function; a Python function as Spark has no inverse normal."""
+def _truncated(seed: int, low: float, high: float, shift: float, scale: float) -> Column:
+    """Draws of a Gaussian between bounds, by inverse distribution function, in Column functions."""
     normal = NormalDist(shift, scale)
     a, b = normal.cdf(low), normal.cdf(high)
-
-    @F.pandas_udf("double")
-    def draw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for u in batches:
-            yield u.map(lambda x: min(max(normal.inv_cdf(min(max(a + (b - a) * x, 1e-300), 1 - 1e-16)), low), high))
-
-    return draw(F.rand(seed))
+    u = F.lit(a) + F.lit(b - a) * F.rand(seed)
+    z = C.inverse_normal(F.greatest(F.least(u, F.lit(1 - 1e-16)), F.lit(1e-300)))
+    return F.least(F.greatest(F.lit(shift) + F.lit(scale) * z, F.lit(float(low))), F.lit(float(high)))
 
 
 def impute(frame: PrivateFrame, columns=None, lower=None, upper=None, categories=None, null_values=None, weights=None, distribution: str = "uniform", shift=None, scale=None, seed: int | None = None) -> PrivateFrame:
@@ -261,15 +259,30 @@ def transform(frame: PrivateFrame, out: str, op: str, left, right=None, base: fl
 # ---------------------------------------------------------------- a forced number of rows
 
 
-def _exactly(df, n: int, seed: int):
-    """n rows of df, drawn without replacement: rows below a threshold of a random number that is sure to hold n, of which the first n."""
-    have = df.count()
+def _exactly(df: DataFrame, n: int, have: int, seed: int) -> DataFrame:
+    """n rows of df, drawn without replacement, in as many partitions as df has: those up to the n-th smallest of a random number.
+
+    Rows below a threshold that is sure to hold n (but for odds of e^-50, when it is widened) are written once, so that the
+    number a row drew is the same each time it is read.
+    """
     if n >= have:
-        return df, have
+        return df
+    if n <= 0:
+        return df.limit(0)
     share = n / have + 10 * math.sqrt(n / have / have) + 20 / have
-    drawn = df.withColumn("__u", F.rand(seed))
-    few = drawn.where(F.col("__u") < share) if share < 1 else drawn
-    return few.orderBy("__u").limit(n).drop("__u"), n
+    while True:
+        drawn = df.withColumn("__u", F.rand(seed))
+        few = written(drawn.where(F.col("__u") < share) if share < 1 else drawn, "drawn")
+        cell = first_cells(few, F.col("__u"), []).get(())
+        if cell and cell.count >= n:
+            break
+        share = min(1.0, 2 * share)
+    last = at_places(few, F.col("__u"), [], {(): [n - 1]}, {(): cell})[()][n - 1]
+    below = few.where(F.col("__u") < last)
+    tied = few.where(F.col("__u") == last)
+    more = n - below.count()
+    kept = few.where(F.col("__u") <= last) if more == tied.count() else below.unionByName(tied.limit(more))
+    return kept.drop("__u")
 
 
 def _synthetic(frame: PrivateFrame, k: int, seed: int, lower, upper, categories, weights, distribution, shift, scale):
@@ -297,11 +310,17 @@ def _synthetic(frame: PrivateFrame, k: int, seed: int, lower, upper, categories,
     return spark.range(k).select(*exprs)
 
 
-def resize(frame: PrivateFrame, number_rows: int | None = None, minimum_rows: int | None = None, sample_proportion: float | None = None, lower=None, upper=None, categories=None, weights=None, distribution: str = "uniform", shift=None, scale=None, number_columns: int | None = None, seed: int | None = None) -> PrivateFrame:
+def sampled_count(rate: float, n: int, definition: Definition, rng: Secure | None = None) -> int:
+    """How many of n rows a sample at a rate has."""
+    return math.floor(rate * n) if definition.neighboring == SUBSTITUTE else binomial(n, rate, rng or Secure())
+
+
+def resize(frame: PrivateFrame, number_rows: int | None = None, minimum_rows: int | None = None, sample_proportion: float | None = None, lower=None, upper=None, categories=None, weights=None, distribution: str = "uniform", shift=None, scale=None, number_columns: int | None = None, seed: int | None = None, rng: Secure | None = None) -> PrivateFrame:
     """A known number of rows: a sample without replacement if there are more, made-up rows besides if there are fewer.
 
     minimum_rows only adds. With sample_proportion p the rows are first repeated ceil(p) times (which multiplies what an
-    individual may move) and sampled at the rate p / ceil(p).
+    individual may move) and sampled at the rate p / ceil(p): exactly that share of them under substitution, a Binomial
+    number under add/remove, so that the number of rows of the data doesn't show.
     """
     if number_columns is not None and number_columns != len(frame.props):
         raise PrivacyError("the number of columns is another")
@@ -316,13 +335,13 @@ def resize(frame: PrivateFrame, number_rows: int | None = None, minimum_rows: in
         df = df.withColumn("__c", F.explode(F.sequence(F.lit(1), F.lit(c)))).drop("__c") if c > 1 else df
         stability, rate = stability * c, rate * sample_proportion / c
     want = number_rows if number_rows is not None else minimum_rows
+    have = df.count()
     if number_rows is not None:
-        most = want
+        most = have
         if sample_proportion is not None:
-            most = min(want, math.floor(sample_proportion / math.ceil(sample_proportion) * df.count()))
-        df, have = _exactly(df, most, seed)
-    else:
-        have = df.count()
+            p = sample_proportion / math.ceil(sample_proportion)
+            most = sampled_count(p, have, frame.definition, rng)
+        df, have = _exactly(df, min(want, most), have, seed), min(want, most)
     if have < want:
         more = _synthetic(frame, want - have, seed + 1, lower, upper, categories, weights, distribution, shift, scale)
         df = df.unionByName(more)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hushframe.plans.frame import Key, PrivateFrame
+from hushframe.plans.shared import written
 from hushframe.privacy import SUBSTITUTE, PrivacyError
 
 
@@ -17,7 +20,8 @@ def to_dataframe(frame: PrivateFrame, names: Sequence[str]) -> PrivateFrame:
     """The columns under new names, one for each."""
     if len(names) != len(frame.props):
         raise PrivacyError(f"{len(frame.props)} columns need as many names")
-    return frame.same_rows(frame.df.select(*[F.col(o).alias(n) for o, n in zip(frame.props, names)]), dict(zip(names, frame.props.values())))
+    out = frame.derive({n: F.col(o) for o, n in zip(frame.props, names)}, dict(zip(names, frame.props.values())))
+    return out.same_rows(out.df.select(*names), out.props)
 
 
 def index(frame: PrivateFrame, names: Sequence[str] | str | None = None, indices: Sequence[int] | None = None, mask: Sequence[bool] | None = None, key=None) -> PrivateFrame:
@@ -45,34 +49,49 @@ def index(frame: PrivateFrame, names: Sequence[str] | str | None = None, indices
 
 
 def column_bind(*frames: PrivateFrame) -> PrivateFrame:
-    """Columns of frames that share their rows (one identity and source)."""
+    """Columns of frames that share their rows, however each was derived: their steps are taken again, one frame after the other, on the rows all began with."""
     first, props = frames[0], {}
     for f in frames:
-        if f.identity != first.identity:
+        if f.identity != first.identity or f.base is not first.base:
             raise PrivacyError("only columns of the same rows can be bound; rows are never matched by position")
         for n, p in f.props.items():
             if n in props:
                 raise PrivacyError(f"two columns are named {n}")
-            props[n] = replace(p, categories=None)
-    widest = max(frames, key=lambda f: len(f.df.columns))
-    missing = [n for n in props if n not in widest.df.columns]
-    if missing:
-        raise PrivacyError(f"{missing} must be derived on one frame before they are bound")
-    return widest.same_rows(widest.df.select(*props), props)
-
-
-def reshape(values, shape: Sequence[int], symmetric: bool = False) -> np.ndarray:
-    """A released vector as an array; symmetric: the upper triangle of a square matrix, row by row."""
-    v = np.asarray(values).ravel()
+            props[n] = p
+    mark = uuid.uuid4().hex[:8]
+    names = {(i, n): f"__bound_{mark}_{i}_{n}" for i, f in enumerate(frames) for n in f.props}
+
+    def step(df: DataFrame) -> DataFrame:
+        own = df.columns
+        df = df.withColumns({f"__base_{mark}_{c}": F.col(f"`{c}`") for c in own})
+        for i, f in enumerate(frames):
+            for s in f.steps:
+                df = s(df)
+            df = df.withColumns({names[i, n]: F.col(f"`{n}`") for n in f.props}).withColumns({c: F.col(f"`__base_{mark}_{c}`") for c in own})
+        df = df.withColumns({n: F.col(f"`{at}`") for (_, n), at in names.items()})
+        return df.drop(*names.values(), *[f"__base_{mark}_{c}" for c in own])
+
+    keys = [k.name for k in first.keys if k.name not in props]
+    return replace(first, df=step(first.base).select(*props, *keys), props=props, rows=first.base, steps=(step,))
+
+
+def reshape(values, shape: Sequence[int], symmetric: bool = False) -> np.ndarray | dict[int, np.ndarray]:
+    """A released row as an array; symmetric: the upper triangle of a square matrix, row by row. Of several rows, one array each, by place."""
+    v = np.asarray(values)
+    if v.ndim == 2 and len(v) > 1:
+        return {i: reshape(row, shape, symmetric) for i, row in enumerate(v)}
+    v = v.ravel()
     if symmetric:
         n = shape[0]
-        if len(shape) != 2 or shape[1] != n or len(v) != n * (n + 1) // 2:
+        if len(shape) > 2 or shape[-1] != n or len(v) != n * (n + 1) // 2:
             raise PrivacyError("an upper triangle of this length gives no such matrix")
         out = np.empty((n, n), v.dtype)
         at = np.triu_indices(n)
         out[at] = v
         out.T[at] = v
         return out
+    if len(shape) > 2 or math.prod(shape) != len(v):
+        raise PrivacyError("a row of this length gives no such matrix")
     return v.reshape(tuple(shape))
 
 
@@ -102,10 +121,7 @@ def even_lengths(n: int, k: int) -> list[int]:
 
 
 def partition_even(frame: PrivateFrame, num_partitions: int, order_by: str) -> PrivateFrame:
-    """Parts of even, known lengths along a column's order: key part, 0 .. num_partitions - 1.
-
-    Places come from a count per range partition and a running number within each, so no task sorts everything.
-    """
+    """Parts of even, known lengths along a column's order: key part, 0 .. num_partitions - 1. The rows are numbered and written here."""
     if frame.n is None:
         raise PrivacyError("even parts need a known number of records")
     n, k = frame.n, num_partitions
@@ -118,13 +134,21 @@ def partition_even(frame: PrivateFrame, num_partitions: int, order_by: str) -> P
     return frame.new_rows(df, keys=(*frame.keys, Key("part", tuple(range(k)))), n=None, stability=frame.stability * twice)
 
 
-def numbering(df, order_by: Sequence[str]):
-    """df with __n, the place of each row (from 0) in the order of columns, without a sort of all rows in one task."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order_by]).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").count()
-    before = counts.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))  # a row a partition
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order_by)))
-    return local.join(F.broadcast(before), "__p").withColumn("__n", (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__before")
+def numbering(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """df with __n, the place of each row (from 0) in the order of columns, without a sort of all rows in one task.
+
+    Rows are dealt by ranges (a random number splits those that are equal) and written once, with their range and place in
+    it; the lengths of the ranges, a number each, then give where each begins. Both readings are of the same written rows.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order_by], F.rand()).sortWithinPartitions(*order_by).withColumn("__p", F.spark_partition_id())
+    ranged = written(ranged.withColumn("__r", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)), "ranged")
+    lengths = sorted((r["__p"], r["n"]) for r in ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a range
+    before, begins = 0, []
+    for p, n in lengths:
+        begins.append((p, before))
+        before += n
+    placed = ranged.join(F.broadcast(df.sparkSession.createDataFrame(begins, "__p int, __before long")), "__p")
+    return placed.withColumn("__n", F.col("__before") + F.col("__r")).drop("__p", "__r", "__before")
 
 
 def map_parts(frame: PrivateFrame, operator: Callable[[PrivateFrame], object]):
@@ -149,7 +173,7 @@ def union(*frames: PrivateFrame, flatten: bool = True) -> PrivateFrame | dict:
     props = {n: replace(p, nullable=any(f.props[n].nullable for f in frames), lower=None, upper=None, categories=None) for n, p in first.props.items()}
     known = [f.n for f in frames]
     # individuals may have rows in each of the frames, so what they may move adds up
-    return first.new_rows(df, props=props, keys=(), n=None if None in known else sum(known), stability=sum(f.stability for f in frames), not_empty=any(f.not_empty for f in frames))
+    return first.new_rows(df, props=props, keys=(), n=None if None in known else sum(known), stability=sum(f.stability for f in frames), not_empty=any(f.not_empty for f in frames), public=all(f.public for f in frames))
 
 
 def flatten_parts(frame: PrivateFrame) -> PrivateFrame:

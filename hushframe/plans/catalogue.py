@@ -6,8 +6,8 @@ the proved sensitivity, and that the value lies within bounds or (but for odds o
 
 from __future__ import annotations
 
+import json
 import math
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +19,7 @@ from hushframe.operators.structure import reshape
 from hushframe.plans import planner
 from hushframe.plans.frame import PrivateFrame
 from hushframe.plans.graph import Analysis
+from hushframe.plans.shared import own_dir
 from hushframe.privacy import ADD_REMOVE, SUBSTITUTE, Definition, Usage, actual, effective, parallel, sequential
 from hushframe.sources import readers
 
@@ -78,8 +79,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 @query("materialize_scan", "SELECT r_regionkey::VARCHAR AS key, r_name AS name FROM region")
 def _(spark, d):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    path = f"{base}/hushframe-csv-{uuid.uuid4().hex[:8]}"
+    path = f"{own_dir(spark)}/csv-{uuid.uuid4().hex[:8]}"
     spark.read.parquet(f"{d}/region.parquet").write.option("header", True).csv(path)
     return readers.materialize(spark, path, ["key", "name"]).df
 
@@ -113,7 +113,15 @@ def _(spark, d):
 @query("column_bind", "SELECT l_quantity, l_tax FROM lineitem")
 def _(spark, d):
     f = table(spark, d, "lineitem", columns=["l_quantity", "l_tax"])
-    return f.index("l_quantity").same_rows(f.df, {"l_quantity": f.of("l_quantity")}).column_bind(f.index("l_tax")).df
+    return f.index("l_quantity").column_bind(f.index("l_tax")).df
+
+
+@query("column_bind_derived", "SELECT least(greatest(l_quantity, 10.0), 20.0) AS l_quantity, l_quantity AS q, round(l_tax + 1.0, 6) AS more FROM lineitem")
+def _(spark, d):
+    """Columns derived apart from the same rows, one of them under a name that another frame changed."""
+    f = table(spark, d, "lineitem", columns=["l_quantity", "l_tax"])
+    a, b = f.clamp("l_quantity", 10.0, 20.0).index("l_quantity"), f.index("l_quantity").to_dataframe(["q"])
+    return a.column_bind(b).column_bind(f.add("more", "l_tax", 1.0).index("more")).df.select("l_quantity", "q", F.round("more", 6).alias("more"))
 
 
 @query("reshape_symmetric", "SELECT i::BIGINT AS i, j::BIGINT AS j, [[0,1,2,3],[1,4,5,6],[2,5,7,8],[3,6,8,9]][i+1][j+1]::DOUBLE AS v FROM range(4) a(i), range(4) b(j)")
@@ -122,6 +130,13 @@ def _(spark, d):
     return rows(spark, "i long, j long, v double", [(i, j, float(m[i, j])) for i in range(4) for j in range(4)])
 
 
+@query("reshape_rows", "SELECT k::BIGINT AS k, i::BIGINT AS i, j::BIGINT AS j, (6 * k + 3 * i + j)::DOUBLE AS v FROM range(2) c(k), range(2) a(i), range(3) b(j)")
+def _(spark, d):
+    """A matrix of each of several released rows."""
+    m = reshape([[float(i) for i in range(6)], [float(i) for i in range(6, 12)]], (2, 3))
+    return rows(spark, "k long, i long, j long, v double", [(k, i, j, float(m[k][i, j])) for k in m for i in range(2) for j in range(3)])
+
+
 @query("union_flatten", "SELECT l_quantity FROM lineitem UNION ALL SELECT l_quantity FROM lineitem")
 def _(spark, d):
     f = table(spark, d, "lineitem", columns=["l_quantity"])
@@ -165,7 +180,7 @@ _NAN = "CASE WHEN l_linenumber = 3 THEN 'NaN'::DOUBLE ELSE l_quantity END"
 def holes(spark, d) -> PrivateFrame:
     """Quantities with missing values on every third line."""
     f = table(spark, d, "lineitem", columns=["l_orderkey", "l_linenumber", "l_quantity"])
-    return f.same_rows(f.df.withColumn("l_quantity", F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))), f.props)
+    return f.derive({"l_quantity": F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))}, f.props)
 
 
 @query("filter_mask", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
@@ -243,7 +258,7 @@ def _(spark, d):
 @query("impute_categorical", "SELECT l_returnflag AS was, CASE WHEN l_returnflag = 'N' THEN true ELSE false END AS drawn, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
 def _(spark, d):
     f = table(spark, d, "lineitem", columns=["l_returnflag"])
-    g = f.same_rows(f.df.withColumn("was", F.col("l_returnflag")), f.props).impute("l_returnflag", categories=["A", "R"], null_values=["N"], weights=[1.0, 3.0])
+    g = f.derive({"was": F.col("l_returnflag")}, f.props).impute("l_returnflag", categories=["A", "R"], null_values=["N"], weights=[1.0, 3.0])
     return g.df.groupBy("was", (F.col("was") != F.col("l_returnflag")).alias("drawn")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -265,14 +280,25 @@ def _(spark, d):
     return f.df.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("resize_proportion", "SELECT least(100000000, floor(0.75 * 2 * count(*)))::BIGINT AS n, 2::BIGINT AS stability, 0.75::DOUBLE AS rate FROM orders")
+@query("resize_proportion", "SELECT floor(0.75 * 2 * count(*))::BIGINT AS n, 2::BIGINT AS stability, 0.75::DOUBLE AS rate FROM orders")
 def _(spark, d):
-    f = table(spark, d, "orders", columns=["o_totalprice"]).clamp("o_totalprice", 0.0, 600000.0).impute("o_totalprice")
-    want = math.floor(1.5 * f.df.count())
-    g = f.resize(number_rows=want, sample_proportion=1.5)
+    """Under substitution: exactly the share of the rows."""
+    f = table(spark, d, "orders", Definition(neighboring=SUBSTITUTE), columns=["o_totalprice"]).clamp("o_totalprice", 0.0, 600000.0).impute("o_totalprice")
+    g = f.resize(number_rows=math.floor(1.5 * f.df.count()), sample_proportion=1.5)
     return g.df.agg(F.count(F.lit(1)).alias("n"), F.lit(g.stability).cast("long").alias("stability"), F.lit(g.sample).alias("rate"))
 
 
+@query("resize_proportion_add_remove", "SELECT count(*)::BIGINT AS n, true AS holds, true AS differ FROM orders")
+def _(spark, d):
+    """Under add/remove: a Binomial number of the rows is kept, the others up to the asked number are made up within the bounds."""
+    f = table(spark, d, "orders", columns=["o_totalprice"]).clamp("o_totalprice", 0.0, 600000.0).impute("o_totalprice")
+    n = f.df.count()
+    kept = [preprocess.sampled_count(0.75, n, f.definition) for _ in range(40)]
+    g = f.resize(number_rows=n, sample_proportion=0.75)
+    holds = all(abs(k - 0.75 * n) <= 8 * math.sqrt(0.1875 * n) for k in kept)
+    return g.df.agg(F.count(F.lit(1)).alias("n"), F.lit(holds).alias("holds"), F.lit(len(set(kept)) > 1).alias("differ"))
+
+
 # ---------------------------------------------------------------- element-wise functions
 
 _KEYS = "l_orderkey, l_linenumber::BIGINT AS l_linenumber"
@@ -301,7 +327,7 @@ _TRANSFORMS = {
 
 def _made(spark, d) -> PrivateFrame:
     f = table(spark, d, "lineitem", columns=["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"]).clamp(["l_extendedprice", "l_tax"], [1.0, 0.0], [1000000.0, 0.1])
-    g = f.same_rows(f.df.withColumn("q", F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))), f.props | {"q": f.of("l_quantity")})
+    g = f.derive({"q": F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))}, f.props | {"q": f.of("l_quantity")})
     return g.subtract("signed", "l_tax", 0.04).add("shifted", "l_tax", 1.0).greater_than("high", "q", 10.0).less_than("low", "q", 30.0)
 
 
@@ -328,7 +354,7 @@ def _(spark, d):
 @query("transform_concat", "SELECT n_name || '!' AS out FROM nation")
 def _(spark, d):
     f = table(spark, d, "nation", columns=["n_name"])
-    g = f.same_rows(f.df.withColumn("mark", F.lit("!")), f.props | {"mark": f.of("n_name")})
+    g = f.derive({"mark": F.lit("!")}, f.props | {"mark": f.of("n_name")})
     return g.add("out", "n_name", "mark").df.select("out")
 
 
@@ -366,6 +392,21 @@ for _how, _value in {
     _aggregate_query(f"quantile_{_how}", f"{_SORTED} SELECT round({_value}, 4)::DOUBLE AS a FROM s", lambda f, how=_how: f.quantile("l_extendedprice", alpha=0.3, interpolation=how), ["a"])
 _CANDIDATES = [0.0, 10.0, 17.0, 25.0, 40.0, 60.0]
 _aggregate_query("quantile_utilities", "SELECT " + ", ".join(f"round(count(*) * 0.7 - abs(0.7 * count(*) FILTER (l_quantity < {c}) - 0.3 * count(*) FILTER (l_quantity > {c})), 4)::DOUBLE AS c{i}" for i, c in enumerate(_CANDIDATES)) + " FROM lineitem", lambda f: f.quantile("l_quantity", alpha=0.3, candidates=_CANDIDATES), [f"c{i}" for i in range(6)])
+_MANY = [float(c) for c in range(1, 100_000, 250)]
+
+
+@query("quantile_utilities_many", "SELECT c.range::DOUBLE AS candidate, round(count(*) * 0.7 - abs(0.7 * count(*) FILTER (l_extendedprice < c.range) - 0.3 * count(*) FILTER (l_extendedprice > c.range)), 4)::DOUBLE AS utility FROM lineitem, range(1, 100000, 250) c GROUP BY 1")
+def _(spark, d):
+    """400 candidates, counted as groups."""
+    return rows(spark, "candidate double, utility double", list(zip(_MANY, _exact(items(spark, d).quantile("l_extendedprice", alpha=0.3, candidates=_MANY), 4))))
+
+
+@query("histogram_many", "SELECT b.range::BIGINT AS bin, count(l_extendedprice)::BIGINT AS n FROM range(0, 200) b LEFT JOIN lineitem ON floor(l_extendedprice / 525) = b.range GROUP BY 1")
+def _(spark, d):
+    """200 bins, counted as groups."""
+    return rows(spark, "bin long, n long", list(enumerate(_exact(items(spark, d).histogram("l_extendedprice", edges=[525.0 * i for i in range(201)]))[:200])))
+
+
 _aggregate_query("histogram_edges", "SELECT " + ", ".join(f"count(*) FILTER (l_quantity >= {a} AND l_quantity < {a + 10})::BIGINT AS b{i}" for i, a in enumerate(range(0, 50, 10))) + ", count(*) FILTER (l_quantity >= 50)::BIGINT AS rest FROM lineitem", lambda f: f.histogram("l_quantity", edges=[0.0, 10.0, 20.0, 30.0, 40.0, 50.0]), [*[f"b{i}" for i in range(5)], "rest"], "long")
 _aggregate_query("histogram_categories", "SELECT count(*) FILTER (l_returnflag = 'A')::BIGINT AS a, count(*) FILTER (l_returnflag = 'R')::BIGINT AS r, count(*) FILTER (l_returnflag NOT IN ('A', 'R'))::BIGINT AS other FROM lineitem", lambda f: f.histogram("l_returnflag", categories=["A", "R"], null_value="?"), ["a", "r", "other"], "long")
 
@@ -445,50 +486,100 @@ def _(spark, d):
     return rows(spark, "i long, v double", [(i, round(noise.laplace(10.0, 1.0, 0.5, rng), 9)) for i in range(20)])
 
 
+#: SQL of the source noise.Seeded: draw c of seed s. hex: 16 digits; u: a uniform number.
+_HEX, _UNIFORM = "substr(md5('{s}' || {i} || '|' || ({c})), 1, 16)", "((('0x' || substr(md5('{s}' || {i} || '|' || ({c})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+_u = lambda s, c: _UNIFORM.format(s=s, i="i", c=c)
+#: A Bernoulli draw is the bit of p at the place of the first one among 64 fair bits.
+_bit = lambda s, c, p: f"(floor({p} * pow(2, 65 - length(ltrim(bin(('0x' || {_HEX.format(s=s, i='i', c=c)})::UBIGINT), '0')))) % 2 = 1)"
+
+
+@query("gaussian_seeded", f"SELECT i::BIGINT AS i, round(10 + 2 * sqrt(2 * ln(1.25 / 1e-5)) / 0.5 * sqrt(-2 * ln({_u('normal', 0)})) * cos(2 * pi() * {_u('normal', 1)}), 8) AS v FROM range(20) r(i)")
+def _(spark, d):
+    return rows(spark, "i long, v double", [(i, round(noise.gaussian(10.0, 2.0, 0.5, 1e-5, noise.Seeded(f"normal{i}"), analytic=False), 8)) for i in range(20)])
+
+
+@query("geometric_seeded", f"""WITH p AS (SELECT exp(-0.5) AS alpha), z AS (SELECT i, {_bit('whole', 0, '((1 - alpha) / (1 + alpha))')} AS zero, CASE WHEN {_HEX.format(s='whole', i='i', c=1)} >= '8' THEN 1 ELSE -1 END AS sign FROM range(40) r(i), p),
+t AS (SELECT i, min(k) AS size FROM range(40) r(i), range(1, 60) s(k), p WHERE {_bit('whole', 'k + 1', '(1 - alpha)')} GROUP BY i)
+SELECT i::BIGINT AS i, least(greatest(CASE WHEN zero THEN 100 ELSE 100 + sign * size END, 90), 110)::BIGINT AS v FROM z JOIN t USING (i)""")
+def _(spark, d):
+    return rows(spark, "i long, v long", [(i, noise.simple_geometric(100, 1.0, 0.5, 90, 110, noise.Seeded(f"whole{i}"))) for i in range(40)])
+
+
+@query("snapping_seeded", f"""SELECT i::BIGINT AS i, (least(greatest(2 * floor(abs(x) / 2 + 0.5) * sign(x), -10), 10) * 1.0 + 10)::DOUBLE AS v FROM (
+SELECT i, 3.0 + ln({_u('grid', 0)}) / 0.6 * CASE WHEN {_HEX.format(s='grid', i='i', c=1)} >= '8' THEN 1 ELSE -1 END AS x FROM range(40) r(i))""")
+def _(spark, d):
+    """Value 13 within 0 .. 20, sensitivity 1, epsilon 0.6 (a grid of 2): Laplace noise in extended precision, snapped and clamped."""
+    return rows(spark, "i long, v double", [(i, noise.snapping(13.0, 1.0, 0.6, 0.0, 20.0, noise.Seeded(f"grid{i}"))) for i in range(40)])
+
+
+@query("exponential_seeded", f"""WITH w AS (SELECT k, sum(exp(0.8 * u / 2)) OVER (ORDER BY k) / sum(exp(0.8 * u / 2)) OVER () AS reached FROM (VALUES (0, 1.0), (1, 4.0), (2, 2.5)) t(k, u))
+SELECT i::BIGINT AS i, min(k)::BIGINT AS choice FROM range(40) r(i), w WHERE {_u('choice', 0)} < reached GROUP BY i""")
+def _(spark, d):
+    return rows(spark, "i long, choice long", [(i, noise.exponential([1.0, 4.0, 2.5], [0, 1, 2], 1.0, 0.8, noise.Seeded(f"choice{i}"))) for i in range(40)])
+
+
 # ---------------------------------------------------------------- releases
 
 
-def _release_query(name: str, build: Callable, epsilon: float = 1.0, near: Callable | None = None, definition: Definition = SOFT):
-    """One row: the budget, and whether the released values are near the exact ones (or finite, where near is None)."""
+#: Draws by which the spread of a mechanism's noise is judged.
+DRAWS = 40
+
+
+def _release_query(name: str, build: Callable, epsilon: float = 1.0, near: Callable | None = None, definition: Definition = SOFT, n_known: bool = True, differ: bool = True):
+    """One row: the budget, and whether the release holds: its values are near the exact ones, and DRAWS more draws of its
+    noise have the spread that their scale asks for (odds against: below e^-20). With near: the released values pass it,
+    and further draws are not all the same."""
 
     @query(name, f"SELECT '{name}' AS statistic, {epsilon}::DOUBLE AS epsilon, true AS holds")
     def run(spark, d):
-        planned = build(known(items(spark, d, definition)))
+        f = items(spark, d, definition)
+        planned = build(known(f) if n_known else f)
         value = planner.release([planned])[0]
         flat = [float(v) for v in (value.ravel().tolist() if hasattr(value, "ravel") else value if isinstance(value, (list, tuple)) else [value])]
+        aggregate, draw = planned.parts[0]
+        if aggregate.direct is None or near is None:
+            exact = planner.evaluate([aggregate])[0][()]
+            more = [draw(exact) for _ in range(DRAWS)]
+            holds = not differ or len({str(m) for m in more}) > 1
+        else:
+            holds = True
         if near is None:
-            exact = [float(x) for x in planner.evaluate([planned.parts[0][0]])[0][()]]
-            scale = [NEAR * max(s, 1e-12) * max(1, len(exact)) / epsilon + 1e-9 for s in planned.arguments["sensitivity"]]
+            scale = [max(s, 1e-12) * max(1, len(exact)) / epsilon for s in planned.arguments["sensitivity"]]
+            if name == "dp_histogram":
+                scale = [s / epsilon for s in planned.arguments["sensitivity"]]
             if hasattr(value, "ravel"):
                 flat = [float(value[i, j]) for i in range(value.shape[0]) for j in range(i, value.shape[1])]
-            holds = all(abs(a - b) <= s for a, b, s in zip(flat, exact, scale, strict=True))
+            holds &= all(abs(a - b) <= NEAR * s + 1e-9 for a, b, s in zip(flat, exact, scale, strict=True))
+            spread = [sum(abs(float(m[i]) - float(exact[i])) for m in more) / DRAWS for i in range(len(exact))]
+            inside = [float(x) != float(b) for x, b in zip(exact, planned.arguments.get("lower") or [math.nan] * len(exact))]  # at a bound, half the noise is cut
+            holds &= all(s / 5 <= w <= 5 * s for w, s, i in zip(spread, scale, inside) if i)
         else:
-            holds = near(flat)
+            holds &= near(flat)
         return rows(spark, "statistic string, epsilon double, holds boolean", [(name, round(planned.usage.epsilon, 9), holds)])
 
 
 _inside = lambda low, high: lambda v: all(low <= x <= high for x in v)
 _release_query("laplace_mechanism", lambda f: _mech("laplace_mechanism", f.mean("l_quantity"), Usage(1.0)))
 _release_query("gaussian_mechanism", lambda f: _mech("gaussian_mechanism", f.mean("l_quantity"), Usage(1.0, 1e-7)), near=_inside(20, 31))
-_release_query("simple_geometric_mechanism", lambda f: _mech("simple_geometric_mechanism", f.histogram("l_returnflag", categories=["A", "N", "R"], null_value="?"), Usage(1.0), lower=0, upper=10**9), near=_inside(0, 1e9))
-_release_query("snapping_mechanism", lambda f: _mech("snapping_mechanism", f.mean("l_quantity"), Usage(1.0), lower=1.0, upper=50.0), near=_inside(1, 50), definition=Definition())
-_release_query("exponential_mechanism", lambda f: _mech("exponential_mechanism", f.quantile("l_quantity", alpha=0.5, candidates=[1.0, 25.0, 26.0, 49.0]), Usage(1.0)), near=_inside(25, 26))
-_release_query("dp_gumbel_median", lambda f: f.dp_gumbel_median("l_quantity", Usage(1.0), 1.0, 50.0), near=_inside(1, 50))
-_release_query("dp_count", lambda f: f.dp_count(Usage(1.0)))
+_release_query("simple_geometric_mechanism", lambda f: _mech("simple_geometric_mechanism", f.count(), Usage(1.0), lower=0, upper=10**9), n_known=False)
+_release_query("snapping_mechanism", lambda f: _mech("snapping_mechanism", f.mean("l_quantity"), Usage(1.0), lower=1.0, upper=50.0), near=_inside(20, 31), definition=Definition())
+_release_query("exponential_mechanism", lambda f: _mech("exponential_mechanism", f.quantile("l_quantity", alpha=0.5, candidates=[1.0, 25.0, 26.0, 49.0]), Usage(1.0)), near=_inside(25, 26), differ=False)
+_release_query("dp_gumbel_median", lambda f: f.dp_gumbel_median("l_quantity", Usage(1.0), 1.0, 50.0), near=_inside(24, 27))
+_release_query("dp_count", lambda f: f.dp_count(Usage(1.0), upper=10**9), n_known=False)
 _release_query("dp_sum", lambda f: f.dp_sum(Usage(1.0), "l_quantity"))
 _release_query("dp_mean", lambda f: f.dp_mean(Usage(1.0), _QP))
-_release_query("dp_mean_snapping", lambda f: f.dp_mean(Usage(1.0), "l_quantity"), near=_inside(1, 50), definition=Definition())
-_release_query("dp_mean_plugin", lambda f: f.dp_mean(Usage(1.0), "l_quantity", implementation="plug-in"), near=_inside(20, 31))
+_release_query("dp_mean_snapping", lambda f: f.dp_mean(Usage(1.0), "l_quantity"), near=_inside(20, 31), definition=Definition())
+_release_query("dp_mean_plugin", lambda f: f.dp_mean(Usage(1.0), "l_quantity", implementation="plug-in", count_upper=10**9), near=_inside(20, 31), n_known=False)
 _release_query("dp_variance", lambda f: f.dp_variance(Usage(1.0), "l_quantity"))
 _release_query("dp_covariance", lambda f: f.dp_covariance(Usage(1.0), _QP))
 _release_query("dp_raw_moment", lambda f: f.dp_raw_moment(Usage(1.0), "l_quantity", order=2))
 _release_query("dp_quantile", lambda f: f.dp_quantile(Usage(1.0), "l_quantity", alpha=0.3))
-_release_query("dp_median", lambda f: f.dp_median(Usage(1.0), "l_quantity", candidates=[1.0, 25.0, 26.0, 49.0]), near=_inside(25, 26))
-_release_query("dp_median_gumbel", lambda f: f.dp_median(Usage(1.0), "l_quantity", lower=1.0, upper=50.0, mechanism="gumbel"), near=_inside(1, 50))
+_release_query("dp_median", lambda f: f.dp_median(Usage(1.0), "l_quantity", candidates=[1.0, 25.0, 26.0, 49.0]), near=_inside(25, 26), differ=False)
+_release_query("dp_median_gumbel", lambda f: f.dp_median(Usage(1.0), "l_quantity", lower=1.0, upper=50.0, mechanism="gumbel"), near=_inside(24, 27))
 _release_query("dp_minimum", lambda f: f.dp_minimum(Usage(1.0), "l_quantity"))
 _release_query("dp_maximum", lambda f: f.dp_maximum(Usage(1.0), "l_quantity"))
-_release_query("dp_histogram", lambda f: f.dp_histogram(Usage(1.0), "l_returnflag", categories=["A", "N", "R"], null_value="?"))
-_release_query("dp_linear_regression", lambda f: f.dp_linear_regression(Usage(1.0), "l_quantity", "l_extendedprice", 0.0, 5000.0, -50000.0, 50000.0, k=2), near=lambda v: 0 <= v[0] <= 5000 and -50000 <= v[1] <= 50000)
+_release_query("dp_histogram", lambda f: f.dp_histogram(Usage(1.0), "l_returnflag", categories=["A", "N", "R"], null_value="?", upper=10**9), n_known=False)
+_release_query("dp_linear_regression", lambda f: f.dp_linear_regression(Usage(1.0), "l_quantity", "l_extendedprice", 0.0, 5000.0, -50000.0, 50000.0), near=lambda v: 0 <= v[0] <= 5000 and -50000 <= v[1] <= 50000)
 
 
 def _mech(name: str, aggregate, usage, **more):
@@ -497,16 +588,16 @@ def _mech(name: str, aggregate, usage, **more):
     return OPERATORS[name](aggregate, usage, **more)
 
 
-@query("noisy_stats_regression", "SELECT 2::BIGINT AS n")
+@query("noisy_stats_regression", "SELECT 2::BIGINT AS n, true AS holds")
 def _(spark, d):
+    """A budget of 100, so that the values at 0.25 and 0.75 must lie near the mean of an unrelated column."""
     f = table(spark, d, "lineitem").clamp(["l_discount", "l_tax"], 0.0, 1.0).impute(["l_discount", "l_tax"])
-    return rows(spark, "n long", [(len(planner.release([known(f).noisy_stats_regression(Usage(1.0), "l_discount", "l_tax")])[0]),)])
+    v = planner.release([known(f).noisy_stats_regression(Usage(100.0), "l_discount", "l_tax")])[0]
+    return rows(spark, "n long, holds boolean", [(len(v), all(abs(x - 0.04) < 0.2 for x in v))])
 
 
 @query("analysis_report", "SELECT 'dp_mean' AS statistic, 'l_quantity' AS variable, 'Laplace' AS mechanism, 0.4::DOUBLE AS epsilon UNION ALL SELECT 'dp_count', '', 'SimpleGeometric', 0.3")
 def _(spark, d):
-    import json
-
     a = Analysis(spark, SOFT)
     x = a.parquet(f"{d}/lineitem.parquet").clamp("l_quantity", 1.0, 50.0).impute("l_quantity").index("l_quantity").resize(number_rows=500)
     x.dp_mean(Usage(0.4))
@@ -515,6 +606,26 @@ def _(spark, d):
     return rows(spark, "statistic string, variable string, mechanism string, epsilon double", [(r["statistic"], ",".join(r["variables"]), r["mechanism"], r["privacyLoss"]["epsilon"]) for r in json.loads(a.report())])
 
 
+@query("public_release", "SELECT count(*)::BIGINT AS n, round(avg(r_regionkey), 6) AS mean, count(*)::BIGINT AS records FROM region")
+def _(spark, d):
+    """Public data leaves as it is, and costs nothing."""
+    a = Analysis(spark, SOFT)
+    x = a.parquet(f"{d}/region.parquet", public=True).to_float("r_regionkey").clamp("r_regionkey", 0.0, 100.0).impute("r_regionkey")
+    n, m = x.count(), x.mean("r_regionkey")
+    got = a.release(n, m, x)
+    assert a.privacy_usage() == Usage(0.0)
+    return rows(spark, "n long, mean double, records long", [(got[n.id][0], round(got[m.id][0], 6), got[x.id].count())])
+
+
+@query("expansion", "SELECT * FROM (VALUES ('count', 'Laplace', 1.0::DOUBLE, 0.25::DOUBLE), ('sum', 'Laplace', 50.0, 0.25)) t(aggregate, mechanism, sensitivity, epsilon)")
+def _(spark, d):
+    """What a private statistic is made of: a plug-in mean of rows of which an individual may have two."""
+    a = Analysis(spark, SOFT)
+    x = a.parquet(f"{d}/lineitem.parquet", rows_per_individual=2).clamp("l_quantity", 1.0, 50.0).impute("l_quantity")
+    parts = a.expand(x.dp_mean(Usage(1.0), "l_quantity", implementation="plug-in", count_upper=10**7))
+    return rows(spark, "aggregate string, mechanism string, sensitivity double, epsilon double", [(p["aggregate"], p["mechanism"], p["sensitivity"][0], p["epsilon"][0]) for p in parts])
+
+
 @query("partitioned_release", "SELECT k AS flag, 0.5::DOUBLE AS epsilon, true AS holds FROM (VALUES ('A'), ('N'), ('R'), ('?')) v(k)")
 def _(spark, d):
     f = items(spark, d).clamp("l_returnflag", categories=["A", "N", "R"], null_value="?").partition("l_returnflag")

@@ -54,6 +54,12 @@ class PrivateFrame:
     keys: tuple[Key, ...] = ()
     identity: int = field(default_factory=lambda: next(_identities))
     public: bool = False
+    rows: DataFrame | None = field(default=None, repr=False)  # what df was derived from, row by row; none: df itself
+    steps: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=(), repr=False)  # from there to df
+
+    @property
+    def base(self) -> DataFrame:
+        return self.df if self.rows is None else self.rows
 
     def __getattr__(self, name: str) -> Callable:
         from hushframe.plans.registry import OPERATORS
@@ -63,10 +69,15 @@ class PrivateFrame:
         return lambda *a, **k: OPERATORS[name](self, *a, **k)
 
     def same_rows(self, df: DataFrame, props: dict[str, Props]) -> PrivateFrame:
-        return replace(self, df=df, props=props)
+        """A choice among the frame's columns."""
+        return replace(self, df=df, props=props, rows=self.base)
+
+    def derive(self, exprs: dict[str, Column], props: dict[str, Props]) -> PrivateFrame:
+        """The frame with columns that are made of its own, row by row."""
+        return replace(self, df=self.df.withColumns(exprs), props=props, rows=self.base, steps=(*self.steps, lambda df: df.withColumns(exprs)))
 
     def new_rows(self, df: DataFrame, **changes) -> PrivateFrame:
-        return replace(self, df=df, identity=next(_identities), **changes)
+        return replace(self, df=df, identity=next(_identities), rows=None, steps=(), **changes)
 
     def of(self, name: str) -> Props:
         if name not in self.props:

@@ -19,7 +19,7 @@ from hushframe.operators.structure import released_column_bind, reshape
 from hushframe.plans import planner
 from hushframe.plans.frame import Aggregate, Noisy, PrivateFrame
 from hushframe.plans.registry import OPERATORS
-from hushframe.privacy import Definition, Ledger, PrivacyError, Usage, parallel, sequential
+from hushframe.privacy import Definition, Ledger, PrivacyError, Usage, effective, parallel, sequential
 from hushframe.sources import readers
 
 #: What released values may go through on the driver.
@@ -138,8 +138,27 @@ class Analysis:
                 if all(i.id in self.released for i in _nodes([*n.args, *n.options.values()]) if isinstance(self._built.get(i.id), (Noisy, _Later))):
                     args, options = [self._value(a) for a in n.args], {k: self._value(v) for k, v in n.options.items()}
                     self.released[n.id] = POST[n.op](*[np.asarray(a) if isinstance(a, list) else a for a in args], **options)
+        public = [(n, x) for n in (wanted or self.nodes) if n.id not in self.released and isinstance(x := self._build(n), (Aggregate, PrivateFrame)) and _frame(x).public]
+        for n, x in public:  # public data leaves as it is: exact aggregates, and frames that are asked for
+            if isinstance(x, Aggregate):
+                exact = planner.evaluate([x])[0]
+                self.released[n.id] = exact if x.frame.keys else exact[()]
+            elif wanted:
+                self.released[n.id] = x.df
         return {n.id: self.released[n.id] for n in (wanted or self.nodes) if n.id in self.released}
 
+    def expand(self, node: Node) -> list[dict]:
+        """What a planned release is made of: the exact aggregates, with what is proved of them and what their noise may use."""
+        x = self._build(node)
+        if not isinstance(x, Noisy):
+            raise PrivacyError("only a private statistic or a mechanism can be expanded")
+        out = []
+        for (a, _), u in zip(x.parts, x.usages if len(x.usages) == len(x.parts) else [x.usage] * len(x.parts)):
+            used = effective(u, a.frame.stability, a.frame.definition.group_size, a.frame.sample)
+            norm = 2 if "gaussian" in x.mechanism.lower() else 1
+            out.append({"aggregate": a.name, "columns": list(a.columns), "mechanism": x.mechanism, "sensitivity": a.sensitivity(norm), "epsilon": [used.epsilon], "delta": [used.delta], "paid": u})
+        return out
+
     def _needed(self, node: Node, wanted: Sequence[Node]) -> bool:
         stack, seen = list(wanted), set()
         while stack:
@@ -161,6 +180,10 @@ class Analysis:
         return json.dumps(rows, default=_plain)
 
 
+def _frame(x: Aggregate | PrivateFrame) -> PrivateFrame:
+    return x.frame if isinstance(x, Aggregate) else x
+
+
 class _Later:
     """Post-processing that waits for a release."""
 

@@ -55,11 +55,10 @@ def evaluate(aggregates: Sequence[Aggregate]) -> list[dict[tuple, list]]:
     return out
 
 
-def release(noisy: Sequence[Noisy], ledger: Ledger | None = None, submission: int = 0) -> list:
-    """Draws each release once. Without keys: a value; with keys: a dict by key. The ledger is charged before anything runs."""
+def release(noisy: Sequence[Noisy], ledger: Ledger | None = None, submission: int = 0, name: str | None = None) -> list:
+    """Draws each release once. Without keys: a value; with keys: a dict by key. The ledger is charged (under name, or each statistic's own) before anything runs."""
     if ledger is not None:
-        for x in noisy:
-            ledger.spend(x.name, parallel([x.usage]), submission)
+        ledger.spend_all([(name or x.name, parallel([x.usage])) for x in noisy], submission)
     parts = [p for x in noisy for p in x.parts]
     exact = iter(evaluate([a for a, _ in parts]))
     out = []

@@ -16,7 +16,12 @@ class PrivacyError(ValueError):
 
 @dataclass(frozen=True)
 class Definition:
-    """What is protected: how many individuals move together, how neighbours differ, and which side channels are closed."""
+    """What is protected: how many individuals move together, how neighbours differ, and which side channels are closed.
+
+    protect_overflow: sums of whole numbers are decimals of 38 digits, so that none fails or wraps. protect_elapsed_time:
+    noise takes the same number of random bits or trials each time. protect_memory_utilization is kept for analyses that
+    declare it; no operator's memory on the driver depends on the rows, and that of executors isn't hidden.
+    """
 
     group_size: int = 1
     neighboring: str = ADD_REMOVE
@@ -117,10 +122,18 @@ class Ledger:
         return sequential(u for _, _, u in self.entries)
 
     def spend(self, name: str, usage: Usage, submission: int = 0) -> None:
-        total = self.spent + usage
+        self.spend_all([(name, usage)], submission)
+
+    def spend_all(self, costs: list[tuple[str, Usage]], submission: int = 0) -> None:
+        """All of some releases, or none of them."""
+        total = self.spent + sequential(u for _, u in costs)
         if self.limit and (total.epsilon > self.limit.epsilon * (1 + 1e-12) or total.delta > self.limit.delta * (1 + 1e-12)):
-            raise PrivacyError(f"{name} would take the budget to {total}, over {self.limit}")
-        self.entries.append((submission, name, usage))
+            raise PrivacyError(f"{', '.join(n for n, _ in costs)} would take the budget to {total}, over {self.limit}")
+        self.entries += [(submission, name, u) for name, u in costs]
+
+    def of(self, name: str) -> Usage:
+        """What was spent under a name."""
+        return sequential(u for _, n, u in self.entries if n == name)
 
     def by_submission(self) -> dict[int, Usage]:
         return {s: sequential(u for t, _, u in self.entries if t == s) for s in sorted({s for s, _, _ in self.entries})}

@@ -1,10 +1,13 @@
+import collections
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from hushframe.functions import columns as C
-from hushframe.operators import aggregates as A
 from hushframe.operators import noise as N
+from hushframe.operators import preprocess, structure
+from hushframe.operators import ranks as R
 from hushframe.plans import graph, planner
 from hushframe.plans.frame import PrivateFrame
 from hushframe.privacy import SUBSTITUTE, Definition, Ledger, PrivacyError, Usage
@@ -118,13 +121,134 @@ def test_resize(spark):
     assert f.resize(number_rows=500).df.distinct().count() == 500
 
 
-def test_exact_ranks_by_brackets(spark, monkeypatch):
-    monkeypatch.setattr(A, "SORTED_AT_ONCE", 50)
-    f = readers.from_dataframe(spark.range(5000).selectExpr("cast((id * 7919) % 5000 as double) as x"), SOFT).clamp("x", 0.0, 5000.0).impute("x")
+def test_exact_ranks_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(R, "LEAF_ROWS", 50)
+    monkeypatch.setattr(R, "KEY_CELLS", 7)
+    f = readers.from_dataframe(spark.range(5000).selectExpr("cast((id * 7919) % 5000 as double) as x", "cast(id % 3 as string) as g"), SOFT).clamp("x", 0.0, 5000.0).impute("x")
     for alpha in (0.0, 0.3, 0.5, 1.0):
         assert value(f.quantile("x", alpha=alpha, interpolation="lower")) == [float(math.floor(4999 * alpha))]
     same = readers.from_dataframe(spark.range(500).selectExpr("1.0D as x"), SOFT).clamp("x", 0.0, 2.0).impute("x")
     assert value(same.median("x")) == [1.0]
+    parts = f.clamp("g", categories=["0", "1", "2", "9"], null_value="?").partition("g")
+    got = planner.evaluate([parts.new_rows(parts.df, not_empty=True).quantile("x", alpha=0.5, interpolation="linear")])[0]
+    for g in range(3):
+        x = sorted((i * 7919) % 5000 for i in range(5000) if i % 3 == g)
+        k = (len(x) - 1) * 0.5
+        assert got[(str(g),)] == [(x[math.floor(k)] + x[math.ceil(k)]) / 2]
+    assert math.isnan(got[("9",)][0])
+
+
+def test_ranks_of_wide_and_tied_values(spark):
+    wide = [-math.inf, -1.7e308, -1e-320, 0.0, 5e-324, 1e-310, 1.0, 1.0, 1.0, 1e200, 1.7e308, math.inf, math.inf]
+    df = spark.createDataFrame([(float(v),) for v in wide], "x double").repartition(3)
+    cells = R.first_cells(df, F.col("x"), [])
+    got = R.at_places(df, F.col("x"), [], {(): list(range(len(wide)))}, cells)[()]
+    assert [got[i] for i in range(len(wide))] == sorted(wide)
+
+
+@pytest.mark.parametrize(("leaf", "cells"), [(20_000, 4096), (0, 2)])
+def test_gaps_are_drawn_by_their_weight(spark, monkeypatch, leaf, cells):
+    """Shares of 4,000 draws against the weights of all gaps, with and without cells that are narrowed."""
+    x = sorted([0.5, 1.0, 1.0, 1.0, 2.5, 2.75, 4.0, 4.5, 7.0, 7.0])
+    z, epsilon = [0.0, *x, 10.0], 0.7
+    weights = {}
+    for i in range(1, len(z)):
+        if z[i] > z[i - 1]:
+            weights[z[i - 1], z[i]] = (z[i] - z[i - 1]) * math.exp(-epsilon / 2 * math.ceil(abs(i - len(z) / 2)))
+    total, draws = sum(weights.values()), 4000
+
+    def counted(c):  # the cells that a job would count
+        inside = [v for v in x if c.low <= v <= c.high]
+        parts = {v: v for v in inside} if c.count <= leaf else {v: min(int((v - c.low) / (c.high - c.low) * cells), cells - 1) for v in inside}
+        out, before = [], c.before
+        for p in sorted(set(parts.values())):
+            own = [v for v in inside if parts[v] == p]
+            out.append(R.Cell(min(own), max(own), len(own), before))
+            before += len(own)
+        return out
+
+    rng, seen = N.Seeded(f"gaps{leaf}"), collections.Counter()
+    for _ in range(draws):
+        g = R._draw([R.Cell(0.5, 7.0, 10, 0)], 0.0, 10.0, epsilon, rng)
+        try:
+            ask = next(g)
+            while True:
+                ask = g.send(counted(ask))
+        except StopIteration as e:
+            seen[e.value] += 1
+    assert set(seen) <= set(weights)
+    for gap, w in weights.items():
+        p = w / total
+        assert abs(seen[gap] - draws * p) <= 5 * math.sqrt(draws * p * (1 - p)) + 1
+    df = spark.createDataFrame([(v, "a") for v in x] + [(float("nan"), "b"), (3.0, "b")], "x double, g string")
+    monkeypatch.setattr(R, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(R, "KEY_CELLS", cells)
+    got = R.draw_gaps(df, F.col("x"), ["g"], [("a",), ("b",), ("c",)], 0.0, 10.0, 50.0, N.Seeded("keys"))
+    assert got["a",] in weights and got["b",] in {(0.0, 3.0), (3.0, 10.0)} and got["c",] == (0.0, 10.0)
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbers_over_partitions(spark, tmp_path, coalesce):
+    """A million rows in eight files: all places differ, parts are even, and matchings are whole."""
+    path = str(tmp_path / "rows")
+    spark.range(0, 1_000_000, 1, 8).selectExpr("cast(id % 1000 as double) as x", "cast(id % 7 as double) as y", "cast(id as string) as pad").write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        f = readers.read_parquet(spark, path, definition=Definition(protect_floating_point=False, neighboring=SUBSTITUTE)).clamp(["x", "y"], [0.0, 0.0], [1000.0, 10.0]).impute(["x", "y"])
+        f = f.new_rows(f.df, n=1_000_000)
+        placed = structure.numbering(f.df, ["x"])
+        r = placed.agg(F.count_distinct("__n").alias("n"), F.min("__n").alias("low"), F.max("__n").alias("high")).first()
+        assert (r["n"], r["low"], r["high"]) == (1_000_000, 0, 999_999)
+        parts = f.partition_even(7, "x").df.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("z")).orderBy("part").collect()
+        assert [p["n"] for p in parts] == structure.even_lengths(1_000_000, 7) and all(p["z"] <= q["a"] for p, q in zip(parts, parts[1:]))
+        for seed in range(3):
+            assert f.theil_sen("x", "y", k=2, rng=N.Seeded(f"r{seed}")).df.count() == 2 * 500_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10])
+def test_matchings(spark, n):
+    """In each round every point has one partner (but one of an odd number), and no pair comes twice."""
+    definition = Definition(protect_floating_point=False, neighboring=SUBSTITUTE)
+    f = readers.from_dataframe(spark.range(n).selectExpr("cast(id as double) as x", "cast(id * id as double) as y"), definition).clamp(["x", "y"], [0.0, 0.0], [100.0, 1000.0]).impute(["x", "y"])
+    k = 3
+    lines = [r["slope"] for r in f.theil_sen("x", "y", k=k).df.collect()]
+    assert len(lines) == k * (n // 2)
+    if n > 4:  # the slope of points i and j is i + j
+        assert len(set(map(round, lines))) >= k and set(map(round, lines)) <= {i + j for i in range(n) for j in range(i)}
+
+
+def test_resize_keeps_partitions(spark):
+    f = readers.from_dataframe(spark.range(0, 200_000, 1, 8).selectExpr("cast(id as double) as x"), SOFT).clamp("x", 0.0, 1e6).impute("x")
+    g = f.resize(number_rows=100_000, seed=3)
+    assert g.df.count() == 100_000 == g.df.distinct().count() and g.df.rdd.getNumPartitions() > 1
+    assert abs(g.df.agg(F.avg("x")).first()[0] - 100_000) < 2000 and f.resize(number_rows=0 + 1).df.count() == 1
+    counts = {preprocess.sampled_count(0.3, 1000, SOFT) for _ in range(30)}
+    assert len(counts) > 1 and all(200 < c < 400 for c in counts) and preprocess.sampled_count(0.3, 1000, Definition(neighboring=SUBSTITUTE)) == 300
+
+
+def test_inverse_normal(spark):
+    from statistics import NormalDist
+
+    p = [1e-300, 1e-12, 0.001, 0.02, 0.3, 0.5, 0.7, 0.98, 0.999999, 1 - 1e-15]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select(C.inverse_normal(F.col("p"))).collect()
+    assert all(math.isclose(r[0], NormalDist().inv_cdf(x), rel_tol=1e-8, abs_tol=1e-8) for r, x in zip(got, p))
+
+
+def test_columns_bound(spark, small):
+    a = small.clamp("x", 0.0, 2.0).index("x").to_dataframe(["x2"])
+    b = small.multiply("y", "y", 2.0).index("y")
+    c = small.index("y").to_dataframe(["old"])
+    both = a.column_bind(b, c)
+    assert both.df.columns == ["x2", "y", "old"] and both.of("x2").upper == 2.0
+    assert sorted(map(tuple, both.df.collect())) == [(1.0, 20.0, 10.0), (2.0, 40.0, 20.0), (2.0, 60.0, 30.0)]
+    nested = both.index("old").column_bind(small.index("g"), both.index("x2"))
+    assert sorted(map(tuple, nested.df.collect())) == [(10.0, "a", 1.0), (20.0, "b", 2.0), (30.0, "a", 2.0)]
+    assert value(both.sum(["x2", "y"])) == [5.0, 120.0]
+    for other in (small.index("x").new_rows(small.df), small.greater_than("m", "x", 1.0).filter("m").index("y")):
+        with pytest.raises(PrivacyError):
+            small.index("g").column_bind(other)
 
 
 def test_theil_sen_and_gumbel(spark):
@@ -165,6 +289,29 @@ def test_stream(spark, tmp_path):
     assert len(seen) == 2 and ledger.spent == Usage(2.0) and sum(v[0][0] for v in seen.values()) > 100
 
 
+def test_stream_after_a_restart(spark, tmp_path):
+    """A batch whose sink failed is handed on with the same values, and is paid for once; a new process' ledger knows the cost."""
+    spark.range(100).selectExpr("cast(id as double) as x").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("x double").parquet(str(tmp_path / "in"))
+    first, second, folder = {}, {}, str(tmp_path / "cp")
+    plan = lambda f: [f.dp_count(1.0, upper=10_000, mechanism="laplace"), f.clamp("x", 0.0, 100.0).impute("x").dp_sum(0.5, "x")]
+
+    def fails(number, values):
+        first[number] = values
+        raise RuntimeError("no sink")
+
+    q = release_stream(stream, plan, fails, Ledger(Usage(2.0)), SOFT, checkpoint=folder)
+    with pytest.raises(Exception, match="no sink"):
+        q.awaitTermination()
+    ledger = Ledger(Usage(2.0))
+    release_stream(stream, plan, second.__setitem__, ledger, SOFT, checkpoint=folder).awaitTermination()
+    assert first == second and len(first) == 1 and ledger.spent == Usage(1.5)
+    release_stream(stream, plan, second.__setitem__, ledger, SOFT, checkpoint=folder).awaitTermination()
+    assert ledger.spent == Usage(1.5)
+    with pytest.raises(PrivacyError):
+        ledger.spend("more", Usage(1.0))
+
+
 def test_empty_tables(spark):
     f = readers.literal(spark, {"x": [1.0]}, SOFT).clamp("x", 0.0, 2.0).impute("x")
     e = f.same_rows(f.df.where("false"), f.props)
