@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 import zlib
 
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.plans import shared
+
 #: Bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Letters for the same on the JVM, with translate().
@@ -24,24 +23,11 @@ BROADCAST_ROWS = 500_000
 WORD_TABLE = 300_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (a local session), one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="hushframe-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
 class Work:
-    """A folder of written tables under the shared one: each cuts the lineage and outlives the executor that made it."""
+    """A folder of written tables under the application's shared one, which goes when the driver ends: each table cuts the lineage and outlives the executor that made it."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, f"{shared.own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
     def path(self, name: str) -> str:
@@ -58,10 +44,8 @@ class Work:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            at = jvm.org.apache.hadoop.fs.Path(t._hush_path)
-            at.getFileSystem(conf).delete(at, True)
+            shared.delete(self.spark, t._hush_path)
 
     def release(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished steps, which it finds by garbage collection."""
@@ -69,6 +53,12 @@ class Work:
         self.spark._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small table has fewer partitions than the cluster has cores; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def size_of(df: DataFrame, col: str = "text") -> tuple[int, int]:
     """Rows and bytes of a string column, for numbers of blocks; one aggregate that reads one column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("b")).first()

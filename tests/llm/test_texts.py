@@ -306,3 +306,14 @@ def test_archive_of_a_filedesc_page(spark, folder):
     pages = [("filedesc://x", "a page"), ("http://a/", "another"), ("filedesc://y z", "third"), ("filedesc://", None)]
     got = {r["page_id"]: r["payload_bytes"] for r in warc.op9_warc(spark, folder([], pages=pages)).collect()}
     assert got == {0: 6, 1: 7, 2: 5, 3: 0}
+
+
+def test_cleaned_texts(spark, prose):
+    good = prose(12, 1) + "."
+    texts = [None, "", f"{good}\nHome | About | News\n\n{good}\n", good, "a\tb c\r\nall rights reserved\x0b", f"{good}\nSubscribe to our newsletter now."]
+    docs = spark.createDataFrame([(i, t, "kept by") for i, t in enumerate(texts)], "doc_id long, body string, `the rest` string")
+    got = {r["doc_id"]: r for r in quality.judge(docs, "body").collect()}
+    assert [got[i]["clean_text"] for i in range(6)] == ["", "", f"{good}\n\n{good}\n", good, "a\tb c\r", good]
+    assert got[0]["the rest"] == "kept by" and got[0]["body"] is None
+    with pytest.raises(ValueError, match="named like results"):
+        quality.judge(docs.withColumn("kept", docs.doc_id), "body")
