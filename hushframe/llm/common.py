@@ -19,6 +19,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows (of a few numbers each) up to which a counted table is broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of one key over which a join by a shuffle treats it by itself.
+HOT_ROWS = 100_000
 #: Entries after which a worker's table of words is emptied; only memory depends on it.
 WORD_TABLE = 300_000
 
@@ -74,6 +76,35 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def lookup(left: DataFrame, right: DataFrame, on: str, most: int | None = None) -> DataFrame:
+    """left with the columns of right, a table with one row a value of on (or none). most: a bound on right's rows, if one is known.
+
+    A small right side is broadcast, as counted. Beyond that, values that over HOT_ROWS rows of left have are looked up in
+    a broadcast of just those (there are few by their definition); other rows are joined by a shuffle, in which a row without
+    a match to find (on is null, or found already) is dealt by its own hash. So no value is a hot task.
+    """
+    if most is not None and most <= BROADCAST_ROWS or right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, "left")
+    values, names = [c for c in right.columns if c != on], left.columns
+    often = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(on)
+    hot = right.join(F.broadcast(often), on, "left_semi").select(F.col(on).alias("__hot"), F.struct(*values).alias("__found"))
+    own = left.withColumn("__row", F.struct(*names)).select("__row", F.col(on).alias("__on")).join(F.broadcast(hot), F.col("__on") == F.col("__hot"), "left")
+    asked = F.when(F.col("__found").isNull(), F.col("__on"))
+    own = own.withColumn("__asked", asked).withColumn("__salt", F.when(F.col("__asked").isNull(), F.xxhash64("__row") % 1024).otherwise(0))
+    rest = right.select(F.col(on).alias("__asked"), F.lit(0).cast("long").alias("__salt"), F.struct(*values).alias("__cold"))
+    out = own.join(rest, ["__asked", "__salt"], "left").withColumn("__value", F.coalesce("__found", "__cold"))
+    return out.select(F.col(f"__row.{on}").alias(on), *[F.col(f"__row.{c}").alias(c) for c in names if c != on], *[F.col(f"__value.{c}").alias(c) for c in values])
+
+
+def once(work: Work, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of rows that have the same key and text. Only rows whose key is repeated are shuffled."""
+    again = work.table(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "again")
+    if again.isEmpty():
+        return docs
+    single, many = (docs.join(small(again), key, how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    return work.table(single.unionByName(many.dropDuplicates([key, text])), "once")
+
+
 def lowered(col: str | Column) -> Column:
     return F.translate(F.col(col) if isinstance(col, str) else col, UPPER_LETTERS, LOWER_LETTERS)
 
@@ -130,10 +161,21 @@ def unpack_counts(b: bytes) -> np.ndarray:
 
 
 def pack_keys(x: np.ndarray) -> bytes:
-    """Sorted keys as 32-bit gaps, or whole where a gap is longer."""
-    gaps = np.diff(x, prepend=np.uint64(0))
-    return b"g" + gaps.astype("<u4").tobytes() if len(x) and gaps.max() < 1 << 32 else b"w" + x.astype("<u8").tobytes()
+    """Keys in 32-bit gaps if they are sorted and lie close, in five bytes each if these hold them, else whole."""
+    if len(x) and (x[1:] >= x[:-1]).all():
+        gaps = np.diff(x, prepend=np.uint64(0))
+        if gaps.max() < 1 << 32:
+            return b"g" + gaps.astype("<u4").tobytes()
+    if len(x) and x.max() < 1 << 40:
+        return b"f" + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return b"w" + x.astype("<u8").tobytes()
 
 
 def unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, "<u4", offset=1), dtype=np.uint64) if b[:1] == b"g" else np.frombuffer(b, "<u8", offset=1)
+    if b[:1] == b"g":
+        return np.cumsum(np.frombuffer(b, "<u4", offset=1), dtype=np.uint64)
+    if b[:1] == b"f":
+        out = np.zeros((len(b) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, 5)
+        return out.view("<u8")[:, 0]
+    return np.frombuffer(b, "<u8", offset=1)

@@ -6,15 +6,17 @@ N_B * ROWS_B hash functions (68 in place of 800). Two sets of similarity s meet
 (1 - (1 - s^ROWS_A)^N_A) * (1 - (1 - s^ROWS_B)^N_B): 0.9996 at 0.75, over 0.99999 from 0.81.
 
 1. Texts of equal shingle sets are one set, named by its smallest id, before any key is made.
-2. Each table's bucket is a star around its smallest id (a streaming window, nothing is collected); the stars' connected
-   components are groups of sets that might be linked.
+2. Each table's bucket is a star around its smallest id (a streaming window, nothing is collected; what a batch of sets
+   shares is cut down to its smallest id before the shuffle); the stars' connected components are groups of sets that
+   might be linked.
 3. A group's sets are compared exactly, all with all, by tiles of at most CHUNK x CHUNK sets: a large group is spread over
-   many tasks, and a tile returns a spanning forest of its links, not its pairs.
+   many tasks (about PARTS * PARTS / 2 at least), and a tile returns a spanning forest of its links, not its pairs.
 4. Connected components of the links.
 
 Defined results: a text of no words (null, empty, white space) has no shingles and is linked with nothing, itself included
 in its own component; with fewer than five words the whole sequence is one shingle. Shingles are 64-bit hashes, sets of
-them are named by 128-bit hashes. Ids are taken to be unique; columns beside those named are ignored.
+them are named by 128-bit hashes. A repeated row (same id, same text) has the same result each time; otherwise ids are
+taken to be unique. A very long text is one set in one worker (some 60 bytes a word). Columns beside those named are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import Work, as_long, mix, small, word_hashes
+from hushframe.llm.common import Work, as_long, lookup, mix, once, small, spread, word_hashes
 from hushframe.llm.components import components
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 N_A, ROWS_A, N_B, ROWS_B = 16, 3, 10, 2
-#: Sets of a tile's side; shared shingles that are multiplied at once.
-CHUNK, SLICE = 1024, 8192
+#: Sets of a tile's side, at most; of groups that could be one tile or few, a side of FINE, but no more than PARTS sides; shared shingles that are multiplied at once.
+CHUNK, FINE, PARTS, SLICE = 1024, 128, 16, 8192
 
 _seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (2, N_A * ROWS_A + N_B * ROWS_B), dtype=np.uint64)
 _XOR, _TIMES = _seeds[0] << np.uint64(1), _seeds[1] | np.uint64(1)
@@ -140,10 +142,10 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[t
 
 def links(work: Work, docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """(src, dst) of links that span each group; members: id, root."""
-    sizes = members.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > CHUNK)
+    sizes = members.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > FINE)
     everyone = members.union(members.select("root", "root").distinct())
-    large = sizes.select("root", F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
-    placed = work.table(everyone.join(small(large), "root", "left").withColumn("c", F.coalesce("c", F.lit(1))), "placed")
+    sides = F.greatest(F.ceil(F.col("n") / CHUNK), F.least(F.ceil(F.col("n") / FINE), F.lit(PARTS)))
+    placed = work.table(lookup(everyone, sizes.select("root", sides.cast("int").alias("c")), "root").select("id", "root", F.coalesce("c", F.lit(1)).alias("c")), "placed")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(small(placed), "id")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,24 +191,55 @@ def links(work: Work, docs: DataFrame, members: DataFrame, key: str, text: str)
     return tiles.mapInArrow(compare, "src long, dst long")
 
 
+def table_keys(reps: DataFrame) -> DataFrame:
+    """table_key, id and centre of reps (id, a, b): a row for each of the tables; centre is null.
+
+    Of the ids of a batch that share a key, only the least goes on under it; each other one has a row with that least id as
+    its centre, once, under a key of its own. So a key that very many sets share is cut down before it is shuffled.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if not x.num_rows:
+                continue
+            ids = x.column("id").to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            ids, n = ids[order], len(ids)
+            a, b = (c.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)[order] for c in (x.column("a"), x.column("b")))
+            table = np.arange(a.shape[1] * b.shape[1], dtype=np.uint64).reshape(a.shape[1], b.shape[1])
+            keys = mix(mix(a)[:, :, None] * _BASE + b[:, None, :] + mix(table + _BASE)[None]).ravel()
+            doc = np.repeat(np.arange(n), table.size)
+            by = np.argsort(keys, kind="stable")
+            keys, doc = keys[by], doc[by]
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            first = doc[new]
+            again = np.unique((doc * n + np.repeat(first, np.diff(np.r_[np.flatnonzero(new), len(keys)])))[~new])
+            own, centre = ids[again // n], ids[again % n]
+            apart = own != centre
+            own, centre = own[apart], centre[apart]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.r_[as_long(keys[new]), as_long(mix(own.view(np.uint64)))]), pa.array(np.r_[ids[first], own]),
+                pa.array(np.r_[np.zeros(len(first), np.int64), centre], mask=np.r_[np.ones(len(first), bool), np.zeros(len(own), bool)]),
+            ], ["table_key", "id", "centre"])
+
+    return reps.select("id", "a", "b").mapInArrow(work, "table_key long, id long, centre long")
+
+
 def near_duplicates(work: Work, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id and kept of every document."""
-    all_sketches = work.table(sketches(docs, key, text), "sketches")
+    all_sketches = work.table(sketches(spread(docs), key, text), "sketches")
     copies = all_sketches.where("name is not null").groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("name", "first")
-    named = work.table(all_sketches.select("id", "n", "name").join(copies, "name", "left").select("id", "n", F.coalesce("first", "id").alias("rep")), "named")
-    reps = all_sketches.where("n > 0").join(named.where("id <> rep").select("id"), "id", "left_anti")
-    keys = (
-        reps.select("id", "b", F.posexplode("a").alias("i", "x")).select("id", "i", "x", F.posexplode("b").alias("j", "y"))
-        .select("id", F.xxhash64("i", "x", "j", "y").alias("table_key"))
-    )
+    copies = work.table(copies, "copies")
+    named = work.table(lookup(all_sketches.select("id", "n", "name"), copies, "name").select("id", "n", F.coalesce("first", "id").alias("rep")), "named")
+    reps = all_sketches.where("n > 0").join(small(named.where("id <> rep").select("id")), "id", "left_anti")
     bucket = Window.partitionBy("table_key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = keys.withColumn("centre", F.first("id").over(bucket)).where("id <> centre").select(F.col("id").alias("src"), F.col("centre").alias("dst")).distinct()
+    stars = table_keys(reps).withColumn("centre", F.coalesce("centre", F.first("id").over(bucket))).where("id <> centre").select(F.col("id").alias("src"), F.col("centre").alias("dst")).distinct()
     groups = components(work, work.table(stars, "candidates"))
-    work.drop(all_sketches)
+    work.drop(all_sketches, copies)
     work.release()
     linked = components(work, work.table(links(work, docs, groups, key, text), "links"))
     work.release()
-    out = named.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    out = lookup(named, linked.select(F.col("id").alias("rep"), "root"), "rep").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
@@ -215,15 +248,6 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(Work(spark, "minhash"), docs)
 
 
-def once(work: Work, docs: DataFrame) -> DataFrame:
-    """docs with one row of rows that have the same doc_id and text. Only rows whose doc_id is repeated are shuffled."""
-    again = work.table(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return docs
-    single, many = (docs.join(small(again), "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
-    return work.table(single.unionByName(many.dropDuplicates(["doc_id", "text"])), "once")
-
-
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id, of repeated rows (same doc_id and text) one."""
     work = Work(spark, "minhash")
