@@ -1,6 +1,7 @@
 """Analyses as graphs: nodes are operators with arguments, which are values or other nodes.
 
-validate() checks the whole graph without a Spark job (but for resize, which counts); release() runs what is asked for in
+validate() checks the whole graph without a Spark job (but for resize, even parts and lines through pairs, which count or
+number rows); release() runs what is asked for in
 as few jobs as there are row sets, charges the ledger once, and keeps what is released: asking again returns the same
 values, and never draws again.
 """
