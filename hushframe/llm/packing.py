@@ -1,7 +1,8 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-Documents are encoded, given a locality key (the least hash of their ids' pairs, so texts that share phrases tend to lie
-together) and dealt into shards by ranges of that key and doc_id. A shard has one BM25 inverted index over the token ids
+Documents are encoded, given a locality key (the least hash of their ids' pairs, hashed again so that long texts, whose
+least hashes are small, lie everywhere; texts that share phrases tend to share it) and dealt into shards by ranges of that
+key and doc_id, so that copies lie together but any number of them is cut by doc_id. A shard has one BM25 inverted index over the token ids
 of all its documents. A window begins with a seed (what is left of the last document, or else the next unused one); the
 index returns the unused neighbours of the seed among all documents of the shard, best first, and they fill the window
 greedily. The document that crosses the window's end is cut there and its rest is the next seed, so windows have no
@@ -26,16 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from hushframe.llm.common import Work, as_long, mix, parts, size_of
+from hushframe.llm.common import Work, as_long, mix, parts, size_of, spread
 from hushframe.llm.tokens import default_path, encoder
 
 WINDOW, END = 2048, 1
-#: BM25's parameters; bytes of ids of a shard, about; texts encoded at once.
-K1, B, SHARD_BYTES, BATCH = 1.2, 0.75, 32 << 20, 256
+#: BM25's parameters; ids of a shard, about; texts encoded at once.
+K1, B, SHARD_IDS, BATCH = 1.2, 0.75, 8 << 20, 1024
+#: Cells an id up to which documents are counted in tables of all terms, not by sorting.
+CELLS = 16
 #: Ids that are counted at once; neighbours sorted at first (more follow if a window asks for them); pieces put out at once.
 BLOCK, FIRST, ROWS = 1 << 20, 32, 8192
 #: Used documents leave the lists when fewer than this share of those in them is unused.
 LIVE = 0.8
+#: A term in at least this share of a shard's documents has a row of weights of all documents in place of a list.
+DENSE = 0.06
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -56,64 +61,77 @@ class Documents:
     def __getitem__(self, i: int) -> np.ndarray:
         return self.flat[self.begins[i] : self.begins[i + 1]]
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """term, document, occurrences: by document, then by term."""
-        found, at = [], 0
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """slot (a number for each term that occurs), document, occurrences: by document, then by slot; and the number of slots."""
+        seen = np.bincount(self.flat, minlength=1) > 0
+        number, v = (np.cumsum(seen) - 1).astype(np.int32), int(np.count_nonzero(seen))
+        found, at, table = [], 0, v * len(self) <= CELLS * len(self.flat)
         while at < len(self):
             to = max(at + 1, int(np.searchsorted(self.begins, self.begins[at] + BLOCK, "right")) - 1)
-            part = self.flat[self.begins[at] : self.begins[to]].astype(np.uint64)
-            part |= np.repeat(np.arange(at, to, dtype=np.uint64), np.diff(self.begins[at : to + 1])) << np.uint64(32)
-            code, tf = np.unique(part, return_counts=True)
-            found.append((code.astype(np.uint32), (code >> np.uint64(32)).astype(np.int64), tf.astype(np.int32)))
+            to = min(to, at + max(1, BLOCK // v)) if table else to
+            code = number[self.flat[self.begins[at] : self.begins[to]]].astype(np.int64)
+            code += np.repeat(np.arange(to - at, dtype=np.int64) * v, np.diff(self.begins[at : to + 1]))
+            if table:
+                tf = np.bincount(code)
+                code = np.flatnonzero(tf)
+                tf = tf[code]
+            else:
+                code, tf = np.unique(code, return_counts=True)
+            doc = code // v
+            found.append((code - doc * v, doc + at, tf))
             at = to
-        return tuple(np.concatenate(x) for x in zip(*found))
+        return *(np.concatenate(x) for x in zip(*found)), v
 
 
 class Index:
-    """A BM25 inverted index of documents."""
+    """A BM25 inverted index of documents: lists of documents and weights; of frequent terms, rows of weights."""
 
     def __init__(self, ids: list[np.ndarray] | Documents):
         documents = ids if isinstance(ids, Documents) else Documents.of(ids)
         n, sizes = len(documents), np.diff(documents.begins)
-        term, docs, tf = documents.counts()
-        _, slot, df = np.unique(term, return_inverse=True, return_counts=True)
+        slot, docs, tf, v = documents.counts()
+        df = np.bincount(slot, minlength=v)
         idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0)
         norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1))
         keep = ((idf > 0) & (df > 1))[slot]  # a list of the seed alone has no neighbour
         self.slots, docs, tf = slot[keep], docs[keep], tf[keep]
         self.ends = np.searchsorted(docs, np.arange(n + 1))
-        order = np.argsort(self.slots, kind="stable")
-        self.docs = docs[order].astype(np.int32)
-        self.weights = (idf[self.slots] * tf * (K1 + 1) / (tf + norm[docs])).astype(np.float32)[order]
-        self.starts = np.r_[0, np.cumsum(np.bincount(self.slots, minlength=len(df)))]
+        weights = idf[self.slots] * tf * (K1 + 1) / (tf + norm[docs])
+        wide = (df >= DENSE * n) & (idf > 0) & (df > 1)
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)  # of a term: its row, or -1
+        at, listed = self.row[self.slots], ~wide[self.slots]
+        self.rows = np.zeros((int(wide.sum()), n), np.float32)
+        self.rows[at[~listed], docs[~listed]] = weights[~listed]
+        order = np.argsort(self.slots[listed], kind="stable")
+        self.docs, self.weights = docs[listed][order], weights[listed][order]  # of the types that bincount works on
+        self.starts = np.r_[0, np.cumsum(np.bincount(self.slots[listed], minlength=len(df)))]
         self.live = np.arange(n)  # the documents that the lists' numbers stand for
 
     def forget(self, unused: np.ndarray) -> None:
-        """Takes the documents out of the lists that are used, if they are many."""
+        """Takes the documents out of the lists and rows that are used, if they are many."""
         left = unused[self.live]
         if np.count_nonzero(left) >= LIVE * len(left):
             return
         keep = left[self.docs]
         self.starts = np.r_[0, np.cumsum(keep)][self.starts]
-        self.docs, self.weights = (np.cumsum(left, dtype=np.int32) - 1)[self.docs[keep]], self.weights[keep]
+        self.docs, self.weights = (np.cumsum(left) - 1)[self.docs[keep]], self.weights[keep]
+        self.rows = np.ascontiguousarray(self.rows[:, left])
         self.live = self.live[left]
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
         """The unused documents that share a weighted term with a seed document (at most so many), by falling score."""
         slots = self.slots[self.ends[seed] : self.ends[seed + 1]]
-        lists = [slice(a, z) for a, z in zip(self.starts[slots].tolist(), self.starts[slots + 1].tolist()) if a < z]
-        if not lists:
-            return np.empty(0, np.int64)
-        docs, weights = (np.concatenate([x[k] for k in lists]) for x in (self.docs, self.weights))
-        if len(docs) < len(self.live) // 8:
-            found, docs = np.unique(docs, return_inverse=True)
-            scores, found = np.bincount(docs, weights), self.live[found]
-        else:
-            scores, found = np.bincount(docs, weights, len(self.live)), self.live
-        scores[~unused[found]] = 0.0
+        row = self.row[slots]
+        scores = np.add.reduce(self.rows[row[row >= 0]], axis=0, dtype=np.float32) if len(self.rows) else np.zeros(len(self.live), np.float32)
+        listed = slots[row < 0]
+        lists = [slice(a, z) for a, z in zip(self.starts[listed].tolist(), self.starts[listed + 1].tolist()) if a < z]
+        if lists:
+            docs, weights = (np.concatenate([x[k] for k in lists]) for x in (self.docs, self.weights))
+            scores = scores + np.bincount(docs, weights, len(self.live))
+        scores[~unused[self.live]] = 0.0
         least = np.partition(scores, len(scores) - most)[len(scores) - most] if most and most < len(scores) else 0.0
         at = np.flatnonzero((scores >= least) & (scores > 0))
-        return found[at[np.argsort(-scores[at], kind="stable")[:most]]]
+        return self.live[at[np.argsort(-scores[at], kind="stable")[:most]]]
 
 
 class Packer:
@@ -194,25 +212,26 @@ def pack_shard(packer: Packer, keys: np.ndarray, docs: Documents) -> Iterator[No
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, near (the locality key), ids (packed unsigned 32-bit, with the end id)."""
+    """key, near (the locality key), ids (with the end id, packed in the encoder's dtype)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        enc = encoder(tokenizer)
+        tail = np.array([end], enc.dtype).tobytes()
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
-                ids = [x + tail for x in enc.encode(part.column(1).to_pylist())]
+                ids = [x + tail for x in enc.encode(part.column(1))]
                 near = []
                 for x in ids:
-                    a = np.frombuffer(x, "<u4").astype(np.uint64)
+                    a = np.frombuffer(x, enc.dtype).astype(np.uint64)
                     near.append(mix(a[:-1] << np.uint64(32) | a[1:]).min() if len(a) > 1 else np.uint64(0))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(as_long(np.array(near, np.uint64))), pa.array(ids, pa.binary())], [key, "near", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(as_long(near)), pa.array(ids, pa.binary())], [key, "near", "ids"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, f"`{key}` long, near long, ids binary")
 
 
-def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
-    """The pieces (see PIECES) of encoded documents."""
+def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id", dtype: str = "<u4") -> DataFrame:
+    """The pieces (see PIECES) of encoded documents; dtype: of their packed ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 32, window)
@@ -228,8 +247,8 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
                 ids = b.column(1).cast(pa.large_binary())
                 ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
                 keys.append(b.column(0).to_numpy(zero_copy_only=False))
-                flat.append(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4"))
-                sizes.append(np.diff(ends) // 4)
+                flat.append(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype))
+                sizes.append(np.diff(ends) // np.dtype(dtype).itemsize)
         if not keys:
             return
         docs = Documents(np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(sizes))])
@@ -246,9 +265,10 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     work = Work(spark, "packing")
-    encoded = work.table(encode(docs, tokenizer), "encoded")
+    encoded = work.table(encode(spread(docs), tokenizer), "encoded")
     _, size = size_of(encoded, "ids")
-    return work.table(pack(encoded, parts(size, SHARD_BYTES)), "pieces")
+    dtype = encoder(tokenizer).dtype
+    return work.table(pack(encoded, parts(size, SHARD_IDS * np.dtype(dtype).itemsize), dtype=dtype), "pieces")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

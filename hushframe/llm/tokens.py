@@ -7,9 +7,10 @@ same as encoding the text in one call, which the tests check. Where to cut depen
 * byte-level BPE: before a space or a line end that follows a character other than white space, and after a line end
   that one such character follows. A text in which white space follows white space is cut by a regular expression.
 * BPE with word ends, white space dropped: at spaces and line ends.
+* both: between a letter and a mark, where one run of letters ends and one of marks begins.
 
-A new piece that is Latin letters, with at most a space before and a mark behind, is one pre-token (and one of the mark),
-so it goes straight to the library's BPE model; any other piece goes through the whole tokenizer.
+A new piece that is Latin letters, with at most a space before, is one pre-token, so it goes straight to the library's BPE
+model; any other piece goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -18,14 +19,23 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in a table, after which it is emptied; only memory depends on it. Longer pieces aren't kept.
 TABLE, LONGEST = 700_000, 32
-_DOUBLE = re.compile(r"\s\s")
+#: Bytes of texts that are cut at once.
+CHARS = 4 << 20
+#: White space (as Python's \\s has it) that follows white space, or a zero, for Arrow's regular expressions.
+_ODD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
 _PIECES = re.compile(r"\s*\S+|\s+")
 #: Letters that composition leaves alone and whose lower case is one letter of the same kind.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Such a letter and a mark behind it, for Arrow's regular expressions.
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?#$%&*])"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes (the machine's own order on all that Spark runs on)."""
+    """Ids as bytes of dtype: little-endian (the machine's own order on all that Spark runs on), of 16 bits if the vocabulary allows, else of 32."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,51 +53,75 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.byte_level = kind == "ByteLevel"
+        self.dtype, self.kind = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.table: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.marks = {m: self._whole([m])[0] for m in ".,;:!?"} | {"": b""}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _add(self, pieces: set[str]) -> None:
         """Encodes pieces into the table."""
-        others, tokenize, match = [], self.model.tokenize, _WORD.fullmatch
+        others, table, tokenize, match, kind = [], self.table, self.model.tokenize, _WORD.fullmatch, self.kind
         for p in pieces:
-            if m := match(p):
-                word, mark = m.groups()
-                if not self.byte_level:
-                    word = word.lower()
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(self.letters)
-                elif word[0] == " ":
-                    word = self.letters[32] + word[1:]
-                self.table[p] = array("I", [t.id for t in tokenize(word)]).tobytes() + self.marks[mark]
-            else:
+            if match(p) is None:
                 others.append(p)
-        self.table.update(zip(others, self._whole(others)))
-
-    def _pieces(self, text: str) -> list[str]:
+                continue
+            word = p
+            if not self.byte_level:
+                word = p.lower()
+                if word is not p and word in table:
+                    table[p] = table[word]
+                    continue
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            elif word[0] == " ":
+                word = self.letters[32] + word[1:]
+            table[p] = array(kind, [t.id for t in tokenize(word)]).tobytes()
+        table.update(zip(others, self._whole(others)))
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each text's pieces begin (and the last one's end) among all pieces, and the pieces."""
         if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
-        if _DOUBLE.search(text):
-            return _PIECES.findall(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else _PIECES.findall(text)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, without special tokens; null: none."""
-        cut = [self._pieces(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        missing = wanted.difference(self.table)
+            lists = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, _MARK, r"\1 \2"), "\n", " "), " ")
+            return lists.offsets.to_numpy(), lists.flatten()
+        parts = pc.replace_substring_regex(texts, _MARK, "\\1\0\\2")
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(parts, "\n", "\0\n\0"), " ", "\0 "), "\0")
+        odd = pc.match_substring_regex(texts, _ODD)
+        if not pc.any(odd).as_py():
+            return lists.offsets.to_numpy(), lists.flatten()
+        found = pa.array([_PIECES.findall(t) if o else [] for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
+        lists = pc.if_else(odd, found, lists)
+        return lists.offsets.to_numpy(), lists.flatten()
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text, without special tokens; null: none. Texts are worked on some at a time, by their different pieces."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes, out, at = pc.binary_length(texts).to_numpy(zero_copy_only=False), [], 0
+        while at < len(texts):
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), CHARS, "right")))
+            out += self._encode(texts.slice(at, to - at))
+            at = to
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        begins, pieces = self._cut(texts)
+        coded = pieces.dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        missing = set(kinds).difference(self.table)
         if len(self.table) + len(missing) > TABLE:
             self.table.clear()
-            missing = wanted
+            missing = set(kinds)
         self._add(missing)
-        out = [b"".join(map(self.table.__getitem__, c)) for c in cut]
+        ids = pa.array(map(self.table.__getitem__, kinds), pa.large_binary(), size=len(kinds)).take(coded.indices)
         for p in missing:
             if len(p) > LONGEST:
                 del self.table[p]
-        return out
+        if not len(ids):
+            return [b""] * len(texts)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        data, cuts = memoryview(ids.buffers()[2] or b""), ends[begins - begins[0]].tolist()
+        return [bytes(data[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
