@@ -1,15 +1,17 @@
 """Token ids in files: a wavelet matrix per shard.
 
 A shard holds the ids of documents that follow one another by doc_id. Its file is a wavelet matrix: one bit-plane per
-bit of an id, from the highest; below each plane the sequence is dealt into zeros and ones. With counts of ones before
-each block of a plane it answers, without the sequence itself: the id at a place (access), how often an id occurs before
-a place (rank, count) and where its k-th occurrence is (select). Planes are compressed in blocks.
+bit of an id, from the highest; below each plane the sequence is dealt into zeros and ones. With the counts of ones before
+each block of a plane, which the file holds, it answers without the sequence itself: the id at a place (access), how often
+an id occurs before a place or between two (rank, count) and where its k-th occurrence is (select). Planes are compressed in
+blocks; StoredMatrix reads just those that a question needs, from one file.
 
 Files go to the folder that driver and executors share, each under a name of its own attempt; the manifest of committed
 tasks says which files count. Shards are cut by ranges of doc_id, so a hot source or a group of copies is no hot shard.
 
 Defined results: a null text has the end id only, as an empty one. doc_ids are taken to be unique; rows that repeat one
-follow each other. Columns beside those named are ignored. An empty table has no shards.
+follow each other. A very long text makes its shard as long (some 40 bytes an id in the task that writes it). Columns
+beside those named are ignored. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -26,22 +28,29 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.taskcontext import TaskContext
 
 from hushframe.llm.common import Work, parts, size_of
 from hushframe.llm.tokens import default_path, encoder
 
 #: Bytes of text of a shard, about; texts encoded at once; bits of a compressed block; compression level.
-SHARD_BYTES, BATCH, BLOCK_BITS, LEVEL = 16 << 20, 256, 1 << 19, 1
-MAGIC = b"HWM1"
+SHARD_BYTES, BATCH, BLOCK_BITS, LEVEL = 16 << 20, 1024, 1 << 18, 1
+BLOCK_WORDS = BLOCK_BITS // 64
+#: Blocks that an open file keeps; shards of a group in the manifest's running sums.
+KEPT, GROUP = 64, 1000
+MAGIC = b"HWM2"
 END = 0
 
 
 class WaveletMatrix:
-    """A sequence of ids below 2**bits in bit-planes with rank and select."""
+    """A sequence of ids below 2**bits in bit-planes with rank and select.
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.bits, self.planes, self.zeros = n, bits, planes, zeros
-        self._ranks: list[np.ndarray | None] = [None] * bits
+    A plane is words of 64 bits; ones[level][k] counts those before its k-th block of BLOCK_BITS. Here all planes are in
+    memory; StoredMatrix reads blocks of a file as they are asked for.
+    """
+
+    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray]):
+        self.n, self.bits, self.planes, self.zeros, self.ones = n, bits, planes, zeros, ones
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -54,20 +63,25 @@ class WaveletMatrix:
             low = x[~one]
             zeros.append(len(low))
             x = np.concatenate([low, x[one]])
-        return cls(len(ids), bits, planes, zeros)
+        return cls(len(ids), bits, planes, zeros, [_directory(p) for p in planes])
+
+    def block(self, level: int, k: int) -> np.ndarray:
+        """The words of a block."""
+        return self.planes[level][k * BLOCK_WORDS : (k + 1) * BLOCK_WORDS]
 
     def _rank1(self, level: int, i: int) -> int:
-        """Ones before place i of a plane."""
-        words = self.planes[level]
-        if self._ranks[level] is None:
-            self._ranks[level] = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
-        w, r = divmod(i, 64)
-        return int(self._ranks[level][w]) + (int(words[w] & np.uint64((1 << r) - 1)).bit_count() if r else 0)
+        """Ones before place i of a plane: those before its block, and those in the block."""
+        k, r = divmod(i, BLOCK_BITS)
+        w, r = divmod(r, 64)
+        words = self.block(level, k)
+        return int(self.ones[level][k]) + int(np.bitwise_count(words[:w]).sum()) + (int(words[w] & np.uint64((1 << r) - 1)).bit_count() if r else 0)
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 64]) >> i % 64 & 1
+        k, r = divmod(i, BLOCK_BITS)
+        return int(self.block(level, k)[r // 64]) >> r % 64 & 1
 
     def access(self, i: int) -> int:
+        """The id at a place."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
@@ -94,20 +108,24 @@ class WaveletMatrix:
         a, b = self._range(symbol, 0, i)
         return b - a
 
-    def count(self, symbol: int) -> int:
-        return self.rank(symbol, self.n)
+    def count(self, symbol: int, start: int = 0, end: int | None = None) -> int:
+        """Occurrences of a symbol within [start, end)."""
+        a, b = self._range(symbol, start, self.n if end is None else end)
+        return b - a
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) bit of a kind in a plane."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) <= k:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+        """The place of the k-th (from 0) bit of a kind in a plane: its block by the directory, then its word, then its bit."""
+        before = self.ones[level] if bit else np.arange(len(self.ones[level])) * BLOCK_BITS - self.ones[level]
+        block = int(np.searchsorted(before, k, "right")) - 1
+        words = self.block(level, block)
+        k -= int(before[block])
+        each = np.cumsum(np.bitwise_count(words if bit else ~words), dtype=np.int64)
+        w = int(np.searchsorted(each, k, "right"))
+        k -= int(each[w - 1]) if w else 0
+        word = int(words[w]) if bit else ~int(words[w]) & (1 << 64) - 1
+        for _ in range(k):
+            word &= word - 1
+        return block * BLOCK_BITS + w * 64 + (word & -word).bit_length() - 1
 
     def select(self, symbol: int, k: int) -> int:
         """The place of the k-th (from 0) occurrence of a symbol."""
@@ -123,6 +141,18 @@ class WaveletMatrix:
     def occurrences(self, symbol: int) -> list[int]:
         return [self.select(symbol, k) for k in range(self.count(symbol))]
 
+    def access_many(self, places: np.ndarray) -> np.ndarray:
+        """The ids at places, a plane at a time."""
+        i, value = places.astype(np.int64), np.zeros(len(places), np.int64)
+        for level, words in enumerate(self.planes):
+            before = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
+            w, r = i // 64, (i % 64).astype(np.uint64)
+            bit = (words[w] >> r & np.uint64(1)).astype(bool)
+            ones = before[w] + np.bitwise_count(words[w] & ((np.uint64(1) << r) - np.uint64(1)))
+            value = value << 1 | bit
+            i = np.where(bit, self.zeros[level] + ones, i - ones)
+        return value
+
     def all(self) -> np.ndarray:
         """The whole sequence: from the lowest plane up, the two halves are put back in their places."""
         x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
@@ -135,6 +165,28 @@ class WaveletMatrix:
         return x.astype(np.uint32)
 
 
+class StoredMatrix(WaveletMatrix):
+    """A matrix in an open file: access, rank, count and select read (and keep, up to KEPT) just the blocks they need."""
+
+    def __init__(self, f: BinaryIO):
+        head, self.data = _head(f)
+        super().__init__(head["n"], head["bits"], [], head["zeros"], [np.array(o) for o in head["ones"]])
+        sizes = [s for p in head["blocks"] for s in p]
+        self.f, self.kept, self.per_plane = f, {}, len(head["blocks"][0])
+        self.offsets = np.r_[0, np.cumsum(sizes)].tolist()
+        self.doc_ids, self.lengths = _documents(f, head)
+        self.data += head["table"]
+
+    def block(self, level: int, k: int) -> np.ndarray:
+        at = level * self.per_plane + k
+        if at not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept.pop(next(iter(self.kept)))
+            self.f.seek(self.data + self.offsets[at])
+            self.kept[at] = np.frombuffer(zlib.decompress(self.f.read(self.offsets[at + 1] - self.offsets[at])), "<u8")
+        return self.kept[at]
+
+
 def _words(bits: np.ndarray) -> np.ndarray:
     packed = np.packbits(bits, bitorder="little")
     out = np.zeros(-(-len(bits) // 64) + 1, np.uint64)  # a word more, so that the end can be ranked
@@ -142,56 +194,74 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return out
 
 
+def _directory(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block of a plane."""
+    sums = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK_WORDS), dtype=np.int64)
+    return np.r_[0, np.cumsum(sums)[:-1]]
+
+
 def save(out: BinaryIO, matrix: WaveletMatrix, doc_ids: np.ndarray, lengths: np.ndarray) -> None:
-    """One file: header, document table, planes in compressed blocks."""
+    """One file: header with the counts before each block, document table, planes in compressed blocks."""
     table = zlib.compress(np.stack([doc_ids.astype("<i8"), lengths.astype("<i8")]).tobytes(), LEVEL)
-    blocks = [[zlib.compress(p[i : i + BLOCK_BITS // 64].astype("<u8").tobytes(), LEVEL) for i in range(0, len(p), BLOCK_BITS // 64)] for p in matrix.planes]
-    head = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "docs": len(doc_ids), "table": len(table), "blocks": [[len(b) for b in p] for p in blocks]}).encode()
+    blocks = [[zlib.compress(p[i : i + BLOCK_WORDS].astype("<u8").tobytes(), LEVEL) for i in range(0, len(p), BLOCK_WORDS)] for p in matrix.planes]
+    head = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "ones": [o.tolist() for o in matrix.ones], "docs": len(doc_ids), "table": len(table), "blocks": [[len(b) for b in p] for p in blocks]}).encode()
     out.write(MAGIC + len(head).to_bytes(8, "little") + head + table)
     for p in blocks:
         for b in p:
             out.write(b)
 
 
-def load(f: BinaryIO) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
+def _head(f: BinaryIO) -> tuple[dict, int]:
+    """The header, and where it ends."""
     if f.read(4) != MAGIC:
         raise ValueError("no file of token ids")
-    head = json.loads(f.read(int.from_bytes(f.read(8), "little")))
-    doc_ids, lengths = np.frombuffer(zlib.decompress(f.read(head["table"])), "<i8").reshape(2, head["docs"])
+    size = int.from_bytes(f.read(8), "little")
+    return json.loads(f.read(size)), 12 + size
+
+
+def _documents(f: BinaryIO, head: dict) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(f.read(head["table"])), "<i8").reshape(2, head["docs"])
+
+
+def load(f: BinaryIO) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
+    """A whole file: the matrix, doc_ids and lengths."""
+    head, _ = _head(f)
+    doc_ids, lengths = _documents(f, head)
     planes = [np.frombuffer(b"".join(zlib.decompress(f.read(size)) for size in p), "<u8") for p in head["blocks"]]
-    return WaveletMatrix(head["n"], head["bits"], planes, head["zeros"]), doc_ids, lengths
+    return WaveletMatrix(head["n"], head["bits"], planes, head["zeros"], [np.array(o) for o in head["ones"]]), doc_ids, lengths
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, n_shards: int, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes a file a shard, in ascending order of the key; returns the manifest (path, first, last, docs, n)."""
+    """Writes a file a shard, in ascending order of the key; returns the manifest (part: the shard's number in that order, path, first, last, docs, n)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        enc = encoder(tokenizer)
+        tail = np.array([end], enc.dtype).tobytes()
         keys: list[int] = []
         ids: list[bytes] = []
         for b in batches:
             column = b.column(1)
             keys += b.column(0).to_pylist()
             for i in range(0, len(column), BATCH):
-                ids += [x + tail for x in enc.encode(column.slice(i, BATCH).to_pylist())]
+                ids += [x + tail for x in enc.encode(column.slice(i, BATCH))]
         if not keys:
             return
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        whole = np.frombuffer(b"".join(ids), "<u4")
+        whole = np.frombuffer(b"".join(ids), enc.dtype)
+        lengths = np.array([len(x) // whole.itemsize for x in ids], np.int64)
         ids.clear()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         path = f"{base}/{uuid.uuid4().hex}.hwm"
         with fs.open_output_stream(path, compression=None) as out:
             save(out, WaveletMatrix.build(whole), np.array(keys, np.int64), lengths)
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([keys[0]], pa.int64()), pa.array([keys[-1]], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([len(whole)], pa.int64())], ["path", "first", "last", "docs", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([keys[0]], pa.int64()), pa.array([keys[-1]], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([len(whole)], pa.int64())], ["part", "path", "first", "last", "docs", "n"])
 
     ordered = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(n_shards, key).sortWithinPartitions(key)
-    return ordered.mapInArrow(write, "path string, first long, last long, docs long, n long")
+    return ordered.mapInArrow(write, "part long, path string, first long, last long, docs long, n long")
 
 
-def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens, ids_crc32 of each document, from the files of a manifest."""
+def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id", end: int = END) -> DataFrame:
+    """key, start, n_tokens, ids_crc32 of each document, from the files of a manifest; that each ends with the end id is looked up in the matrix."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -201,13 +271,22 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
                     matrix, doc_ids, lengths = load(f)
                 ids = matrix.all().astype("<u4")
                 ends = np.cumsum(lengths)
+                if matrix.n != lengths.sum() or (matrix.access_many(ends - 1) != end).any():
+                    raise ValueError(f"{path}: documents do not end where they should")
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
-    # a row a shard: the running sum of their lengths needs them in one order
-    before = Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("path", "start")
-    return placed.repartition(max(1, manifest.count()), "path").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return begun(manifest).repartition(max(1, manifest.count()), "path").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+
+
+def begun(manifest: DataFrame) -> DataFrame:
+    """path and start (ids of all shards before it) of a manifest: running sums within groups of GROUP shards, and over the sums of groups."""
+    grouped = manifest.withColumn("g", F.floor(F.col("part") / GROUP))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("g").agg(F.sum("n").alias("s"))
+    before = sums.select("g", F.coalesce(F.sum("s").over(earlier(Window.orderBy("g"))), F.lit(0)).alias("before"))  # a row a group
+    own = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("g").orderBy("part"))), F.lit(0))
+    return grouped.withColumn("own", own).join(F.broadcast(before), "g").select("path", (F.col("before") + F.col("own")).alias("start"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
