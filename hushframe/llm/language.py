@@ -7,7 +7,8 @@ what the languages share. The prediction is the prototype of the largest cosine.
 
 Defined results: a null text, or one without a letter, is UND with score 0; so is every text if nothing was learned.
 A null label, or a label on a text without letters, teaches nothing. Of equal cosines the smaller name wins. Repeated
-rows are predicted (and counted in learning) each by itself. Columns beside those named are carried or ignored.
+rows are predicted (and counted in learning) each by itself. A very long text is worked on whole (some 50 bytes a letter).
+Columns beside those named are carried or ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import crc32_mod
+from hushframe.llm.common import crc32_mod, own_columns, spread
 
 UND = "und"
 #: Length of the vectors, letters of an n-gram (fixed by the code at 3) and the fixed-point unit of learned sums.
@@ -33,6 +34,8 @@ BATCH_TEXTS, BATCH_CHARS, SLICE = 256, 2_000_000, 16_384
 LEARN_TEXTS, LEARN_EACH = 20_000, 500
 #: How sharply the score follows the difference of cosines.
 SHARPNESS = 12.0
+#: Letters from which a text's cosine says whether it is in a learned language at all; how far below those of learned texts it must lie.
+SURE_LETTERS, FAR = 200, 0.5
 
 _letters: np.ndarray | None = None
 _vectors: dict[int, np.ndarray] = {}
@@ -57,13 +60,13 @@ def _letter_vectors(points: np.ndarray) -> np.ndarray:
 
 
 def bundle(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The bundled vectors of texts (float32, a row each), and which texts have a letter."""
+    """The bundled vectors of texts (float32, a row each), and how many letters each has."""
     lower = [(t or "").lower() for t in texts]
     sizes = np.array([len(t) for t in lower])
     points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letter = _is_letter()[points]
-    has = np.bincount(doc[letter], minlength=len(texts)) > 0
+    has = np.bincount(doc[letter], minlength=len(texts))
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     if len(points) < 3:
         return out, has
@@ -125,6 +128,19 @@ def shares(counts: dict[str, int]) -> dict[str, float]:
     return {name: cap / n for name, n in counts.items() if n > cap}
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """text and lang of the rows to learn from: those with a label and a letter, LEARN_TEXTS or so, drawn by a hash of the row."""
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in labelled.dtypes if not kind.startswith("map")])
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} labels; they are no languages")
+    if part := shares({r["lang"]: r["n"] for r in counts}):
+        below = labelled.sparkSession.createDataFrame([(name, int(s * (1 << 40))) for name, s in part.items()], "lang string, __below long")
+        labelled = labelled.select("text", "lang", F.pmod(row, F.lit(1 << 40)).alias("__row")).join(F.broadcast(below), "lang", "left").where("__below is null or __row < __below")
+    return labelled.select("text", "lang")
+
+
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes from columns text and lang, of LEARN_TEXTS rows or so: names, and a unit row each. Sums are in fixed point, so their order doesn't matter."""
 
@@ -133,7 +149,8 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for b in batches:
             langs = b.column("lang").to_pylist()
             for start, texts in _batches(b.column("text")):
-                vectors, has = bundle(texts)
+                vectors, letters = bundle(texts)
+                has = letters > 0
                 whole = np.rint(_unit(vectors) * UNIT).astype(np.int64)
                 names = np.array(langs[start : start + len(texts)])
                 for name in set(names[has].tolist()):
@@ -143,16 +160,8 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for name, v in sorted(total.items()):
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(v)], ["lang", "at", "v"])
 
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in labelled.dtypes if not kind.startswith("map")])
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} labels; they are no languages")
-    if part := shares({r["lang"]: r["n"] for r in counts}):
-        below = labelled.sparkSession.createDataFrame([(name, int(s * (1 << 40))) for name, s in part.items()], "lang string, __below long")
-        labelled = labelled.select("text", "lang", F.pmod(row, F.lit(1 << 40)).alias("__row")).join(F.broadcast(below), "lang", "left").where("__below is null or __row < __below")
     rows = (
-        labelled.select("text", "lang").mapInArrow(sums, "lang string, at long, v long")
+        sample(labelled).select("text", "lang").mapInArrow(sums, "lang string, at long, v long")
         .groupBy("lang", "at").agg(F.sum("v").alias("v"))
     )
     found = rows.limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()  # the bound on labels, as rows
@@ -169,31 +178,40 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, _unit(m).astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with a predicted language and a score between 0 and 1 (the share of the best prototype among all)."""
-    columns = [c for c in docs.columns if c not in (lang_col, score_col)]
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", more: tuple[str, str] | None = None) -> DataFrame:
+    """docs with a predicted language and a score between 0 and 1 (the share of the best prototype among all); more: names of columns for the best cosine and the number of letters. Columns of these names are replaced."""
+    added = [(lang_col, "string", pa.string()), (score_col, "double", pa.float64())] + ([(more[0], "double", pa.float64()), (more[1], "bigint", pa.int64())] if more else [])
+    columns = [c for c in docs.columns if c not in [n for n, _, _ in added]]
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c].simpleString()}" for c in columns] + [f"`{lang_col}` string", f"`{score_col}` double"])
+    schema = ", ".join([f"`{c}` {kinds[c].simpleString()}" for c in columns] + [f"`{n}` {k}" for n, k, _ in added])
     own = columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = [], []
+            found: list[list] = [[], [], [], []]
             for _, texts in _batches(b.column(own)):
-                vectors, has = bundle(texts)
-                if not names:
-                    has[:] = False
+                vectors, letters = bundle(texts)
+                has = letters > 0 if names else np.zeros(len(texts), bool)
                 cosine = _unit(vectors) @ prototypes.T if names else np.zeros((len(texts), 1))
                 share = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
                 share = share.max(axis=1) / share.sum(axis=1)
                 best = cosine.argmax(axis=1)
-                langs += [names[i] if ok else UND for i, ok in zip(best, has)]
-                scores += [float(s) if ok else 0.0 for s, ok in zip(share, has)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, lang_col, score_col])
+                found[0] += [names[i] if ok else UND for i, ok in zip(best, has)]
+                found[1] += np.where(has, share, 0.0).tolist()
+                found[2] += cosine.max(axis=1).tolist()
+                found[3] += letters.tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, k) for v, (_, _, k) in zip(found, added)]], [*columns, *[n for n, _, _ in added]])
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(score, schema)
 
 
+def least_cosine(labelled: DataFrame, names: list[str], prototypes: np.ndarray) -> float | None:
+    """Below what cosine a text of SURE_LETTERS is in no language that was learned: FAR of what 99 % of such learned texts reach; none if there is none."""
+    seen = predict(sample(labelled), names, prototypes, more=("cosine", "letters")).where(F.col("letters") >= SURE_LETTERS)
+    low = seen.agg(F.percentile_approx("cosine", 0.01)).first()[0]
+    return None if low is None else FAR * low
+
+
 def held_out() -> F.Column:
     return crc32_mod("doc_id", 4) == 2
 
@@ -201,19 +219,33 @@ def held_out() -> F.Column:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, prototypes = learn(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(spread(docs.select("doc_id", "text")), names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def reject_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose text has a letter; the rest go (no text, or no letter in it).
+    """Pipeline stage: the documents whose text is in some language that was learned.
 
-    The score rejects nothing: a text with letters has the language that is nearest, however far. Where no language was
-    learned, texts with letters stay too.
+    A text without a letter (or null) goes, and so does one of SURE_LETTERS or more whose best cosine is below
+    least_cosine(): half of what even the least typical learned texts reach, as random letters or an alphabet that no
+    learned text has. Shorter texts stay, as their cosines say little. Where no language was learned, texts with letters stay.
     """
-    names, prototypes = learn(docs.where(~held_out()))
+    labelled = docs.where(~held_out())
+    names, prototypes = learn(labelled)
+    least = least_cosine(labelled, names, prototypes) if names else None
     if not names:
         names, prototypes = ["any"], np.zeros((1, DIMENSIONS), np.float32)
-    return predict(docs, names, prototypes, lang_col="__lang", score_col="__score").where(F.col("__lang") != UND).select(*docs.columns)
+    lang, score, cosine, letters = (unused(docs, c) for c in ("lang_pred", "score", "cosine", "letters"))
+    known = F.col(lang) != UND
+    if least is not None:
+        known = known & ((F.col(letters) < SURE_LETTERS) | (F.col(cosine) >= least))
+    return predict(spread(docs), names, prototypes, lang_col=lang, score_col=score, more=(cosine, letters)).where(known).select(*own_columns(docs))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A name like this that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 QUERIES = {"op8_language_id": op8_language_id}
