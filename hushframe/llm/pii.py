@@ -14,7 +14,8 @@ account (6 to 17 digits) and url (a scheme with user data before the host).
 
 Defined results: a null text has no spans, as an empty one. Spans are code points, end exclusive, in order of start and
 then of kind. Spans of different kinds may overlap. Masking joins overlapping spans and names the first one's kind; a
-null text stays null. Repeated rows are handled each by itself; columns beside those named are carried or ignored.
+null text stays null. Repeated rows are handled each by itself, a very long text whole (its spans are a list in one task);
+columns beside those named are carried or ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import own_columns, spread
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "account", "url")
 SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api key", "access_key")
@@ -277,17 +280,17 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = annotate(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its personal data replaced; n_chars follows the text."""
     out = mask(docs)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*own_columns(docs)) if "n_chars" in docs.columns else out
 
 
 QUERIES = {"op7_pii": op7_pii}
