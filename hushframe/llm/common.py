@@ -76,6 +76,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def lookup(left: DataFrame, right: DataFrame, on: str, most: int | None = None) -> DataFrame:
     """left with the columns of right, a table with one row a value of on (or none). most: a bound on right's rows, if one is known.
 
@@ -101,7 +106,7 @@ def once(work: Work, docs: DataFrame, key: str = "doc_id", text: str = "text") -
     again = work.table(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "again")
     if again.isEmpty():
         return docs
-    single, many = (docs.join(small(again), key, how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    single, many = (docs.join(small(again), key, how).select(*own_columns(docs)) for how in ("left_anti", "left_semi"))
     return work.table(single.unionByName(many.dropDuplicates([key, text])), "once")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import Work, as_long, lookup, mix, once, small, spread, word_hashes
+from hushframe.llm.common import Work, as_long, lookup, mix, once, own_columns, small, spread, word_hashes
 from hushframe.llm.components import components
 
 WORDS = 5
@@ -253,7 +253,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Work(spark, "minhash")
     docs = once(work, docs)
     gone = near_duplicates(work, docs).where("not kept").select("doc_id")
-    return docs.join(small(work.table(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(work.table(gone, "gone")), "doc_id", "left_anti").select(*own_columns(docs))
 
 
 def oracle(source: str = "documents") -> str:

@@ -22,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import spread
+from hushframe.llm.common import own_columns, spread
 
 #: White space but the space and the line end; what separates words in SQL.
 ODD_SPACE = r"[\x09\x0B-\x0D]"
@@ -125,7 +125,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "__chars": F.aggregate(F.col("__lines.line"), F.lit(0), lambda a, x: a + F.length(x)),
     })
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= MAX_LOSS * F.col("__chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c for c in (*RESULT, *MORE) if c != "doc_id"])
+    return out.select(*own_columns(docs), *[c for c in (*RESULT, *MORE) if c != "doc_id"])
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "lost_chars", "kept")
