@@ -6,29 +6,37 @@ deleted part of the training texts, whose own counts are taken out of the estima
 
 Counts are not looked up token by token. Texts are dealt into blocks; a block sends each shard of the n-gram space the
 distinct n-grams it has, with its own counts; a shard adds up the counts of all blocks and answers each block for its
-n-grams, in the same order. A block then scores its texts with its answers. A frequent n-gram is one entry of a block,
-however often it occurs, so no shard is hot, and counts cover all training texts.
+n-grams, in the same order (see routing). A block then scores its texts with its answers. A frequent n-gram is one entry of
+a block, however often it occurs, so no shard is hot, and counts cover all training texts.
 
 Words are 64-bit hashes. A bigram or trigram is a 40-bit hash within its shard; shards grow in number with the input, not
 in size, so at any size about one n-gram in 250,000 shares its count with another. Unigrams, N, V and the base score
 are not affected.
 
 Defined results: a null or empty text is one token, its end. With no training text N and V are 0 and every estimate is
-1/(V+1). Repeated rows count and are scored each by itself. Columns beside those named are ignored.
+1/(V+1). Repeated rows count and are scored each by itself. A text of over PIECE_BYTES is worked on in pieces, each with the
+two words before it, and its pieces' sums are added up: no block grows with it. Columns beside those named are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.llm import routing
 from hushframe.llm.common import Work, crc32_mod, mix, pack_counts, pack_keys, parts, size_of, unpack_counts, unpack_keys, word_hashes
 
 #: Bytes of text of a block and of a shard's share, about.
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+#: Bytes of a text over which it is worked on in pieces; bytes before a piece in which its lead is looked for first.
+PIECE_BYTES, NEAR = 4 << 20, 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Rounds of expectation-maximisation; steps a power of two by which held-out events are counted together; weight of the even mixture, in events.
 ROUNDS, STEPS, PRIOR = 40, 4, 1.0
 LOW_BITS = np.uint64(40)
@@ -40,14 +48,22 @@ LEVELS = 20
 
 
 class Block:
-    """The n-grams of some texts: per token, places among the distinct unigrams, and bigrams and trigrams."""
+    """The n-grams of some texts: per token, places among the distinct unigrams, and bigrams and trigrams.
 
-    def __init__(self, texts: list[bytes | None], shards: int):
+    A piece of a long text begins with its lead, the last (two, if there are) words of the piece before: they are tokens
+    that give context, but aren't the piece's own. Only a text's last piece has its end.
+    """
+
+    def __init__(self, texts: list[bytes | None], shards: int, leads: list[int] | None = None, last: list[bool] | None = None):
         words = [word_hashes(t) for t in texts]
-        self.lengths = np.array([len(w) + 1 for w in words], np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        w = np.concatenate([x for pair in words for x in (pair, [_END])]) if texts else np.empty(0, np.uint64)
+        leads, last = leads or [0] * len(texts), last or [True] * len(texts)
+        sizes = np.array([len(w) + e for w, e in zip(words, last)], np.int64)
+        self.lengths = sizes - np.array(leads, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        w = np.concatenate([x for t, e in zip(words, last) for x in (t, [_END] if e else [])]) if texts else np.empty(0, np.uint64)
         w = w.astype(np.uint64)
+        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.own = np.arange(len(w)) - begins >= np.repeat(np.array(leads, np.int64), sizes)
         self.first = np.r_[True, self.doc[1:] != self.doc[:-1]] if len(w) else np.empty(0, bool)
         before = np.r_[_START, w[:-1]].astype(np.uint64)[: len(w)]
         before[self.first] = _START
@@ -69,63 +85,69 @@ class Block:
         self.many, inverse = np.unique(code, return_inverse=True)
         self.at_2, self.at_3 = inverse[: len(w)], inverse[len(w) :]
 
+    @classmethod
+    def of(cls, docs: pa.Table, shards: int) -> Block:
+        return cls(docs.column("text").to_pylist(), shards, docs.column("lead").to_pylist(), docs.column("last").to_pylist())
+
     def bounds(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         edges = np.arange(shards + 1, dtype=np.uint64)
         return np.searchsorted(self.uni_shard, edges), np.searchsorted(self.many >> LOW_BITS, edges)
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long texts (key, text) in pieces of about PIECE_BYTES, cut at white space: key, row (of its own for each row), text (the lead and the piece), lead, last."""
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            row, start = uuid.uuid4().hex, 0
+            while start < len(text):
+                end = start + PIECE_BYTES
+                gap = _SPACE.search(text, end) if end < len(text) else None
+                end = gap.start() if gap else len(text)
+                near = text[max(0, start - NEAR) : start]
+                lead = near.split() if start <= NEAR or len(near.split()) > 2 else text[:start].split()
+                lead = lead[-2:]
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([row]), pa.array([b" ".join([*lead, text[start:end]])], pa.binary()), pa.array([len(lead)], pa.int32()), pa.array([end == len(text)])], ["doc_id", "row", "text", "lead", "last"])
+                start = end
+
+
 def _requests(shards: int):
-    def work(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        x = Block(table.column("text").to_pylist(), shards)
-        train = np.repeat(np.array(table.column("train").to_pylist(), bool), x.lengths)
-        deleted = np.repeat(np.array(table.column("deleted").to_pylist(), bool), x.lengths)
-        counts = {}
-        for kind, size, places in ((1, len(x.uni), [x.at_1]), (2, len(x.many), [x.at_2, x.at_3])):
-            counts[kind] = [sum(np.bincount(p[flag], minlength=size) for p in places) for flag in (train, deleted)]
+    each = routing.fan(shards)
+
+    def work(docs: pa.Table) -> pa.Table:
+        block = docs.column("block")[0].as_py()
+        x = Block.of(docs, shards)
+        flags = [x.own & np.array(docs.column(c).to_pylist(), bool)[x.doc] for c in ("train", "deleted")]
+        begins = x.first & x.own
         one, many = x.bounds(shards)
         rows = []
-        for kind, edges, keys in ((1, one, x.uni), (2, many, x.many & LOW_MASK)):
-            for s in range(shards):
-                i, j = edges[s], edges[s + 1]
-                if i < j:
-                    packed = b"w" + keys[i:j].astype("<u8").tobytes() if kind == 1 else pack_keys(keys[i:j])
-                    rows.append((block, s, kind, packed, pack_counts(counts[kind][0][i:j]), pack_counts(counts[kind][1][i:j]), 0))
-        rows.append((block, 0, 0, b"", pack_counts(np.array([train.sum(), (x.first & train).sum()])), pack_counts(np.array([deleted.sum(), (x.first & deleted).sum()])), 0))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["block", "shard", "kind", "keys", "train", "deleted", "n"])
+        for kind, edges, keys, places in ((1, one, x.uni, [x.at_1]), (2, many, x.many & LOW_MASK, [x.at_2, x.at_3])):
+            counts = [sum(np.bincount(p[flag], minlength=len(keys)) for p in places) for flag in flags]
+            rows += [(block, s, kind, sizes, pack_keys(keys[i:j]), [pack_counts(c[i:j]) for c in counts], 0) for s, i, j, sizes in routing.cells(edges, each)]
+        # how many tokens and texts there are goes to the first shard, as two counts that nobody asks back
+        totals = [np.array([flag.sum(), (begins & flag).sum()]) for flag in flags]
+        rows.append((block, 0, 0, pack_counts(np.array([2])) if each > 1 else b"", pack_keys(np.arange(2, dtype=np.uint64)), [pack_counts(t) for t in totals], 0))
+        return routing.table(rows)
 
     return work
 
 
-_ROW = "block long, shard int, kind int, keys binary, train binary, deleted binary, n long"
-
-
-def _answers(table: pa.Table) -> pa.Table:
-    """A shard's answers: of each block's n-grams, the counts over all blocks; n of the first row: distinct training keys. Of kind 0: the sums of all blocks."""
-    if table.column("kind")[0].as_py() == 0:
-        sums = [pa.array([pack_counts(sum(map(unpack_counts, table.column(c).to_pylist())))], pa.binary()) for c in ("train", "deleted")]
-        first = table.slice(0, 1)
-        return pa.Table.from_arrays([first.column("block"), first.column("shard"), first.column("kind"), first.column("keys"), *sums, first.column("n")], names=table.column_names)
-    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+def _answers(rows: pa.Table) -> pa.Table:
+    """A shard's answers: of each row's n-grams, the counts over all blocks; n of the first row: distinct training keys."""
+    keys = [unpack_keys(k) for k in rows.column("keys").to_pylist()]
     code, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    train = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in table.column("train").to_pylist()]), len(code)).astype(np.int64)
-    deleted = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in table.column("deleted").to_pylist()]), len(code)).astype(np.int64)
-    rows, at = [[], []], 0
-    for k in keys:
-        part = inverse[at : at + len(k)]
-        rows[0].append(pack_counts(train[part]))
-        rows[1].append(pack_counts(deleted[part]))
-        at += len(k)
-    distinct = np.zeros(len(keys), np.int64)
-    distinct[0] = int((train > 0).sum())
-    return pa.Table.from_arrays([table.column("block"), table.column("shard"), table.column("kind"), pa.array([b""] * len(keys), pa.binary()), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(distinct)], names=["block", "shard", "kind", "keys", "train", "deleted", "n"])
+    train, deleted = (np.bincount(inverse, np.concatenate([unpack_counts(c) for c in v]), len(code)).astype(np.int64) for v in zip(*rows.column("values").to_pylist()))
+    parts = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+    said = [[pack_counts(train[p]), pack_counts(deleted[p])] for p in parts]
+    n = [int((train > 0).sum()), *[0] * (len(keys) - 1)]
+    empty = pa.array([b""] * len(keys), pa.binary())
+    return pa.Table.from_arrays([rows.column("block"), rows.column("shard"), rows.column("kind"), rows.column("sizes"), empty, pa.array(said, pa.list_(pa.binary())), pa.array(n, pa.int64())], names=rows.column_names)
 
 
 def _counts(answers: pa.Table, take_deleted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Counts of a block's unigrams, and of its bigrams and trigrams, in the block's order."""
-    rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "shard", "train", "deleted")]))
+    rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "shard", "values")]))
     out = {1: [np.empty(0, np.int64)], 2: [np.empty(0, np.int64)]}
-    for kind, _, train, deleted in rows:
+    for kind, _, (train, deleted) in rows:
         out[kind].append(unpack_counts(train) - unpack_counts(deleted) if take_deleted else unpack_counts(train))
     return np.concatenate(out[1]), np.concatenate(out[2])
 
@@ -157,11 +179,11 @@ def _events(shards: int, n: int, texts: int):
         names = ["bucket", "q3", "q2", "q1", "n"]
         if not docs.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
-        x = Block(docs.column("text").to_pylist(), shards)
+        x = Block.of(docs, shards)
         e = Estimates(x, *_counts(answers, True), n, texts)
         with np.errstate(divide="ignore"):
             q = np.where(e.p > 0, np.rint(np.log2(e.p) * STEPS), -1 << 12).astype(np.int64)
-        cells, count = np.unique(np.stack([e.bucket, *q]), axis=1, return_counts=True)
+        cells, count = np.unique(np.stack([e.bucket, *q])[:, x.own], axis=1, return_counts=True)
         return pa.table({c: pa.array(v) for c, v in zip(names, [*cells, count])})
 
     return work
@@ -184,50 +206,61 @@ def _maximise(floor: float):
     return work
 
 
-_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_SCORES = "doc_id long, row string, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(shards: int, n: int, v: int, texts: int, weights: dict[int, list[float]]):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({c.split()[0]: pa.array([], pa.int64() if "long" in c else pa.float64()) for c in _SCORES.split(", ")})
-        x = Block(docs.column("text").to_pylist(), shards)
+            return pa.table({c.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]]) for c in _SCORES.split(", ")})
+        x = Block.of(docs, shards)
         e = Estimates(x, *_counts(answers, False), n, texts)
         table = np.full((LEVELS * LEVELS, 4), 0.25)
         for bucket, w in weights.items():
             table[bucket] = w
         w = table[e.bucket]
         p = (w[:, :3].T * e.p).sum(axis=0) + w[:, 3] / (v + 1)
-        sums = lambda y: np.bincount(x.doc, y, len(x.lengths))
+        sums = lambda y: np.bincount(x.doc[x.own], y[x.own], len(x.lengths))
         base = np.log10((e.c1 + 1) / (n + v + 1))
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": x.lengths, "n_known": sums(e.c1 > 0).astype(np.int64), "base_score": sums(base), "score": sums(np.log10(p))})
+        return pa.table({"doc_id": docs.column("doc_id"), "row": docs.column("row"), "n_tokens": x.lengths, "n_known": sums(e.c1 > 0).astype(np.int64), "base_score": sums(base), "score": sums(np.log10(p))})
 
     return work
 
 
 def score(work: Work, docs: DataFrame, train: F.Column, deleted: F.Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score and score of every row; deleted: the part of train that weights are learned on."""
+    """key, n_tokens, n_known, train_tokens, base_score and score of every row; train and deleted are made of the key alone; deleted: the part of train that weights are learned on."""
     _, size = size_of(docs, text)
     blocks, shards = parts(size, BLOCK_BYTES), parts(size, SHARD_BYTES)
     own = parts(blocks, 7)  # blocks of deleted texts by themselves: only they are read to learn the weights
-    spread = F.xxhash64(F.col(key))
-    dealt = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), train.alias("train"), (train & deleted).alias("deleted"),
+    body = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("binary").alias("text"))
+    is_long = F.coalesce(F.octet_length("text") > PIECE_BYTES, F.lit(False))
+    pieces = work.table(body.where(is_long).mapInArrow(_split, "doc_id long, row string, text binary, lead int, last boolean"), "pieces").withColumnRenamed("doc_id", key)
+    any_long = not pieces.isEmpty()
+    whole = body.withColumns({"row": F.lit(None).cast("string"), "lead": F.lit(0), "last": F.lit(True)}).select(key, "row", "text", "lead", "last")
+    if any_long:
+        whole = whole.where(~is_long).unionByName(pieces)
+    spread = F.xxhash64(F.col(key), F.col("row"), F.when(F.col("row").isNotNull(), F.xxhash64("text")))
+    dealt = whole.select(
+        F.col(key).alias("doc_id"), "row", "text", "lead", "last", train.alias("train"), (train & deleted).alias("deleted"),
         F.when(train & deleted, F.lit(-1) - F.pmod(spread, F.lit(own))).otherwise(F.pmod(spread, F.lit(blocks))).alias("block"),
     )
-    asked = dealt.groupBy("block").applyInArrow(_requests(shards), _ROW)
-    answers = work.table(asked.groupBy("shard", "kind").applyInArrow(_answers, _ROW), "answers")
-    total = answers.where("kind = 0").select("train", "deleted").first()  # no row if there is no text
-    (n, texts), (n_out, texts_out) = (map(int, unpack_counts(bytes(total[c]))) if total else (0, 0) for c in ("train", "deleted"))
+    asked = dealt.groupBy("block").applyInArrow(_requests(shards), routing.ROW)
+    answers, of_shards = routing.ask(asked, shards, _answers, lambda df: work.table(df, "answers"))
+    total = of_shards.where("kind = 0").select("values").first()  # no row if there is no text
+    (n, texts), (n_out, texts_out) = (map(int, unpack_counts(bytes(total["values"][c]))[:2]) if total else (0, 0) for c in (0, 1))
     answers = answers.where("kind > 0")
-    v = answers.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    v = of_shards.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     work.release()
     held = dealt.where("block < 0").groupBy("block").cogroup(answers.where("block < 0").groupBy("block")).applyInArrow(_events(shards, n - n_out, texts - texts_out), "bucket long, q3 long, q2 long, q1 long, n long")
     cells = held.groupBy("bucket", "q3", "q2", "q1").agg(F.sum("n").alias("n"))
     learned = cells.groupBy("bucket").applyInArrow(_maximise(1 / (v + 1)), "bucket long, w3 double, w2 double, w1 double, w0 double")
     weights = {r["bucket"]: [r["w3"], r["w2"], r["w1"], r["w0"]] for r in learned.limit(LEVELS * LEVELS).collect()}  # there are no more buckets
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n, v, texts, weights), _SCORES)
-    return out.withColumn("train_tokens", F.lit(n).cast("long")).withColumnRenamed("doc_id", key)
+    if any_long:  # the pieces of a row are added up
+        out = work.table(out, "scores")
+        summed = out.where("row is not null").groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        out = out.where("row is null").unionByName(summed)
+    return out.drop("row").withColumn("train_tokens", F.lit(n).cast("long")).withColumnRenamed("doc_id", key)
 
 
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
