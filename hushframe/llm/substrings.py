@@ -2,7 +2,8 @@
 
 1. Equal texts are found by their digest: all but the first are removed whole, and go no further.
 2. Every 50-byte window has an anchor, the leftmost of its 24-byte strings with the least hash; equal windows have equal
-   anchors. Blocks of texts send the hashes of their anchors to shards, which answer which occur in two documents. The
+   anchors. Blocks of texts send the hashes of their anchors to shards (see routing), which answer which occur in two
+   documents. The
    windows of all other anchors cannot repeat across documents.
 3. Runs of windows with the same shared anchor go, as strings of bytes, to the shard of the anchor, so all copies of a
    window meet. A block sends a string once, with the least doc_id it has for it, and where it occurs. Windows of anchors
@@ -15,26 +16,32 @@
 5. Each text's removed windows are joined to spans, and what is left is hashed.
 
 Hashes only choose what is compared; strings are equal if their bytes are. Defined results: a null text is empty, keeps
-nothing and has no span. Texts of under 50 bytes are kept whole. Ids are taken to be unique; of equal texts the smallest id
-stays. Columns beside those named are ignored.
+nothing and has no span. Texts of under 50 bytes are kept whole. Of equal texts the smallest id stays; a repeated row (same
+id, same text) has the same result each time, otherwise ids are taken to be unique. A text of over PIECE_BYTES is worked on
+in pieces, so no block grows with it; only its bytes and spans are in one task at the end. Columns beside those named are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Work, mix, pack_counts, pack_keys, parts, size_of, unpack_counts, unpack_keys
+from hushframe.llm import routing
+from hushframe.llm.common import Work, lookup, mix, once, pack_counts, pack_keys, parts, size_of, small, unpack_counts, unpack_keys
 
 #: Length of repeated strings, and of anchors.
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
-#: Bytes of text of a block and of a shard's share; documents above which an anchor is split; suffixes sorted at once; rows up to which a table is broadcast.
-BLOCK_BYTES, SHARD_BYTES, HOT, SORT_CHARS, BROADCAST_ROWS = 4 << 20, 8 << 20, 4096, 3 << 20, 500_000
+#: Bytes of text of a block and of a shard's share; documents above which an anchor is split; suffixes sorted at once.
+BLOCK_BYTES, SHARD_BYTES, HOT, SORT_CHARS = 4 << 20, 8 << 20, 4096, 3 << 20
+#: Bytes of a text over which its windows are worked on in pieces.
+PIECE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _LOW, _MASK = np.uint64(40), np.uint64((1 << 40) - 1)
 
@@ -153,7 +160,7 @@ class Block:
         texts = [texts[i] or b"" for i in order]
         sizes = np.array([len(t) for t in texts], np.int64)
         self.bytes = b"".join(texts)
-        self.starts = np.r_[0, np.cumsum(sizes)][:-1]
+        self.starts = np.r_[0, np.cumsum(sizes)][:-1] - docs.column("at").to_numpy()[order]  # of whole texts, in the block
         n = len(self.bytes)
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         last = n - LENGTH + 1
@@ -190,28 +197,28 @@ class Block:
         return np.bincount(pair // (len(self.ids) + 1), minlength=len(self.code))
 
 
-_ASK = "block long, shard int, keys binary, docs binary"
-
-
 def _ask(shards: int):
-    def work(table: pa.Table) -> pa.Table:
-        x = Block(table, shards)
-        docs, edges = x.documents(), np.searchsorted(x.code >> _LOW, np.arange(shards + 1, dtype=np.uint64))
-        rows = [(table.column("block")[0].as_py(), s, pack_keys(x.code[i:j] & _MASK), pack_counts(docs[i:j])) for s, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "shard", "keys", "docs"])
+    each = routing.fan(shards)
+
+    def work(docs: pa.Table) -> pa.Table:
+        x, block = Block(docs, shards), docs.column("block")[0].as_py()
+        known, edges = x.documents(), np.searchsorted(x.code >> _LOW, np.arange(shards + 1, dtype=np.uint64))
+        return routing.table([(block, s, 0, sizes, pack_keys(x.code[i:j] & _MASK), [pack_counts(known[i:j])], 0) for s, i, j, sizes in routing.cells(edges, each)])
 
     return work
 
 
 def _answer(hot: int):
-    """Of each block's anchors: 0 if one document has it, 1 if several have, 2 if over hot have."""
-    def work(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+    """Of each row's anchors: 0 if one document has it, 1 if several have, 2 if over hot have."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        keys = [unpack_keys(k) for k in rows.column("keys").to_pylist()]
         code, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        docs = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in table.column("docs").to_pylist()]), len(code))
+        docs = np.bincount(inverse, np.concatenate([unpack_counts(c) for (c,) in rows.column("values").to_pylist()]), len(code))
         said = (docs > 1).astype(np.int64) + (docs > hot)
-        cuts = np.cumsum([len(k) for k in keys])
-        return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array([pack_counts(said[p]) for p in np.split(inverse, cuts[:-1])], pa.binary())], names=["block", "shard", "said"])
+        parts = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+        empty = pa.array([b""] * len(keys), pa.binary())
+        return pa.Table.from_arrays([rows.column("block"), rows.column("shard"), rows.column("kind"), rows.column("sizes"), empty, pa.array([[pack_counts(said[p])] for p in parts], pa.list_(pa.binary())), rows.column("n")], names=rows.column_names)
 
     return work
 
@@ -228,7 +235,7 @@ def _strings(shards: int):
         rows: list[tuple] = []
         if docs.num_rows and answers.num_rows:
             x = Block(docs, shards)
-            said = np.concatenate([unpack_counts(b) for _, b in sorted(zip(answers.column("shard").to_pylist(), answers.column("said").to_pylist()))])
+            said = np.concatenate([unpack_counts(b) for _, (b,) in sorted(zip(answers.column("shard").to_pylist(), answers.column("values").to_pylist()))])
             lookup = np.zeros(len(x.hash), np.int32)
             lookup[x.places] = x.of
             kind = said[lookup[x.anchor]]
@@ -336,32 +343,61 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(found, cell), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
 
 
+_PIECE = "doc_id long, at long, text binary"
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long texts (doc_id, text) in pieces (see _PIECE) of PIECE_BYTES and the LENGTH - 1 bytes that follow, so that each window is in one piece."""
+    for b in batches:
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for at in range(0, len(text) - LENGTH + 1, PIECE_BYTES):
+                piece = text[at : at + PIECE_BYTES + LENGTH - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([at], pa.int64()), pa.array([piece], pa.binary())], ["doc_id", "at", "text"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of pieces (see _SPANS), with each document as a block."""
+    for b in batches:
+        for docs, starts, ends in zip(*[b.column(c).to_pylist() for c in ("docs", "starts", "ends")]):
+            doc, start, end = (np.frombuffer(x, np.int64) for x in (docs, starts, ends))
+            order = np.argsort(doc, kind="stable")
+            rows = [(int(doc[part[0]]), doc[part].tobytes(), start[part].tobytes(), end[part].tobytes()) for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "docs", "starts", "ends"])
+
+
 def remove_repeats(work: Work, docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: all documents (doc_id, n_bytes, sha256, first: the smallest doc_id with the same text), and those whose text is the first of its kind and loses spans (doc_id, spans, kept)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     named = work.table(docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha256")), "digests")
-    groups = named.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sha256", "first")
-    named = work.table(named.join(groups, "sha256", "left").select("doc_id", "n_bytes", "sha256", F.coalesce("first", "doc_id").alias("first")), "named")
-    copies = named.where("doc_id <> first").select("doc_id")
-    copies = F.broadcast(copies) if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else copies
+    groups = work.table(named.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sha256", "first"), "copies")
+    named = work.table(lookup(named, groups, "sha256").select("doc_id", "n_bytes", "sha256", F.coalesce("first", "doc_id").alias("first")), "named")
     _, size = size_of(docs, text)
     blocks, shards = parts(size, BLOCK_BYTES), parts(size, SHARD_BYTES)
-    dealt = (
-        docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).where(F.octet_length("text") >= LENGTH).join(copies, "doc_id", "left_anti")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    )
-    asked = work.table(dealt.groupBy("block").applyInArrow(_ask(shards), _ASK), "asked")
+    single = once(work, docs.select(key, text), key, text)
+    texts = single.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).where(F.octet_length("text") >= LENGTH).join(small(named.where("doc_id <> first").select("doc_id")), "doc_id", "left_anti")
+    is_long = F.octet_length("text") > PIECE_BYTES + LENGTH
+    pieces = work.table(texts.where(is_long).mapInArrow(_split, _PIECE), "pieces")
+    n_pieces = pieces.count()
+    dealt = texts.where(~is_long).select("doc_id", F.lit(0).cast("long").alias("at"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    whole = dealt  # what is cut in the end
+    if n_pieces:  # pieces are dealt to blocks of their own, with numbers below 0
+        dealt = dealt.unionByName(pieces.withColumn("block", F.lit(-1) - F.pmod(F.xxhash64("doc_id", "at"), F.lit(n_pieces))))
+    asked = work.table(dealt.groupBy("block").applyInArrow(_ask(shards), routing.ROW), "asked")
     work.release()
-    answers = work.table(asked.groupBy("shard").applyInArrow(_answer(HOT), "block long, shard int, said binary"), "answers")
+    answers, _ = routing.ask(asked, shards, _answer(HOT), lambda df: work.table(df, "answers"))
     work.drop(asked)
     work.release()
     strings = work.table(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_strings(shards), _STRINGS), "strings")
-    work.drop(answers)
     work.release()
     spans = work.table(strings.groupBy("shard").applyInArrow(_decide, _SPANS), "spans")
     work.drop(strings)
     work.release()
-    return named, dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, _KEPT)
+    cut = whole.groupBy("block").cogroup(spans.where("block >= 0").groupBy("block")).applyInArrow(_cut, _KEPT)
+    if n_pieces:
+        of_pieces = work.table(spans.where("block < 0").mapInArrow(_by_document, _SPANS), "spans-of-long-texts")
+        long = texts.where(is_long).select("doc_id", "text", F.col("doc_id").alias("block"))
+        cut = cut.unionByName(long.groupBy("block").cogroup(of_pieces.groupBy("block")).applyInArrow(_cut, _KEPT))
+    return named, cut
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
