@@ -59,11 +59,13 @@ class Block:
         leads, last = leads or [0] * len(texts), last or [True] * len(texts)
         sizes = np.array([len(w) + e for w, e in zip(words, last)], np.int64)
         self.lengths = sizes - np.array(leads, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         w = np.concatenate([x for t, e in zip(words, last) for x in (t, [_END] if e else [])]) if texts else np.empty(0, np.uint64)
         w = w.astype(np.uint64)
-        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.own = np.arange(len(w)) - begins >= np.repeat(np.array(leads, np.int64), sizes)
+        del words
+        self.own = np.ones(len(w), bool)
+        for at, n in zip((np.cumsum(sizes) - sizes).tolist(), leads):
+            self.own[at : at + n] = False
         self.first = np.r_[True, self.doc[1:] != self.doc[:-1]] if len(w) else np.empty(0, bool)
         before = np.r_[_START, w[:-1]].astype(np.uint64)[: len(w)]
         before[self.first] = _START
@@ -71,6 +73,7 @@ class Block:
         before = np.r_[_FIRST, b[:-1]].astype(np.uint64)[: len(w)]
         before[self.first] = _FIRST
         t = mix(mix(before) * _T + w)
+        del before
         n = np.uint64(shards)
         # unigrams in order of shard and hash; the others by shard and low bits
         self.uni, inverse = np.unique(w, return_inverse=True)
@@ -79,10 +82,12 @@ class Block:
         self.uni, self.uni_shard = self.uni[order], self.uni_shard[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.at_1 = place[inverse]
+        self.at_1 = place[inverse].astype(np.int32)
         both = np.concatenate([b, t])
-        code = ((both >> LOW_BITS) % n) << LOW_BITS | (both & LOW_MASK)
-        self.many, inverse = np.unique(code, return_inverse=True)
+        del b, t, inverse, place
+        both = ((both >> LOW_BITS) % n) << LOW_BITS | (both & LOW_MASK)
+        self.many, inverse = np.unique(both, return_inverse=True)
+        inverse = inverse.astype(np.int32)
         self.at_2, self.at_3 = inverse[: len(w)], inverse[len(w) :]
 
     @classmethod
