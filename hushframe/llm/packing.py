@@ -1,8 +1,8 @@
 """Packing of documents into training sequences by lexical retrieval.
 
 Documents are encoded, given a locality key (the least hash of their ids' pairs, hashed again so that long texts, whose
-least hashes are small, lie everywhere; texts that share phrases tend to share it) and dealt into shards by ranges of that
-key and doc_id, so that copies lie together but any number of them is cut by doc_id. A shard has one BM25 inverted index over the token ids
+least hashes are small, lie everywhere; texts that share phrases tend to share it) and dealt into shards of equal bytes by
+ranges of that key; copies lie together, but any number of them is cut. A shard has one BM25 inverted index over the token ids
 of all its documents. A window begins with a seed (what is left of the last document, or else the next unused one); the
 index returns the unused neighbours of the seed among all documents of the shard, best first, and they fill the window
 greedily. The document that crosses the window's end is cut there and its rest is the next seed, so windows have no
@@ -33,6 +33,8 @@ from hushframe.llm.tokens import default_path, encoder
 WINDOW, END = 2048, 1
 #: BM25's parameters; ids of a shard, about; texts encoded at once.
 K1, B, SHARD_IDS, BATCH = 1.2, 0.75, 8 << 20, 1024
+#: Sampled units of bytes of a shard, by which the borders of shards are found.
+SAMPLED = 400
 #: Cells an id up to which documents are counted in tables of all terms, not by sorting.
 CELLS = 16
 #: Ids that are counted at once; neighbours sorted at first (more follow if a window asks for them); pieces put out at once.
@@ -230,6 +232,27 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, f"`{key}` long, near long, ids binary")
 
 
+def in_shards(encoded: DataFrame, n_shards: int, key: str = "doc_id") -> DataFrame:
+    """encoded with shard, a number below n_shards: ranges of the locality key of about equal bytes.
+
+    The borders are quantiles of a sample in which a document is as often as its bytes ask for. The key's low bits are those
+    of a hash of the row, so copies and repeated rows, which share a key, lie together but are cut like all others.
+    """
+    row = F.xxhash64(key, F.monotonically_increasing_id())
+    place = F.shiftleft(F.shiftright("near", 20), 20) + F.pmod(row, F.lit(1 << 20))
+    placed = encoded.withColumns({"place": place, "row": row})
+    if n_shards < 2:
+        return encoded.withColumn("shard", F.lit(0))
+    size = F.octet_length("ids").cast("long")
+    unit = encoded.agg(F.greatest(F.sum(size) / (SAMPLED * n_shards), F.lit(1.0)).cast("long")).first()[0] or 1
+    times = F.floor(size / unit) + (F.pmod("row", F.lit(unit)) < size % unit).cast("long")
+    sample = placed.select("place", times.alias("n")).where("n > 0").select("place", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    borders = sample.agg(F.percentile_approx("place", [k / n_shards for k in range(1, n_shards)], max(10_000, 50 * n_shards))).first()[0] or []
+    table, steps = F.array(*[F.lit(b).cast("long") for b in borders]), [1 << b for b in range(len(borders).bit_length() - 1, -1, -1)]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < F.col("place"), at + step).otherwise(at))
+    return placed.withColumn("shard", below if borders else F.lit(0)).select(key, "near", "ids", "shard")
+
+
 def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id", dtype: str = "<u4") -> DataFrame:
     """The pieces (see PIECES) of encoded documents; dtype: of their packed ids."""
 
@@ -259,7 +282,7 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
         if packer.rows:
             yield out()
 
-    dealt = encoded.repartitionByRange(n_shards, "near", key).sortWithinPartitions("near", key)
+    dealt = in_shards(encoded, n_shards, key).repartitionById(n_shards, "shard").sortWithinPartitions("near", key)
     return dealt.select(key, "ids").mapInArrow(work, PIECES)
 
 
