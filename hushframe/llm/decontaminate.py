@@ -8,8 +8,9 @@ then read for the documents that are left, and a phrase matches where all its wo
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; a null or empty text has none. An
 item without words has no window. A repeated row (same id, same text) is judged as if it stood alone, each time it
-occurs; otherwise ids are taken to be unique. Windows with the same words are one query for all their items. Columns beside
-those named are carried or ignored.
+occurs; otherwise ids are taken to be unique. Windows with the same words are one query for all their items. A very long text
+is one array of words before it is exploded. Over BROADCAST_ROWS terms or windows, tables are joined by shuffles, whose
+skewed partitions Spark's adaptive execution splits. Columns beside those named are carried or ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import Work, lowered
+from hushframe.llm.common import Work, lookup, lowered, own_columns, spread
 
 WIDTH = 13
 #: What separates words.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows up to which a table is broadcast; it is counted first, and a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of all terms up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: A document is contaminated if its hit words times this are at least its words.
 SHARE = 20
 
@@ -50,9 +53,12 @@ class PositionalIndex:
 
     def __init__(self, work: Work, docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text"):
         self.work = work
-        n = terms.count()
+        n, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+        n = n if size <= BROADCAST_BYTES else BROADCAST_ROWS + 1
         exploded = docs.select(F.col(key).alias("doc"), F.posexplode(tokens(text)).alias("pos", "term"))
-        self.postings = work.table(exploded.join(small(terms, n), "term").select("tid", "doc", "pos"), "postings")
+        # beyond a broadcast, terms that occur very often are looked up by themselves
+        found = exploded.join(F.broadcast(terms), "term") if n <= BROADCAST_ROWS else lookup(exploded, terms, "term").where("tid is not null")
+        self.postings = work.table(found.select("tid", "doc", "pos"), "postings")
         self.lengths = work.table(terms.join(self.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "tid", "left").select("term", "tid", F.coalesce("n", F.lit(0)).alias("n")), "lengths")
         self.n_terms = n
 
@@ -125,13 +131,13 @@ def judge(work: Work, docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return judge(Work(spark, "decontaminate"), docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return judge(Work(spark, "decontaminate"), spread(docs.select("doc_id", "text")), items.select("item_id", "text"))
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that aren't contaminated by the benchmark."""
     bad = judge(Work(spark, "decontaminate"), docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*own_columns(docs))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -10,7 +10,8 @@ Files are gzip members, one a record, and are written where driver and executors
 own attempt; a manifest row is committed with its task, so files of lost attempts are never read.
 
 Defined results: null html is an empty payload, a null url a URN; a null page_id stays null. Rows that repeat the page_id
-and payload of a response are responses too. Payloads of under 100 bytes are never revisits. Other columns are ignored.
+and payload of a response are responses too. Payloads of under 100 bytes are never revisits. A very long page is a few
+copies of itself in the task that writes or reads it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Work
+from hushframe.llm.common import Work, lookup, spread
 
 #: Payloads from so many bytes are stored once.
 REVISIT_BYTES = 100
-#: Bytes after which a new archive begins; gzip level; rows up to which the table of repeated payloads is broadcast.
-ARCHIVE_BYTES, LEVEL, BROADCAST_ROWS = 1 << 30, 3, 500_000
-#: Shards of a repeated payload where that table is joined by a shuffle, so that one payload of many pages is no single task.
-SALTS = 16
-ARC_DATE = "20000101000000"
+#: Bytes after which a new archive begins; gzip level.
+ARCHIVE_BYTES, LEVEL = 1 << 30, 3
+ARC_DATE, NO_URL = "20000101000000", "urn:none"
+#: A field of our own: the page that a revisit refers to.
+REFERS_TO_PAGE = "WARC-Refers-To-Page"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The fields of header lines, by version.
 ARC_FIELDS = {
@@ -74,8 +75,13 @@ def arc_version_block(version: int, name: str, date: str = ARC_DATE) -> bytes:
     return head.encode() + body + b"\n"
 
 
+def address(url: str) -> str:
+    """A URL as a header line holds it."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~") or "-"
+
+
 def arc_record(version: int, url: str, content: bytes, name: str = "-", date: str = ARC_DATE, mime: str = "text/html", ip: str = "0.0.0.0") -> bytes:
-    url = quote(url, safe="!#$%&'()*+,/:;=?@[]~") or "-"
+    url = address(url)
     middle = "" if version == 1 else f"200 {zlib.crc32(content):08x} - 0 {name} "
     return f"{url} {ip} {date} {mime} {middle}{len(content)}\n".encode() + content + b"\n"
 
@@ -132,8 +138,8 @@ def http_field(head: bytes, name: str) -> str | None:
     return None
 
 
-def convert(records: Iterable[ArcRecord], refers: dict[str, str] | None = None) -> Iterator[WarcRecord]:
-    """WARC records of ARC records. refers: page id -> page id of the response that has the same payload."""
+def convert(records: Iterable[ArcRecord], refers: dict[str, tuple[str, str]] | None = None) -> Iterator[WarcRecord]:
+    """WARC records of ARC records. refers: page id -> page id and address of the response that has the same payload."""
     for r in records:
         date, url = timestamp(r.fields["date"]), r.fields["url"]
         if r.opens:
@@ -142,14 +148,13 @@ def convert(records: Iterable[ArcRecord], refers: dict[str, str] | None = None)
         head, body = split_http(r.content)
         payload, page = digest(body), http_field(head, "X-Page-Id")
         original = (refers or {}).get(page) if page is not None else None
-        h = {"WARC-Record-ID": record_id(url, date, page or "", payload), "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{payload}", "WARC-Payload-Length": str(len(body))}
+        h = {"WARC-Record-ID": record_id(url, date, page or "", payload), "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{payload}"}
         if r.fields["ip"] not in ("", "-", "0.0.0.0"):
             h["WARC-IP-Address"] = r.fields["ip"]
-        if page is not None:
-            h["WARC-Page-Id"] = page
         if original is not None:
             kind, block = "revisit", head
-            h |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Page": original, "Content-Type": "application/http; msgtype=response"}
+            first, at = original
+            h |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(at, date, first, payload), "WARC-Refers-To-Target-URI": at, "WARC-Refers-To-Date": date, REFERS_TO_PAGE: first, "Content-Type": "application/http; msgtype=response"}
         elif head:
             kind, block = "response", r.content
             h["Content-Type"] = "application/http; msgtype=response"
@@ -195,20 +200,17 @@ def _id_in(page: str | None) -> str | None:
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, refers_to: of equal payloads of REVISIT_BYTES or more, all but the smallest page_id refer to it."""
+    """page_id, url, html, refers_to, refers_url: of equal payloads of REVISIT_BYTES or more, all but the smallest page_id refer to it (and to its url)."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha2(body, 256)).alias("__d"))
-    groups = rows.where("__d is not null").groupBy("__d").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__d", "__first")
-    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        out = rows.join(F.broadcast(groups), "__d", "left")
-    else:
-        salted = groups.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = rows.withColumn("__s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["__d", "__s"], "left")
-    return out.select("page_id", "url", "html", F.when(F.col("__first") != F.col("page_id"), F.col("__first")).alias("refers_to"))
+    first = F.min(F.struct("page_id", "url"))
+    groups = rows.where("__d is not null").groupBy("__d").agg(first.alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__d", "__first")
+    refers = F.when(F.col("__first.page_id") != F.col("page_id"), F.col("__first"))
+    return lookup(rows, groups, "__d").withColumn("__refers", refers).select("page_id", "url", "html", F.col("__refers.page_id").alias("refers_to"), F.col("__refers.url").alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes page_id, url, html, refers_to through ARC records into WARC files under folder; returns the manifest (path, records)."""
+    """Writes page_id, url, html, refers_to, refers_url through ARC records into WARC files under folder; returns the manifest (path, records)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -217,15 +219,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         size = records = 0
         done: list[tuple[str, int]] = []
         for b in batches:
-            for page, url, html, refers in zip(*[c.to_pylist() for c in b.columns]):
+            for page, url, html, refers, refers_url in zip(*[c.to_pylist() for c in b.columns]):
                 if out is None:
                     path, size, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(path, compression=None)
                 body = (html or "").encode("utf-8", "surrogatepass")
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n" + (f"X-Page-Id: {_id_out(page)}\r\n" if page is not None else "") + "\r\n"
                 version = 1 + zlib.crc32((page or "").encode()) % 2
-                arc = arc_version_block(version, path.rsplit("/", 1)[1]) + arc_record(version, url if url is not None else "urn:none", head.encode() + body)
-                for r in convert(read_arc(io.BytesIO(arc)), {_id_out(page): _id_out(refers)} if refers is not None else None):
+                arc = arc_version_block(version, path.rsplit("/", 1)[1]) + arc_record(version, url if url is not None else NO_URL, head.encode() + body)
+                for r in convert(read_arc(io.BytesIO(arc)), {_id_out(page): (_id_out(refers), address(NO_URL if refers_url is None else refers_url))} if refers is not None else None):
                     if r.kind != "warcinfo" or not records:
                         size += out.write(gzip.compress(warc_bytes(r), LEVEL, mtime=0)) or 0
                         records += r.kind != "warcinfo"
@@ -239,7 +241,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done]), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
 
-    return pages.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).mapInArrow(write, "path string, records long")
+    return pages.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "refers_url").mapInArrow(write, "path string, records long")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -256,12 +258,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     for r in read_warc(f):
                         if r.kind == "warcinfo":
                             continue
-                        payload, size = r.headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(r.headers["WARC-Payload-Length"])
+                        payload, (http, body) = r.headers["WARC-Payload-Digest"].removeprefix("sha256:"), split_http(r.block)
+                        size = int(http_field(http, "Content-Length"))  # also of the payload that a revisit leaves out
                         if r.kind == "response":
-                            _, body = split_http(r.block)
                             if len(body) != size or digest(body) != payload:
                                 raise ValueError(f"another payload than {r.headers['WARC-Record-ID']} had")
-                        rows.append((_id_in(r.headers.get("WARC-Page-Id")), size, payload, r.kind, _id_in(r.headers.get("WARC-Refers-To-Page"))))
+                        rows.append((_id_in(http_field(http, "X-Page-Id")), size, payload, r.kind, _id_in(r.headers.get(REFERS_TO_PAGE))))
                         if len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                             rows = []
@@ -277,7 +279,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = work.path("archives")
-    back = read_archives(work.table(write_archives(with_originals(pages), folder), "manifest"), folder)
+    back = read_archives(work.table(write_archives(with_originals(spread(pages)), folder), "manifest"), folder)
     kind = dict(pages.dtypes)["page_id"]
     return back.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
