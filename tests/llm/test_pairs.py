@@ -1,12 +1,13 @@
 """Near-duplicates, substrings and contamination against brute force."""
 
+import collections
 import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from hushframe.llm import components, decontaminate, minhash, substrings
+from hushframe.llm import common, components, decontaminate, minhash, routing, substrings
 from hushframe.llm.common import LOWER, Work
 from tests.llm.conftest import ODD
 
@@ -161,3 +162,57 @@ def test_dedup_of_repeated_rows(spark, documents, prose):
     docs = documents([(5, prose(60, 1))] * 3 + [(6, prose(60, 1)), (7, prose(60, 2)), (8, prose(60, 3)), (8, prose(60, 3))])
     got = minhash.dedup_stage(spark, docs, "")
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [5, 7, 8]
+
+
+def test_lookup(spark, monkeypatch):
+    """The join without broadcast: hot values, nulls, values without a match and clashing names."""
+    rows = [(i, ["a", "b", "c", None, "z"][i % 5] if i % 3 else "a", i % 2) for i in range(200)]
+    left = spark.createDataFrame(rows, "id long, k string, __n int")
+    right = spark.createDataFrame([("a", 1), ("b", None), ("c", 3), ("d", 4)], "k string, v int")
+    want = sorted(((i, k, n, {"a": 1, "c": 3}.get(k)) for i, k, n in rows), key=repr)
+    for broadcast, hot in ((500_000, 100_000), (0, 20), (0, 100_000)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = sorted(((r["id"], r["k"], r["__n"], r["v"]) for r in common.lookup(left, right, "k").collect()), key=repr)
+        assert got == want
+
+
+def test_minhash_without_broadcasts(spark, folder, prose, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = ODD + near_copies(prose, 30, 1) + [prose(50, 99)] * 9
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.op1_minhash(spark, folder(texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_minhash_of_repeated_rows_and_clashing_columns(spark, documents, prose):
+    docs = documents([(3, prose(60, 1)), (3, prose(60, 1)), (2, prose(60, 1)), (9, None), (9, None)]).selectExpr("doc_id", "text", "1 as root", "2 as id", "3 as name", "4 as n")
+    got = minhash.near_duplicates(Work(spark, "t"), docs).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(2, 2, True), (3, 2, False), (3, 2, False), (9, 9, True), (9, 9, True)]
+
+
+def test_minhash_of_a_long_text(spark, documents, prose):
+    long = prose(400_000, 5)
+    docs = documents([(1, long), (2, long + " more words at the end"), (3, prose(50, 6))])
+    assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(Work(spark, "t"), docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize(("piece", "fan", "broadcast"), [(200, 4096, 500_000), (1 << 22, 3, 500_000), (90, 2, 0)])
+def test_substrings_in_pieces_and_groups_of_shards(spark, folder, prose, monkeypatch, piece, fan, broadcast):
+    for name, value in (("BLOCK_BYTES", 900), ("SHARD_BYTES", 700), ("HOT", 3), ("PIECE_BYTES", piece)):
+        monkeypatch.setattr(substrings, name, value)
+    monkeypatch.setattr(routing, "FAN", fan)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    passage = prose(30, 7)
+    texts = ODD + [f"{prose(20, s)} {passage} {prose(10, s + 100)}" for s in range(12)] + ["ab" * 300, "ab" * 200, "ba" * 30, prose(80, 3), prose(80, 3), prose(80, 3)[7:]]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.op2_suffix_array(spark, folder(texts)).collect()}
+    assert got == brute_removed(texts)
+
+
+def test_substrings_of_repeated_rows(spark, folder, prose):
+    a, b = prose(40, 1), prose(40, 2)
+    rows = [(4, f"{a} {b}"), (4, f"{a} {b}"), (2, b), (2, b), (9, a), (9, a), (9, a)]
+    got = collections.Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in substrings.op2_suffix_array(spark, folder(rows)).collect())
+    n = len(b.encode())
+    assert got == {(2, 0, 0): 2, (4, n, 1): 2, (9, len(a.encode()), 1): 3}

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from hushframe.llm import language, lm, packing, pii, quality, token_files, warc
+from hushframe.llm import decontaminate, language, lm, packing, pii, quality, routing, substrings, token_files, tokens, warc
 from hushframe.llm.common import LOWER, pack_counts, pack_keys, unpack_counts, unpack_keys
 from hushframe.llm.tokens import Encoder, default_path
 from tests.llm.conftest import ODD
@@ -30,32 +30,63 @@ direct.cache = {}
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder(name, prose):
+@pytest.mark.parametrize("table", [1 << 20, 300])
+def test_encoder(name, prose, table, monkeypatch):
     r = random.Random(1)
-    parts = ["a", "Word", "ÀÉ", "ÿß", "re.", "x!", ",", "'s", " ", " ", "\n", "\t", "1", "23", "é", "́", "<|endoftext|>", "don't", "日本", "\r", "\0", "İ", "\x1c"]
+    parts = ["a", "Word", "ÀÉ", "ÿß", "re.", "x!", ",", "'s", " ", " ", "\n", "\t", "1", "23", "é", "́", "<|endoftext|>", "don't", "日本", "\r", "\0", "İ", "\x1c", "ok$$$", "é.%%%", "Ab!!", ".)", "*", "#1", "'ll,", ' "x."', "a\u0301!", "<s>.", "&&&"]
     texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(3000)] + ODD + [prose(300, 5)]
-    got = Encoder(default_path(name)).encode(texts)
-    assert all(g == direct(name, t, 0)[:-1].tobytes() for g, t in zip(got, texts))
+    enc = Encoder(default_path(name))
+    monkeypatch.setattr(tokens, "TABLE", table)
+    got = [g for i in range(0, len(texts), 100) for g in enc.encode(texts[i : i + 100])]
+    assert all(np.frombuffer(g, enc.dtype).tolist() == direct(name, t, 0)[:-1].tolist() for g, t in zip(got, texts))
 
 
-def test_wavelet():
+class Counted(io.BytesIO):
+    """A file that counts the bytes read of it."""
+
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+@pytest.mark.parametrize("words", [1 << 12, 4])
+def test_wavelet(monkeypatch, words):
+    monkeypatch.setattr(token_files, "BLOCK_WORDS", words)
+    monkeypatch.setattr(token_files, "BLOCK_BITS", words * 64)
     x = np.random.default_rng(0).integers(0, 300, 3000)
-    buffer = io.BytesIO()
+    buffer = Counted()
     token_files.save(buffer, token_files.WaveletMatrix.build(x), np.array([7]), np.array([3000]))
+    whole = buffer.tell()
     buffer.seek(0)
     w, ids, lengths = token_files.load(buffer)
     assert (w.all() == x).all() and ids.tolist() == [7] and lengths.tolist() == [3000]
-    assert all(w.access(i) == x[i] for i in range(0, 3000, 37))
-    for s in (0, 5, 299, 511, 600):
-        assert w.count(s) == (x == s).sum() and w.occurrences(s) == np.flatnonzero(x == s).tolist() and w.rank(s, 1234) == (x[:1234] == s).sum()
-    with pytest.raises(IndexError):
-        w.access(3000)
+    assert w.access_many(np.arange(3000)).tolist() == x.tolist()
+    buffer.seek(0)
+    stored = token_files.StoredMatrix(buffer)
+    for m in (w, stored):
+        assert all(m.access(i) == x[i] for i in range(0, 3000, 37))
+        for s in (0, 5, 299, 511, 600):
+            assert m.count(s) == (x == s).sum() and m.occurrences(s) == np.flatnonzero(x == s).tolist() and m.rank(s, 1234) == (x[:1234] == s).sum() and m.count(s, 100, 200) == (x[100:200] == s).sum()
+        with pytest.raises(IndexError):
+            m.access(3000)
+        with pytest.raises(IndexError):
+            m.select(5, 3000)
+    assert stored.doc_ids.tolist() == [7] and stored.lengths.tolist() == [3000]
+    if words == 4:  # one access reads one block of each of the nine planes
+        buffer.seek(0)
+        stored = token_files.StoredMatrix(buffer)
+        buffer.taken = 0
+        assert stored.access(1500) == x[1500] and buffer.taken < whole / 3
     one = token_files.WaveletMatrix.build(np.zeros(1, np.int64))
-    assert one.all().tolist() == [0] and one.count(0) == 1
+    assert one.all().tolist() == [0] and one.count(0) == 1 and one.select(0, 0) == 0
 
 
 def test_token_files(spark, folder, prose, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(token_files, "GROUP", 3)
     texts = ODD + [prose(200, s) for s in range(5)]
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.op5_token_files(spark, folder(texts)).collect()}
     start = 0
@@ -66,7 +97,7 @@ def test_token_files(spark, folder, prose, monkeypatch):
 
 
 def test_packing(spark, folder, prose, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_BYTES", 20000)
+    monkeypatch.setattr(packing, "SHARD_IDS", 5000)
     texts = ODD + [prose(n, n) for n in (3, 900, 2500, 40, 41, 42, 500)] + [prose(60, 5)] * 4
     rows = packing.op3_packing(spark, folder(texts)).collect()
     for i, t in enumerate(texts):
@@ -241,6 +272,19 @@ def test_archives(spark, folder):
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", 0) if i in (3, 5) else ("response", None))
 
 
+def test_revisits_refer_to_records(spark, tmp_path):
+    """The fields of revisits name the record, address and time of a response that is in the archives."""
+    big = "<p>" + "long payload " * 20 + "</p>"
+    pages = spark.createDataFrame([(3, "http://c/ x", big), (1, "http://a/ b", big), (2, None, big), (4, "http://d", "z")], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(warc.with_originals(pages), f"file://{tmp_path}").collect()
+    records = [r for m in manifest for r in warc.read_warc(open(m["path"], "rb"))]
+    first = next(r for r in records if r.kind == "response" and len(r.block) > 200)
+    revisits = [r for r in records if r.kind == "revisit"]
+    assert len(revisits) == 2 and first.headers["WARC-Target-URI"] == "http://a/%20b"
+    for r in revisits:
+        assert (r.headers["WARC-Refers-To"], r.headers["WARC-Refers-To-Target-URI"], r.headers["WARC-Refers-To-Date"]) == tuple(first.headers[k] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
+
+
 def test_arc_versions():
     for version in (1, 2):
         raw = warc.arc_version_block(version, "x.arc") + warc.arc_record(version, "http://a/b c", b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody\n\nmore", date="19990203") + warc.arc_record(version, "dns:a", b"1.2.3.4", mime="text/dns", ip="9.9.9.9")
@@ -317,3 +361,230 @@ def test_cleaned_texts(spark, prose):
     assert got[0]["the rest"] == "kept by" and got[0]["body"] is None
     with pytest.raises(ValueError, match="named like results"):
         quality.judge(docs.withColumn("kept", docs.doc_id), "body")
+
+
+@pytest.mark.parametrize(("piece", "fan"), [(60, 4096), (1 << 22, 3), (45, 2)])
+def test_scores_in_pieces_and_groups_of_shards(spark, folder, prose, monkeypatch, piece, fan):
+    """Long texts in pieces, and requests by way of routers, give the scores of the plain way."""
+    texts = ODD + [prose(30, s) for s in range(25)] + [" " * 70, "z" * 200 + " a b", prose(30, 3)]
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 500)
+    d = folder(texts)
+    want = {r["doc_id"]: r for r in lm.op6_deleted_interpolation(spark, d).collect()}
+    monkeypatch.setattr(lm, "PIECE_BYTES", piece)
+    monkeypatch.setattr(lm, "NEAR", 16)
+    monkeypatch.setattr(routing, "FAN", fan)
+    got = lm.op6_deleted_interpolation(spark, d).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert all(r[c] == w[c] for c in ("n_tokens", "n_known", "train_tokens", "held_out"))
+        assert math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-6)
+
+
+def test_scores_against_brute_force(spark, folder, prose):
+    """The whole model taken plainly: counts, deleted counts, buckets, expectation-maximisation, mixture."""
+    phrases = [prose(4, s) for s in range(12)]
+    texts = ODD + [" ".join(random.Random(s).choices(phrases, k=20)) for s in range(40)]
+    got = {r["doc_id"]: r["score"] for r in lm.op6_deleted_interpolation(spark, folder(texts)).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))}
+
+    def events(i):
+        w = ["<s>", "<s>", *(texts[i] or "").encode().translate(LOWER).split(), "</s>"]
+        return [tuple(w[k - 2 : k + 1]) for k in range(2, len(w))]
+
+    def counted(ids):
+        c = collections.Counter()
+        for i in ids:
+            for u, v, w in events(i):
+                c.update([(3, u, v, w), (2, v, w), (1, w), (0,)])
+            c["texts"] += 1
+        return c
+
+    every, out = counted(i for i in fold if fold[i] != 2), counted(i for i in fold if fold[i] == 3)
+    v_size = sum(k[0] == 1 for k in every if isinstance(k, tuple))
+
+    def estimates(c, u, v, w):
+        context3 = c["texts"] if (u, v) == ("<s>", "<s>") else c[2, u, v]
+        context2 = c["texts"] if v == "<s>" else c[1, v]
+        level = lambda x: 0 if x <= 0 else min(1 + int(math.floor(math.log2(x))), lm.LEVELS - 1)
+        p = [c[3, u, v, w] / context3 if context3 else 0.0, c[2, v, w] / context2 if context2 else 0.0, c[1, w] / c[0,] if c[0,] else 0.0, 1 / (v_size + 1)]
+        return p, (level(context3), level(context2))
+
+    rest = collections.Counter(every)
+    rest.subtract(out)
+    held = collections.defaultdict(collections.Counter)
+    for i in fold:
+        if fold[i] == 3:
+            for e in events(i):
+                p, bucket = estimates(rest, *e)
+                held[bucket][tuple(round(math.log2(x) * lm.STEPS) if x > 0 else None for x in p[:3])] += 1
+    weights = {}
+    for bucket, cells in held.items():
+        w = [0.25] * 4
+        for _ in range(lm.ROUNDS):
+            new = [lm.PRIOR / 4] * 4
+            for q, n in cells.items():
+                p = [w[k] * (2 ** (q[k] / lm.STEPS) if q[k] is not None else 0.0) for k in range(3)] + [w[3] / (v_size + 1)]
+                for k in range(4):
+                    new[k] += n * p[k] / sum(p)
+            w = [x / sum(new) for x in new]
+        weights[bucket] = w
+    for i in fold:
+        total = 0.0
+        for e in events(i):
+            p, bucket = estimates(every, *e)
+            total += math.log10(sum(a * b for a, b in zip(weights.get(bucket, [0.25] * 4), p)))
+        assert math.isclose(got[i], total, rel_tol=1e-9), i
+
+
+def test_archives_of_repeated_and_clashing_rows(spark, tmp_path, monkeypatch):
+    from hushframe.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    big = "<p>" + "long payload " * 400_000 + "</p>"  # five million bytes
+    rows = [(1, "http://a", big), (1, "http://a", big), (2, "http://b", big), (3, None, None), (3, None, None)]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, refers_to string, __d string").write.parquet(f"{d}/pages.parquet")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.op9_warc(spark, d).collect())
+    assert got == [(1, len(big), "response", 0)] * 2 + [(2, len(big), "revisit", 1)] + [(3, 0, "response", 0)] * 2
+
+
+def test_languages_against_brute_force(spark, folder, prose):
+    """The query against letter vectors, binding, bundling and cosines taken one trigram at a time."""
+    other = lambda s: " ".join("".join(random.Random(s * 100 + k).choices("xyzqwöüna", k=5)) for k in range(12))
+    texts = [prose(15, i) if i % 3 else other(i) for i in range(60)] + ODD + ["ab", "A", "Éa b", prose(15, 1), prose(15, 1)]
+    langs = ["aa" if i % 3 else "zz" for i in range(60)] + [None] * (len(texts) - 60)
+    spark_docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    d = folder([])
+    spark_docs.write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    got = {r["doc_id"]: r for r in language.op8_language_id(spark, d).collect()}
+
+    def vector(text):
+        letters = re.sub(r"\x00+", " ", "".join(c if c.isalpha() else "\0" for c in (text or "").lower()))
+        total = np.zeros(language.DIMENSIONS)
+        for k in range(len(letters) - 2):
+            bound = np.ones(language.DIMENSIONS)
+            for shift, c in zip((2, 1, 0), letters[k : k + 3]):
+                v = np.random.default_rng(ord(c)).integers(0, 2, language.DIMENSIONS, dtype=np.int8) * 2.0 - 1
+                bound *= np.roll(v, shift)
+            total += bound
+        return total / max(np.linalg.norm(total), 1e-12)
+
+    has = [any(c.isalpha() for c in t or "") for t in texts]
+    learned = [i for i in range(len(texts)) if langs[i] and has[i] and zlib.crc32(str(i).encode()) % 4 != 2]
+    sums = {n: sum(vector(texts[i]) for i in learned if langs[i] == n) for n in ("aa", "zz")}
+    unit = {n: v / np.linalg.norm(v) for n, v in sums.items()}
+    mean = sum(unit.values()) / 2
+    prototypes = {n: (v - mean) / np.linalg.norm(v - mean) for n, v in unit.items()}
+    for i, t in enumerate(texts):
+        cosine = {n: float(vector(t) @ p) for n, p in prototypes.items()}
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not has[i]:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        top = max(cosine.values())
+        if abs(cosine["aa"] - cosine["zz"]) > 1e-4:
+            assert got[i]["lang_pred"] == max(cosine, key=cosine.get)
+        assert math.isclose(got[i]["score"], 1 / sum(math.exp(language.SHARPNESS * (c - top)) for c in cosine.values()), rel_tol=1e-3)
+
+
+def test_unknown_languages_are_rejected(spark, documents, prose):
+    """Random letters and an alphabet that wasn't learned go, where they are long enough to tell; a user's columns stay as they are."""
+    r = random.Random(7)
+    noise, cyrillic = ("".join(r.choice(letters) for _ in range(900)) for letters in ("abcdefghijklmnopqrstuvwxyz ", "абвгдежзиклмноп "))
+    docs = documents([(i, prose(60, i)) for i in range(120)] + [(200, noise), (201, cyrillic), (202, "xkzq"), (203, None), (204, "12 34")], ["en"] * 120 + [None] * 5)
+    docs = docs.withColumns({"lang_pred": docs.doc_id, "cosine": docs.doc_id})
+    kept = language.reject_unknown(spark, docs, "")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {x["doc_id"] for x in rows} == {*range(120), 202} and all(x["lang_pred"] == x["cosine"] == x["doc_id"] for x in rows)
+
+
+def test_very_long_texts(spark, folder, prose):
+    """Every query over a text of a million letters, one without any white space, and a short one."""
+    item = prose(30, 3)
+    long = f"{prose(60_000, 1)} {item} {prose(140_000, 2)}"
+    texts = [long, "x" * 300_000, "a short one", long[:-40]]
+    d = folder(texts, [item], [("http://a", long), ("http://b", long)])
+    by = lambda q: {r[0]: r for r in q(spark, d).collect()}
+    tokens_of = {i: direct("byte_bpe_50k.json", t, 0) for i, t in enumerate(texts)}
+    got = by(token_files.op5_token_files)
+    assert all(got[i]["ids_crc32"] == zlib.crc32(ids.tobytes()) for i, ids in tokens_of.items())
+    lengths = collections.Counter()
+    for r in packing.op3_packing(spark, d).collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {i: len(direct("word_bpe_49k.json", t, 1)) for i, t in enumerate(texts)}
+    assert {i: r["n_tokens"] for i, r in by(lm.op6_deleted_interpolation).items()} == {i: len(t.split()) + 1 for i, t in enumerate(texts)}
+    assert {i: r["n_words"] for i, r in by(quality.op10_line_quality).items()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    hits = by(decontaminate.op4_decontaminate)
+    assert [hits[i]["n_hit"] for i in range(4)] == [30, 0, 0, 30] and not hits[0]["contaminated"]
+    assert set(by(pii.op7_pii)) == set(by(language.op8_language_id)) == {0, 1, 2, 3}
+    assert [r["record_type"] for _, r in sorted(by(warc.op9_warc).items())] == ["response", "revisit"]
+    removed = by(substrings.op2_suffix_array)
+    assert (removed[3]["n_removed"], removed[3]["n_spans"]) == (len(long) - 40, 1) and removed[0]["n_removed"] == removed[1]["n_removed"] == 0
+
+
+def test_pipeline_against_brute_force(spark, folder, prose):
+    """All five stages over some sixty documents, each against a plain version of its rule."""
+    import corpus_pipeline
+    from tests.llm.test_pairs import brute_components, near_copies, words
+
+    items = [prose(40, 501), prose(16, 502), "tiny item"]
+    r = random.Random(11)
+    texts = ODD + near_copies(prose, 14, 1) + [prose(50, 99)] * 3 + [prose(60, s) + f" mail bob{s}@example.com now" for s in range(300, 306)]
+    texts += [f"{prose(20, s)} {items[s % 2]} {prose(20, s + 50)}" for s in range(400, 406)] + [f"{prose(2000, 7)} tiny item", "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900))]
+    noise = len(texts) - 1
+    d = folder(texts, items)
+    spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "text", f"case when doc_id = {noise} then null else lang end as lang", "source", "n_chars").write.parquet(f"{d}/labelled/documents.parquet")
+    spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{d}/labelled/benchmark.parquet")
+    d = f"{d}/labelled"
+    left = {i: t for i, t in enumerate(texts) if i != noise and any(c.isalpha() for c in t or "")}  # stage 1
+    places = list(left)
+    groups = brute_components([left[i] for i in places])
+    left = {i: left[i] for k, i in enumerate(places) if groups[k][1] == k}  # stage 2
+    windows = [tuple(q[s : s + 13]) for q in map(words, items) for s in range(max(1, len(q) - 12))]
+
+    def hit_words(t):
+        w, hit = words(t), set()
+        for q in windows:
+            for at in range(len(w) - len(q) + 1):
+                if tuple(w[at : at + len(q)]) == q:
+                    hit |= set(range(at, at + len(q)))
+        return len(hit), len(w)
+
+    left = {i: t for i, t in left.items() if not (hit_words(t)[0] and 20 * hit_words(t)[0] >= hit_words(t)[1])}  # stage 3
+
+    def without_spans(t):
+        out, at = "", 0
+        for kind, start, end in base_spans(t):
+            if start >= at:
+                out, at = out + t[at:start] + f"<{kind.upper()}>", end
+            else:  # overlaps the one before
+                at = max(at, end)
+        return out + t[at:]
+
+    left = {i: without_spans(t) for i, t in left.items()}  # stage 4: addresses, and numbers that happen to be cards
+    rows = corpus_pipeline.run(spark, d).collect()  # stage 5
+    assert {x["doc_id"] for x in rows} == set(left) and 20 < len(left) < len(texts) - 20
+    for i, t in left.items():
+        ids, at = direct("word_bpe_49k.json", t, 1), 0
+        for x in sorted((x for x in rows if x["doc_id"] == i), key=lambda x: x["start"]):
+            assert x["start"] == at and x["doc_tokens"] == len(ids) and x["ids_crc32"] == zlib.crc32(ids[at : at + x["length"]].tobytes())
+            at += x["length"]
+        assert at == len(ids)
+    for s in {x["sequence_id"] for x in rows}:
+        own = sorted((x["offset"], x["length"]) for x in rows if x["sequence_id"] == s)
+        assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and sum(n for _, n in own) <= 2048
+
+
+def test_shards_of_equal_bytes(spark):
+    """A third of all rows are copies of a long document, and some rows are repeated; shards still have about equal bytes."""
+    r = np.random.default_rng(3)
+    rows = [(i, int(r.integers(-(1 << 62), 1 << 62)), bytearray(4 * int(r.integers(5, 60)))) for i in range(3000)]
+    rows += [(5000 + i, 12345 << 30, bytearray(4 * 300)) for i in range(1000)] + [(9999, 777 << 40, bytearray(4 * 100))] * 500
+    encoded = spark.createDataFrame(rows, "doc_id long, near long, ids binary").repartition(8)
+    got = packing.in_shards(encoded, 12).selectExpr("shard", "octet_length(ids) as n").groupBy("shard").sum("n").collect()
+    sizes = [x[1] for x in got]
+    assert {x[0] for x in got} == set(range(12)) and max(sizes) < 2 * np.median(sizes) and min(sizes) > np.median(sizes) / 2
