@@ -22,7 +22,7 @@ BROADCAST_ROWS = 500_000
 #: Rows of one key over which a join by a shuffle treats it by itself.
 HOT_ROWS = 100_000
 #: Entries after which a worker's table of words is emptied; only memory depends on it.
-WORD_TABLE = 300_000
+WORD_TABLE = 200_000
 
 
 class Work:

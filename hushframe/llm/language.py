@@ -28,7 +28,7 @@ DIMENSIONS, UNIT = 512, 1 << 20
 #: Distinct labels that may be learned: prototypes go to every task, so their number has a bound.
 MAX_LANGUAGES = 2000
 #: Texts and characters that are worked on at once; trigrams bundled at once.
-BATCH_TEXTS, BATCH_CHARS, SLICE = 256, 2_000_000, 16_384
+BATCH_TEXTS, BATCH_CHARS, SLICE = 128, 1_000_000, 8192
 #: Labelled texts to learn from: of more, a sample of about so many, drawn by a hash of the row. It takes all rows of a
 #: language that has few and equal numbers of those that have many, which are LEARN_EACH or more.
 LEARN_TEXTS, LEARN_EACH = 20_000, 500
@@ -200,6 +200,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
                 found[1] += np.where(has, share, 0.0).tolist()
                 found[2] += cosine.max(axis=1).tolist()
                 found[3] += letters.tolist()
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, k) for v, (_, _, k) in zip(found, added)]], [*columns, *[n for n, _, _ in added]])
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(score, schema)

@@ -39,6 +39,8 @@ PERCENT = 75
 N_A, ROWS_A, N_B, ROWS_B = 16, 3, 10, 2
 #: Sets of a tile's side, at most; of groups that could be one tile or few, a side of FINE, but no more than PARTS sides; shared shingles that are multiplied at once.
 CHUNK, FINE, PARTS, SLICE = 1024, 128, 16, 8192
+#: Sets whose table keys are made at once.
+AT_ONCE = 1024
 
 _seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (2, N_A * ROWS_A + N_B * ROWS_B), dtype=np.uint64)
 _XOR, _TIMES = _seeds[0] << np.uint64(1), _seeds[1] | np.uint64(1)
@@ -194,14 +196,12 @@ def links(work: Work, docs: DataFrame, members: DataFrame, key: str, text: str)
 def table_keys(reps: DataFrame) -> DataFrame:
     """table_key, id and centre of reps (id, a, b): a row for each of the tables; centre is null.
 
-    Of the ids of a batch that share a key, only the least goes on under it; each other one has a row with that least id as
+    Of the ids of a batch (AT_ONCE sets) that share a key, only the least goes on under it; each other one has a row with that least id as
     its centre, once, under a key of its own. So a key that very many sets share is cut down before it is shuffled.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
+        for x in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             ids = x.column("id").to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             ids, n = ids[order], len(ids)
