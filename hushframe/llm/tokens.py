@@ -26,9 +26,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in a table, after which it is emptied; only memory depends on it. Longer pieces aren't kept.
-TABLE, LONGEST = 400_000, 32
+TABLE, LONGEST = 700_000, 32
 #: Bytes of texts that are cut at once.
-CHARS = 2 << 20
+CHARS = 4 << 20
 #: White space (as Python's \\s has it) that follows white space, or a zero, for Arrow's regular expressions.
 _ODD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
 _PIECES = re.compile(r"\s*\S+|\s+")
