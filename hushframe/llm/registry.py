@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 #: Modules with QUERIES (name -> function of spark and folder) and ORACLES (name -> DuckDB SQL).
-MODULES = ("minhash", "substrings", "packing", "decontaminate", "token_files", "lm", "pii", "language", "warc", "quality", "licences", "alignment")
+MODULES = ("minhash", "substrings", "packing", "decontaminate", "token_files", "lm", "pii", "language", "warc", "quality", "licences", "alignment", "negatives")
 
 
 def _all(what: str) -> dict:
