@@ -26,7 +26,8 @@ def col(x: Column | str | float | bool) -> Column:
 
 
 def _nan(x: Column) -> Column:
-    return F.coalesce(F.isnan(x.cast("double")), F.lit(True))
+    """Whether a number is missing: NaN or null."""
+    return x.isNull() | F.isnan(x.cast("double"))
 
 
 def absolute(x: Column) -> Column:
@@ -122,13 +123,18 @@ def clamp_categories(x: Column, categories: Sequence, null_value) -> Column:
 
 
 def edges_below(x: Column, edges: Sequence[float], or_equal: bool) -> Column:
-    """How many of sorted edges are below x (or equal to it): a binary search in an array, so the expression doesn't grow with the edges."""
+    """How many of sorted edges are below x (or equal to it), by an expression that doesn't grow with the edges: of even edges a division and a look at both neighbours, else a binary search in an array."""
     k, table = len(edges), F.array(*[F.lit(float(e)) for e in edges])
+    below = lambda edge: (edge <= x) if or_equal else (edge < x)
+    each = (edges[-1] - edges[0]) / max(k - 1, 1)
+    if k > 2 and all(abs(e - edges[0] - i * each) < each / 4 for i, e in enumerate(edges)):
+        guess = (F.floor(F.least(F.greatest((x - F.lit(float(edges[0]))) / F.lit(float(each)), F.lit(-1.0)), F.lit(float(k - 1)))) + 1).cast("int")
+        return F.when((guess < k) & F.coalesce(below(F.get(table, guess)), F.lit(False)), guess + 1).when((guess > 0) & ~below(F.get(table, guess - 1)), guess - 1).otherwise(guess)
     steps = [1 << b for b in range(k.bit_length() - 1, -1, -1)]
 
     def further(at: Column, step: Column) -> Column:
         edge = F.get(table, at + step - 1)  # null beyond the last
-        return F.when((edge <= x) if or_equal else (edge < x), at + step).otherwise(at)
+        return F.when(below(edge), at + step).otherwise(at)
 
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
@@ -141,9 +147,9 @@ def digitize(x: Column, edges: Sequence[float], null_value: int = -1, inclusive_
 
 
 def place_among(x: Column, edges: Sequence[float]) -> Column:
-    """Where x lies among sorted, different edges: 2 j below edge j and above the one before, 2 j + 1 on edge j."""
-    table = F.array(*[F.lit(float(e)) for e in edges])
-    return F.element_at(F.transform(F.array(edges_below(x, edges, False)), lambda at: 2 * at + F.coalesce(F.get(table, at) == x, F.lit(False)).cast("int")), 1)
+    """Where x lies among sorted, different edges: 2 j below edge j and above the one before, 2 j + 1 on edge j; null for a missing number."""
+    table, at = F.array(*[F.lit(float(e)) for e in edges]), edges_below(x, edges, False)
+    return F.when(~_nan(x), 2 * at + F.coalesce(F.get(table, at) == x, F.lit(False)).cast("int"))
 
 
 def bin_value(x: Column, edges: Sequence[float], null_value: float, side: str = "midpoint", inclusive_left: bool = True) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +14,9 @@ from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
 from hushframe.operators import ranks as R
 from hushframe.operators import sensitivity as S
-from hushframe.operators.structure import numbering
-from hushframe.plans.frame import Aggregate, PrivateFrame, Props
-from hushframe.plans.planner import dense_keys
-from hushframe.privacy import PrivacyError
+from hushframe.operators.structure import numbering, union_rows
+from hushframe.plans.frame import Aggregate, Order, PrivateFrame, Props
+from hushframe.privacy import PrivacyError, Usage, common, composed
 
 #: Rows up to which all pairs are formed; rows of numbered points up to which they are broadcast (24 bytes each).
 ALL_PAIRS, BROADCAST_ROWS = 20_000, 1_000_000
@@ -25,24 +24,30 @@ ALL_PAIRS, BROADCAST_ROWS = 20_000, 1_000_000
 WIDE = 64
 
 
+#: From a column's name to the column.
+Named = Callable[[str], Column]
+
+
 def _numbers(values: list) -> list:
     return [float("nan") if v is None else v for v in values]
 
 
-def _aggregate(frame: PrivateFrame, name: str, exprs: list[Column], sensitivities, columns: Sequence[str] = (), **more) -> Aggregate:
-    def sensitivity(norm: int) -> list[float]:
-        return sensitivities(norm)
+def _aggregate(frame: PrivateFrame, name: str, exprs: Callable[[Named], list[Column]], sensitivities, columns: Sequence[str] = (), **more) -> Aggregate:
+    """exprs: of a function from a column's name to the column, as the planner may have named it anew."""
+    return Aggregate(frame, name, exprs, more.pop("finish", _numbers), sensitivities, columns=tuple(columns), **more)
+
 
-    return Aggregate(frame, name, exprs, more.pop("finish", _numbers), sensitivity, columns=tuple(columns), **more)
+def _none(_: Named) -> list[Column]:
+    return []
 
 
 def count(frame: PrivateFrame, columns=None, distinct: bool = False) -> Aggregate:
     """Rows, or distinct values of each column."""
     nb, n = frame.definition.neighboring, frame.n
     if not distinct:
-        return _aggregate(frame, "count", [F.count(F.lit(1))], lambda _: [S.count(n, nb)], kind="int", finish=lambda v: [v[0] or 0], lower=[n or 0], upper=[n])
+        return _aggregate(frame, "count", lambda c: [F.count(F.lit(1))], lambda _: [S.count(n, nb)], kind="int", finish=lambda v: [v[0] or 0], lower=[n or 0], upper=[n])
     names = P._names(frame, columns)
-    return _aggregate(frame, "count", [F.count_distinct(F.col(c)) for c in names], lambda _: [S.count(n, nb, True)] * len(names), names, kind="int", finish=lambda v: [x or 0 for x in v], lower=[0] * len(names), upper=[n] * len(names))
+    return _aggregate(frame, "count", lambda c: [F.count_distinct(c(n)) for n in names], lambda _: [S.count(n, nb, True)] * len(names), names, kind="int", finish=lambda v: [x or 0 for x in v], lower=[0] * len(names), upper=[n] * len(names))
 
 
 def sum_(frame: PrivateFrame, columns=None) -> Aggregate:
@@ -51,7 +56,7 @@ def sum_(frame: PrivateFrame, columns=None) -> Aggregate:
     kind = "int" if all(p.kind == "int" for p in props) else "float"
     scale = lambda e: [None if frame.n is None or p.lower is None or p.upper is None else frame.n * getattr(p, e) for p in props]
     wide = kind == "int" and frame.definition.protect_overflow
-    return _aggregate(frame, "sum", [F.coalesce(F.sum(F.col(c).cast("decimal(38,0)") if wide else c), F.lit(0)) for c in names], lambda _: [S.total(p.bounds, frame.definition.neighboring) for p in props], names, kind=kind, lower=scale("lower"), upper=scale("upper"), finish=lambda v: [int(x or 0) if wide else x or 0 for x in v])
+    return _aggregate(frame, "sum", lambda c: [F.coalesce(F.sum(c(n).cast("decimal(38,0)") if wide else c(n)), F.lit(0)) for n in names], lambda _: [S.total(p.bounds, frame.definition.neighboring) for p in props], names, kind=kind, lower=scale("lower"), upper=scale("upper"), finish=lambda v: [int(x or 0) if wide else x or 0 for x in v])
 
 
 def mean(frame: PrivateFrame, columns=None) -> Aggregate:
@@ -59,7 +64,7 @@ def mean(frame: PrivateFrame, columns=None) -> Aggregate:
     props = frame.numeric(names, "mean", empty=False)
     if any(p.kind != "float" for p in props):
         raise PrivacyError("mean takes floats")
-    return _aggregate(frame, "mean", [F.avg(c) for c in names], lambda _: [S.mean(p.bounds, frame.n, frame.definition.neighboring) for p in props], names, lower=[p.lower for p in props], upper=[p.upper for p in props])
+    return _aggregate(frame, "mean", lambda c: [F.avg(c(n)) for n in names], lambda _: [S.mean(p.bounds, frame.n, frame.definition.neighboring) for p in props], names, lower=[p.lower for p in props], upper=[p.upper for p in props])
 
 
 def variance(frame: PrivateFrame, columns=None, finite_sample_correction: bool = True) -> Aggregate:
@@ -67,7 +72,7 @@ def variance(frame: PrivateFrame, columns=None, finite_sample_correction: bool =
     props = frame.numeric(names, "variance", empty=False)
     f = F.var_samp if ddof else F.var_pop
     top = lambda p: None if p.lower is None or p.upper is None else (p.upper - p.lower) ** 2 / 4 * (frame.n / (frame.n - ddof) if frame.n and frame.n > ddof else 1)
-    return _aggregate(frame, "variance", [f(c) for c in names], lambda _: [S.variance(p.bounds, frame.n, frame.definition.neighboring, ddof) for p in props], names, lower=[0.0] * len(names), upper=[top(p) for p in props])
+    return _aggregate(frame, "variance", lambda c: [f(c(n)) for n in names], lambda _: [S.variance(p.bounds, frame.n, frame.definition.neighboring, ddof) for p in props], names, lower=[0.0] * len(names), upper=[top(p) for p in props])
 
 
 def covariance(frame: PrivateFrame, columns=None, left=None, right=None, finite_sample_correction: bool = True) -> Aggregate:
@@ -80,7 +85,7 @@ def covariance(frame: PrivateFrame, columns=None, left=None, right=None, finite_
     ddof = int(finite_sample_correction)
     f = F.covar_samp if ddof else F.covar_pop
     bounds = lambda c: frame.of(c).bounds
-    return _aggregate(frame, "covariance", [f(a, b) for a, b in pairs], lambda _: [S.covariance(bounds(a), bounds(b), frame.n, frame.definition.neighboring, ddof) for a, b in pairs], [f"{a},{b}" for a, b in pairs])
+    return _aggregate(frame, "covariance", lambda c: [f(c(a), c(b)) for a, b in pairs], lambda _: [S.covariance(bounds(a), bounds(b), frame.n, frame.definition.neighboring, ddof) for a, b in pairs], [f"{a},{b}" for a, b in pairs])
 
 
 def raw_moment(frame: PrivateFrame, columns=None, order: int = 1) -> Aggregate:
@@ -88,7 +93,7 @@ def raw_moment(frame: PrivateFrame, columns=None, order: int = 1) -> Aggregate:
     props = frame.numeric(names, "raw_moment", empty=False)
     if order < 1:
         raise PrivacyError("the order is 1 or more")
-    return _aggregate(frame, "raw_moment", [F.avg(F.pow(F.col(c).cast("double"), F.lit(order))) for c in names], lambda _: [S.raw_moment(p.bounds, order, frame.n, frame.definition.neighboring) for p in props], names)
+    return _aggregate(frame, "raw_moment", lambda c: [F.avg(F.pow(c(n).cast("double"), F.lit(order))) for n in names], lambda _: [S.raw_moment(p.bounds, order, frame.n, frame.definition.neighboring) for p in props], names)
 
 
 # ---------------------------------------------------------------- order statistics
@@ -111,71 +116,90 @@ def ranks(n: int, alpha: float, interpolation: str) -> list[tuple[int, float]]:
     raise PrivacyError(f"unknown interpolation {interpolation}")
 
 
-def quantile(frame: PrivateFrame, columns=None, alpha: float = 0.5, interpolation: str = "midpoint", candidates: Sequence[float] | None = None) -> Aggregate:
-    """The alpha-quantile of each column, exactly; or, with candidates (one column), the utility of each of them."""
-    names = P._names(frame, columns)
-    if not 0 <= alpha <= 1:
-        raise PrivacyError("alpha lies between 0 and 1")
-    nb = frame.definition.neighboring
-    if candidates is not None:
-        return quantile_utilities(frame, names[0], list(candidates), alpha)
-    props = frame.numeric(names, "quantile", empty=False)
-    ranks(1, alpha, interpolation)
+def _bounds(p: Props) -> tuple[float, float] | None:
+    return None if p.lower is None or p.upper is None else (float(p.lower), float(p.upper))
 
-    def direct() -> dict:
-        keys = [k.name for k in frame.keys]
-        out: dict = {key: [] for key in (dense_keys(frame) if keys else [()])}
-        for c in names:
-            cells = R.first_cells(frame.df, F.col(c), keys)
-            mixed = {key: ranks(cells[key].count, alpha, interpolation) for key in out if key in cells}
-            found = R.at_places(frame.df, F.col(c), keys, {key: [p for p, _ in m] for key, m in mixed.items()}, cells)
-            for key in out:
-                out[key].append(math.fsum(found[key][p] * q for p, q in mixed[key] if q) if key in mixed else float("nan"))
-        return out
 
-    return _aggregate(frame, "quantile", [], lambda _: [S.quantile(p.bounds) for p in props], names, direct=direct, lower=[p.lower for p in props], upper=[p.upper for p in props])
+def _quantile_of(alpha: float, interpolation: str):
+    """Asks for the values that an alpha-quantile mixes; returns it, or NaN without values."""
 
+    def look(first: list[R.Cell]) -> R.Asking:
+        n, found = yield from R.at_places(first, lambda n: [p for p, _ in ranks(n, alpha, interpolation)])
+        return math.fsum(found[p] * q for p, q in ranks(n, alpha, interpolation) if q) if n else float("nan")
 
-def grouped_counts(frame: PrivateFrame, group: Column) -> dict[tuple, dict]:
-    """Rows of each value of a column, by key: one aggregation with partial sums, whatever the number of values."""
-    keys = [k.name for k in frame.keys]
-    out: dict[tuple, dict] = {key: {} for key in (dense_keys(frame) if keys else [()])}
-    for r in frame.df.groupBy(*keys, group.alias("__g")).agg(F.count(F.lit(1)).alias("__n")).collect():  # a row a key and declared value
-        out.get(tuple(r[k] for k in keys), {})[r["__g"]] = r["__n"]
-    return out
+    return look
 
 
-def quantile_utilities(frame: PrivateFrame, column: str, candidates: list[float], alpha: float) -> Aggregate:
-    """n * max(a, 1 - a) - |(1 - a) * below - a * above| for each candidate.
+def quantile(frame: PrivateFrame, columns=None, alpha: float = 0.5, interpolation: str = "midpoint", candidates: Sequence | None = None, missing: str = "refuse") -> Aggregate:
+    """The alpha-quantile of each column, exactly; or, with candidates (one list for all columns, or one for each), the utility of each of them, column by column.
 
-    A few candidates are two conditional sums each in the fused aggregation; of many, rows are counted by their place
-    among the sorted candidates, and running sums on the driver give what is below and above each.
+    missing, for utilities: "refuse" columns that may have missing values, or take them as an "interval" of rows of unknown place.
     """
-    frame.numeric([column], "quantile")
-    x = F.col(column)
+    names = P._names(frame, columns)
+    if not 0 <= alpha <= 1:
+        raise PrivacyError("alpha lies between 0 and 1")
+    if missing not in ("refuse", "interval"):
+        raise PrivacyError(f"unknown treatment of missing values: {missing}")
+    if candidates is not None:
+        each = [list(c) for c in candidates] if candidates and isinstance(candidates[0], (list, tuple)) else [list(candidates)] * len(names)
+        if len(each) != len(names) or not all(each):
+            raise PrivacyError(f"{len(names)} columns need one list of candidates or {len(names)}")
+        return quantile_utilities(frame, names, each, alpha, missing == "interval")
+    if missing != "refuse":
+        raise PrivacyError("only utilities of candidates can be told of missing values")
+    props = frame.numeric(names, "quantile", empty=False)
+    ranks(1, alpha, interpolation)
+    orders = tuple(Order(n, _bounds(p), _quantile_of(alpha, interpolation)) for n, p in zip(names, props))
+    return _aggregate(frame, "quantile", _none, lambda _: [S.quantile(p.bounds) for p in props], names, finish=list, orders=orders, lower=[p.lower for p in props], upper=[p.upper for p in props])
+
 
-    def utility(n: int, below: int, above: int) -> float:
-        return n * max(alpha, 1 - alpha) - abs((1 - alpha) * below - alpha * above)
+def quantile_utilities(frame: PrivateFrame, names: list[str], candidates: list[list[float]], alpha: float, robust: bool = False) -> Aggregate:
+    """n * max(a, 1 - a) - |(1 - a) * below - a * above| for each candidate of each column, one column after the other.
 
-    exprs = [F.count(F.lit(1))] + [e for c in candidates for e in (F.sum((x < F.lit(c)).cast("long")), F.sum((x > F.lit(c)).cast("long")))]
+    robust: rows without a value may lie anywhere, so the distance is the largest that any place of them makes; one more row,
+    wherever it is, moves that as little as without missing rows. A few candidates are conditional sums in the fused
+    aggregation; of many, rows are counted by their place among the sorted candidates, and running sums on the driver give
+    what is below and above each.
+    """
+    frame.numeric(names, "quantile", null=robust)
+
+    def worst(n: int, missing: int, below: int, above: int) -> float:
+        far = lambda left, right: abs((1 - alpha) * left - alpha * right)
+        return n * max(alpha, 1 - alpha) - max(far(below + missing, above), far(below, above + missing))
+
+    def exprs(c: Named) -> list[Column]:
+        out = [F.count(F.lit(1))]
+        for name, own in zip(names, candidates):
+            x = c(name)
+            out.append(F.count(F.when(x.isNotNull() & ~F.isnan(x.cast("double")), F.lit(1))))  # NaN is greater than any number for Spark
+            out += [e for v in own for e in (F.sum((x < F.lit(v)).cast("long")), F.sum(((x > F.lit(v)) & ~F.isnan(x.cast("double"))).cast("long")))]
+        return out
 
     def finish(v: list) -> list[float]:
-        v = [x or 0 for x in v]
-        return [utility(v[0], v[2 * i + 1], v[2 * i + 2]) for i in range(len(candidates))]
-
-    def direct() -> dict:
-        edges = sorted(set(candidates))
-        place, out = C.place_among(x, edges), {}
-        for key, counts in grouped_counts(frame, place).items():
-            n, before = sum(counts.values()), [0]
+        v, out = [x or 0 for x in v], []
+        at = 1
+        for own in candidates:
+            some, at = v[at], at + 1
+            out += [worst(v[0], v[0] - some, v[at + 2 * i], v[at + 2 * i + 1]) for i in range(len(own))]
+            at += 2 * len(own)
+        return out
+
+    def finish_counts(found: list[dict]) -> list[float]:
+        out = []
+        for own, counts in zip(candidates, found):
+            edges, before = sorted(set(own)), [0]
             for i in range(2 * len(edges) + 1):  # 2 j: between edges j - 1 and j; 2 j + 1: on edge j
-                before.append(before[-1] + counts.get(i, 0))
-            at = {e: (before[2 * j + 1], n - before[2 * j + 2]) for j, e in enumerate(edges)}
-            out[key] = [utility(n, *at[c]) for c in candidates]
+                before.append(before[-1] + counts.get(str(i), 0))
+            missing = counts.get(None, 0)
+            at = {e: (before[2 * j + 1], before[-1] - before[2 * j + 2]) for j, e in enumerate(edges)}
+            out += [worst(before[-1] + missing, missing, *at[x]) for x in own]
         return out
 
-    many = len(candidates) > WIDE
-    return _aggregate(frame, "quantile_utilities", [] if many else exprs, lambda _: [S.quantile_utility(alpha, frame.definition.neighboring)], [column], finish=finish, direct=direct if many else None, candidates=tuple(candidates))
+    many = sum(map(len, candidates)) > WIDE
+    place = lambda name, own: lambda c: C.place_among(c(name), sorted(set(own)))
+    more = {"grouped": tuple(place(n, own) for n, own in zip(names, candidates)), "finish": finish_counts} if many else {"finish": finish}
+    sensitivity = S.quantile_utility(alpha, frame.definition.neighboring)
+    return _aggregate(frame, "quantile_utilities", _none if many else exprs, lambda _: [sensitivity] * len(names), names, candidates=tuple(map(tuple, candidates)), **more)
 
 
 def minimum(frame: PrivateFrame, columns=None, candidates=None) -> Aggregate:
@@ -191,7 +215,7 @@ def _extreme(frame: PrivateFrame, columns, f, alpha: float, candidates, name: st
         return quantile(frame, columns, alpha, candidates=candidates)
     names = P._names(frame, columns)
     props = frame.numeric(names, name, empty=False)
-    return _aggregate(frame, name, [f(c) for c in names], lambda _: [S.quantile(p.bounds) for p in props], names, lower=[p.lower for p in props], upper=[p.upper for p in props])
+    return _aggregate(frame, name, lambda c: [f(c(n)) for n in names], lambda _: [S.quantile(p.bounds) for p in props], names, lower=[p.lower for p in props], upper=[p.upper for p in props])
 
 
 def median(frame: PrivateFrame, columns=None, candidates=None) -> Aggregate:
@@ -208,12 +232,41 @@ def histogram(frame: PrivateFrame, column: str, edges=None, categories=None, nul
     if cats is None:
         raise PrivacyError("a histogram needs edges or categories")
     many = len(cats) > WIDE
-    exprs = [] if many else [F.count(F.when(F.col(column) == F.lit(c), F.lit(1))) for c in cats]
+    if many:
+        text = {str(c).lower() if isinstance(c, bool) else str(c): c for c in cats}  # as Spark writes them
+        more = {"grouped": (lambda c: c(column),), "finish": lambda v: [{text.get(k): n for k, n in v[0].items()}.get(x, 0) for x in cats]}
+    else:
+        more = {"finish": lambda v: [x or 0 for x in v]}
+    exprs = _none if many else lambda c: [F.count(F.when(c(column) == F.lit(x), F.lit(1))) for x in cats]
+    return _aggregate(frame, "histogram", exprs, lambda norm: [S.histogram(len(cats), frame.n, frame.definition.neighboring, norm)] * len(cats), [column], kind="int", lower=[0] * len(cats), upper=[frame.n] * len(cats), candidates=cats, joint=True, **more)
+
 
-    def direct() -> dict:
-        return {key: [counts.get(c, 0) for c in cats] for key, counts in grouped_counts(frame, F.col(column)).items()}
+def union(*some: Aggregate | PrivateFrame, flatten: bool = True) -> Aggregate | PrivateFrame | dict:
+    """Rows of frames; or aggregates of several row sets as one, its values one after the other, for one mechanism over all.
 
-    return _aggregate(frame, "histogram", exprs, lambda norm: [S.histogram(len(cats), frame.n, frame.definition.neighboring, norm)] * len(cats), [column], kind="int", finish=lambda v: [x or 0 for x in v], lower=[0] * len(cats), upper=[frame.n] * len(cats), direct=direct if many else None, candidates=cats)
+    Sensitivities are stacked. An individual may move the aggregates of the same part, of what holds it and of unrelated rows,
+    but of the parts of one partition only one: how many at most is the factor by which mechanisms divide their budget.
+    """
+    if not any(isinstance(x, Aggregate) for x in some):
+        return union_rows(*some, flatten=flatten)
+    if not all(isinstance(x, Aggregate) for x in some) or any(a.frame.keys for a in some):
+        raise PrivacyError("a union takes frames, or aggregates without keys")
+    if not flatten:
+        return dict(enumerate(some))
+    if any(a.candidates is not None and not a.joint for a in some) or len({a.kind for a in some}) > 1 or len({a.frame.definition for a in some}) > 1:
+        raise PrivacyError("aggregates to be united are of one kind and definition, and no utilities")
+    first = some[0].frame
+    frame = first.new_rows(first.df, n=None, keys=(), path=common(a.frame.reach for a in some), public=all(a.frame.public for a in some))
+    stacked = lambda ends: None if any(e is None for e in ends) else [x for e in ends for x in e]
+    return Aggregate(
+        frame, "union", _none, list, lambda norm: [s for a in some for s in a.sensitivity(norm)], kind=some[0].kind, lower=stacked([a.lower for a in some]), upper=stacked([a.upper for a in some]),
+        columns=tuple(f"{a.name}{i}" for i, a in enumerate(some) for _ in range(a.width)), parts=tuple(some),
+    )
+
+
+def met(parts: Sequence[Aggregate]) -> int:
+    """How many of some aggregates' row sets hold rows of one individual, at most."""
+    return round(composed((a.frame.reach, Usage(1.0)) for a in parts).epsilon)
 
 
 # ---------------------------------------------------------------- Theil-Sen

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from hushframe.operators import aggregates as A
 from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
-from hushframe.operators.ranks import draw_gaps
+from hushframe.operators import ranks as R
 from hushframe.operators.structure import reshape
-from hushframe.plans.frame import Aggregate, Noisy, PrivateFrame
+from hushframe.plans.frame import Aggregate, Noisy, Order, PrivateFrame
 from hushframe.plans.planner import dense_keys
-from hushframe.plans.shared import written
+from hushframe.plans.shared import fixed_plans, written
 from hushframe.privacy import PrivacyError, Usage, as_usage, effective
 
 ADDITIVE = ("laplace", "gaussian", "analyticgaussian", "snapping", "simplegeometric")
@@ -30,15 +30,33 @@ def _rng(frame: PrivateFrame, rng: N.Secure | None) -> N.Secure:
     return rng
 
 
+def _shares(aggregate: Aggregate, paid: Usage, met: int) -> list[Usage]:
+    """What the mechanism may use for each value of an aggregate for which an individual, who is in met of such row sets, pays in all."""
+    if aggregate.parts:
+        most = met * A.met(aggregate.parts)
+        return [u for part in aggregate.parts for u in _shares(part, paid, most)]
+    frame = aggregate.frame
+    each = [paid] * aggregate.width if aggregate.joint else paid.spread(aggregate.width)
+    return [effective(u, frame.stability * met, frame.definition.group_size, frame.sample) for u in each]
+
+
 def _plan(aggregate: Aggregate, usage, sensitivity, norm: int, columns: int) -> tuple[list[Usage], list[Usage], list[float]]:
     """Per column: what is paid, what the mechanism may use, and the sensitivity."""
     frame = aggregate.frame
-    paid = [as_usage(u) for u in usage] if isinstance(usage, list) else as_usage(usage).spread(columns)
-    if len(paid) != columns:
-        raise PrivacyError(f"{columns} columns need one budget or {columns}")
+    if aggregate.parts or aggregate.joint:  # one budget, and what values share of it
+        if isinstance(usage, list):
+            raise PrivacyError("values that are released together have one budget")
+        paid = [as_usage(usage)]
+        used = _shares(aggregate, paid[0], 1)
+        if len(used) != columns:
+            used *= columns // len(used)
+    else:
+        paid = [as_usage(u) for u in usage] if isinstance(usage, list) else as_usage(usage).spread(columns)
+        if len(paid) != columns:
+            raise PrivacyError(f"{columns} columns need one budget or {columns}")
+        used = [effective(u, frame.stability, frame.definition.group_size, frame.sample) for u in paid]
     for u in paid:
         u.check(frame.n, frame.definition.strict)
-    used = [effective(u, frame.stability, frame.definition.group_size, frame.sample) for u in paid]
     if sensitivity is None:
         proved = aggregate.sensitivity(norm)
     elif frame.definition.protect_sensitivity:
@@ -51,7 +69,7 @@ def _plan(aggregate: Aggregate, usage, sensitivity, norm: int, columns: int) ->
 
 
 def _width(aggregate: Aggregate) -> int:
-    return len(aggregate.lower or aggregate.columns) if aggregate.name != "count" or aggregate.lower is None else len(aggregate.lower)
+    return aggregate.width
 
 
 def _no_floats(frame: PrivateFrame, what: str) -> None:
@@ -104,35 +122,71 @@ def snapping_mechanism(aggregate: Aggregate, usage, lower=None, upper=None, bind
 
 
 def exponential_mechanism(utilities: Aggregate, usage, candidates: Sequence | None = None, sensitivity=None, rng: N.Secure | None = None) -> Noisy:
-    """One of the candidates; their utilities are one choice, so they share one budget."""
-    options = list(candidates if candidates is not None else utilities.candidates or ())
+    """One of the candidates of each column (a value of one column, else a list). The utilities of a column are one choice, so they share one budget."""
+    own = list(utilities.candidates or ())
+    options = [list(c) for c in own] if own and isinstance(own[0], tuple) else [own]
+    if candidates is not None:
+        options = [list(c) for c in candidates] if isinstance(candidates[0], (list, tuple)) else [list(candidates)] * len(options)
     rng = _rng(utilities.frame, rng)
-    paid, used, sens = _plan(utilities, usage, sensitivity, 0, 1)
-    return Noisy(utilities.name, [(utilities, lambda u: N.exponential(u, options, sens[0], used[0].epsilon, rng))], paid, mechanism="Exponential", arguments={"sensitivity": sens, "candidates": options})
+    paid, used, sens = _plan(replace(utilities, joint=False), usage, sensitivity, 0, len(options))
+
+    def draw(u: list) -> object:
+        if len(u) != sum(map(len, options)):
+            raise PrivacyError("there must be a utility for each candidate")
+        rest, out = iter(u), []
+        for o, s, b in zip(options, sens, used):
+            out.append(N.exponential([next(rest) for _ in o], o, s, b.epsilon, rng))
+        return out if len(out) > 1 else out[0]
 
+    return Noisy(utilities.name, [(utilities, draw)], paid, mechanism="Exponential", arguments={"sensitivity": sens, "candidates": options if len(options) > 1 else options[0]})
 
-def dp_gumbel_median(frame: PrivateFrame, column: str, usage, lower: float, upper: float, rng: N.Secure | None = None) -> Noisy:
-    """The median by the exponential mechanism over the gaps between sorted values: the gap of the best ln(gap) - (epsilon / 2) * |rank distance| plus Gumbel noise, then a uniform draw within it.
+
+def dp_gumbel_median(frame: PrivateFrame, column: Sequence[str] | str, usage, lower, upper, rng: N.Secure | None = None, enforce_constant_time: bool | None = None) -> Noisy:
+    """The median of a column (or of each of several) by the exponential mechanism over the gaps between sorted values: the gap of the best ln(gap) - (epsilon / 2) * |rank distance| plus Gumbel noise, then a uniform draw within it.
 
     The gap with the best noisy score is a gap drawn with probability in proportion to exp(score), and so it is drawn: by
-    ranks.draw_gaps, with all randomness from the driver's source and none in the cluster. With protect_elapsed_time each
-    uniform takes the same number of bits; the number of jobs still depends on the data, as of any query.
+    ranks.drawn_gap, with all randomness from the driver's source and none in the cluster. In constant time (by default where
+    the definition protects elapsed time) the number of jobs and of random bits is the same whatever the data are.
     """
-    if not lower < upper:
+    names = [column] if isinstance(column, str) else list(column)
+    low, high = P._each(lower, len(names)), P._each(upper, len(names))
+    if any(a is None or b is None or not a < b for a, b in zip(low, high)):
         raise PrivacyError("lower must be below upper")
-    frame.numeric([column], "gumbel median", null=True)
+    frame.numeric(names, "gumbel median", null=True)
+    constant = frame.definition.protect_elapsed_time if enforce_constant_time is None else enforce_constant_time
     rng = _rng(frame, rng)
-    paid = as_usage(usage).check(frame.n, frame.definition.strict)
-    used = effective(paid, frame.stability, frame.definition.group_size, frame.sample)
+    if constant and not rng.testing:
+        rng = N.Secure(True)
+    paid = [as_usage(u) for u in usage] if isinstance(usage, list) else as_usage(usage).spread(len(names))
+    if len(paid) != len(names):
+        raise PrivacyError(f"{len(names)} columns need one budget or {len(names)}")
+    used = [effective(u.check(frame.n, frame.definition.strict), frame.stability, frame.definition.group_size, frame.sample).epsilon for u in paid]
     keys = [k.name for k in frame.keys]
 
+    def gap(a: float, b: float, epsilon: float):
+        def look(first: list[R.Cell]) -> R.Asking:
+            found = yield from R.drawn_gap(first, float(a), float(b), epsilon, rng)
+            return rng.uniform(*found)
+
+        return look
+
     def direct() -> dict:
-        every = dense_keys(frame) if keys else [()]
-        gaps = draw_gaps(frame.df, F.col(column), keys, every, lower, upper, used.epsilon, rng)
-        return {key: [rng.uniform(*gaps[key])] for key in every}
+        every = dense_keys(frame)
+        out: dict = {key: [] for key in every}
+        for n, a, b, epsilon in zip(names, low, high, used):
+            def look(first: list[R.Cell], a=float(a), b=float(b), epsilon=epsilon) -> R.Asking:
+                found = yield from R.constant_gap(first, a, b, epsilon, rng, len(every))
+                return rng.uniform(*found)
+
+            with fixed_plans(frame.df.sparkSession):
+                found = R.ask(frame.df, [(R.on_grid(F.col(n), a, b), (0.0, float(R.GRID)))], keys, every, [(0, look)])[0]
+            for key in every:
+                out[key].append(found[key])
+        return out
 
-    chosen = Aggregate(frame, "gumbel_median", [], lambda v: v, lambda _: [0.0], direct=direct, columns=(column,), lower=[lower], upper=[upper])
-    return Noisy("dp_gumbel_median", [(chosen, lambda v: v[0])], [paid], mechanism="Gumbel", arguments={"lower": lower, "upper": upper})
+    orders = () if constant else tuple(Order(n, (float(a), float(b)), gap(a, b, e)) for n, a, b, e in zip(names, low, high, used))
+    chosen = Aggregate(frame, "gumbel_median", lambda c: [], list, lambda _: [0.0] * len(names), direct=direct if constant else None, orders=orders, columns=tuple(names), lower=list(low), upper=list(high))
+    return Noisy("dp_gumbel_median", [(chosen, (lambda v: v) if len(names) > 1 else (lambda v: v[0]))], paid, mechanism="Gumbel", arguments={"lower": lower, "upper": upper})
 
 
 # ---------------------------------------------------------------- private statistics
@@ -206,20 +260,20 @@ def dp_raw_moment(frame: PrivateFrame, usage, columns=None, order: int = 1, lowe
     return _as("dp_raw_moment", _mechanism(A.raw_moment(frame, columns, order), mechanism, usage, lower, upper, rng), order=order)
 
 
-def dp_quantile(frame: PrivateFrame, usage, columns=None, alpha: float = 0.5, candidates=None, lower=None, upper=None, mechanism: str = "Automatic", interpolation: str = "midpoint", rng=None) -> Noisy:
+def dp_quantile(frame: PrivateFrame, usage, columns=None, alpha: float = 0.5, candidates=None, lower=None, upper=None, mechanism: str = "Automatic", interpolation: str = "midpoint", rng=None, missing: str = "refuse") -> Noisy:
     kind = mechanism.lower()
     if kind == "automatic":
         kind = "exponential" if candidates is not None else "automatic"
     if kind == "exponential":
         if candidates is None:
             raise PrivacyError("the exponential mechanism needs candidates")
-        return _as("dp_quantile", exponential_mechanism(A.quantile(frame, columns, alpha, candidates=candidates), usage, rng=rng), alpha=alpha)
+        return _as("dp_quantile", exponential_mechanism(A.quantile(frame, columns, alpha, candidates=candidates, missing=missing), usage, rng=rng), alpha=alpha)
     return _as("dp_quantile", _mechanism(A.quantile(frame, columns, alpha, interpolation), kind, usage, lower, upper, rng), alpha=alpha, interpolation=interpolation)
 
 
 def dp_median(frame: PrivateFrame, usage, columns=None, candidates=None, lower=None, upper=None, mechanism: str = "Automatic", interpolation: str = "midpoint", rng=None) -> Noisy:
     if mechanism.lower() == "gumbel":
-        return _as("dp_median", dp_gumbel_median(frame, P._names(frame, columns)[0], usage, lower, upper, rng))
+        return _as("dp_median", dp_gumbel_median(frame, P._names(frame, columns), usage, lower, upper, rng))
     return _as("dp_median", dp_quantile(frame, usage, columns, 0.5, candidates, lower, upper, mechanism, interpolation, rng))
 
 
@@ -237,10 +291,7 @@ def dp_histogram(frame: PrivateFrame, usage, column: str, edges=None, categories
     upper = upper if upper is not None else frame.n
     if upper is None and mechanism.lower() in ("simplegeometric", "snapping"):
         raise PrivacyError("dp_histogram needs upper while the number of records is unknown")
-    paid = as_usage(usage)
-    out = _as("dp_histogram", _mechanism(x, mechanism, [paid] * len(x.candidates), lower, upper, rng), categories=list(x.candidates))
-    out.usages = [paid]
-    return out
+    return _as("dp_histogram", _mechanism(x, mechanism, usage, lower, upper, rng), categories=list(x.candidates))
 
 
 def dp_linear_regression(frame: PrivateFrame, usage, data_x: str, data_y: str, lower_slope: float, upper_slope: float, lower_intercept: float, upper_intercept: float, implementation: str = "theil-sen-k-match", k: int = 100, rng=None) -> Noisy:
@@ -264,8 +315,8 @@ def noisy_stats_regression(frame: PrivateFrame, usage, data_x: str, data_y: str,
     rng = _rng(frame, rng)
     paid = as_usage(usage).check(frame.n, frame.definition.strict)
     epsilon = effective(paid, frame.stability, frame.definition.group_size, frame.sample).epsilon
-    n, x, y = frame.n, F.col(data_x), F.col(data_y)
-    stats = A._aggregate(frame, "noisy_stats", [F.covar_pop(x, y) * n, F.var_pop(x) * n, F.avg(x), F.avg(y)], lambda _: [1 - 1 / n] * 4, [data_x, data_y])
+    n = frame.n
+    stats = A._aggregate(frame, "noisy_stats", lambda c: [F.covar_pop(c(data_x), c(data_y)) * n, F.var_pop(c(data_x)) * n, F.avg(c(data_x)), F.avg(c(data_y))], lambda _: [1 - 1 / n] * 4, [data_x, data_y])
 
     def draw(v: list) -> list[float]:
         scale = 3 * (1 - 1 / n) / epsilon

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import columns as C
 from hushframe.functions import intervals as I
+from hushframe.operators import ranks as R
 from hushframe.operators.noise import Secure, binomial
-from hushframe.operators.ranks import at_places, first_cells
 from hushframe.plans.frame import PrivateFrame, Props
 from hushframe.plans.shared import written
 from hushframe.privacy import SUBSTITUTE, Definition, PrivacyError
@@ -82,7 +82,7 @@ def _truncated(seed: int, low: float, high: float, shift: float, scale: float) -
 
 
 def impute(frame: PrivateFrame, columns=None, lower=None, upper=None, categories=None, null_values=None, weights=None, distribution: str = "uniform", shift=None, scale=None, seed: int | None = None) -> PrivateFrame:
-    """Missing numbers become draws between the bounds (uniform, or Gaussian with shift and scale); members of null_values become a weighted draw of the categories. Bounds widen to those of the draws."""
+    """Missing numbers become draws between the bounds, given or known (uniform, or Gaussian with shift and scale; whole numbers stay whole); members of null_values become a weighted draw of the categories. Bounds widen to those of the draws."""
     names, exprs, props = _names(frame, columns), {}, {}
     for i, n in enumerate(names):
         p, own = frame.of(n), secrets.randbits(62) if seed is None else seed + i
@@ -92,17 +92,13 @@ def impute(frame: PrivateFrame, columns=None, lower=None, upper=None, categories
             kept = tuple(c for c in (p.categories or ()) if c not in (null_values or ()))
             props[n] = replace(p, categories=_distinct((*kept, *cats)) if p.categories else None, nullable=False)
             continue
-        if p.kind == "int":
-            props[n] = replace(p, nullable=False)
-            exprs[n] = F.col(n)
-            if lower is not None and upper is not None:
-                exprs[n] = F.coalesce(F.col(n), (F.floor(F.rand(own) * (upper - lower + 1)) + lower).cast("long"))
-            continue
         low = _each(lower, len(names))[i]
         high = _each(upper, len(names))[i]
         low, high = (p.lower if low is None else low), (p.upper if high is None else high)
-        if p.kind != "float" or low is None or high is None or not low < high:
+        if p.kind not in _NUMBERS or low is None or high is None or not low < high:
             raise PrivacyError(f"impute: {n} needs to be numeric, and bounds in order")
+        if p.kind == "int" and (low != int(low) or high != int(high)):
+            raise PrivacyError(f"impute: {n} holds whole numbers, and so must its bounds be")
         if distribution == "gaussian":
             if shift is None or scale is None or scale <= 0:
                 raise PrivacyError("a Gaussian needs shift and scale")
@@ -112,7 +108,11 @@ def impute(frame: PrivateFrame, columns=None, lower=None, upper=None, categories
         else:
             raise PrivacyError(f"unknown distribution {distribution}")
         x = F.col(n)
-        exprs[n] = F.when(F.isnan(x) | x.isNull(), draw).otherwise(x)
+        if p.kind == "int":
+            draw = F.least(F.floor(draw + 0.5) if distribution == "gaussian" else F.floor(F.lit(float(low)) + F.lit(float(high - low + 1)) * F.rand(own)), F.lit(int(high))).cast("long")
+            exprs[n] = F.coalesce(x, draw)
+        else:
+            exprs[n] = F.when(F.isnan(x) | x.isNull(), draw).otherwise(x)
         props[n] = replace(p, nullable=False, lower=None if p.lower is None else min(low, p.lower), upper=None if p.upper is None else max(high, p.upper))
     return _set(frame, exprs, props)
 
@@ -259,6 +259,24 @@ def transform(frame: PrivateFrame, out: str, op: str, left, right=None, base: fl
 # ---------------------------------------------------------------- a forced number of rows
 
 
+def _nth(df: DataFrame, key: str, n: int) -> tuple[int, float | None]:
+    """How many rows have a number in a column, and the n-th smallest of them (none if there are fewer)."""
+
+    def look(first: list[R.Cell]) -> R.Asking:
+        have, found = yield from R.at_places(first, lambda have: [n - 1] if have >= n else [])
+        return have, found.get(n - 1)
+
+    return R.ask(df, [(F.col(key), None)], [], [()], [(0, look)])[0][()]
+
+
+def _up_to(df: DataFrame, key: str, n: int, last: float) -> DataFrame:
+    """The n rows of the smallest numbers in a column of written rows; last: the n-th of them. Of rows that share it, any."""
+    below, tied = df.where(F.col(key) < last), df.where(F.col(key) == last)
+    more = n - below.count()
+    kept = df.where(F.col(key) <= last) if more == tied.count() else below.unionByName(tied.limit(more))
+    return kept.drop(key)
+
+
 def _exactly(df: DataFrame, n: int, have: int, seed: int) -> DataFrame:
     """n rows of df, drawn without replacement, in as many partitions as df has: those up to the n-th smallest of a random number.
 
@@ -273,16 +291,34 @@ def _exactly(df: DataFrame, n: int, have: int, seed: int) -> DataFrame:
     while True:
         drawn = df.withColumn("__u", F.rand(seed))
         few = written(drawn.where(F.col("__u") < share) if share < 1 else drawn, "drawn")
-        cell = first_cells(few, F.col("__u"), []).get(())
-        if cell and cell.count >= n:
-            break
+        found, last = _nth(few, "__u", n)
+        if found >= n:
+            return _up_to(few, "__u", n, last)
         share = min(1.0, 2 * share)
-    last = at_places(few, F.col("__u"), [], {(): [n - 1]}, {(): cell})[()][n - 1]
-    below = few.where(F.col("__u") < last)
-    tied = few.where(F.col("__u") == last)
-    more = n - below.count()
-    kept = few.where(F.col("__u") <= last) if more == tied.count() else below.unionByName(tied.limit(more))
-    return kept.drop("__u")
+
+
+def subset(frame: PrivateFrame, n: int, weights: str | None = None, seed: int | None = None) -> PrivateFrame:
+    """n rows, drawn one after the other without replacement, each time with odds in proportion to a column of weights (without one: equal).
+
+    A row's key is an exponential time of its weight's rate, -ln(u) / w; the rows of the n smallest keys are such a draw
+    (Efraimidis and Spirakis, 2006). Keys are written with the rows, the n-th smallest is found by counted ranges, and
+    nothing is sorted. Rows whose weight is zero, negative or missing are never drawn; fewer than n others are an error.
+    The weights are data, so what is released of a weighted subset costs as if all rows were read.
+    """
+    if n < 1:
+        raise PrivacyError("a subset has a row or more")
+    if weights is not None and frame.of(weights).kind not in _NUMBERS:
+        raise PrivacyError(f"subset: {weights} is not numeric")
+    if frame.keys:
+        raise PrivacyError("subset takes rows that are not parted")
+    w = F.lit(1.0) if weights is None else F.col(weights).cast("double")
+    u = F.lit(1.0) - F.rand(secrets.randbits(62) if seed is None else seed)  # above 0
+    keyed = frame.df.withColumn("__key", F.when(F.isnotnull(w) & ~F.isnan(w) & (w > 0), F.try_divide(-F.log(u), w)))
+    keyed = written(keyed.where(F.col("__key").isNotNull()), "keyed")
+    have, last = _nth(keyed, "__key", n)
+    if have < n:
+        raise PrivacyError(f"a subset of {n} rows needs as many with a positive weight")
+    return frame.new_rows(_up_to(keyed, "__key", n, last), n=n, not_empty=True)
 
 
 def _synthetic(frame: PrivateFrame, k: int, seed: int, lower, upper, categories, weights, distribution, shift, scale):

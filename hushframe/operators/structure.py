@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.plans.frame import Key, PrivateFrame
+from hushframe.plans.frame import Key, PrivateFrame, Step, _partitions
 from hushframe.plans.shared import written
-from hushframe.privacy import SUBSTITUTE, PrivacyError
+from hushframe.privacy import SUBSTITUTE, PrivacyError, Usage, common, composed
 
 
 def to_dataframe(frame: PrivateFrame, names: Sequence[str]) -> PrivateFrame:
@@ -33,7 +33,10 @@ def index(frame: PrivateFrame, names: Sequence[str] | str | None = None, indices
         where = F.lit(True)
         for k, v in zip(frame.keys, key):
             where = where & (F.col(k.name) == F.lit(v))
-        return frame.new_rows(frame.df.where(where), keys=())
+        steps: dict[int, list] = {}
+        for k, v in zip(frame.keys, key):
+            steps.setdefault(k.partition, []).append(v)
+        return frame.new_rows(frame.df.where(where), keys=(), path=frame.path + tuple((p, tuple(v)) for p, v in steps.items()))
     have = list(frame.props)
     if names is not None:
         wanted = [names] if isinstance(names, str) else list(names)
@@ -66,13 +69,13 @@ def column_bind(*frames: PrivateFrame) -> PrivateFrame:
         df = df.withColumns({f"__base_{mark}_{c}": F.col(f"`{c}`") for c in own})
         for i, f in enumerate(frames):
             for s in f.steps:
-                df = s(df)
+                df = s.apply(df)
             df = df.withColumns({names[i, n]: F.col(f"`{n}`") for n in f.props}).withColumns({c: F.col(f"`__base_{mark}_{c}`") for c in own})
         df = df.withColumns({n: F.col(f"`{at}`") for (_, n), at in names.items()})
         return df.drop(*names.values(), *[f"__base_{mark}_{c}" for c in own])
 
     keys = [k.name for k in first.keys if k.name not in props]
-    return replace(first, df=step(first.base).select(*props, *keys), props=props, rows=first.base, steps=(step,))
+    return replace(first, df=step(first.base).select(*props, *keys), props=props, rows=first.base, steps=(Step(step, frozenset(props)),))
 
 
 def reshape(values, shape: Sequence[int], symmetric: bool = False) -> np.ndarray | dict[int, np.ndarray]:
@@ -105,12 +108,12 @@ def filter_rows(frame: PrivateFrame, mask: str) -> PrivateFrame:
 def partition_by(frame: PrivateFrame, by: Sequence[str] | str) -> PrivateFrame:
     """Parts by the declared categories of columns: all combinations, empty ones too; undeclared values are in none."""
     names = [by] if isinstance(by, str) else list(by)
-    keys = []
+    keys, number = [], next(_partitions)
     for n in names:
         p = frame.of(n)
         if p.categories is None:
             raise PrivacyError(f"the categories of {n} must be declared; clamp it first")
-        keys.append(Key(n, tuple(p.categories)))
+        keys.append(Key(n, tuple(p.categories), number))
     twice = 2 if frame.definition.neighboring == SUBSTITUTE else 1
     return frame.new_rows(frame.df, keys=(*frame.keys, *keys), n=None, not_empty=False, stability=frame.stability * twice)
 
@@ -121,7 +124,10 @@ def even_lengths(n: int, k: int) -> list[int]:
 
 
 def partition_even(frame: PrivateFrame, num_partitions: int, order_by: str) -> PrivateFrame:
-    """Parts of even, known lengths along a column's order: key part, 0 .. num_partitions - 1. The rows are numbered and written here."""
+    """Parts of even, known lengths along a column's order: key part, 0 .. num_partitions - 1. The rows are numbered and written here.
+
+    The order is taken to be public, as a row's place is: an individual's data doesn't move others from part to part.
+    """
     if frame.n is None:
         raise PrivacyError("even parts need a known number of records")
     n, k = frame.n, num_partitions
@@ -158,8 +164,8 @@ def map_parts(frame: PrivateFrame, operator: Callable[[PrivateFrame], object]):
     return operator(frame)
 
 
-def union(*frames: PrivateFrame, flatten: bool = True) -> PrivateFrame | dict:
-    """Rows of all frames (flatten), or a dict of them. What an individual may move adds up."""
+def union_rows(*frames: PrivateFrame, flatten: bool = True) -> PrivateFrame | dict:
+    """Rows of all frames (flatten), or a dict of them. What an individual may move adds up. Parts of one partition become rows of what was parted."""
     first = frames[0]
     if any(f.sample != 1.0 for f in frames):
         raise PrivacyError("sampled data cannot be united")
@@ -172,8 +178,8 @@ def union(*frames: PrivateFrame, flatten: bool = True) -> PrivateFrame | dict:
         df = df.unionByName(f.df.select(*f.props))
     props = {n: replace(p, nullable=any(f.props[n].nullable for f in frames), lower=None, upper=None, categories=None) for n, p in first.props.items()}
     known = [f.n for f in frames]
-    # individuals may have rows in each of the frames, so what they may move adds up
-    return first.new_rows(df, props=props, keys=(), n=None if None in known else sum(known), stability=sum(f.stability for f in frames), not_empty=any(f.not_empty for f in frames), public=all(f.public for f in frames))
+    # individuals may have rows in each of the frames, but in one part only of a partition
+    return first.new_rows(df, props=props, keys=(), n=None if None in known else sum(known), stability=round(composed((f.reach, Usage(f.stability)) for f in frames).epsilon), not_empty=any(f.not_empty for f in frames), public=all(f.public for f in frames), path=common(f.reach for f in frames))
 
 
 def flatten_parts(frame: PrivateFrame) -> PrivateFrame:

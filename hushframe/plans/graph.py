@@ -20,7 +20,7 @@ from hushframe.operators.structure import released_column_bind, reshape
 from hushframe.plans import planner
 from hushframe.plans.frame import Aggregate, Noisy, PrivateFrame
 from hushframe.plans.registry import OPERATORS
-from hushframe.privacy import Definition, Ledger, PrivacyError, Usage, effective, parallel, sequential
+from hushframe.privacy import Charge, Definition, Ledger, PrivacyError, Usage, composed, effective, sequential
 from hushframe.sources import readers
 
 #: What released values may go through on the driver.
@@ -29,6 +29,8 @@ POST = {
     "row_max": np.fmax, "row_min": np.fmin, "equal": np.equal, "greater_than": np.greater, "less_than": np.less, "logical_and": np.logical_and, "logical_or": np.logical_or, "negate": np.logical_not,
     "log": lambda x, base=2.71828: np.log(x) / np.log(base), "reshape": reshape, "column_bind": lambda *x: np.array(released_column_bind(*x)),
 }
+#: What aggregates may go through before noise; their sensitivities follow.
+AFFINE = ("add", "subtract", "multiply", "divide", "negative", "mix")
 
 
 @dataclass(eq=False)
@@ -51,8 +53,8 @@ class Node:
 class Analysis:
     """A graph over private data, with its privacy definition and ledger."""
 
-    def __init__(self, spark: SparkSession, definition: Definition | None = None, limit: Usage | None = None):
-        self.spark, self.definition, self.ledger = spark, definition or Definition(), Ledger(limit)
+    def __init__(self, spark: SparkSession, definition: Definition | None = None, limit: Usage | None = None, slack: float | None = None):
+        self.spark, self.definition, self.ledger = spark, definition or Definition(), Ledger(limit, slack)
         self.nodes: list[Node] = []
         self.released: dict[int, object] = {}
         self._built: dict[int, object] = {}
@@ -64,7 +66,7 @@ class Analysis:
         return lambda *a, **k: self.add(name, *a, **k)
 
     def add(self, op: str, *args, **options) -> Node:
-        if op not in OPERATORS and op not in POST and op not in ("materialize", "literal", "dataframe", "parquet"):
+        if op not in OPERATORS and op not in POST and op not in AFFINE and op not in ("materialize", "literal", "dataframe", "parquet"):
             raise PrivacyError(f"there is no operator {op}")
         node = Node(self, len(self.nodes), op, args, options, self.submission)
         self.nodes.append(node)
@@ -100,6 +102,8 @@ class Analysis:
             return _Later(node) if any(isinstance(x, _Later) for x in inputs) else POST[node.op](*args, **options)
         if any(isinstance(x, (Noisy, _Later)) for x in inputs):
             raise PrivacyError(f"{node.op} takes private data, not releases")
+        if node.op in AFFINE and args and isinstance(args[0], Aggregate):
+            return getattr(args[0], node.op)(*args[1:], **options)
         return OPERATORS[node.op](*args, **options)
 
     def validate(self) -> dict[int, str]:
@@ -119,19 +123,19 @@ class Analysis:
         return [(n, x) for n in self.nodes if isinstance(x := self._build(n), Noisy)]
 
     def privacy_usage(self) -> Usage:
-        """What all planned and done releases cost: sums within and across submissions; parts of a partition are paid once."""
-        by_submission: dict[int, list[Usage]] = {}
+        """What all planned and done releases cost, as the ledger counts it: sums across submissions; within one, parts of a partition that are released apart cost as much as the dearest."""
+        by_submission: dict[int, list[Charge]] = {}
         for n in self.nodes:
             x = self._built.get(n.id) if n.id in self.released else self._build(n)
             if isinstance(x, Noisy):
-                by_submission.setdefault(n.submission, []).append(parallel([x.usage]))
-        return sequential(sequential(u) for u in by_submission.values())
+                by_submission.setdefault(n.submission, []).append(x.charge)
+        return sequential(composed(c, self.ledger.slack) for c in by_submission.values())
 
     def release(self, *wanted: Node) -> dict[int, object]:
         """Values of nodes (all that can be released, if none is named). A value is drawn once."""
         todo = [(n, x) for n, x in self._planned() if n.id not in self.released and (not wanted or self._needed(n, wanted))]
         for n, x in todo:
-            self.ledger.spend(f"{x.name}#{n.id}", x.usage, n.submission)
+            self.ledger.spend(f"{x.name}#{n.id}", x.charge[1], n.submission, x.charge[0])
         for (n, _), value in zip(todo, planner.release([x for _, x in todo])):
             self.released[n.id] = value
         for n in self.nodes:

@@ -17,9 +17,9 @@ def _transform(op: str, frame, out: str, left, right=None, **more):
 
 
 FRAMES = {
-    "to_dataframe": S.to_dataframe, "index": S.index, "column_bind": S.column_bind, "union": S.union, "partition": S.partition_by, "partition_even": S.partition_even,
+    "to_dataframe": S.to_dataframe, "index": S.index, "column_bind": S.column_bind, "union": A.union, "partition": S.partition_by, "partition_even": S.partition_even,
     "flatten": S.flatten_parts, "map": S.map_parts, "filter": S.filter_rows, "clamp": P.clamp, "impute": P.impute, "resize": P.resize, "digitize": P.digitize, "bin": P.bin_value,
-    "cast": P.cast, "to_bool": P.to_bool, "to_float": P.to_float, "to_int": P.to_int, "to_string": P.to_string, "theil_sen": A.theil_sen,
+    "subset": P.subset, "cast": P.cast, "to_bool": P.to_bool, "to_float": P.to_float, "to_int": P.to_int, "to_string": P.to_string, "theil_sen": A.theil_sen,
 }
 FRAMES |= {("logical_" + op if op in ("and", "or") else op): partial(_transform, op) for op in TRANSFORMS}
 AGGREGATES = {

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,17 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextlib.contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Without adaptive execution, whose stages and joins depend on the sizes of what was counted before."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read back: what is random or depends on a partitioning is fixed from here on."""
     spark = df.sparkSession

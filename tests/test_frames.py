@@ -141,8 +141,8 @@ def test_exact_ranks_by_cells(spark, monkeypatch):
 def test_ranks_of_wide_and_tied_values(spark):
     wide = [-math.inf, -1.7e308, -1e-320, 0.0, 5e-324, 1e-310, 1.0, 1.0, 1.0, 1e200, 1.7e308, math.inf, math.inf]
     df = spark.createDataFrame([(float(v),) for v in wide], "x double").repartition(3)
-    cells = R.first_cells(df, F.col("x"), [])
-    got = R.at_places(df, F.col("x"), [], {(): list(range(len(wide)))}, cells)[()]
+    n, got = R.ask(df, [(F.col("x"), None)], [], [()], [(0, lambda first: R.at_places(first, range))])[0][()]
+    assert n == len(wide)
     assert [got[i] for i in range(len(wide))] == sorted(wide)
 
 
@@ -169,11 +169,11 @@ def test_gaps_are_drawn_by_their_weight(spark, monkeypatch, leaf, cells):
 
     rng, seen = N.Seeded(f"gaps{leaf}"), collections.Counter()
     for _ in range(draws):
-        g = R._draw([R.Cell(0.5, 7.0, 10, 0)], 0.0, 10.0, epsilon, rng)
+        g = R.drawn_gap([R.Cell(0.5, 7.0, 10, 0)], 0.0, 10.0, epsilon, rng)
         try:
-            ask = next(g)
+            asked = next(g)
             while True:
-                ask = g.send(counted(ask))
+                asked = g.send(list(map(counted, asked)))
         except StopIteration as e:
             seen[e.value] += 1
     assert set(seen) <= set(weights)
@@ -183,7 +183,8 @@ def test_gaps_are_drawn_by_their_weight(spark, monkeypatch, leaf, cells):
     df = spark.createDataFrame([(v, "a") for v in x] + [(float("nan"), "b"), (3.0, "b")], "x double, g string")
     monkeypatch.setattr(R, "LEAF_ROWS", leaf)
     monkeypatch.setattr(R, "KEY_CELLS", cells)
-    got = R.draw_gaps(df, F.col("x"), ["g"], [("a",), ("b",), ("c",)], 0.0, 10.0, 50.0, N.Seeded("keys"))
+    rng = N.Seeded("keys")
+    got = R.ask(df, [(F.col("x"), (0.0, 10.0))], ["g"], [("a",), ("b",), ("c",)], [(0, lambda first: R.drawn_gap(first, 0.0, 10.0, 50.0, rng))])[0]
     assert got["a",] in weights and got["b",] in {(0.0, 3.0), (3.0, 10.0)} and got["c",] == (0.0, 10.0)
 
 
@@ -314,6 +315,6 @@ def test_stream_after_a_restart(spark, tmp_path):
 
 def test_empty_tables(spark):
     f = readers.literal(spark, {"x": [1.0]}, SOFT).clamp("x", 0.0, 2.0).impute("x")
-    e = f.same_rows(f.df.where("false"), f.props)
+    e = f.new_rows(f.df.where("false"))
     assert value(e.count()) == [0] and value(e.sum("x")) == [0] and math.isnan(value(e.mean("x"))[0]) and math.isnan(value(e.median("x"))[0])
     assert 0 <= planner.release([e.dp_gumbel_median("x", 1.0, 0.0, 2.0)])[0] <= 2
