@@ -14,6 +14,7 @@ from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
 from hushframe.operators import ranks as R
 from hushframe.operators import sensitivity as S
+from hushframe.operators.slopes import Slopes
 from hushframe.operators.structure import numbering, union_rows
 from hushframe.plans.frame import Aggregate, Order, PrivateFrame, Props
 from hushframe.privacy import PrivacyError, Usage, common, composed
@@ -315,6 +316,22 @@ def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str
     return frame.new_rows(lines, props={"slope": Props("float", False), "intercept": Props("float", False)}, n=None, stability=frame.stability * factor)
 
 
+def theil_sen_slope(frame: PrivateFrame, data_x: str, data_y: str, alpha: float = 0.5, interpolation: str = "midpoint") -> Aggregate:
+    """A quantile of the slopes of the lines through all pairs of rows, without forming the pairs (see slopes). It has no bounded sensitivity; dp_linear_regression draws slopes privately."""
+    frame.numeric([data_x, data_y], "theil_sen_slope")
+    ranks(1, alpha, interpolation)
+
+    def direct() -> dict:
+        if frame.keys:
+            raise PrivacyError("theil_sen_slope takes rows that are not parted")
+        return {(): [Slopes(frame.df, F.col(data_x), F.col(data_y)).ask(_quantile_of(alpha, interpolation))]}
+
+    def unbounded(_: int) -> list[float]:
+        raise PrivacyError("the median slope has no bounded sensitivity")
+
+    return _aggregate(frame, "theil_sen_slope", _none, unbounded, [data_x, data_y], direct=direct, lower=[None], upper=[None])
+
+
 def sample(n: int, k: int, rng: N.Secure) -> list[int]:
     """k different numbers below n, each set of them equally likely (Floyd's method)."""
     seen: set[int] = set()

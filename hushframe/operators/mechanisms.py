@@ -13,6 +13,7 @@ from hushframe.operators import aggregates as A
 from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
 from hushframe.operators import ranks as R
+from hushframe.operators.slopes import Slopes
 from hushframe.operators.structure import reshape
 from hushframe.plans.frame import Aggregate, Noisy, Order, PrivateFrame
 from hushframe.plans.planner import dense_keys
@@ -295,15 +296,52 @@ def dp_histogram(frame: PrivateFrame, usage, column: str, edges=None, categories
 
 
 def dp_linear_regression(frame: PrivateFrame, usage, data_x: str, data_y: str, lower_slope: float, upper_slope: float, lower_intercept: float, upper_intercept: float, implementation: str = "theil-sen-k-match", k: int = 100, rng=None) -> Noisy:
-    """Slope and intercept: the Gumbel medians of Theil-Sen candidates, half the budget each. The candidates are written once, as both read them."""
+    """Slope and intercept: the Gumbel medians of Theil-Sen candidates, half the budget each.
+
+    The candidates of a matching are written once, and both medians narrow them in the same rounds. With theil-sen the
+    candidates are the lines through all pairs; they are never formed. An intercept is then the slope of the points
+    (1 / x, y / x), so x must be known to keep away from zero. Pairs of equal x are left out.
+    """
+    half = as_usage(usage) * 0.5
+    if implementation == "theil-sen":
+        slope, intercept = _all_pairs(frame, half, data_x, data_y, ((lower_slope, upper_slope), (lower_intercept, upper_intercept)), rng)
+        return Noisy("dp_linear_regression", slope.parts + intercept.parts, slope.usages + intercept.usages, list, "Gumbel", {"implementation": implementation})
     lines = A.theil_sen(frame, data_x, data_y, implementation, k, rng)
     lines = replace(lines, df=written(lines.df, "lines"))
-    half = as_usage(usage) * 0.5
     slope = dp_gumbel_median(lines, "slope", half, lower_slope, upper_slope, rng)
     intercept = dp_gumbel_median(lines, "intercept", half, lower_intercept, upper_intercept, rng)
     return Noisy("dp_linear_regression", slope.parts + intercept.parts, slope.usages + intercept.usages, list, "Gumbel", {"implementation": implementation, "k": k})
 
 
+def _all_pairs(frame: PrivateFrame, half: Usage, data_x: str, data_y: str, bounds: Sequence[tuple[float, float]], rng: N.Secure | None) -> list[Noisy]:
+    """Gumbel medians of slopes and of intercepts of all pairs; an individual's row is in n - 1 of them."""
+    x_props, _ = frame.numeric([data_x, data_y], "theil_sen")
+    low, high = x_props.bounds
+    if frame.n is None or frame.n < 2 or frame.keys:
+        raise PrivacyError("all pairs need a known number of records, and rows that are not parted")
+    if low <= 0 <= high:
+        raise PrivacyError(f"intercepts of all pairs need bounds of {data_x} on one side of zero")
+    if frame.definition.protect_elapsed_time:
+        raise PrivacyError("all pairs are not narrowed in constant time; use theil-sen-k-match")
+    rng = _rng(frame, rng)
+    lines = frame.new_rows(frame.df, n=None, stability=frame.stability * (frame.n - 1))
+    x, y = F.col(data_x).cast("double"), F.col(data_y).cast("double")
+    out = []
+    for points, (lower, upper) in zip(((x, y), (1 / x, y / x)), bounds):
+        if not lower < upper:
+            raise PrivacyError("lower must be below upper")
+        epsilon = effective(half.check(frame.n, frame.definition.strict), lines.stability, frame.definition.group_size, frame.sample).epsilon
+
+        def direct(points=points, lower=float(lower), upper=float(upper), epsilon=epsilon) -> dict:
+            slopes = Slopes(frame.df, *points)
+            found = slopes.ask(lambda first: R.drawn_gap(first, lower, upper, epsilon, rng, slopes.total), (lower, upper))
+            return {(): [rng.uniform(*found)]}
+
+        chosen = Aggregate(lines, "gumbel_median", lambda c: [], list, lambda _: [0.0], direct=direct, columns=(data_x, data_y), lower=[lower], upper=[upper])
+        out.append(Noisy("dp_gumbel_median", [(chosen, lambda v: v[0])], [half], mechanism="Gumbel", arguments={"lower": lower, "upper": upper}))
+    return out
+
+
 def noisy_stats_regression(frame: PrivateFrame, usage, data_x: str, data_y: str, rng: N.Secure | None = None) -> Noisy:
     """A line by noisy sufficient statistics of columns within [0, 1]; returns its values at 0.25 and 0.75 (NaN if the noisy variance isn't positive)."""
     for c in (data_x, data_y):

@@ -8,8 +8,6 @@ import secrets
 from collections.abc import Sequence
 from decimal import Decimal, localcontext
 
-import numpy as np
-
 from hushframe.privacy import PrivacyError
 
 #: Heads in a row after which an exponent isn't followed further.
@@ -258,6 +256,33 @@ def pick(categories: Sequence, rng: Secure, weights: Sequence[float] | None = No
     return categories[-1]
 
 
+#: Fair bits that are drawn at once.
+BLOCK_BITS = 1 << 20
+
+
+def heads(n: int, rng: Secure) -> int:
+    """Ones among n fair bits."""
+    return sum(rng.bits(min(BLOCK_BITS, n - at)).bit_count() for at in range(0, n, BLOCK_BITS))
+
+
 def binomial(n: int, p: float, rng: Secure) -> int:
-    """Successes in n trials; one draw of numpy's generator under 128 bits of the source."""
-    return int(np.random.default_rng(rng.bits(128)).binomial(n, p))
+    """Successes in n trials of probability exactly p, from fair bits only.
+
+    Each trial compares p's binary digits with fair bits until they differ, and all trials do so together: of those still
+    equal, as many as show ones go one way and the others the other. About two bits a trial are drawn in all.
+    """
+    if not 0 <= p <= 1:
+        raise PrivacyError("a probability lies between 0 and 1")
+    numerator, denominator = p.as_integer_ratio()
+    equal, found = n, 0
+    while equal and numerator:
+        numerator *= 2
+        digit, numerator = (1, numerator - denominator) if numerator >= denominator else (0, numerator)
+        if digit and not numerator and denominator == 1:  # p is one
+            return n
+        ones = heads(equal, rng)
+        if digit:
+            found, equal = found + equal - ones, ones  # a zero is below the digit
+        else:
+            equal -= ones  # a one is above it
+    return found

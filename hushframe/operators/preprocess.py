@@ -202,10 +202,35 @@ def _range(p: Props) -> I.Range:
 _NUMBERS = ("int", "float")
 
 
-def transform(frame: PrivateFrame, out: str, op: str, left, right=None, base: float = C.LOG_BASE) -> PrivateFrame:
-    """Adds column out = op(left, right); operands are columns (by name) or numbers. Bounds and missing values are carried."""
+UNARY = ("abs", "negative", "negate", "log")
+
+
+def transform(frame: PrivateFrame, out: Sequence[str] | str, op: str, left, right=None, base: float = C.LOG_BASE) -> PrivateFrame:
+    """Adds column out = op(left, right); operands are columns (by name) or numbers. Bounds and missing values are carried.
+
+    Operands may be lists, of which a row of numbers is one: k with k go pair by pair, k with one take that one each time,
+    other lengths are an error. The columns are named by a list out; a single name is followed by _ and the left operand's
+    name (or its place, where that is a number). All are made of the columns as they were.
+    """
+    sides = [list(v) if isinstance(v, (list, tuple)) else [v] for v in ((left,) if op in UNARY else (left, right))]
+    k = max(map(len, sides))
+    if any(len(v) not in (1, k) or not v for v in sides):
+        raise PrivacyError(f"{op}: operands of {' and '.join(str(len(v)) for v in sides)} columns don't go together")
+    sides = [v * k if len(v) == 1 else v for v in sides]
+    if isinstance(out, str):
+        names = [out] if k == 1 and not isinstance(left, (list, tuple)) and not isinstance(right, (list, tuple)) else [f"{out}_{v if isinstance(v, str) else i}" for i, v in enumerate(sides[0])]
+    else:
+        names = list(out)
+    if len(names) != k or len(set(names)) != k:
+        raise PrivacyError(f"{op}: {k} columns need as many different names")
+    made = [_made(frame, op, *own, base=base) for own in zip(*sides)]
+    return _set(frame, {n: e for n, (e, _) in zip(names, made)}, {n: p for n, (_, p) in zip(names, made)})
+
+
+def _made(frame: PrivateFrame, op: str, left, right=None, base: float = C.LOG_BASE) -> tuple[Column, Props]:
+    """One column, and what is known of it."""
     x, p = _side(frame, left)
-    unary = op in ("abs", "negative", "negate", "log")
+    unary = op in UNARY
     y, q = (None, None) if unary else _side(frame, right)
     kinds = {p.kind} | (set() if unary else {q.kind})
     nullable = p.nullable or bool(q and q.nullable)
@@ -214,14 +239,14 @@ def transform(frame: PrivateFrame, out: str, op: str, left, right=None, base: fl
         if kinds != {"bool"}:
             raise PrivacyError(f"{op} takes booleans")
         expr = C.negate(x) if op == "negate" else C.logical_and(x, y) if op == "and" else C.logical_or(x, y)
-        return _set(frame, {out: expr}, {out: Props("bool", nullable, categories=(True, False))})
+        return expr, Props("bool", nullable, categories=(True, False))
     if op in ("equal", "greater_than", "less_than"):
         if op == "equal" and len(kinds) > 1 and not kinds <= set(_NUMBERS) or op != "equal" and not kinds <= set(_NUMBERS):
             raise PrivacyError(f"{op} takes operands of one kind")
         expr = C.equal(x, y, kinds <= set(_NUMBERS)) if op == "equal" else getattr(C, op)(x, y)
-        return _set(frame, {out: expr}, {out: Props("bool", False, categories=(True, False))})
+        return expr, Props("bool", False, categories=(True, False))
     if op == "add" and kinds == {"str"}:
-        return _set(frame, {out: C.concat(x, y)}, {out: Props("str", nullable)})
+        return C.concat(x, y), Props("str", nullable)
     if not kinds <= set(_NUMBERS):
         raise PrivacyError(f"{op} takes numbers")
     if not whole and not unary:
@@ -253,7 +278,7 @@ def transform(frame: PrivateFrame, out: str, op: str, left, right=None, base: fl
         expr, bounds = C.negative(x), I.negative(a)
     else:
         raise PrivacyError(f"unknown function {op}")
-    return _set(frame, {out: expr}, {out: Props(kind, nullable, *bounds)})
+    return expr, Props(kind, nullable, *bounds)
 
 
 # ---------------------------------------------------------------- a forced number of rows

@@ -24,7 +24,7 @@ FRAMES = {
 FRAMES |= {("logical_" + op if op in ("and", "or") else op): partial(_transform, op) for op in TRANSFORMS}
 AGGREGATES = {
     "count": A.count, "sum": A.sum_, "mean": A.mean, "variance": A.variance, "covariance": A.covariance, "raw_moment": A.raw_moment, "quantile": A.quantile,
-    "minimum": A.minimum, "median": A.median, "maximum": A.maximum, "histogram": A.histogram,
+    "minimum": A.minimum, "median": A.median, "maximum": A.maximum, "histogram": A.histogram, "theil_sen_slope": A.theil_sen_slope,
 }
 MECHANISMS = {
     "laplace_mechanism": M.laplace_mechanism, "gaussian_mechanism": M.gaussian_mechanism, "simple_geometric_mechanism": M.simple_geometric_mechanism,

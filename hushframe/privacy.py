@@ -81,6 +81,13 @@ def as_usage(x: Usage | float | tuple | dict) -> Usage:
     return Usage(*map(float, x)) if isinstance(x, (tuple, list)) else Usage(float(x))
 
 
+def _group(epsilon: float, c: int) -> float:
+    """The sum of e^(i epsilon) for i below c; infinite where no number holds it."""
+    if c <= 64:
+        return sum(math.exp(i * epsilon) for i in range(c))
+    return math.expm1(c * epsilon) / math.expm1(epsilon) if c * epsilon < 700 else math.inf
+
+
 def effective(actual: Usage, stability: int = 1, group_size: int = 1, sample: float = 1.0) -> Usage:
     """The budget a mechanism may use so that actual is what an individual pays.
 
@@ -89,14 +96,14 @@ def effective(actual: Usage, stability: int = 1, group_size: int = 1, sample: fl
     """
     c = stability * group_size
     epsilon = math.log(math.expm1(actual.epsilon) / sample + 1) / c
-    return Usage(epsilon, actual.delta / (sample * sum(math.exp(i * actual.epsilon) for i in range(c))))
+    return Usage(epsilon, actual.delta / (sample * _group(actual.epsilon, c)) if actual.delta else 0.0)
 
 
 def actual(used: Usage, stability: int = 1, group_size: int = 1, sample: float = 1.0) -> Usage:
     """What an individual pays for a budget a mechanism used; the inverse of effective()."""
     c = stability * group_size
     epsilon = math.log1p(sample * math.expm1(c * used.epsilon))
-    return Usage(epsilon, used.delta * sample * sum(math.exp(i * epsilon) for i in range(c)))
+    return Usage(epsilon, used.delta * sample * _group(epsilon, c) if used.delta else 0.0)
 
 
 def sequential(usages: Iterable[Usage]) -> Usage:
