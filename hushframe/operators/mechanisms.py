@@ -86,7 +86,7 @@ def laplace_mechanism(aggregate: Aggregate, usage, sensitivity=None, rng: N.Secu
     _no_floats(aggregate.frame, "Laplace")
     rng = _rng(aggregate.frame, rng)
     paid, used, sens = _plan(aggregate, usage, sensitivity, 1, _width(aggregate))
-    return _noisy(aggregate, "Laplace", paid, [lambda x, s=s, u=u: N.laplace(float(x), s, u.epsilon, rng) for s, u in zip(sens, used)], sensitivity=sens)
+    return _noisy(aggregate, "Laplace", paid, [lambda x, s=s, u=u: N.laplace(float(x), s, u.epsilon, rng) for s, u in zip(sens, used)], sensitivity=sens, epsilon=[u.epsilon for u in used])
 
 
 def gaussian_mechanism(aggregate: Aggregate, usage, sensitivity=None, analytic: bool = True, rng: N.Secure | None = None) -> Noisy:
@@ -95,7 +95,7 @@ def gaussian_mechanism(aggregate: Aggregate, usage, sensitivity=None, analytic:
     paid, used, sens = _plan(aggregate, usage, sensitivity, 2, _width(aggregate))
     for s, u in zip(sens, used):
         N.gaussian_sigma(s, u.epsilon, u.delta, analytic)
-    return _noisy(aggregate, "AnalyticGaussian" if analytic else "Gaussian", paid, [lambda x, s=s, u=u: N.gaussian(float(x), s, u.epsilon, u.delta, rng, analytic) for s, u in zip(sens, used)], sensitivity=sens)
+    return _noisy(aggregate, "AnalyticGaussian" if analytic else "Gaussian", paid, [lambda x, s=s, u=u: N.gaussian(float(x), s, u.epsilon, u.delta, rng, analytic) for s, u in zip(sens, used)], sensitivity=sens, epsilon=[u.epsilon for u in used])
 
 
 def simple_geometric_mechanism(aggregate: Aggregate, usage, lower=None, upper=None, sensitivity=None, rng: N.Secure | None = None) -> Noisy:
@@ -108,7 +108,7 @@ def simple_geometric_mechanism(aggregate: Aggregate, usage, lower=None, upper=No
     high = [a if a is not None else b for a, b in zip(P._each(upper, k), aggregate.upper or [None] * k)]
     if None in low or None in high:
         raise PrivacyError("the geometric mechanism needs lower and upper")
-    return _noisy(aggregate, "SimpleGeometric", paid, [lambda x, s=s, u=u, a=a, b=b: N.simple_geometric(x, s, u.epsilon, int(a), int(b), rng, frame.definition.protect_elapsed_time) for s, u, a, b in zip(sens, used, low, high)], sensitivity=sens, lower=low, upper=high)
+    return _noisy(aggregate, "SimpleGeometric", paid, [lambda x, s=s, u=u, a=a, b=b: N.simple_geometric(x, s, u.epsilon, int(a), int(b), rng, frame.definition.protect_elapsed_time) for s, u, a, b in zip(sens, used, low, high)], sensitivity=sens, epsilon=[u.epsilon for u in used], lower=low, upper=high)
 
 
 def snapping_mechanism(aggregate: Aggregate, usage, lower=None, upper=None, binding_probability: float | None = None, sensitivity=None, rng: N.Secure | None = None) -> Noisy:
@@ -119,7 +119,7 @@ def snapping_mechanism(aggregate: Aggregate, usage, lower=None, upper=None, bind
     high = [a if a is not None else b for a, b in zip(P._each(upper, k), aggregate.upper or [None] * k)]
     if None in low or None in high:
         raise PrivacyError("the snapping mechanism needs lower and upper")
-    return _noisy(aggregate, "Snapping", paid, [lambda x, s=s, u=u, a=a, b=b: N.snapping(float(x), s, u.epsilon, float(a), float(b), rng, binding_probability) for s, u, a, b in zip(sens, used, low, high)], sensitivity=sens, lower=low, upper=high)
+    return _noisy(aggregate, "Snapping", paid, [lambda x, s=s, u=u, a=a, b=b: N.snapping(float(x), s, u.epsilon, float(a), float(b), rng, binding_probability) for s, u, a, b in zip(sens, used, low, high)], sensitivity=sens, epsilon=[u.epsilon for u in used], lower=low, upper=high)
 
 
 def exponential_mechanism(utilities: Aggregate, usage, candidates: Sequence | None = None, sensitivity=None, rng: N.Secure | None = None) -> Noisy:
