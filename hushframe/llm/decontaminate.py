@@ -8,7 +8,8 @@ then read for the documents that are left, and a phrase matches where all its wo
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; a null or empty text has none. An
 item without words has no window. A repeated row (same id, same text) is judged as if it stood alone, each time it
-occurs; otherwise ids are taken to be unique. Windows with the same words are one query for all their items. A very long text
+occurs; otherwise ids are taken to be unique. A document without an id has its number of words and no hits, as matches
+are joined by ids. Windows with the same words are one query for all their items. A very long text
 is one array of words before it is exploded. Over BROADCAST_ROWS terms or windows, tables are joined by shuffles, whose
 skewed partitions Spark's adaptive execution splits. Columns beside those named are carried or ignored.
 """

@@ -128,9 +128,9 @@ def _requests(shards: int):
         for kind, edges, keys, places in ((1, one, x.uni, [x.at_1]), (2, many, x.many & LOW_MASK, [x.at_2, x.at_3])):
             counts = [sum(np.bincount(p[flag], minlength=len(keys)) for p in places) for flag in flags]
             rows += [(block, s, kind, sizes, pack_keys(keys[i:j]), [pack_counts(c[i:j]) for c in counts], 0) for s, i, j, sizes in routing.cells(edges, each)]
-        # how many tokens and texts there are goes to the first shard, as two counts that nobody asks back
+        # how many tokens and texts there are goes to any shard, as two counts that nobody asks back
         totals = [np.array([flag.sum(), (begins & flag).sum()]) for flag in flags]
-        rows.append((block, 0, 0, pack_counts(np.array([2])) if each > 1 else b"", pack_keys(np.arange(2, dtype=np.uint64)), [pack_counts(t) for t in totals], 0))
+        rows.append((block, int(mix(np.array([block], np.int64).view(np.uint64))[0] % np.uint64(-(-shards // each))), 0, pack_counts(np.array([2])) if each > 1 else b"", pack_keys(np.arange(2, dtype=np.uint64)), [pack_counts(t) for t in totals], 0))
         return routing.table(rows)
 
     return work
@@ -148,6 +148,13 @@ def _answers(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([rows.column("block"), rows.column("shard"), rows.column("kind"), rows.column("sizes"), empty, pa.array(said, pa.list_(pa.binary())), pa.array(n, pa.int64())], names=rows.column_names)
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and texts that a shard has counted: of training texts, and of those among them that weights are learned on."""
+    for b in batches:
+        rows = [[int(x) for v in values for x in unpack_counts(v)[:2]] for values in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, ["n", "texts", "n_out", "texts_out"])
+
+
 def _counts(answers: pa.Table, take_deleted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Counts of a block's unigrams, and of its bigrams and trigrams, in the block's order."""
     rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "shard", "values")]))
@@ -251,8 +258,9 @@ def score(work: Work, docs: DataFrame, train: F.Column, deleted: F.Column, key:
     )
     asked = dealt.groupBy("block").applyInArrow(_requests(shards), routing.ROW)
     answers, of_shards = routing.ask(asked, shards, _answers, lambda df: work.table(df, "answers"))
-    total = of_shards.where("kind = 0").select("values").first()  # no row if there is no text
-    (n, texts), (n_out, texts_out) = (map(int, unpack_counts(bytes(total["values"][c]))[:2]) if total else (0, 0) for c in (0, 1))
+    sums = ("n", "texts", "n_out", "texts_out")
+    each = of_shards.where("kind = 0").groupBy("shard").agg(F.first("values").alias("values")).select("values").mapInArrow(_totals, ", ".join(f"{c} long" for c in sums))
+    n, texts, n_out, texts_out = map(int, each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first())
     answers = answers.where("kind > 0")
     v = of_shards.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     work.release()

@@ -14,7 +14,8 @@ N_B * ROWS_B hash functions (68 in place of 800). Two sets of similarity s meet
 4. Connected components of the links.
 
 Defined results: a text of no words (null, empty, white space) has no shingles and is linked with nothing, itself included
-in its own component; with fewer than five words the whole sequence is one shingle. Shingles are 64-bit hashes, sets of
+in its own component; with fewer than five words the whole sequence is one shingle. A document without an id can't name a
+component: its component is null, it is linked with nothing and kept. Shingles are 64-bit hashes, sets of
 them are named by 128-bit hashes. A repeated row (same id, same text) has the same result each time; otherwise ids are
 taken to be unique. A very long text is one set in one worker (some 60 bytes a word). Columns beside those named are ignored.
 """
@@ -227,7 +228,8 @@ def table_keys(reps: DataFrame) -> DataFrame:
 
 def near_duplicates(work: Work, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id and kept of every document."""
-    all_sketches = work.table(sketches(spread(docs), key, text), "sketches")
+    made = work.table(sketches(spread(docs), key, text), "sketches")
+    all_sketches = made.where("id is not null")
     copies = all_sketches.where("name is not null").groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("name", "first")
     copies = work.table(copies, "copies")
     named = work.table(lookup(all_sketches.select("id", "n", "name"), copies, "name").select("id", "n", F.coalesce("first", "id").alias("rep")), "named")
@@ -235,12 +237,14 @@ def near_duplicates(work: Work, docs: DataFrame, key: str = "doc_id", text: str
     bucket = Window.partitionBy("table_key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stars = table_keys(reps).withColumn("centre", F.coalesce("centre", F.first("id").over(bucket))).where("id <> centre").select(F.col("id").alias("src"), F.col("centre").alias("dst")).distinct()
     groups = components(work, work.table(stars, "candidates"))
-    work.drop(all_sketches, copies)
+    work.drop(copies)
     work.release()
     linked = components(work, work.table(links(work, docs, groups, key, text), "links"))
     work.release()
     out = lookup(named, linked.select(F.col("id").alias("rep"), "root"), "rep").withColumn("component_id", F.coalesce("root", "rep"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    nameless = made.where("id is null").select("id", "n", F.lit(None).cast("long").alias("component_id"))
+    out = out.select("id", "n", "component_id").unionByName(nameless)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-Documents are encoded, given a locality key (the least hash of their ids' pairs, hashed again so that long texts, whose
-least hashes are small, lie everywhere; texts that share phrases tend to share it) and dealt into shards of equal bytes by
-ranges of that key; copies lie together, but any number of them is cut. A shard has one BM25 inverted index over the token ids
+Documents are encoded, given a locality key (the least hash of their ids' pairs; texts that share phrases tend to share it,
+and long texts, whose least hashes are small, lie at the lower end) and dealt into shards of equal bytes by ranges of that
+key; copies lie together, but any number of them is cut. A shard has one BM25 inverted index over the token ids
 of all its documents. A window begins with a seed (what is left of the last document, or else the next unused one); the
 index returns the unused neighbours of the seed among all documents of the shard, best first, and they fill the window
 greedily. The document that crosses the window's end is cut there and its rest is the next seed, so windows have no
@@ -12,7 +12,7 @@ Used documents are taken out of the index's lists from time to time; the statist
 scores do not depend on it.
 
 Defined results: a null or empty text is its end id alone. Of equal scores the document that comes first wins. Repeated
-rows (also of one doc_id) are documents each. Terms in over half of a shard have no weight, as BM25's idf, floored at 0,
+rows (also of one doc_id) are documents each, and so are those without a doc_id, which stays null. Terms in over half of a shard have no weight, as BM25's idf, floored at 0,
 gives them none. Columns beside those named are ignored; an empty table gives no pieces.
 """
 
@@ -261,22 +261,23 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
         keys, flat, sizes = [], [], []
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in zip(*packer.rows)]
+            place, *columns = [pa.array(c, pa.int64()) for c in zip(*packer.rows)]
             packer.rows = []
-            return pa.RecordBatch.from_arrays(columns, _NAMES)
+            return pa.RecordBatch.from_arrays([ids_of.take(place), *columns], _NAMES)
 
         for b in batches:
             if b.num_rows:
                 ids = b.column(1).cast(pa.large_binary())
                 ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-                keys.append(b.column(0).to_numpy(zero_copy_only=False))
+                keys.append(b.column(0))  # as Arrow holds them, with those that are null
                 flat.append(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype))
                 sizes.append(np.diff(ends) // np.dtype(dtype).itemsize)
         if not keys:
             return
         docs = Documents(np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(sizes))])
         del flat
-        for _ in pack_shard(packer, np.concatenate(keys), docs):
+        ids_of = pa.concat_arrays(keys)
+        for _ in pack_shard(packer, np.arange(len(docs)), docs):
             yield out()
         packer.finish()
         if packer.rows:

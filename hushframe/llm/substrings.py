@@ -16,7 +16,8 @@
 5. Each text's removed windows are joined to spans, and what is left is hashed.
 
 Hashes only choose what is compared; strings are equal if their bytes are. Defined results: a null text is empty, keeps
-nothing and has no span. Texts of under 50 bytes are kept whole. Of equal texts the smallest id stays; a repeated row (same
+nothing and has no span. Texts of under 50 bytes are kept whole, and so is a text without an id, which comes neither before
+nor after another: it loses nothing, and nothing is lost to it. Of equal texts the smallest id stays; a repeated row (same
 id, same text) has the same result each time, otherwise ids are taken to be unique. A text of over PIECE_BYTES is worked on
 in pieces, so no block grows with it; only its bytes and spans are in one task at the end. Columns beside those named are
 ignored.
@@ -368,6 +369,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(work: Work, docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: all documents (doc_id, n_bytes, sha256, first: the smallest doc_id with the same text), and those whose text is the first of its kind and loses spans (doc_id, spans, kept)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    every, docs = docs, docs.where(F.col(key).isNotNull())  # a text without an id comes neither before nor after another
     named = work.table(docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha256")), "digests")
     groups = work.table(named.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sha256", "first"), "copies")
     named = work.table(lookup(named, groups, "sha256").select("doc_id", "n_bytes", "sha256", F.coalesce("first", "doc_id").alias("first")), "named")
@@ -397,7 +399,8 @@ def remove_repeats(work: Work, docs: DataFrame, key: str = "doc_id", text: str =
         of_pieces = work.table(spans.where("block < 0").mapInArrow(_by_document, _SPANS), "spans-of-long-texts")
         long = texts.where(is_long).select("doc_id", "text", F.col("doc_id").alias("block"))
         cut = cut.unionByName(long.groupBy("block").cogroup(of_pieces.groupBy("block")).applyInArrow(_cut, _KEPT))
-    return named, cut
+    nameless = every.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha256"), F.lit(None).cast("long").alias("first"))
+    return named.unionByName(nameless.select(*named.columns)), cut
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +408,7 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     named, cut = remove_repeats(Work(spark, "substrings"), docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     cut = cut.select("doc_id", removed.alias("r"), F.size("spans").cast("long").alias("s"), F.sha2("kept", 256).alias("k"))
-    whole = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    whole = F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     nothing = hashlib.sha256(b"").hexdigest()
     return named.join(cut, "doc_id", "left").select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("r", F.lit(0))).alias("n_removed"),

@@ -10,7 +10,7 @@ Files go to the folder that driver and executors share, each under a name of its
 tasks says which files count. Shards are cut by ranges of doc_id, so a hot source or a group of copies is no hot shard.
 
 Defined results: a null text has the end id only, as an empty one. doc_ids are taken to be unique; rows that repeat one
-follow each other. A very long text makes its shard as long (some 40 bytes an id in the task that writes it). Columns
+follow each other, and rows without one come before all others (the header says how many a file begins with). A very long text makes its shard as long (some 40 bytes an id in the task that writes it). Columns
 beside those named are ignored. An empty table has no shards.
 """
 
@@ -200,11 +200,11 @@ def _directory(plane: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(sums)[:-1]]
 
 
-def save(out: BinaryIO, matrix: WaveletMatrix, doc_ids: np.ndarray, lengths: np.ndarray) -> None:
-    """One file: header with the counts before each block, document table, planes in compressed blocks."""
+def save(out: BinaryIO, matrix: WaveletMatrix, doc_ids: np.ndarray, lengths: np.ndarray, nameless: int = 0) -> None:
+    """One file: header with the counts before each block, document table (the first nameless documents have no id), planes in compressed blocks."""
     table = zlib.compress(np.stack([doc_ids.astype("<i8"), lengths.astype("<i8")]).tobytes(), LEVEL)
     blocks = [[zlib.compress(p[i : i + BLOCK_WORDS].astype("<u8").tobytes(), LEVEL) for i in range(0, len(p), BLOCK_WORDS)] for p in matrix.planes]
-    head = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "ones": [o.tolist() for o in matrix.ones], "docs": len(doc_ids), "table": len(table), "blocks": [[len(b) for b in p] for p in blocks]}).encode()
+    head = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "ones": [o.tolist() for o in matrix.ones], "docs": len(doc_ids), "nameless": nameless, "table": len(table), "blocks": [[len(b) for b in p] for p in blocks]}).encode()
     out.write(MAGIC + len(head).to_bytes(8, "little") + head + table)
     for p in blocks:
         for b in p:
@@ -223,12 +223,12 @@ def _documents(f: BinaryIO, head: dict) -> np.ndarray:
     return np.frombuffer(zlib.decompress(f.read(head["table"])), "<i8").reshape(2, head["docs"])
 
 
-def load(f: BinaryIO) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
-    """A whole file: the matrix, doc_ids and lengths."""
+def load(f: BinaryIO) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, int]:
+    """A whole file: the matrix, doc_ids, lengths, and how many documents it begins with have no id."""
     head, _ = _head(f)
     doc_ids, lengths = _documents(f, head)
     planes = [np.frombuffer(b"".join(zlib.decompress(f.read(size)) for size in p), "<u8") for p in head["blocks"]]
-    return WaveletMatrix(head["n"], head["bits"], planes, head["zeros"], [np.array(o) for o in head["ones"]]), doc_ids, lengths
+    return WaveletMatrix(head["n"], head["bits"], planes, head["zeros"], [np.array(o) for o in head["ones"]]), doc_ids, lengths, head["nameless"]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, n_shards: int, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,7 +253,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, n_shards: int, en
         fs.create_dir(base, recursive=True)
         path = f"{base}/{uuid.uuid4().hex}.hwm"
         with fs.open_output_stream(path, compression=None) as out:
-            save(out, WaveletMatrix.build(whole), np.array(keys, np.int64), lengths)
+            save(out, WaveletMatrix.build(whole), np.array([0 if k is None else k for k in keys], np.int64), lengths, keys.count(None))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([keys[0]], pa.int64()), pa.array([keys[-1]], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([len(whole)], pa.int64())], ["part", "path", "first", "last", "docs", "n"])
 
     ordered = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(n_shards, key).sortWithinPartitions(key)
@@ -268,13 +268,13 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id", end: int
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
                 with fs.open_input_stream(path, compression=None) as f:
-                    matrix, doc_ids, lengths = load(f)
+                    matrix, doc_ids, lengths, nameless = load(f)
                 ids = matrix.all().astype("<u4")
                 ends = np.cumsum(lengths)
                 if matrix.n != lengths.sum() or (matrix.access_many(ends - 1) != end).any():
                     raise ValueError(f"{path}: documents do not end where they should")
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nameless), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
     return begun(manifest).repartition(max(1, manifest.count()), "path").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 

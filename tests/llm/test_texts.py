@@ -61,7 +61,7 @@ def test_wavelet(monkeypatch, words):
     token_files.save(buffer, token_files.WaveletMatrix.build(x), np.array([7]), np.array([3000]))
     whole = buffer.tell()
     buffer.seek(0)
-    w, ids, lengths = token_files.load(buffer)
+    w, ids, lengths, nameless = token_files.load(buffer)
     assert (w.all() == x).all() and ids.tolist() == [7] and lengths.tolist() == [3000]
     assert w.access_many(np.arange(3000)).tolist() == x.tolist()
     buffer.seek(0)
