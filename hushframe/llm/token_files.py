@@ -153,6 +153,17 @@ class WaveletMatrix:
             i = np.where(bit, self.zeros[level] + ones, i - ones)
         return value
 
+    def rank_many(self, symbol: int, places: np.ndarray) -> np.ndarray:
+        """Occurrences of a symbol before each of some places, a plane at a time."""
+        i, start = places.astype(np.int64), 0
+        for level, words in enumerate(self.planes):
+            before = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
+            w, r = i // 64, (i % 64).astype(np.uint64)
+            ones = before[w] + np.bitwise_count(words[w] & ((np.uint64(1) << r) - np.uint64(1)))
+            first = self._rank1(level, start)
+            i, start = (self.zeros[level] + ones, self.zeros[level] + first) if symbol >> self.bits - 1 - level & 1 else (i - ones, start - first)
+        return i - start
+
     def all(self) -> np.ndarray:
         """The whole sequence: from the lowest plane up, the two halves are put back in their places."""
         x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
@@ -261,7 +272,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, n_shards: int, en
 
 
 def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id", end: int = END) -> DataFrame:
-    """key, start, n_tokens, ids_crc32 of each document, from the files of a manifest; that each ends with the end id is looked up in the matrix."""
+    """key, start, n_tokens, ids_crc32 and n_end_ids of each document, from the files of a manifest.
+
+    The structure is asked for what it is made for: access says that each document ends with the end id, rank how often that id
+    occurs in it (where it is also a piece of text, more than once), and count and select, which read single blocks of the
+    file, how often it occurs in the shard and that its last occurrence is the shard's end.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -273,10 +289,15 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id", end: int
                 ends = np.cumsum(lengths)
                 if matrix.n != lengths.sum() or (matrix.access_many(ends - 1) != end).any():
                     raise ValueError(f"{path}: documents do not end where they should")
+                ranks = matrix.rank_many(end, np.r_[0, ends])
+                with fs.open_input_file(path) as f:
+                    stored = StoredMatrix(f)
+                    if stored.count(end) != ranks[-1] or stored.select(end, int(ranks[-1]) - 1) != matrix.n - 1:
+                        raise ValueError(f"{path}: the directory of ranks does not fit the planes")
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nameless), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nameless), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.diff(ranks))], [key, "start", "n_tokens", "ids_crc32", "n_end_ids"])
 
-    return begun(manifest).repartition(max(1, manifest.count()), "path").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return begun(manifest).repartition(max(1, manifest.count()), "path").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long, n_end_ids long")
 
 
 def begun(manifest: DataFrame) -> DataFrame:

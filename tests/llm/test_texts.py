@@ -64,6 +64,7 @@ def test_wavelet(monkeypatch, words):
     w, ids, lengths, nameless = token_files.load(buffer)
     assert (w.all() == x).all() and ids.tolist() == [7] and lengths.tolist() == [3000]
     assert w.access_many(np.arange(3000)).tolist() == x.tolist()
+    assert all(w.rank_many(s, np.array([0, 7, 1234, 3000])).tolist() == [(x[:i] == s).sum() for i in (0, 7, 1234, 3000)] for s in (0, 5, 299, 300))
     buffer.seek(0)
     stored = token_files.StoredMatrix(buffer)
     for m in (w, stored):
@@ -87,13 +88,14 @@ def test_wavelet(monkeypatch, words):
 def test_token_files(spark, folder, prose, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
     monkeypatch.setattr(token_files, "GROUP", 3)
-    texts = ODD + [prose(200, s) for s in range(5)]
-    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.op5_token_files(spark, folder(texts)).collect()}
+    texts = ODD + [prose(200, s) for s in range(5)] + ["Oh! No! Why!", "!", "!" * 9 + " a"]  # the end id is also a mark
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"], r["n_end_ids"]) for r in token_files.op5_token_files(spark, folder(texts)).collect()}
     start = 0
     for i, t in enumerate(texts):
         ids = direct("byte_bpe_50k.json", t, 0)
-        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()), (ids == 0).sum())
         start += len(ids)
+    assert got[len(ODD) + 5][3] == 4
 
 
 def test_packing(spark, folder, prose, monkeypatch):
