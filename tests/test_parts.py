@@ -223,7 +223,7 @@ def test_gaps_in_constant_time_have_their_weights():
         return out
 
     rng, seen, asked_of, total = N.Seeded("constant"), collections.Counter(), set(), sum(weights.values())
-    for _ in range(3000):
+    for _ in range(1200):
         g, sizes = R.constant_gap(counted(R.Cell(0.0, float(grid), 10, 0)), 0.0, 8.0, epsilon, rng, 1), []
         try:
             asked = next(g)
@@ -236,7 +236,7 @@ def test_gaps_in_constant_time_have_their_weights():
     assert set(seen) <= set(weights) and len(asked_of) == 1
     for gap, w in weights.items():
         p = w / total
-        assert abs(seen[gap] - 3000 * p) <= 5 * math.sqrt(3000 * p * (1 - p)) + 1
+        assert abs(seen[gap] - 1200 * p) <= 5 * math.sqrt(1200 * p * (1 - p)) + 1
 
 
 def test_constant_time_takes_the_same_jobs(spark):
