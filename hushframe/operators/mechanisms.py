@@ -334,7 +334,7 @@ def _all_pairs(frame: PrivateFrame, half: Usage, data_x: str, data_y: str, bound
 
         def direct(points=points, lower=float(lower), upper=float(upper), epsilon=epsilon) -> dict:
             slopes = Slopes(frame.df, *points)
-            found = slopes.ask(lambda first: R.drawn_gap(first, lower, upper, epsilon, rng, slopes.total), (lower, upper))
+            found = slopes.ask(lambda first: R.drawn_gap(first, lower, upper, epsilon, rng, slopes.total, at_once=4), (lower, upper))
             return {(): [rng.uniform(*found)]}
 
         chosen = Aggregate(lines, "gumbel_median", lambda c: [], list, lambda _: [0.0], direct=direct, columns=(data_x, data_y), lower=[lower], upper=[upper])

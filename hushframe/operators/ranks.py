@@ -154,6 +154,9 @@ def at_places(first: list[Cell], places: Callable[[int], list[int]]) -> Asking:
 
 # ---------------------------------------------------------------- the exponential mechanism over gaps
 
+#: Cells that a draw narrows at once, and how much less likely (as a logarithm) than the picked one the others may be.
+AT_ONCE, LIKELY = 32, 12.0
+
 
 @dataclass
 class _Gap:
@@ -194,7 +197,7 @@ def _pick(entries: list, rng: Secure) -> tuple[int, float]:
     return max(i for i, s in enumerate(shares) if s), top + math.log(total)
 
 
-def drawn_gap(first: list[Cell], lower: float, upper: float, epsilon: float, rng: Secure, n: int | None = None) -> Asking:
+def drawn_gap(first: list[Cell], lower: float, upper: float, epsilon: float, rng: Secure, n: int | None = None, at_once: int = AT_ONCE) -> Asking:
     """A gap between sorted values, with probability in proportion to its length times exp(-epsilon / 2 * |rank distance|).
 
     Cells stand for all their gaps by a bound on their weight. A cell that is picked is narrowed (the generator asks for
@@ -244,9 +247,11 @@ def drawn_gap(first: list[Cell], lower: float, upper: float, epsilon: float, rng
                 return level[i].low, level[i].high
             bound = None
             if isinstance(level[i], _Open):
-                bound, cell = level[i].weight, level[i].cell
-                (parts,) = yield [cell]
-                level[i] = _Node(inside(cell, parts))
+                bound = level[i].weight
+                others = sorted((j for j, e in enumerate(level) if isinstance(e, _Open) and j != i and e.weight > bound - LIKELY), key=lambda j: -level[j].weight)
+                picked = [i, *others[: at_once - 1]]  # what may be picked next is narrowed in the same round; draws don't depend on it
+                for j, parts in zip(picked, (yield [level[j].cell for j in picked])):
+                    level[j] = _Node(inside(level[j].cell, parts))
             level = level[i].entries
 
 

@@ -27,6 +27,8 @@ from hushframe.plans.shared import written
 LEAST, BLOCKS, MOST = 1024, 48, 32_768
 #: Thresholds of a round, and pairs between thresholds up to which their slopes are returned (as distinct values).
 THRESHOLDS, LEAF_PAIRS = 64, 50_000
+#: Slopes are told apart up to this number over the largest |x|; the bits of a double's size.
+LARGEST, MASK = 1e200, 2**63 - 1
 #: Points of a block up to which all their pairs are compared at once; bytes of blocks up to which they are broadcast.
 DENSE, BROADCAST = 64, 64 << 20
 
@@ -67,6 +69,24 @@ def _between(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, low
     return np.concatenate(out) if out else np.empty(0)
 
 
+def _place(x: float) -> int:
+    """A number's place in the order of all doubles."""
+    i = int(np.float64(x).view(np.int64))
+    return i if i >= 0 else -(i & MASK)
+
+
+def _at(place: int) -> float:
+    """The double at a place."""
+    return float(np.int64(place).view(np.float64)) if place >= 0 else -float(np.int64(-place).view(np.float64))
+
+
+def thresholds(low: float, high: float, pieces: int) -> np.ndarray:
+    """Cuts between two numbers that halve the doubles there, not the distance, so that slopes of any size are told apart in a few rounds."""
+    a, b = _place(low), _place(high)
+    cuts = np.unique([_at(a + (b - a) * k // pieces) for k in range(1, pieces)])
+    return cuts[(cuts > low) & (cuts < high)]
+
+
 class Slopes:
     """The slopes of all pairs of points of two columns."""
 
@@ -100,6 +120,7 @@ class Slopes:
         numbers = df.sparkSession.createDataFrame([(i, m) for i, (_, _, m) in enumerate(order)], "block long, mark long")
         self.blocks = written(marked.join(F.broadcast(numbers), "mark").select("block", "xs", "ys"), "blocks")
         self.count, self.n, self.spark = len(order), n, df.sparkSession
+        self.top = LARGEST / max([1.0, *(abs(v) for lo, hi, _ in order for v in (lo, hi))])
         self.small = 16 * n <= BROADCAST
         self.total = int(self._counted([math.inf])[0])
 
@@ -152,9 +173,7 @@ class Slopes:
 
     def narrowed(self, asked: list[Cell]) -> list[list[Cell]]:
         """The cells within each asked one: cut at thresholds, or single slopes where few pairs are left or none can be told apart."""
-        pieces = max(2, THRESHOLDS // len(asked))
-        inner = [np.unique(np.linspace(c.low, c.high, pieces + 1)[1:-1]) for c in asked]
-        inner = [t[(t > c.low) & (t < c.high)] for t, c in zip(inner, asked)]
+        inner = [thresholds(c.low, c.high, max(2, THRESHOLDS // len(asked))) for c in asked]
         near = [c.high - c.low <= 1e-13 * max(abs(c.low), abs(c.high)) for c in asked]
         leaf = [sum(c.count for c in asked) <= LEAF_PAIRS or n or not len(t) for n, t in zip(near, inner)]
         out: list[list[Cell]] = [[] for _ in asked]
@@ -172,12 +191,7 @@ class Slopes:
     def whole(self, bounds: tuple[float, float] | None = None) -> Cell:
         """A cell of all slopes, or of those between bounds."""
         if bounds is None:
-            top = 1.0
-            while True:  # doubles until all slopes lie within
-                low, high = self._counted([-top, top])
-                if low == 0 and high == self.total or top > 1e300:
-                    return Cell(-top, top, int(high - low), int(low), True)
-                top *= 1024.0
+            return Cell(-self.top, self.top, self.total, 0, True)
         low, high = self._counted(bounds)
         return Cell(*map(float, bounds), int(high - low), int(low), True)
 

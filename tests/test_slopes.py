@@ -58,7 +58,7 @@ def test_gaps_by_their_weight(spark):
     cut, whole = {}, s.whole((0.0, 4.0))
 
     def draw():
-        asking, send = R.drawn_gap([whole], 0.0, 4.0, epsilon, rng, s.total), None
+        asking, send = R.drawn_gap([whole], 0.0, 4.0, epsilon, rng, s.total, at_once=2), None
         while True:
             try:
                 cells = asking.send(send)
