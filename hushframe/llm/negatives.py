@@ -269,7 +269,7 @@ def mine(work: Work, rows: DataFrame, key: str = "vec_id", vector: str = "embedd
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
-    df = df.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    df = df.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
     return mine(Work(spark, "negatives"), df)
 
 
