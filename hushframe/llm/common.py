@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +134,16 @@ class WordTable(dict):
 _words = WordTable()
 
 
+def give_back(words: bool = False) -> None:
+    """Returns what a Python worker has freed to the system (and empties its table of words), as workers stay between stages."""
+    if words:
+        _words.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text whose A-Z are lower-cased. bytes.split() cuts at just these six bytes."""
     if not text:

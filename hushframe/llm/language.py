@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import crc32_mod, own_columns, spread
+from hushframe.llm.common import crc32_mod, give_back, own_columns, spread
 
 UND = "und"
 #: Length of the vectors, letters of an n-gram (fixed by the code at 3) and the fixed-point unit of learned sums.
@@ -202,6 +202,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
                 found[3] += letters.tolist()
             pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, k) for v, (_, _, k) in zip(found, added)]], [*columns, *[n for n, _, _ in added]])
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(score, schema)
 

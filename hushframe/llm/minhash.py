@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import Work, as_long, lookup, mix, once, own_columns, small, spread, word_hashes
+from hushframe.llm.common import Work, as_long, give_back, lookup, mix, once, own_columns, small, spread, word_hashes
 from hushframe.llm.components import components
 
 WORDS = 5
@@ -190,6 +190,9 @@ def links(work: Work, docs: DataFrame, members: DataFrame, key: str, text: str)
         done()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["src", "dst"])
+        ids.clear()
+        sets.clear()
+        give_back(words=True)
 
     return tiles.mapInArrow(compare, "src long, dst long")
 

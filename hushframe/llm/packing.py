@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from hushframe.llm.common import Work, as_long, mix, parts, size_of, spread
-from hushframe.llm.tokens import default_path, encoder
+from hushframe.llm.tokens import default_path, encoder, forget
 
 WINDOW, END = 2048, 1
 #: BM25's parameters; ids of a shard, about; texts encoded at once.
@@ -253,10 +253,12 @@ def in_shards(encoded: DataFrame, n_shards: int, key: str = "doc_id") -> DataFra
     return placed.withColumn("shard", below if borders else F.lit(0)).select(key, "near", "ids", "shard")
 
 
-def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id", dtype: str = "<u4") -> DataFrame:
-    """The pieces (see PIECES) of encoded documents; dtype: of their packed ids."""
+def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id", dtype: str = "<u4", lean: bool = False) -> DataFrame:
+    """The pieces (see PIECES) of encoded documents; dtype: of their packed ids. lean: workers drop their tables of pieces first, which encoding would fill anew."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if lean:  # ids are all that is needed from here on
+            forget()
         packer = Packer(TaskContext.get().partitionId() << 32, window)
         keys, flat, sizes = [], [], []
 
@@ -287,12 +289,12 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
     return dealt.select(key, "ids").mapInArrow(work, PIECES)
 
 
-def packed(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, tokenizer: str, lean: bool = False) -> DataFrame:
     work = Work(spark, "packing")
     encoded = work.table(encode(spread(docs), tokenizer), "encoded")
     _, size = size_of(encoded, "ids")
     dtype = encoder(tokenizer).dtype
-    return work.table(pack(encoded, parts(size, SHARD_IDS * np.dtype(dtype).itemsize), dtype=dtype), "pieces")
+    return work.table(pack(encoded, parts(size, SHARD_IDS * np.dtype(dtype).itemsize), dtype=dtype, lean=lean), "pieces")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +302,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of all documents in their sequences."""
-    return packed(spark, docs.select("doc_id", "text"), default_path("word_bpe_49k.json"))
+    """Pipeline stage, the last: the pieces of all documents in their sequences. Workers hold what the stages before have left, so tables are dropped early."""
+    return packed(spark, docs.select("doc_id", "text"), default_path("word_bpe_49k.json"), lean=True)
 
 
 QUERIES = {"op3_packing": op3_packing}

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from hushframe.llm.common import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in a table, after which it is emptied; only memory depends on it. Longer pieces aren't kept.
@@ -134,6 +136,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops a worker's encoders and their tables, where what follows needs none."""
+    _encoders.clear()
+    give_back()
+
+
 def default_path(name: str) -> str:
     """A vocabulary file of the machine's public tokenizers; on other machines, give operators a path instead."""
     import public_tokenizers
