@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,8 +41,8 @@ from hushframe.llm.common import Work, pack_counts, pack_keys, spread, unpack_co
 
 #: Stripes of A's ids, and blocks that one task counts or scores at once in a stripe.
 STRIPES, SLICE = 128, 128
-#: Units in a worker's table, after which it is emptied; only memory depends on it. Longer units aren't kept.
-TABLE, LONGEST = 300_000, 32
+#: Units in a worker's table, after which it is emptied; only memory depends on it. Longer units aren't kept. Links of a group that are listed one by one.
+TABLE, LONGEST, SMALL = 400_000, 32, 4096
 #: Where texts with odd white space are cut.
 _UNITS = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -60,35 +61,43 @@ class Aligner:
         self.n_a, self.n_b = max(vocabulary.values()) + 1, self.b.get_piece_size()
         self.bytes_a = {i: bytes(map(read.__getitem__, t)) for t, i in vocabulary.items() if all(c in read for c in t)}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.n_b)))]
+        self.long_a, self.long_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
+        self.names = [b"%d" % i for i in range(max(self.n_a, self.n_b))]
         self.mark = self.b.encode("\n")  # before a unit it takes the space that is put before a text, and joins nothing
         self.table: dict[str, tuple] = {}
 
     def _align(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        """(bad, n_a, n_b, n_groups, n_links, groups as text, pairs as a * n_b + b, how often each)."""
-        raw, left, right = unit.encode(), [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return 1, 0, 0, 0, 0, b"", (), ()
-        i = j = end_a = end_b = links = groups = 0
-        said, pairs = [], Counter()
+        """(bad, n_a, n_b, n_groups, n_links, groups as text, pairs as a * n_b + b, how often each: nothing if once each), the last two as bytes of 64-bit numbers."""
+        raw, long_a, long_b, names, n_b = unit.encode(), self.long_a, self.long_b, self.names, self.n_b
+        if b"".join([self.bytes_a[x] for x in a]) != raw or b"".join([self.bytes_b[x] for x in b]) != raw:
+            return 1, 0, 0, 0, 0, b"", b"", b""
+        i = j = end_a = end_b = links = 0
+        said, pairs, large = [], [], None
         while i < len(a):
             i0, j0 = i, j
-            end_a, end_b, i, j = end_a + len(left[i]), end_b + len(right[j]), i + 1, j + 1
+            end_a, end_b, i, j = end_a + long_a[a[i]], end_b + long_b[b[j]], i + 1, j + 1
             while end_a != end_b:
                 if end_a < end_b:
-                    end_a, i = end_a + len(left[i]), i + 1
+                    end_a, i = end_a + long_a[a[i]], i + 1
                 else:
-                    end_b, j = end_b + len(right[j]), j + 1
-            groups, links = groups + 1, links + (i - i0) * (j - j0)
-            if i - i0 == 1 == j - j0:
-                said.append(b"%d|%d;" % (a[i0], b[j0]))
-                pairs[a[i0] * self.n_b + b[j0]] += 1
+                    end_b, j = end_b + long_b[b[j]], j + 1
+            own_a, own_b = a[i0:i], b[j0:j]
+            said.append(b",".join([names[x] for x in own_a]) + b"|" + b",".join([names[y] for y in own_b]) + b";")
+            n = len(own_a) * len(own_b)
+            links += n
+            if n <= SMALL:
+                pairs += [x * n_b + y for x in own_a for y in own_b]
             else:
-                said.append(b"%s|%s;" % (",".join(map(str, a[i0:i])).encode(), ",".join(map(str, b[j0:j])).encode()))
-                more = Counter(b[j0:j])
-                for x, n in Counter(a[i0:i]).items():
+                large, more = large or Counter(), Counter(own_b)
+                for x, k in Counter(own_a).items():
                     for y, m in more.items():
-                        pairs[x * self.n_b + y] += n * m
-        return 0, len(a), len(b), groups, links, b"".join(said), tuple(pairs), tuple(pairs.values())
+                        large[x * n_b + y] += k * m
+        often = b""
+        if large or len(set(pairs)) < len(pairs):
+            large = large or Counter()
+            large.update(pairs)
+            pairs, often = list(large), array("q", large.values()).tobytes()
+        return 0, len(a), len(b), len(said), links, b"".join(said), array("q", pairs).tobytes(), often
 
     def units(self, kinds: list[str]) -> list[tuple]:
         """What each of some different units is."""
@@ -97,11 +106,11 @@ class Aligner:
             self.table.clear()
             missing = kinds
         self.a._add(set(missing))
-        skip = len(self.mark)
+        skip, mark, ids, kind = len(self.mark), self.mark, self.a.table, self.a.kind
         for u, b in zip(missing, self.b.encode(["\n" + u for u in missing], num_threads=1)):
-            if b[:skip] != self.mark:
+            if b[:skip] != mark:
                 raise ValueError("the tokenizer of side B joins a line end with what follows it")
-            self.table[u] = self._align(u, np.frombuffer(self.a.table[u], self.a.dtype).tolist(), b[skip:])
+            self.table[u] = self._align(u, memoryview(ids[u]).cast(kind).tolist(), b[skip:])
         self.a.table.clear()
         found = [self.table[u] for u in kinds]
         for u in missing:
@@ -138,10 +147,12 @@ class Aligner:
         use = good[doc]
         held, times = np.unique(doc[use] * len(kinds) + at[use], return_counts=True)
         doc, unit = held // max(len(kinds), 1), held % max(len(kinds), 1)
-        size = np.array([len(k[6]) for k in kinds], np.int64)
+        size = np.array([len(k[6]) for k in kinds], np.int64) // 8
         first = np.r_[0, np.cumsum(size)]
-        pairs = np.fromiter((p for k in kinds for p in k[6]), np.int64, int(first[-1]))
-        often = np.fromiter((n for k in kinds for n in k[7]), np.int64, int(first[-1]))
+        pairs, often = np.frombuffer(b"".join([k[6] for k in kinds]), np.int64), np.ones(int(first[-1]), np.int64)
+        for i, k in enumerate(kinds):
+            if k[7]:
+                often[first[i] : first[i + 1]] = np.frombuffer(k[7], np.int64)
         size = size[unit]
         reached = np.cumsum(size)
         place = np.arange(int(reached[-1]) if len(reached) else 0) + np.repeat(first[unit] - (reached - size), size)
