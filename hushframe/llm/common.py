@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hushframe.plans import shared
 
@@ -23,6 +24,8 @@ UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqr
 BROADCAST_ROWS = 500_000
 #: Rows of one key over which a join by a shuffle treats it by itself.
 HOT_ROWS = 100_000
+#: Sampled units of bytes of a shard, by which borders of shards are found; shards whose sample is sorted in one task.
+SAMPLED, RANGED = 400, 1000
 #: Entries after which a worker's table of words is emptied; only memory depends on it.
 WORD_TABLE = 200_000
 
@@ -73,6 +76,40 @@ def parts(total: int, each: int) -> int:
     return max(1, -(-int(total) // int(each)))
 
 
+def byte_shards(work: Work, df: DataFrame, place: Column, size: Column, n_shards: int) -> DataFrame:
+    """df with shard: ranges of place (a number, never null) that hold about equal sums of size, from 0 in ascending order.
+
+    Borders come from a written sample in which a row is as often as its size asks for, sorted across tasks and numbered by
+    counts of its partitions; each SAMPLED-th place is one. They are eight bytes a shard, so they are handed to tasks as one
+    array (50 MB for the shards of 100 TB), not as part of the plan. Rows of one place lie in one shard, however many they are.
+    """
+    if n_shards < 2:
+        return df.withColumn("shard", F.lit(0))
+    units = df.select(place.cast("long").alias("place"), size.cast("long").alias("size"), F.xxhash64(place, F.monotonically_increasing_id()).alias("row"))
+    total = units.agg(F.sum("size")).first()[0] or 0
+    unit = max(1, total // (SAMPLED * n_shards))
+    times = F.floor(F.col("size") / unit) + (F.pmod("row", F.lit(unit)) < F.col("size") % unit).cast("long")  # the rest by chance
+    sample = units.select("place", times.alias("n")).where("n > 0").select("place", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("place")
+    dealt = work.table(sample.repartitionByRange(parts(n_shards, RANGED), "place").withColumn("range", F.spark_partition_id()), "places")
+    counts = sorted(dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for RANGED shards
+    earlier, before = [], 0
+    for r, n in counts:
+        earlier.append((r, before))
+        before += n
+    base = F.broadcast(work.spark.createDataFrame(earlier, "range int, before long"))
+    each = max(1, before // n_shards)
+    number = F.row_number().over(Window.partitionBy("range").orderBy("place")) + F.col("before")
+    picked = dealt.join(base, "range").select("place", number.alias("number")).where((F.col("number") % each == 0) & (F.col("number") < each * n_shards)).select("place")
+    borders = work.spark.sparkContext.broadcast(np.sort(picked.toArrow().column(0).to_numpy()))
+    work.drop(dealt)
+
+    @F.arrow_udf("int")
+    def shard(places: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(borders.value, places.to_numpy(zero_copy_only=False)), pa.int32())
+
+    return df.withColumn("shard", shard(place.cast("long")))
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has few rows, as counted; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

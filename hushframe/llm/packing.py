@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from hushframe.llm.common import Work, as_long, mix, parts, size_of, spread
+from hushframe.llm.common import Work, as_long, byte_shards, mix, parts, size_of, spread
 from hushframe.llm.tokens import default_path, encoder, forget
 
 WINDOW, END = 2048, 1
 #: BM25's parameters; ids of a shard, about; texts encoded at once.
 K1, B, SHARD_IDS, BATCH = 1.2, 0.75, 8 << 20, 1024
-#: Sampled units of bytes of a shard, by which the borders of shards are found.
-SAMPLED = 400
 #: Cells an id up to which documents are counted in tables of all terms, not by sorting.
 CELLS = 16
 #: Ids that are counted at once; neighbours sorted at first (more follow if a window asks for them); pieces put out at once.
@@ -213,6 +211,22 @@ def pack_shard(packer: Packer, keys: np.ndarray, docs: Documents) -> Iterator[No
             yield
 
 
+def least_pairs(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least hash of each document's pairs of ids that follow each other; 0 for a document of one id. flat: the ids of all, sizes: how many each has (one at least)."""
+    ends, out, at = np.cumsum(sizes), np.zeros(len(sizes), np.uint64), 0
+    while at < len(sizes):
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + BLOCK, "right")))
+        x = flat[start : ends[to - 1]].astype(np.uint64)
+        pairs = np.full(len(x), ~np.uint64(0))
+        pairs[:-1] = mix(x[:-1] << np.uint64(32) | x[1:])
+        pairs[ends[at:to] - 1 - start] = ~np.uint64(0)  # the last id begins no pair
+        own = np.minimum.reduceat(pairs, ends[at:to] - sizes[at:to] - start)
+        out[at:to] = np.where(sizes[at:to] > 1, own, np.uint64(0))
+        at = to
+    return out
+
+
 def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, near (the locality key), ids (with the end id, packed in the encoder's dtype)."""
 
@@ -223,40 +237,27 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
                 ids = [x + tail for x in enc.encode(part.column(1))]
-                near = []
-                for x in ids:
-                    a = np.frombuffer(x, enc.dtype).astype(np.uint64)
-                    near.append(mix(a[:-1] << np.uint64(32) | a[1:]).min() if len(a) > 1 else np.uint64(0))
+                near = least_pairs(np.frombuffer(b"".join(ids), enc.dtype), np.array([len(x) // len(tail) for x in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(as_long(near)), pa.array(ids, pa.binary())], [key, "near", "ids"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, f"`{key}` long, near long, ids binary")
 
 
-def in_shards(encoded: DataFrame, n_shards: int, key: str = "doc_id") -> DataFrame:
+def in_shards(work: Work, encoded: DataFrame, n_shards: int, key: str = "doc_id") -> DataFrame:
     """encoded with shard, a number below n_shards: ranges of the locality key of about equal bytes.
 
-    The borders are quantiles of a sample in which a document is as often as its bytes ask for. The key's low bits are those
-    of a hash of the row, so copies and repeated rows, which share a key, lie together but are cut like all others.
+    The place's low bits are those of a hash of the row, so copies and repeated rows, which share a key, lie together but are
+    cut like all others.
     """
     row = F.xxhash64(key, F.monotonically_increasing_id())
-    place = F.shiftleft(F.shiftright("near", 20), 20) + F.pmod(row, F.lit(1 << 20))
-    placed = encoded.withColumns({"place": place, "row": row})
-    if n_shards < 2:
-        return encoded.withColumn("shard", F.lit(0))
-    size = F.octet_length("ids").cast("long")
-    unit = encoded.agg(F.greatest(F.sum(size) / (SAMPLED * n_shards), F.lit(1.0)).cast("long")).first()[0] or 1
-    times = F.floor(size / unit) + (F.pmod("row", F.lit(unit)) < size % unit).cast("long")
-    sample = placed.select("place", times.alias("n")).where("n > 0").select("place", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    borders = sample.agg(F.percentile_approx("place", [k / n_shards for k in range(1, n_shards)], max(10_000, 50 * n_shards))).first()[0] or []
-    table, steps = F.array(*[F.lit(b).cast("long") for b in borders]), [1 << b for b in range(len(borders).bit_length() - 1, -1, -1)]
-    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < F.col("place"), at + step).otherwise(at))
-    return placed.withColumn("shard", below if borders else F.lit(0)).select(key, "near", "ids", "shard")
-
-
-def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id", dtype: str = "<u4", lean: bool = False) -> DataFrame:
+    placed = encoded.withColumn("place", F.shiftleft(F.shiftright("near", 20), 20) + F.pmod(row, F.lit(1 << 20)))
+    return byte_shards(work, placed, F.col("place"), F.octet_length("ids"), n_shards).select(key, "near", "ids", "shard")
+
+
+def pack(work: Work, encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "doc_id", dtype: str = "<u4", lean: bool = False) -> DataFrame:
     """The pieces (see PIECES) of encoded documents; dtype: of their packed ids. lean: workers drop their tables of pieces first, which encoding would fill anew."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lean:  # ids are all that is needed from here on
             forget()
         packer = Packer(TaskContext.get().partitionId() << 32, window)
@@ -285,8 +286,8 @@ def pack(encoded: DataFrame, n_shards: int, window: int = WINDOW, key: str = "do
         if packer.rows:
             yield out()
 
-    dealt = in_shards(encoded, n_shards, key).repartitionById(n_shards, "shard").sortWithinPartitions("near", key)
-    return dealt.select(key, "ids").mapInArrow(work, PIECES)
+    dealt = in_shards(work, encoded, n_shards, key).repartitionById(n_shards, "shard").sortWithinPartitions("near", key)
+    return dealt.select(key, "ids").mapInArrow(deal, PIECES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer: str, lean: bool = False) -> DataFrame:
@@ -294,7 +295,7 @@ def packed(spark: SparkSession, docs: DataFrame, tokenizer: str, lean: bool = Fa
     encoded = work.table(encode(spread(docs), tokenizer), "encoded")
     _, size = size_of(encoded, "ids")
     dtype = encoder(tokenizer).dtype
-    return work.table(pack(encoded, parts(size, SHARD_IDS * np.dtype(dtype).itemsize), dtype=dtype, lean=lean), "pieces")
+    return work.table(pack(work, encoded, parts(size, SHARD_IDS * np.dtype(dtype).itemsize), dtype=dtype, lean=lean), "pieces")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ an id occurs before a place or between two (rank, count) and where its k-th occu
 blocks; StoredMatrix reads just those that a question needs, from one file.
 
 Files go to the folder that driver and executors share, each under a name of its own attempt; the manifest of committed
-tasks says which files count. Shards are cut by ranges of doc_id, so a hot source or a group of copies is no hot shard.
+tasks says which files count. Shards are ranges of doc_id that hold about equal bytes, so a hot source, a group of copies or a run of long texts is no hot shard.
 
 Defined results: a null text has the end id only, as an empty one. doc_ids are taken to be unique; rows that repeat one
 follow each other, and rows without one come before all others (the header says how many a file begins with). A very long text makes its shard as long (some 40 bytes an id in the task that writes it). Columns
@@ -28,9 +28,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.taskcontext import TaskContext
 
-from hushframe.llm.common import Work, parts, size_of
+from hushframe.llm.common import Work, byte_shards, parts, size_of
 from hushframe.llm.tokens import default_path, encoder
 
 #: Bytes of text of a shard, about; texts encoded at once; bits of a compressed block; compression level.
@@ -38,6 +37,8 @@ SHARD_BYTES, BATCH, BLOCK_BITS, LEVEL = 16 << 20, 1024, 1 << 18, 1
 BLOCK_WORDS = BLOCK_BITS // 64
 #: Blocks that an open file keeps; shards of a group in the manifest's running sums.
 KEPT, GROUP = 64, 1000
+#: Ids after which a task begins another file; files of a task at most, in their numbers.
+FILE_IDS, FILES = 16 << 20, 1 << 20
 MAGIC = b"HWM2"
 END = 0
 
@@ -242,33 +243,52 @@ def load(f: BinaryIO) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, int]:
     return WaveletMatrix(head["n"], head["bits"], planes, head["zeros"], [np.array(o) for o in head["ones"]]), doc_ids, lengths, head["nameless"]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, n_shards: int, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes a file a shard, in ascending order of the key; returns the manifest (part: the shard's number in that order, path, first, last, docs, n)."""
+def write_shards(work: Work, docs: DataFrame, folder: str, tokenizer: str, n_shards: int, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes files in ascending order of the key; returns the manifest (part: the file's number in that order, path, first, last, docs, n).
+
+    Tasks hold ranges of keys of about equal bytes. One that is given over FILE_IDS ids all the same, as by many rows of one key,
+    closes its file there and begins another.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         tail = np.array([end], enc.dtype).tobytes()
-        keys: list[int] = []
-        ids: list[bytes] = []
-        for b in batches:
-            column = b.column(1)
-            keys += b.column(0).to_pylist()
-            for i in range(0, len(column), BATCH):
-                ids += [x + tail for x in enc.encode(column.slice(i, BATCH))]
-        if not keys:
-            return
-        whole = np.frombuffer(b"".join(ids), enc.dtype)
-        lengths = np.array([len(x) // whole.itemsize for x in ids], np.int64)
-        ids.clear()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        path = f"{base}/{uuid.uuid4().hex}.hwm"
-        with fs.open_output_stream(path, compression=None) as out:
-            save(out, WaveletMatrix.build(whole), np.array([0 if k is None else k for k in keys], np.int64), lengths, keys.count(None))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([keys[0]], pa.int64()), pa.array([keys[-1]], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([len(whole)], pa.int64())], ["part", "path", "first", "last", "docs", "n"])
+        part, keys, ids, held = -1, [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal part
+            names = pa.concat_arrays(keys)
+            whole = np.frombuffer(b"".join(ids), enc.dtype)
+            lengths = np.array([len(x) // whole.itemsize for x in ids], np.int64)
+            ids.clear()
+            path = f"{base}/{uuid.uuid4().hex}.hwm"
+            with fs.open_output_stream(path, compression=None) as out:
+                save(out, WaveletMatrix.build(whole), names.fill_null(0).to_numpy(), lengths, names.null_count)
+            row = {"part": part, "path": path, "first": names[0].as_py(), "last": names[-1].as_py(), "docs": len(names), "n": len(whole)}
+            part += 1
+            return pa.RecordBatch.from_pylist([row], manifest)
 
-    ordered = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(n_shards, key).sortWithinPartitions(key)
-    return ordered.mapInArrow(write, "part long, path string, first long, last long, docs long, n long")
+        for b in batches:
+            if part < 0 and b.num_rows:
+                part = b.column(2)[0].as_py() * FILES
+            for i in range(0, b.num_rows, BATCH):
+                rows = b.slice(i, BATCH)
+                keys.append(rows.column(0))
+                ids += [x + tail for x in enc.encode(rows.column(1))]
+                held += sum(map(len, ids[len(ids) - rows.num_rows :]))
+                if held >= FILE_IDS * len(tail):
+                    yield close()
+                    keys, held = [], 0
+        if ids:
+            yield close()
+
+    manifest = pa.schema([("part", pa.int64()), ("path", pa.string()), *[(c, pa.int64()) for c in ("first", "last", "docs", "n")]])
+    own = docs.select(F.col(key).cast("long").alias(key), text)
+    place = F.coalesce(F.col(key), F.lit(-(1 << 63)))  # rows without a key come first
+    dealt = byte_shards(work, own, place, F.coalesce(F.octet_length(text), F.lit(0)) + 1, n_shards).repartitionById(n_shards, "shard").sortWithinPartitions(key)
+    return dealt.select(key, text, "shard").mapInArrow(write, "part long, path string, first long, last long, docs long, n long")
 
 
 def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id", end: int = END) -> DataFrame:
@@ -301,8 +321,8 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id", end: int
 
 
 def begun(manifest: DataFrame) -> DataFrame:
-    """path and start (ids of all shards before it) of a manifest: running sums within groups of GROUP shards, and over the sums of groups."""
-    grouped = manifest.withColumn("g", F.floor(F.col("part") / GROUP))
+    """path and start (ids of all files before it) of a manifest: running sums within groups of GROUP shards, and over the sums of groups."""
+    grouped = manifest.withColumn("g", F.floor(F.col("part") / (GROUP * FILES)))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = grouped.groupBy("g").agg(F.sum("n").alias("s"))
     before = sums.select("g", F.coalesce(F.sum("s").over(earlier(Window.orderBy("g"))), F.lit(0)).alias("before"))  # a row a group
@@ -315,7 +335,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "tokens")
     folder = work.path("shards")
     _, size = size_of(docs)
-    manifest = work.table(write_shards(docs, folder, default_path("byte_bpe_50k.json"), parts(size, SHARD_BYTES)), "manifest")
+    manifest = work.table(write_shards(work, docs, folder, default_path("byte_bpe_50k.json"), parts(size, SHARD_BYTES)), "manifest")
     return read_shards(manifest, folder)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from hushframe.llm import decontaminate, language, lm, packing, pii, quality, routing, substrings, token_files, tokens, warc
-from hushframe.llm.common import LOWER, pack_counts, pack_keys, unpack_counts, unpack_keys
+from hushframe.llm.common import LOWER, Work, mix, pack_counts, pack_keys, unpack_counts, unpack_keys
 from hushframe.llm.tokens import Encoder, default_path
 from tests.llm.conftest import ODD
 
@@ -98,6 +98,33 @@ def test_token_files(spark, folder, prose, monkeypatch):
     assert got[len(ODD) + 5][3] == 4
 
 
+def test_token_files_of_hot_keys(spark, documents, tmp_path, prose, monkeypatch):
+    """Long texts side by side and many rows without an id: files stay bounded, and lie in order."""
+    monkeypatch.setattr(token_files, "FILE_IDS", 2000)
+    monkeypatch.setattr(token_files, "BATCH", 8)
+    texts = [(None, prose(20, s)) for s in range(300)] + [(i, prose(400 if i < 20 else 10, i)) for i in range(300)]
+    work = Work(spark, "test")
+    manifest = work.table(token_files.write_shards(work, documents(texts).repartition(8), str(tmp_path), default_path("byte_bpe_50k.json"), 10), "manifest")
+    rows = sorted(manifest.collect(), key=lambda r: r["part"])
+    assert sum(r["docs"] for r in rows) == 600 and max(r["n"] for r in rows) < 2000 + 8 * 1500 and len({r["part"] for r in rows}) == len(rows) > 10
+    assert len({r["part"] // token_files.FILES for r in rows if r["first"] is not None and r["first"] < 20}) >= 4  # a fifteenth of the ids, over half of their bytes
+    firsts = [r["first"] for r in rows if r["first"] is not None]
+    assert firsts == sorted(firsts)
+    got = sorted(token_files.read_shards(manifest, str(tmp_path)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + list(range(300))
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+
+
+def test_least_pairs(monkeypatch):
+    """Hashes of pairs over all documents at once are those of each by itself, wherever blocks end."""
+    r = np.random.default_rng(1)
+    docs = [r.integers(0, 50000, n).astype("<u2") for n in [1, 1, 2, 300, 5, 1, 40, 7, 1]]
+    each = [mix(d[:-1].astype(np.uint64) << np.uint64(32) | d[1:].astype(np.uint64)).min() if len(d) > 1 else 0 for d in docs]
+    for block in (1, 10, 350, 1 << 20):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        assert packing.least_pairs(np.concatenate(docs), np.array([len(d) for d in docs])).tolist() == each
+
+
 def test_packing(spark, folder, prose, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_IDS", 5000)
     texts = ODD + [prose(n, n) for n in (3, 900, 2500, 40, 41, 42, 500)] + [prose(60, 5)] * 4
@@ -157,7 +184,7 @@ def test_packing_over_a_shard(spark):
     rows = [(i, i, np.array([10 + 3 * i, 11 + 3 * i, 12 + 3 * i] * 10 + [1], "<u4")) for i in range(1200)]
     rows[1100] = (1100, 1100, np.array([10, 11, 12] * 9 + [1], "<u4"))
     encoded = spark.createDataFrame([(i, near, bytearray(x.tobytes())) for i, near, x in rows], "doc_id long, near long, ids binary")
-    got = packing.pack(encoded, 1, 64).collect()
+    got = packing.pack(Work(spark, "test"), encoded, 1, 64).collect()
     assert {r["sequence_id"] for r in got if r["doc_id"] == 1100} & {r["sequence_id"] for r in got if r["doc_id"] == 0}
 
 
@@ -587,6 +614,6 @@ def test_shards_of_equal_bytes(spark):
     rows = [(i, int(r.integers(-(1 << 62), 1 << 62)), bytearray(4 * int(r.integers(5, 60)))) for i in range(3000)]
     rows += [(5000 + i, 12345 << 30, bytearray(4 * 300)) for i in range(1000)] + [(9999, 777 << 40, bytearray(4 * 100))] * 500
     encoded = spark.createDataFrame(rows, "doc_id long, near long, ids binary").repartition(8)
-    got = packing.in_shards(encoded, 12).selectExpr("shard", "octet_length(ids) as n").groupBy("shard").sum("n").collect()
+    got = packing.in_shards(Work(spark, "test"), encoded, 12).selectExpr("shard", "octet_length(ids) as n").groupBy("shard").sum("n").collect()
     sizes = [x[1] for x in got]
     assert {x[0] for x in got} == set(range(12)) and max(sizes) < 2 * np.median(sizes) and min(sizes) > np.median(sizes) / 2
