@@ -109,7 +109,7 @@ class Encoder:
     def _encode(self, texts: pa.Array) -> list[bytes]:
         begins, pieces = self._cut(texts)
         coded = pieces.dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # all in one call, where to_pylist makes an object a value first
         missing = set(kinds).difference(self.table)
         if len(self.table) + len(missing) > TABLE:
             self.table.clear()
