@@ -37,6 +37,8 @@ K1, B, SHARD_IDS, BATCH = 1.2, 0.75, 8 << 20, 1024
 CELLS = 16
 #: Ids that are counted at once; neighbours sorted at first (more follow if a window asks for them); pieces put out at once.
 BLOCK, FIRST, ROWS = 1 << 20, 32, 8192
+#: Ids whose pairs are hashed at once: few enough to stay in a processor's cache.
+PAIRS = 1 << 16
 #: Used documents leave the lists when fewer than this share of those in them is unused.
 LIVE = 0.8
 #: A term in at least this share of a shard's documents has a row of weights of all documents in place of a list.
@@ -216,7 +218,7 @@ def least_pairs(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends, out, at = np.cumsum(sizes), np.zeros(len(sizes), np.uint64), 0
     while at < len(sizes):
         start = int(ends[at] - sizes[at])
-        to = max(at + 1, int(np.searchsorted(ends, start + BLOCK, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, start + PAIRS, "right")))
         x = flat[start : ends[to - 1]].astype(np.uint64)
         pairs = np.full(len(x), ~np.uint64(0))
         pairs[:-1] = mix(x[:-1] << np.uint64(32) | x[1:])

@@ -121,7 +121,7 @@ def test_least_pairs(monkeypatch):
     docs = [r.integers(0, 50000, n).astype("<u2") for n in [1, 1, 2, 300, 5, 1, 40, 7, 1]]
     each = [mix(d[:-1].astype(np.uint64) << np.uint64(32) | d[1:].astype(np.uint64)).min() if len(d) > 1 else 0 for d in docs]
     for block in (1, 10, 350, 1 << 20):
-        monkeypatch.setattr(packing, "BLOCK", block)
+        monkeypatch.setattr(packing, "PAIRS", block)
         assert packing.least_pairs(np.concatenate(docs), np.array([len(d) for d in docs])).tolist() == each
 
 
