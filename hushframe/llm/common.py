@@ -176,6 +176,11 @@ def give_back(words: bool = False) -> None:
     if words:
         _words.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same between blocks of work, without a search for cycles: pools keep several blocks' freed memory otherwise."""
     pa.default_memory_pool().release_unused()
     if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
         c.malloc_trim(0)

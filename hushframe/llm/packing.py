@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from hushframe.llm.common import Work, as_long, byte_shards, mix, parts, size_of, spread
+from hushframe.llm.common import Work, as_long, byte_shards, mix, parts, size_of, spread, trim
 from hushframe.llm.tokens import default_path, encoder, forget
 
 WINDOW, END = 2048, 1
@@ -37,6 +37,8 @@ K1, B, SHARD_IDS, BATCH = 1.2, 0.75, 8 << 20, 1024
 CELLS = 16
 #: Ids that are counted at once; neighbours sorted at first (more follow if a window asks for them); pieces put out at once.
 BLOCK, FIRST, ROWS = 1 << 20, 32, 8192
+#: Pieces in an encoder's table where executors are full already.
+LEAN_TABLE = 300_000
 #: Ids whose pairs are hashed at once: few enough to stay in a processor's cache.
 PAIRS = 1 << 16
 #: Used documents leave the lists when fewer than this share of those in them is unused.
@@ -229,11 +231,12 @@ def least_pairs(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, near (the locality key), ids (with the end id, packed in the encoder's dtype)."""
+def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text", lean: bool = False) -> DataFrame:
+    """key, near (the locality key), ids (with the end id, packed in the encoder's dtype). lean: in less memory and more time, with a smaller table of pieces and freed memory given back after each block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        enc.most = LEAN_TABLE if lean else None
         tail = np.array([end], enc.dtype).tobytes()
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
@@ -241,6 +244,9 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
                 ids = [x + tail for x in enc.encode(part.column(1))]
                 near = least_pairs(np.frombuffer(b"".join(ids), enc.dtype), np.array([len(x) // len(tail) for x in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(as_long(near)), pa.array(ids, pa.binary())], [key, "near", "ids"])
+                del ids, near
+                if lean:
+                    trim()
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, f"`{key}` long, near long, ids binary")
 
@@ -294,7 +300,7 @@ def pack(work: Work, encoded: DataFrame, n_shards: int, window: int = WINDOW, ke
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer: str, lean: bool = False) -> DataFrame:
     work = Work(spark, "packing")
-    encoded = work.table(encode(spread(docs), tokenizer), "encoded")
+    encoded = work.table(encode(spread(docs), tokenizer, lean=lean), "encoded")
     _, size = size_of(encoded, "ids")
     dtype = encoder(tokenizer).dtype
     return work.table(pack(work, encoded, parts(size, SHARD_IDS * np.dtype(dtype).itemsize), dtype=dtype, lean=lean), "pieces")
@@ -305,7 +311,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of all documents in their sequences. Workers hold what the stages before have left, so tables are dropped early."""
+    """Pipeline stage, the last: the pieces of all documents in their sequences. Executors hold what the stages before have left, so tables are small and dropped early."""
     return packed(spark, docs.select("doc_id", "text"), default_path("word_bpe_49k.json"), lean=True)
 
 

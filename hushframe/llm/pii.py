@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import own_columns, spread
+from hushframe.llm.common import give_back, own_columns, spread
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "account", "url")
@@ -275,6 +275,8 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             new = pa.array([masked(t.as_py()) for t in b.column(own)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == own else c for i, c in enumerate(b.columns)], columns)
+            del b, new
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)
 

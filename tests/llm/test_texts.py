@@ -179,6 +179,23 @@ def test_neighbours_of_a_shard(monkeypatch, block, first):
         seed = seed if filled else None
 
 
+def test_lean_encoding(spark, documents, prose, monkeypatch):
+    """The pipeline encodes with smaller tables of pieces, to the same ids."""
+    monkeypatch.setattr(packing, "LEAN_TABLE", 40)
+    path, texts = tokens.default_path("word_bpe_49k.json"), [prose(30, i) + f" w{i}" for i in range(60)] + ODD
+    docs = documents(texts).coalesce(1)
+    lean, full = ({r["doc_id"]: bytes(r["ids"]) for r in packing.encode(docs, path, lean=x).collect()} for x in (True, False))
+    assert lean == full and len(full) == len(texts)
+    enc = tokens.Encoder(path)
+    enc.most = packing.LEAN_TABLE
+    for i in range(60):
+        assert enc.encode([texts[i]])[0] == full[i][:-2] and len(enc.table) <= packing.LEAN_TABLE
+    asked, encode = [], packing.encode
+    monkeypatch.setattr(packing, "encode", lambda *a, lean=False: asked.append(lean) or encode(*a, lean=lean))
+    packing.pack_stage(spark, docs, "")
+    assert asked == [True]
+
+
 def test_packing_over_a_shard(spark):
     """A neighbour that lies over 512 documents away in the shard's order is retrieved."""
     rows = [(i, i, np.array([10 + 3 * i, 11 + 3 * i, 12 + 3 * i] * 10 + [1], "<u4")) for i in range(1200)]
