@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import crc32_mod, give_back, own_columns, spread
+from hushframe.llm.common import Work, crc32_mod, give_back, own_columns, spread
 
 UND = "und"
 #: Length of the vectors, letters of an n-gram (fixed by the code at 3) and the fixed-point unit of learned sums.
@@ -29,13 +29,14 @@ DIMENSIONS, UNIT = 512, 1 << 20
 MAX_LANGUAGES = 2000
 #: Texts and characters that are worked on at once; trigrams bundled at once.
 BATCH_TEXTS, BATCH_CHARS, SLICE = 128, 1_000_000, 8192
-#: Labelled texts to learn from: of more, a sample of about so many, drawn by a hash of the row. It takes all rows of a
-#: language that has few and equal numbers of those that have many, which are LEARN_EACH or more.
+#: Rows that sample() draws of a larger table, about; of each language at least so many, if it has them. No query samples.
 LEARN_TEXTS, LEARN_EACH = 20_000, 500
 #: How sharply the score follows the difference of cosines.
 SHARPNESS = 12.0
 #: Letters from which a text's cosine says whether it is in a learned language at all; how far below those of learned texts it must lie.
 SURE_LETTERS, FAR = 200, 0.5
+#: For their exact percentile, cosines are cut to so many decimals: a table of any size has few different ones to count.
+DECIMALS = 4
 
 _letters: np.ndarray | None = None
 _vectors: dict[int, np.ndarray] = {}
@@ -115,7 +116,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def shares(counts: dict[str, int]) -> dict[str, float]:
-    """Of languages that are not learned whole, the share of rows to learn from."""
+    """Of languages that sample() doesn't take whole, the share of rows that it draws."""
     left, cap = LEARN_TEXTS, 0
     for k, n in enumerate(sorted(counts.values())):
         cap = left // (len(counts) - k)
@@ -129,7 +130,7 @@ def shares(counts: dict[str, int]) -> dict[str, float]:
 
 
 def sample(labelled: DataFrame) -> DataFrame:
-    """text and lang of the rows to learn from: those with a label and a letter, LEARN_TEXTS or so, drawn by a hash of the row."""
+    """text and lang of LEARN_TEXTS or so of the rows with a label and a letter, drawn by a hash of the row: for a quick look at a large table. The queries learn from all rows."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in labelled.dtypes if not kind.startswith("map")])
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
@@ -142,7 +143,7 @@ def sample(labelled: DataFrame) -> DataFrame:
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Prototypes from columns text and lang, of LEARN_TEXTS rows or so: names, and a unit row each. Sums are in fixed point, so their order doesn't matter."""
+    """Prototypes from columns text and lang, of all rows with a label and a letter: names, and a unit row each. Sums are in fixed point, so their order doesn't matter."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -157,11 +158,13 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                     total[name] = total.get(name, 0) + whole[has & (names == name)].sum(axis=0)
                 if len(total) > MAX_LANGUAGES:
                     raise ValueError(f"over {MAX_LANGUAGES} labels; they are no languages")
+            pa.default_memory_pool().release_unused()
         for name, v in sorted(total.items()):
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(v)], ["lang", "at", "v"])
+        give_back()
 
     rows = (
-        sample(labelled).select("text", "lang").mapInArrow(sums, "lang string, at long, v long")
+        labelled.where(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(sums, "lang string, at long, v long")
         .groupBy("lang", "at").agg(F.sum("v").alias("v"))
     )
     found = rows.limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()  # the bound on labels, as rows
@@ -207,11 +210,12 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(score, schema)
 
 
-def least_cosine(labelled: DataFrame, names: list[str], prototypes: np.ndarray) -> float | None:
-    """Below what cosine a text of SURE_LETTERS is in no language that was learned: FAR of what 99 % of such learned texts reach; none if there is none."""
-    seen = predict(sample(labelled), names, prototypes, more=("cosine", "letters")).where(F.col("letters") >= SURE_LETTERS)
-    low = seen.agg(F.percentile_approx("cosine", 0.01)).first()[0]
-    return None if low is None else FAR * low
+def least_cosine(scored: DataFrame, cosine: str = "cosine", letters: str = "letters") -> float | None:
+    """Below what cosine a text of SURE_LETTERS is in no language that was learned: FAR of what 99 % of such learned texts reach; none if there is none. scored: all learned texts with their best cosine and number of letters."""
+    unit = 10**DECIMALS
+    sure = scored.where(F.col(letters) >= SURE_LETTERS).select(F.floor(F.col(cosine) * unit).alias("c"))
+    low = sure.agg(F.expr("percentile_disc(0.01) within group (order by c)")).first()[0]
+    return None if low is None else FAR * low / unit
 
 
 def held_out() -> F.Column:
@@ -219,9 +223,9 @@ def held_out() -> F.Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     names, prototypes = learn(docs.where(~held_out()))
-    return predict(spread(docs.select("doc_id", "text")), names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def reject_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -230,17 +234,18 @@ def reject_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A text without a letter (or null) goes, and so does one of SURE_LETTERS or more whose best cosine is below
     least_cosine(): half of what even the least typical learned texts reach, as random letters or an alphabet that no
     learned text has. Shorter texts stay, as their cosines say little. Where no language was learned, texts with letters stay.
+    All texts with a label that aren't held out are learned from, and all of these are asked for that bound: every text is
+    scored once and written with its cosine, from which both the bound and the verdicts are read.
     """
-    labelled = docs.where(~held_out())
-    names, prototypes = learn(labelled)
-    least = least_cosine(labelled, names, prototypes) if names else None
-    if not names:
-        names, prototypes = ["any"], np.zeros((1, DIMENSIONS), np.float32)
+    docs = spread(docs)
+    names, prototypes = learn(docs.where(~held_out()))
     lang, score, cosine, letters = (unused(docs, c) for c in ("lang_pred", "score", "cosine", "letters"))
-    known = F.col(lang) != UND
-    if least is not None:
-        known = known & ((F.col(letters) < SURE_LETTERS) | (F.col(cosine) >= least))
-    return predict(spread(docs), names, prototypes, lang_col=lang, score_col=score, more=(cosine, letters)).where(known).select(*own_columns(docs))
+    if not names:
+        return predict(docs, ["any"], np.zeros((1, DIMENSIONS), np.float32), lang_col=lang, score_col=score).where(F.col(lang) != UND).select(*own_columns(docs))
+    scored = Work(spark, "language").table(predict(docs, names, prototypes, lang_col=lang, score_col=score, more=(cosine, letters)).where(F.col(lang) != UND).drop(lang, score), "scored")
+    least = least_cosine(scored.where(~held_out() & F.col("lang").isNotNull()), cosine, letters)
+    known = scored if least is None else scored.where((F.col(letters) < SURE_LETTERS) | (F.col(cosine) >= least))
+    return known.select(*own_columns(docs))
 
 
 def unused(docs: DataFrame, name: str) -> str:

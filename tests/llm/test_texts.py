@@ -387,6 +387,21 @@ def test_rare_languages(spark, documents, prose, monkeypatch):
     assert {r["lang_pred"] for r in language.predict(docs.where("doc_id >= 2000"), names, m).collect()} == {"zz"}
 
 
+def test_all_labelled_texts_are_learned(spark, documents, prose, monkeypatch):
+    """Prototypes and the bound below which texts are rejected come from all labelled rows, however many there are."""
+    monkeypatch.setattr(language, "LEARN_TEXTS", 10)
+    monkeypatch.setattr(language, "LEARN_EACH", 5)
+    r = random.Random(5)
+    rare = lambda i: " ".join([prose(12, i), *["".join(r.choice("xyzqwöü") for _ in range(5)) for _ in range(60)]])
+    texts = [rare(i) if i % 60 == 7 else prose(40, i) for i in range(1200)]  # 20 of them are unlike the others
+    docs = documents(list(enumerate(texts)) + [(3000, rare(3000))], ["aa"] * 1200 + [None])
+    names, m = language.learn(docs)
+    vectors, _ = language.bundle(texts)
+    total = np.rint(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) * language.UNIT).astype(np.int64).sum(axis=0)
+    assert names == ["aa"] and np.allclose(m[0], total / np.linalg.norm(total), atol=1e-6)
+    assert {x["doc_id"] for x in language.reject_unknown(spark, docs, "").collect()} == {*range(1200), 3000}
+
+
 def test_stage_without_labels(spark, documents):
     docs = documents([(0, "some words"), (1, "123"), (2, None), (3, "é")], [None] * 4).coalesce(1)
     assert {r["doc_id"] for r in language.reject_unknown(spark, docs, "").collect()} == {0, 3}
