@@ -39,36 +39,54 @@ from hushframe.llm.common import Work, lookup, mix, once, pack_counts, pack_keys
 #: Length of repeated strings, and of anchors.
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
-#: Bytes of text of a block and of a shard's share; documents above which an anchor is split; suffixes sorted at once.
-BLOCK_BYTES, SHARD_BYTES, HOT, SORT_CHARS = 4 << 20, 8 << 20, 4096, 3 << 20
-#: Bytes of a text over which its windows are worked on in pieces.
-PIECE_BYTES = 4 << 20
+#: Bytes of text of a block and of a shard's share; documents above which an anchor is split; suffixes sorted at once (few, as they stay in a core's cache).
+BLOCK_BYTES, SHARD_BYTES, HOT, SORT_CHARS = 4 << 20, 8 << 20, 4096, 1 << 17
+#: Bytes of a text over which its windows are worked on in pieces; windows whose anchors are found at once.
+PIECE_BYTES, STEP = 4 << 20, 1 << 15
 _BASE = 0x9E3779B97F4A7C15
-_LOW, _MASK = np.uint64(40), np.uint64((1 << 40) - 1)
+_LOW, _MASK, _HIGH = np.uint64(40), np.uint64((1 << 40) - 1), np.uint64(((1 << 32) - 1) << 32)
 
 
 # ---------------------------------------------------------------- suffix sorting
 
 
 #: Codes up to which names come from a table instead of a sort.
-TABLE = 1 << 22
+TABLE = 1 << 18
 
 
-def _names(code: np.ndarray, size: int) -> np.ndarray:
-    """Dense ranks of codes below size."""
+def _names(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Dense ranks of codes below size, and the order of codes if it was found on the way."""
     if size <= max(TABLE, 2 * len(code)):
-        seen = np.bincount(code, minlength=size) > 0
-        return (np.cumsum(seen) - 1)[code]
-    return np.unique(code, return_inverse=True)[1]
+        seen = np.zeros(size, bool)
+        seen[code] = True
+        return (np.cumsum(seen) - 1)[code], None
+    order = np.argsort(code)
+    code = code[order]
+    names = np.empty(len(code), np.int64)
+    names[order] = np.cumsum(np.r_[False, code[1:] != code[:-1]])
+    return names, order
+
+
+def _stable(keys: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of keys below size. Where key and place share a word, that is sorted instead of an index."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if size >= 1 << (63 - bits):
+        return np.argsort(keys, kind="stable")
+    word = keys << bits
+    word |= np.arange(len(keys))
+    word.sort()
+    word &= (1 << bits) - 1
+    return word
 
 
 def _joined(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> tuple[np.ndarray, int]:
     """Codes of pairs, and their bound; ranks of pairs where the codes would be too long."""
-    if size_a * size_b < 1 << 62:
-        return a * size_b + b, size_a * size_b
-    names = _names(a, size_a)
-    size = int(names.max(initial=0)) + 1
-    return names * size_b + b, size * size_b
+    if size_a * size_b >= 1 << 62:
+        a, _ = _names(a, size_a)
+        size_a = int(a.max(initial=0)) + 1
+    code = a * size_b
+    code += b
+    return code, size_a * size_b
 
 
 def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
@@ -79,30 +97,35 @@ def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
     n = len(t)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
-    padded = np.r_[t, np.zeros(4, t.dtype)].astype(np.int64)
+    padded = np.zeros(n + 4, np.int64)
+    padded[:n] = t
     k = int(padded.max()) + 1
-    sample = np.r_[np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)]  # a triple of zeros ends the first half
-    code, size = _joined(padded[sample], k, padded[sample + 1], k)
-    code, size = _joined(code, size, padded[sample + 2], k)
-    names = _names(code, size) + 1
-    if names.max() < len(names) and 3 * covered < depth:
+    n_ones = (n + 1 + (n % 3 == 1)) // 3  # a triple of zeros ends the first half
+    ones, twos = slice(1, 3 * n_ones, 3), slice(2, n, 3)
+    triple = [np.r_[padded[i:][ones], padded[i:][twos]] for i in range(3)]
+    code, size = _joined(triple[0], k, triple[1], k)
+    code, size = _joined(code, size, triple[2], k)
+    names, order = _names(code, size)
+    names += 1
+    kinds = int(names.max())
+    if kinds < len(names) and 3 * covered < depth:
         order = suffix_array(names, depth, 3 * covered)
-        names = np.empty(len(names), np.int64)
         names[order] = np.arange(1, len(order) + 1)
-    else:
-        order = np.argsort(names, kind="stable")
+    elif order is None:
+        order = _stable(names, kinds + 1)
     rank = np.zeros(n + 4, np.int64)
-    rank[sample] = names
-    order = sample[order]
-    ones = order[order % 3 == 1]
-    order = order[order < n]
-    top = len(names) + 2
+    rank[ones], rank[twos] = names[:n_ones], names[n_ones:]
+    is_one = order < n_ones
     # the others: in order of what follows, then of their symbol
-    zeros = ones - 1
-    symbol = padded[zeros]
-    zeros = zeros[np.argsort(symbol.astype(np.uint16) if k <= 1 << 16 else symbol, kind="stable")]
+    zeros = 3 * order[is_one]
+    zeros = zeros[_stable(padded[zeros], k)]
+    order = 3 * order + np.where(is_one, 1, 2 - 3 * n_ones)
+    if n % 3 == 1:  # without the triple of zeros
+        real = order < n
+        order, is_one = order[real], is_one[real]
+    top = len(names) + 2
     # merge: against places 1 mod 3 by (symbol, rank), against 2 mod 3 by (symbol, symbol, rank)
-    one, two = order[order % 3 == 1], order[order % 3 == 2]
+    one, two = order[is_one], order[~is_one]
     z1, o1 = padded[zeros] * top + rank[zeros + 1], padded[one] * top + rank[one + 1]
     both = np.r_[zeros, two]
     code, size = _joined(padded[both], k, padded[both + 1], k)
@@ -110,13 +133,14 @@ def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
     z2, t2 = code[: len(zeros)], code[len(zeros) :]
     # equal prefixes within the depth may disagree in what follows; running maxima keep each list in order
     z1, o1, z2, t2 = (np.maximum.accumulate(c) for c in (z1, o1, z2, t2))
-    before = np.zeros(n, np.int64)
-    before[one] = np.searchsorted(z1, o1)
-    before[two] = np.searchsorted(z2, t2)
-    at = np.maximum.accumulate(before[order]) + np.arange(len(order))
-    out = np.full(n, -1, np.int64)
-    out[at] = order
-    out[out < 0] = zeros
+    before = np.empty(len(order), np.int64)
+    before[is_one] = np.searchsorted(z1, o1)
+    before[~is_one] = np.searchsorted(z2, t2)
+    at = np.maximum.accumulate(before) + np.arange(len(order))
+    out = np.empty(n, np.int64)
+    free = np.ones(n, bool)
+    out[at], free[at] = order, False
+    out[free] = zeros
     return out
 
 
@@ -151,8 +175,33 @@ def _power(k: int) -> np.uint64:
     return np.uint64(pow(_BASE, k, 1 << 64))
 
 
+def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all strings of ANCHOR bytes, and the places of the anchors of all windows; in steps that stay in a core's cache.
+
+    Of a hash 32 bits are compared, above the place, so that one minimum finds the leftmost of the least.
+    """
+    last = len(text) - LENGTH + 1
+    hashes, places = np.empty(last + SPAN - 1, np.uint64), np.empty(last, np.uint32)
+    for at in range(0, last, STEP):
+        h = text[at : at + STEP + LENGTH - 1].astype(np.uint64)
+        h += np.uint64(1)
+        for k in (1, 2, 4, 8):
+            h = h[:-k] * _power(k) + h[k:]
+            h8 = h if k == 4 else None if k < 4 else h8
+        h = h[: len(h) - 8] * _power(8) + h8[16:]  # 16 and 8 bytes
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        hashes[at : at + len(h)] = h
+        h &= _HIGH
+        h |= np.arange(at, at + len(h), dtype=np.uint64)
+        for k in (1, 2, 4, 8, SPAN - 16):
+            h = np.minimum(h[:-k], h[k:])
+        places[at : at + len(h)] = h  # the low half
+    return hashes, places
+
+
 class Block:
-    """Texts of a block, their windows' anchors, and the distinct anchors in order of shard and hash."""
+    """Texts of a block, the runs of windows with the same anchor (a run each), and the distinct anchors in order of shard and hash."""
 
     def __init__(self, docs: pa.Table, shards: int):
         order = np.argsort(docs.column("doc_id").to_numpy(), kind="stable")
@@ -161,32 +210,25 @@ class Block:
         texts = [texts[i] or b"" for i in order]
         sizes = np.array([len(t) for t in texts], np.int64)
         self.bytes = b"".join(texts)
-        self.starts = np.r_[0, np.cumsum(sizes)][:-1] - docs.column("at").to_numpy()[order]  # of whole texts, in the block
-        n = len(self.bytes)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-        last = n - LENGTH + 1
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes - docs.column("at").to_numpy()[order]  # of whole texts, in the block
+        last = len(self.bytes) - LENGTH + 1
         if last <= 0:
-            self.windows = self.anchor = np.empty(0, np.int64)
-            self.doc, self.hash = doc, np.empty(0, np.uint64)
-            self.code = np.empty(0, np.uint64)
+            self.first = self.end = self.anchor = self.doc = self.of = np.empty(0, np.int64)
+            self.hash = self.code = np.empty(0, np.uint64)
             return
-        h = np.frombuffer(self.bytes, np.uint8).astype(np.uint64) + np.uint64(1)
-        h8 = None
-        for k in (1, 2, 4, 8):
-            h = h[:-k] * _power(k) + h[k:]
-            h8 = h if k == 4 else h8
-        h = h[: len(h) - 8] * _power(8) + h8[16:]  # 16 and 8 bytes
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        value, place = h, np.arange(len(h), dtype=np.int32)
-        for k in (1, 2, 4, 8, SPAN - 16):
-            later = value[k:] < value[:-k]
-            value, place = np.where(later, value[k:], value[:-k]), np.where(later, place[k:], place[:-k])
-        self.doc, self.hash = doc, mix(h)
-        self.windows = np.flatnonzero(doc[:last] == doc[LENGTH - 1 :])
-        self.anchor = place[self.windows]
-        self.places = np.unique(self.anchor)  # distinct anchors' places
-        found = self.hash[self.places]
+        self.hash, place = anchors(np.frombuffer(self.bytes, np.uint8))
+        inside = np.ones(last + 1, bool)  # windows that lie in one text
+        over = (ends[:, None] - np.arange(1, LENGTH)).ravel()
+        inside[over[(over >= 0) & (over < last)]] = False
+        inside[last] = False
+        new = np.r_[True, place[1:] != place[:-1]]
+        # anchors never go back in a text, so each is that of one run
+        self.first = np.flatnonzero(inside[:last] & (new | ~np.r_[False, inside[: last - 1]]))
+        self.end = np.flatnonzero(inside[:last] & (~inside[1:] | np.r_[new[1:], True])) + LENGTH  # of the run's last window
+        self.anchor = place[self.first].astype(np.int64)
+        self.doc = np.searchsorted(ends, self.first, "right")
+        found = mix(self.hash[self.anchor])
         code = ((found >> _LOW) % np.uint64(shards)) << _LOW | (found & _MASK)
         self.code, self.of = np.unique(code, return_inverse=True)
 
@@ -194,7 +236,7 @@ class Block:
         """In how many documents of the block each distinct anchor is."""
         if not len(self.code):
             return np.empty(0, np.int64)
-        pair = np.unique(self.of.astype(np.int64) * (len(self.ids) + 1) + self.doc[self.places])
+        pair = np.unique(self.of * (len(self.ids) + 1) + self.doc)
         return np.bincount(pair // (len(self.ids) + 1), minlength=len(self.code))
 
 
@@ -237,28 +279,29 @@ def _strings(shards: int):
         if docs.num_rows and answers.num_rows:
             x = Block(docs, shards)
             said = np.concatenate([unpack_counts(b) for _, (b,) in sorted(zip(answers.column("shard").to_pylist(), answers.column("values").to_pylist()))])
-            lookup = np.zeros(len(x.hash), np.int32)
-            lookup[x.places] = x.of
-            kind = said[lookup[x.anchor]]
-            at, anchor, kind = x.windows[kind > 0], x.anchor[kind > 0], kind[kind > 0]
-            if len(at):
-                new = np.r_[True, (np.diff(at) != 1) | (np.diff(anchor) != 0)] | (kind == 2)
-                first = np.flatnonzero(new)
-                start, end = at[first], at[np.r_[first[1:], len(at)] - 1] + LENGTH
-                h = x.hash
-                own = mix(mix(h[start] * np.uint64(_BASE) + h[start + ANCHOR]) * np.uint64(_BASE) + h[start + LENGTH - ANCHOR])
-                code = np.where(kind[first] == 2, own, h[anchor[first]])
+            kind = said[x.of]
+            if kind.any():
+                few, many = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+                code, start, end = mix(x.hash[x.anchor[few]]), x.first[few], x.end[few]
+                if len(many):  # windows of very common anchors, each by itself
+                    n = x.end[many] - LENGTH + 1 - x.first[many]
+                    own = np.repeat(x.first[many] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    h = [mix(x.hash[own + k]) for k in (0, ANCHOR, LENGTH - ANCHOR)]
+                    code = np.r_[code, mix(mix(h[0] * np.uint64(_BASE) + h[1]) * np.uint64(_BASE) + h[2])]
+                    start, end = np.r_[start, own], np.r_[end, own + LENGTH]
+                    order = np.argsort(start, kind="stable")
+                    code, start, end = code[order], start[order], end[order]
                 shard = ((code >> _LOW) % np.uint64(shards)).astype(np.int64)
-                doc = x.doc[start]
+                doc = x.doc[np.searchsorted(x.first, start, "right") - 1]
                 block = docs.column("block")[0].as_py()
                 order = np.argsort(shard, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                     seen: dict[bytes, int] = {}
                     which = [seen.setdefault(x.bytes[s:e], len(seen)) for s, e in zip(start[part].tolist(), end[part].tolist())]
                     ids = x.ids[doc[part]].astype(np.int64)
-                    _, once = np.unique(which, return_index=True)  # documents are in order, so the first has the least id
+                    _, least = np.unique(which, return_index=True)  # documents are in order, so the first has the least id
                     whole = list(seen)
-                    rows.append((int(shard[part[0]]), block, b"".join(whole), np.array([len(s) for s in whole], "<u4").tobytes(), code[part][once].tobytes(), ids[once].tobytes(), np.array(which, "<u4").tobytes(), ids.tobytes(), (start[part] - x.starts[doc[part]]).tobytes()))
+                    rows.append((int(shard[part[0]]), block, b"".join(whole), np.array([len(s) for s in whole], "<u4").tobytes(), code[part][least].tobytes(), ids[least].tobytes(), np.array(which, "<u4").tobytes(), ids.tobytes(), (start[part] - x.starts[doc[part]]).tobytes()))
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=names)
 
     return work

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hushframe.llm import common, components, decontaminate, minhash, routing, substrings
@@ -216,3 +218,55 @@ def test_substrings_of_repeated_rows(spark, folder, prose):
     got = collections.Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in substrings.op2_suffix_array(spark, folder(rows)).collect())
     n = len(b.encode())
     assert got == {(2, 0, 0): 2, (4, n, 1): 2, (9, len(a.encode()), 1): 3}
+
+
+def block_of(texts):
+    return pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "at": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts, pa.binary())})
+
+
+@pytest.mark.parametrize("step", [1 << 15, 64, 1])
+def test_anchors(monkeypatch, step):
+    rng = np.random.default_rng(5)
+    texts = [b"", b"a" * 49, b"a" * 50, b"a" * 120, rng.integers(97, 99, 400, dtype=np.uint8).tobytes(), b"", b"abc" * 60, rng.bytes(700), b"x" * 30]
+    texts += [texts[4][60:200] + texts[7][100:300], b""]
+    whole = b"".join(texts)
+    want = substrings.anchors(np.frombuffer(whole, np.uint8))
+    monkeypatch.setattr(substrings, "STEP", step)
+    hashes, places = substrings.anchors(np.frombuffer(whole, np.uint8))
+    assert (hashes == want[0]).all() and (places == want[1]).all()
+    strings = [whole[i : i + 24] for i in range(len(whole) - 23)]
+    assert len(hashes) == len(strings) and len(set(hashes.tolist())) == len(set(strings)) == len(set(zip(strings, hashes.tolist())))
+    ahead = places.astype(np.int64) - np.arange(len(whole) - 49)
+    assert ahead.min() >= 0 and ahead.max() <= 26
+    windows = [whole[i : i + 50] for i in range(len(ahead))]
+    assert len(set(windows)) == len(set(zip(windows, ahead.tolist())))  # equal windows have equal anchors
+    block = substrings.Block(block_of(texts), 3)
+    ends = np.cumsum([len(t) for t in texts])
+    inside = [(int(np.searchsorted(ends, i, "right")), i) for i in range(len(ahead)) if np.searchsorted(ends, i, "right") == np.searchsorted(ends, i + 49, "right")]
+    runs = [(d, i, a) for d, s, e, a in zip(block.doc.tolist(), block.first.tolist(), block.end.tolist(), block.anchor.tolist()) for i in range(s, e - 49)]
+    assert runs == [(d, i, int(places[i])) for d, i in inside]
+    assert len(set(block.anchor.tolist())) == len(block.anchor)
+
+
+def test_cost_of_anchors():
+    """Processor seconds of a block beside those of sorting as many numbers: 0.60 to 0.69 with arrays of the whole block, 0.19 to 0.22 in steps."""
+    rng = np.random.default_rng(1)
+    docs, noise = block_of([rng.integers(97, 123, 1000, dtype=np.uint8).tobytes() for _ in range(2000)]), rng.integers(0, 1 << 62, 2_000_000)
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    block, yardstick = (min(seconds(work) for _ in range(5)) for work in (lambda: substrings.Block(docs, 4), lambda: np.argsort(noise, kind="stable")))
+    assert block < 0.4 * yardstick
+
+
+@pytest.mark.parametrize(("chars", "table"), [(1, 0), (300, 1 << 18), (2000, 100)])
+def test_substrings_sorted_in_parts(spark, folder, prose, monkeypatch, chars, table):
+    monkeypatch.setattr(substrings, "SORT_CHARS", chars)
+    monkeypatch.setattr(substrings, "TABLE", table)
+    passage = prose(30, 7)
+    texts = ODD + [f"{prose(20, s)} {passage} {prose(10, s + 100)}" for s in range(12)] + ["ab" * 300, "ab" * 200, "ba" * 30]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.op2_suffix_array(spark, folder(texts)).collect()}
+    assert got == brute_removed(texts)
