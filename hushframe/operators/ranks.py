@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Generator, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
@@ -32,13 +32,14 @@ Bounds = tuple[float, float] | None
 
 @dataclass(frozen=True)
 class Cell:
-    """Values low .. high: rows of them, and rows below them. Both ends occur, unless edges says that they are where the cell was cut."""
+    """Values low .. high: rows of them, and rows below them. Both ends occur, unless edges says that they are where the cell was cut. sought: places that the one who asks looks for."""
 
     low: float
     high: float
     count: int
     before: int
     edges: bool = False
+    sought: tuple[int, ...] = field(default=(), compare=False)
 
 
 Asking = Generator[list[Cell], list[list[Cell]], object]
@@ -147,7 +148,7 @@ def at_places(first: list[Cell], places: Callable[[int], list[int]]) -> Asking:
     n = sum(c.count for c in first)
     todo = look(first, sorted(set(places(n)))) if n else []
     while todo:
-        parts = yield [c for c, _ in todo]
+        parts = yield [replace(c, sought=tuple(here)) for c, here in todo]
         todo = [x for (_, wanted), cells in zip(todo, parts) for x in look(cells, wanted)]
     return n, found
 

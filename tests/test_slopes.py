@@ -101,3 +101,51 @@ def test_regression_over_all_pairs(spark):
     assert abs(middle + 1.5) < 0.01
     with pytest.raises(PrivacyError):
         f.theil_sen_slope("x", "y").sensitivity(1)
+
+
+def test_work_is_not_quadratic(spark):
+    """A million points are 5e11 pairs, whose median slope is that of the line they lie near."""
+    df = spark.range(0, 1_000_000, 1, 4).selectExpr("cast(id as double) as x", "0.5 * id + cast(hash(id) % 1000 as double) as y")
+    began = time.time()
+    s = S.Slopes(df, F.col("x"), F.col("y"))
+    n, got = places(s, [s.total // 2])
+    assert n == 1_000_000 * 999_999 // 2 and abs(got[n // 2] - 0.5) < 1e-4 and time.time() - began < 240
+
+
+@pytest.mark.parametrize("wide", [3, 50, 10**6])
+def test_equal_points(spark, monkeypatch, wide):
+    """Runs of equal x over several blocks, equal points, and more pairs of one slope than are listed."""
+    r = np.random.default_rng(wide)
+    points = list(zip(r.integers(0, wide, 1500).tolist(), r.integers(-2, 2, 1500).tolist()))
+    monkeypatch.setattr(S, "LEAST", 100)
+    monkeypatch.setattr(S, "LEAF_PAIRS", 300)
+    s, want = made(spark, points), pairs(points)
+    assert s.total == len(want) and s.count >= 12
+    at = [-1.0, -1e-9, 0.0, 1e-9, 1.0]
+    assert s._counted([*at, math.inf]).tolist() == [*[int((want < t).sum() if t < 0 else (want <= t).sum()) for t in at], len(want)]
+    asked = [0, len(want) // 3, len(want) // 2, len(want) - 1]
+    n, got = places(s, asked)
+    assert all(math.isclose(got[p], want[p], rel_tol=1e-9, abs_tol=1e-12) for p in asked)
+
+
+def test_inversions():
+    r = np.random.default_rng(1)
+    for n, most in ((0, 1), (1, 1), (31, 9), (33, 2), (700, 40), (3000, 3000)):
+        v, w = r.integers(0, most, n), r.integers(0, 30, n)
+        out = np.triu(v[:, None] > v[None, :], 1)
+        assert S.inversions(v) == out.sum() and S.inversions(v, w) == (out * np.outer(w, w)).sum()
+        i, j = S._out_of_order(v)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(a.tolist() for a in np.nonzero(out))))
+
+
+def test_points_that_cross_ranges(spark, monkeypatch):
+    """Points that come through whole ranges between two thresholds: the slopes listed are those between them."""
+    r = np.random.default_rng(2)
+    points = [(float(i), float(r.normal(0, 1)) + (300.0 if i % 97 == 0 else 0.0)) for i in range(1200)]
+    monkeypatch.setattr(S, "LEAST", 100)
+    s, want = made(spark, points), pairs(points)
+    assert s.count >= 10
+    for low, high in ((-1e-3, 1e-3), (-5.0, -0.5), (0.01, 0.4), (-s.top, s.top)):
+        found = s._listed([R.Cell(low, high, 0, 0, True)])[0]
+        here = want[(want > low) & (want <= high)]
+        assert sum(c.count for c in found) == len(here) and np.allclose([c.low for c in found], np.unique(here + 0.0))
