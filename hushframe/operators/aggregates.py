@@ -17,10 +17,11 @@ from hushframe.operators import sensitivity as S
 from hushframe.operators.slopes import Slopes
 from hushframe.operators.structure import numbering, union_rows
 from hushframe.plans.frame import Aggregate, Order, PrivateFrame, Props
+from hushframe.plans.shared import written
 from hushframe.privacy import PrivacyError, Usage, common, composed
 
-#: Rows up to which all pairs are formed; rows of numbered points up to which they are broadcast (24 bytes each).
-ALL_PAIRS, BROADCAST_ROWS = 20_000, 1_000_000
+#: Rows of a block of which all pairs are formed (fewer than a merge join keeps as objects), and tasks for pairs of blocks at most; rows of numbered points up to which they are broadcast (24 bytes each).
+PAIR_ROWS, PAIR_TASKS, BROADCAST_ROWS = 3_500, 2_000, 1_000_000
 #: Categories or candidates up to which each is a column of the fused aggregation; more are counted as groups.
 WIDE = 64
 
@@ -279,8 +280,19 @@ def _line(pairs: DataFrame) -> DataFrame:
     return pairs.select(slope.alias("slope"), ((F.col("y1") + F.col("y2")) / 2 - slope * (F.col("x1") + F.col("x2")) / 2).alias("intercept"))
 
 
+def _all_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """Each pair of n rows once: rows are dealt to blocks of about PAIR_ROWS, and a pair of blocks is a key of a join, which no task needs more of at once."""
+    blocks = max(1, -(-n // PAIR_ROWS))
+    tasks = min(blocks * (blocks + 1) // 2, PAIR_TASKS)
+    numbered = written(rows.withColumn("i", F.monotonically_increasing_id()), "numbered").withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+    last = F.lit(blocks - 1).cast("long")
+    one = numbered.select(*[F.col(c).alias(f"{c}1") for c in ("x", "y", "i")], F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), last)).alias("q"))
+    two = numbered.select(*[F.col(c).alias(f"{c}2") for c in ("x", "y", "i")], F.col("b").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("p"))
+    return one.repartition(tasks, "p", "q").join(two.repartition(tasks, "p", "q"), ["p", "q"]).where((F.col("p") < F.col("q")) | (F.col("i1") < F.col("i2")))
+
+
 def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str = "theil-sen-k-match", k: int = 0, rng: N.Secure | None = None) -> PrivateFrame:
-    """Slopes and intercepts of lines through pairs of rows: all pairs (few rows only), or k rounds in which each row has one partner.
+    """Slopes and intercepts of lines through pairs of rows: all pairs, or k rounds in which each row has one partner.
 
     The pairs of n points fall into n - 1 (n, if n is odd) perfect matchings: points i and j meet in the round i + j modulo
     that number. Rows get their numbers by one random order, and k rounds are drawn, all different; so every round is a
@@ -290,11 +302,9 @@ def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str
     frame.numeric([data_x, data_y], "theil_sen")
     rows = frame.df.select(F.col(data_x).cast("double").alias("x"), F.col(data_y).cast("double").alias("y"))
     if implementation == "theil-sen":
-        if frame.n is None or frame.n > ALL_PAIRS:
-            raise PrivacyError(f"all pairs need a known number of records of at most {ALL_PAIRS}; use theil-sen-k-match")
-        numbered = rows.withColumn("i", F.monotonically_increasing_id())
-        a, b = (numbered.select(*[F.col(c).alias(f"{c}{s}") for c in ("x", "y", "i")]) for s in (1, 2))
-        pairs, factor = a.join(F.broadcast(b), F.col("i1") < F.col("i2")), frame.n - 1
+        if frame.n is None:
+            raise PrivacyError("all pairs need a known number of records; use theil-sen-k-match")
+        pairs, factor = _all_pairs(rows, frame.n), frame.n - 1
     elif implementation in ("theil-sen-k-match", "theil-sen-match"):
         k, rng = 1 if implementation == "theil-sen-match" else k or 100, rng or N.Secure()
         numbered = numbering(rows.withColumn("__u", F.rand(rng.bits(62))), ["__u"]).select("x", "y", "__n")

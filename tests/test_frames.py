@@ -264,6 +264,27 @@ def test_theil_sen_and_gumbel(spark):
     assert all(40 < x < 60 for x in m)
 
 
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    """Each pair once, whatever the blocks; and over 20,000 rows, whose steepest lines go through neighbours."""
+    from hushframe.operators import aggregates
+
+    def framed(n):
+        f = readers.from_dataframe(spark.range(0, n, 1, 3).selectExpr("cast(id as double) as x", "cast(pmod(hash(id), 1000) as double) as y"), SOFT).clamp(["x", "y"], [0.0, 0.0], [1e6, 1000.0]).impute(["x", "y"])
+        return f.new_rows(f.df, n=n)
+
+    large = framed(20_500)
+    y = [r["y"] for r in large.df.orderBy("x").collect()]
+    steps = [b - a for a, b in zip(y, y[1:])]
+    found = large.theil_sen("x", "y", "theil-sen").df.agg(F.count(F.lit(1)), F.min("slope"), F.max("slope")).first()
+    assert tuple(found) == (20_500 * 20_499 // 2, min(steps), max(steps))
+    monkeypatch.setattr(aggregates, "PAIR_ROWS", 30)
+    f = framed(200)
+    p = sorted((r["x"], r["y"]) for r in f.df.collect())
+    want = sorted(((d - b) / (c - a), (b + d) / 2 - (d - b) / (c - a) * (a + c) / 2) for i, (a, b) in enumerate(p) for c, d in p[i + 1 :])
+    got = sorted(map(tuple, f.theil_sen("x", "y", "theil-sen").df.select("slope", "intercept").collect()))
+    assert len(got) == 19_900 and all(math.isclose(a, b, abs_tol=1e-6) for g, w in zip(got, want) for a, b in zip(g, w))
+
+
 def test_graph(spark, small):
     a = graph.Analysis(spark, SOFT, Usage(2.0))
     x = a.dataframe(small.df).clamp("x", 0.0, 5.0).impute("x").index("x").resize(number_rows=50)
