@@ -10,18 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns as C
+from hushframe.operators import matchings
 from hushframe.operators import noise as N
 from hushframe.operators import preprocess as P
 from hushframe.operators import ranks as R
 from hushframe.operators import sensitivity as S
 from hushframe.operators.slopes import Slopes
-from hushframe.operators.structure import numbering, union_rows
+from hushframe.operators.structure import union_rows
 from hushframe.plans.frame import Aggregate, Order, PrivateFrame, Props
 from hushframe.plans.shared import written
 from hushframe.privacy import PrivacyError, Usage, common, composed
 
-#: Rows of a block of which all pairs are formed (fewer than a merge join keeps as objects), and tasks for pairs of blocks at most; rows of numbered points up to which they are broadcast (24 bytes each).
-PAIR_ROWS, PAIR_TASKS, BROADCAST_ROWS = 3_500, 2_000, 1_000_000
+#: Rows of a block of which all pairs are formed (fewer than a merge join keeps as objects), and tasks for pairs of blocks at most.
+PAIR_ROWS, PAIR_TASKS = 3_500, 2_000
 #: Categories or candidates up to which each is a column of the fused aggregation; more are counted as groups.
 WIDE = 64
 
@@ -294,35 +295,23 @@ def _all_pairs(rows: DataFrame, n: int) -> DataFrame:
 def theil_sen(frame: PrivateFrame, data_x: str, data_y: str, implementation: str = "theil-sen-k-match", k: int = 0, rng: N.Secure | None = None) -> PrivateFrame:
     """Slopes and intercepts of lines through pairs of rows: all pairs, or k rounds in which each row has one partner.
 
-    The pairs of n points fall into n - 1 (n, if n is odd) perfect matchings: points i and j meet in the round i + j modulo
-    that number. Rows get their numbers by one random order, and k rounds are drawn, all different; so every round is a
-    random matching, no pair occurs twice, and one join finds the partners of all rounds. Of an odd number of rows, one is
-    left out in each round. Needs at most as many rounds as there are; over that, rounds are drawn again.
+    Every round is a random matching, and no pair occurs twice (see matchings); of an odd number of rows, one is left out in
+    each round. Needs at most as many rounds as a block has; over that, rounds are drawn again. The lines are made anew
+    wherever the frame is read.
     """
     frame.numeric([data_x, data_y], "theil_sen")
     rows = frame.df.select(F.col(data_x).cast("double").alias("x"), F.col(data_y).cast("double").alias("y"))
     if implementation == "theil-sen":
         if frame.n is None:
             raise PrivacyError("all pairs need a known number of records; use theil-sen-k-match")
-        pairs, factor = _all_pairs(rows, frame.n), frame.n - 1
+        lines, factor = _line(_all_pairs(rows, frame.n)), frame.n - 1
+        if frame.definition.neighboring == "add_remove":
+            lines = lines.where(~F.isnan("slope") & (F.abs("slope") != float("inf")))
     elif implementation in ("theil-sen-k-match", "theil-sen-match"):
         k, rng = 1 if implementation == "theil-sen-match" else k or 100, rng or N.Secure()
-        numbered = numbering(rows.withColumn("__u", F.rand(rng.bits(62))), ["__u"]).select("x", "y", "__n")
-        n = numbered.count()
-        rounds = n - 1 + n % 2
-        chosen = sample(rounds, k, rng) if 0 < k <= rounds else [rng.integer(0, max(rounds, 1) - 1) for _ in range(k)]
-        i, s = F.col("i1"), F.col("__s")
-        met = F.pmod(s - i, F.lit(max(rounds, 1)))
-        partner = F.when(met != i, met).when(F.lit(n % 2 == 0), F.lit(n - 1))  # the point that meets itself plays the last one
-        left = numbered.where(F.col("__n") < rounds).select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("__n").alias("i1"), F.explode(F.array(*[F.lit(c).cast("long") for c in chosen])).alias("__s"))
-        left = left.withColumn("i2", partner).where(F.col("i1") < F.col("i2"))
-        right = numbered.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("__n").alias("i2"))
-        pairs, factor = left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, "i2"), k
+        lines, factor = matchings.lines(rows, rows.count(), k, rng, frame.definition.neighboring == "add_remove"), k
     else:
         raise PrivacyError(f"unknown implementation {implementation}")
-    lines = _line(pairs)
-    if frame.definition.neighboring == "add_remove":
-        lines = lines.where(~F.isnan("slope") & (F.abs("slope") != float("inf")))
     return frame.new_rows(lines, props={"slope": Props("float", False), "intercept": Props("float", False)}, n=None, stability=frame.stability * factor)
 
 
@@ -340,12 +329,3 @@ def theil_sen_slope(frame: PrivateFrame, data_x: str, data_y: str, alpha: float
         raise PrivacyError("the median slope has no bounded sensitivity")
 
     return _aggregate(frame, "theil_sen_slope", _none, unbounded, [data_x, data_y], direct=direct, lower=[None], upper=[None])
-
-
-def sample(n: int, k: int, rng: N.Secure) -> list[int]:
-    """k different numbers below n, each set of them equally likely (Floyd's method)."""
-    seen: set[int] = set()
-    for top in range(n - k, n):
-        x = rng.integer(0, top)
-        seen.add(top if x in seen else x)
-    return sorted(seen)

@@ -17,7 +17,7 @@ from hushframe.operators.slopes import Slopes
 from hushframe.operators.structure import reshape
 from hushframe.plans.frame import Aggregate, Noisy, Order, PrivateFrame
 from hushframe.plans.planner import dense_keys
-from hushframe.plans.shared import fixed_plans, written
+from hushframe.plans.shared import fixed_plans
 from hushframe.privacy import PrivacyError, Usage, as_usage, effective
 
 ADDITIVE = ("laplace", "gaussian", "analyticgaussian", "snapping", "simplegeometric")
@@ -298,16 +298,15 @@ def dp_histogram(frame: PrivateFrame, usage, column: str, edges=None, categories
 def dp_linear_regression(frame: PrivateFrame, usage, data_x: str, data_y: str, lower_slope: float, upper_slope: float, lower_intercept: float, upper_intercept: float, implementation: str = "theil-sen-k-match", k: int = 100, rng=None) -> Noisy:
     """Slope and intercept: the Gumbel medians of Theil-Sen candidates, half the budget each.
 
-    The candidates of a matching are written once, and both medians narrow them in the same rounds. With theil-sen the
-    candidates are the lines through all pairs; they are never formed. An intercept is then the slope of the points
-    (1 / x, y / x), so x must be known to keep away from zero. Pairs of equal x are left out.
+    The candidates of a matching are made from written points and counted in the same tasks, and both medians narrow them
+    in the same rounds. With theil-sen the candidates are the lines through all pairs; they are never formed. An intercept is
+    then the slope of the points (1 / x, y / x), so x must be known to keep away from zero. Pairs of equal x are left out.
     """
     half = as_usage(usage) * 0.5
     if implementation == "theil-sen":
         slope, intercept = _all_pairs(frame, half, data_x, data_y, ((lower_slope, upper_slope), (lower_intercept, upper_intercept)), rng)
         return Noisy("dp_linear_regression", slope.parts + intercept.parts, slope.usages + intercept.usages, list, "Gumbel", {"implementation": implementation})
     lines = A.theil_sen(frame, data_x, data_y, implementation, k, rng)
-    lines = replace(lines, df=written(lines.df, "lines"))
     slope = dp_gumbel_median(lines, "slope", half, lower_slope, upper_slope, rng)
     intercept = dp_gumbel_median(lines, "intercept", half, lower_intercept, upper_intercept, rng)
     return Noisy("dp_linear_regression", slope.parts + intercept.parts, slope.usages + intercept.usages, list, "Gumbel", {"implementation": implementation, "k": k})

@@ -12,6 +12,7 @@ the number of statistics; where a column's bounds are known, its first round alr
 from __future__ import annotations
 
 import math
+import weakref
 from collections.abc import Callable, Generator, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -78,6 +79,15 @@ class _Values:
     def _narrowed(self, asked: list[tuple[tuple, Cell]]) -> list[list[Cell]]:
         leaf = sum(c.count for _, c in asked) <= LEAF_ROWS
         pieces = max(2, min(KEY_CELLS, ROUND_CELLS // len(asked)))
+        out: list[list[Cell]] = [[] for _ in asked]
+        before = [c.before for _, c in asked]
+        for i, low, high, n in sorted(self._found(asked, leaf, pieces), key=lambda r: (r[0], r[1])):
+            out[i].append(Cell(low, high, n, before[i]))
+            before[i] += n
+        return out
+
+    def _found(self, asked: list[tuple[tuple, Cell]], leaf: bool, pieces: int) -> list[tuple[int, float, float, int]]:
+        """Number of the asked cell, least and greatest value, and rows, of each piece of it that has any (leaf: of each value)."""
         names, x = ("__i", "__low", "__half", "__width", "__high"), F.col("__x")
         rows = [(i, c.low, *_width(c.low, c.high), c.high) for i, (_, c) in enumerate(asked)]
         if len(asked) <= LITERALS:
@@ -91,18 +101,17 @@ class _Values:
             seen = self.df.join(F.broadcast(table), self.keys).where(x.between(F.col("__low"), F.col("__high")))
         part = F.when(F.col("__width") > 0, F.least(F.floor((x * F.col("__half") - F.col("__low") * F.col("__half")) / F.col("__width") * pieces), F.lit(pieces - 1))).otherwise(0)
         found = seen.groupBy("__i", (x if leaf else part).alias("__part")).agg(F.min("__x").alias("low"), F.max("__x").alias("high"), F.count(F.lit(1)).alias("n")).collect()
-        out: list[list[Cell]] = [[] for _ in asked]
-        before = [c.before for _, c in asked]
-        for r in sorted(found, key=lambda r: (r["__i"], r["low"])):
-            i = r["__i"]
-            out[i].append(Cell(r["low"], r["high"], r["n"], before[i]))
-            before[i] += r["n"]
-        return out
+        return [(r["__i"], r["low"], r["high"], r["n"]) for r in found]
+
+
+#: For tables whose values are counted where they are made: a function of columns that returns what _Values does.
+SOURCES: weakref.WeakKeyDictionary[DataFrame, Callable[[Sequence[tuple[str, Bounds]]], _Values]] = weakref.WeakKeyDictionary()
 
 
-def ask(df: DataFrame, columns: Sequence[tuple[Column, Bounds]], keys: Sequence[str], every: Sequence[tuple], orders: Sequence[tuple[int, Callable[[list[Cell]], Asking]]]) -> list[dict[tuple, object]]:
+def ask(df: DataFrame, columns: Sequence[tuple[Column | str, Bounds]], keys: Sequence[str], every: Sequence[tuple], orders: Sequence[tuple[int, Callable[[list[Cell]], Asking]]]) -> list[dict[tuple, object]]:
     """What each order (number of a column, generator) returns for each key of every; all in the same rounds."""
-    values = _Values(df, columns, keys)
+    named = not keys and all(isinstance(x, str) for x, _ in columns)
+    values = SOURCES[df](columns) if named and df in SOURCES else _Values(df, [(F.col(f"`{x}`") if isinstance(x, str) else x, b) for x, b in columns], keys)
     free = [j for j, (_, b) in enumerate(columns) if b is None]
     known = values.first(free) if free else {}
     whole = {(*key, j): Cell(*map(float, b), LEAF_ROWS + 1, 0) if b else known.get((*key, j)) for key in every for j, (_, b) in enumerate(columns)}

@@ -742,9 +742,8 @@ def _lined(f: PrivateFrame) -> PrivateFrame:
 def _plain_line(f: PrivateFrame) -> list[float]:
     """The medians of slopes and intercepts of other, seeded matchings, without noise."""
     lines = _lined(known(f)).theil_sen("l_quantity", "y", k=5, rng=noise.Seeded("plain"))
-    df = written(lines.df, "plain")
     middle = lambda first: at_places(first, lambda n: [n // 2])
-    return [next(iter(found[()][1].values())) for found in ask(df, [(F.col("slope"), None), (F.col("intercept"), None)], [], [()], [(0, middle), (1, middle)])]
+    return [next(iter(found[()][1].values())) for found in ask(lines.df, [("slope", None), ("intercept", None)], [], [()], [(0, middle), (1, middle)])]
 
 
 _inside = lambda low, high: lambda v: all(low <= x <= high for x in v)

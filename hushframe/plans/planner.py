@@ -106,7 +106,7 @@ class _Rows:
                 whose.append((i, a))
         if not orders:
             return
-        found = ask(self.df, [(F.col(f"`{n}`"), b) for n, b in columns], self.keys, self.every, orders)
+        found = ask(self.df, list(columns), self.keys, self.every, orders)
         of: dict[int, list[dict]] = {}
         for (i, _), values in zip(whose, found):
             of.setdefault(i, []).append(values)
