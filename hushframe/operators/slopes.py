@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hushframe.operators.ranks import Asking, Cell
 from hushframe.plans.shared import written
 
-#: Points of a block (and of a range): no more than MOST, no fewer than LEAST, else so that there are about BLOCKS.
+#: Points of a block: no more than MOST, no fewer than LEAST, else so that there are about BLOCKS. Ranges of heights are as many, or of 4 MOST points: a threshold deals blocks times ranges rows.
 LEAST, BLOCKS, MOST = 1024, 24, 131_072
 #: Thresholds of a round at most and at least, values of y - t x that one round deals (about), and pairs between thresholds up to which their slopes are returned (as distinct values).
 THRESHOLDS, FEWEST, DEALT, LEAF_PAIRS = 32, 16, 1 << 27, 50_000
@@ -196,6 +196,7 @@ class Slopes:
         order = sorted((r["low"], r["first"], r["high"], r["last"], r["mark"], r["seen"]) for r in marked.drop("xs", "ys").collect())  # a row a block
         numbers = df.sparkSession.createDataFrame([(i, o[4]) for i, o in enumerate(order)], "block long, mark long")
         self.count, self.n, self.spark = len(order), n, df.sparkSession
+        self.ranges = max(1, min(BLOCKS, n // LEAST), n // (4 * MOST))
         tasks = max(self.spark.sparkContext.defaultParallelism * 2, -(-self.count // 4))
         self.tasks, self.blocks = tasks, marked.join(F.broadcast(numbers), "mark").select("block", "xs", "ys").repartition(tasks, "block")
         self.top = LARGEST / max([1.0, *(abs(v) for o in order for v in (o[0], o[2]))])
@@ -219,9 +220,9 @@ class Slopes:
         return np.sort(slopes[np.isfinite(slopes)]) + 0.0
 
     def _ranges(self, t: float) -> np.ndarray:
-        """Heights that cut the points into as many ranges as there are blocks, or fewer."""
+        """Heights that cut the points into ranges of about as many each, or fewer ranges."""
         z = np.sort(_heights(*self.sample, t))
-        return np.unique(z[[len(z) * k // self.count for k in range(1, self.count)]]) if len(z) and self.count > 1 else np.empty(0)
+        return np.unique(z[[len(z) * k // self.ranges for k in range(1, self.ranges)]]) if len(z) and self.ranges > 1 else np.empty(0)
 
     def _counted(self, thresholds: Sequence[float]) -> np.ndarray:
         """How many slopes are at most each threshold."""
